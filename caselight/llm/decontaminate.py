@@ -118,6 +118,8 @@ class Index:
             inside = c.hash.copy()  # within a sentence of another text the first word may look like a name
             inside[0] = vocabulary.mid[c.at[0]]
             found.append((int(c.windows(size, inside)[0]), item, 0, size))
+            # Texts in capitals or in small letters show no names: there they are plain words.
+            found += [(int(w), item, k, size) for k, w in enumerate(c.windows(size, vocabulary.first[c.at]))]
         self.by: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for w, item, k, _ in set(found):
             self.by[w].append((item, k))
