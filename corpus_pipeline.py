@@ -23,9 +23,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shared = by_id.where("n > 1 and kept > 0").select("doc_id")
     if not shared.limit(1).count():
         return once.select(*docs.columns)
-    again = docs.join(if_small(shared), "doc_id", "left_semi").withColumn("_sha", F.sha2(ascii_lower(F.col("text").cast("string")), 256))
-    again = again.join(found.where("kept").select("doc_id", F.col("text_sha256").alias("_sha")).distinct(), ["doc_id", "_sha"], "left_semi")
-    first = again.withColumn("_rank", F.row_number().over(W.partitionBy("doc_id", "_sha").orderBy("source", "lang"))).where("_rank = 1")
+    again = docs.join(if_small(shared), "doc_id", "left_semi").withColumn("__text_sha256", F.sha2(ascii_lower(F.col("text").cast("string")), 256))
+    again = again.join(found.where("kept").select("doc_id", F.col("text_sha256").alias("__text_sha256")).distinct(), ["doc_id", "__text_sha256"], "left_semi")
+    first = again.withColumn("__rank", F.row_number().over(W.partitionBy("doc_id", "__text_sha256").orderBy("source", "lang"))).where("__rank = 1")
     return once.select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
