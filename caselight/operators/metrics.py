@@ -174,3 +174,13 @@ def rates(preds: DataFrame, latest: DataFrame, by: list[str]) -> DataFrame:
         share(F.col("gradable") == 0).alias("ungradable_rate"), F.avg("probability").alias("mean_probability"), F.count("latest").alias("reviewed"),
         F.avg(F.when(both, (F.col("latest") == F.col("decision")).cast("double"))).alias("agreement"),
     )
+
+
+def max_false_reject_threshold(df: DataFrame, reject: str, score: str, share: float) -> DataFrame:
+    """(threshold, strict): the lowest cut that rejects at most that share of accepted items; strict: only scores above it are rejected."""
+    accepted = df.where(F.col(reject) == 0).withColumn("one", F.lit(1).cast("long"))
+    n = accepted.agg(F.count("*").alias("n"))
+    sums = prefix_sums(accepted, score, ["one"]).crossJoin(F.broadcast(n))
+    allowed = F.floor(F.lit(share) * F.col("n"))
+    over = F.max(F.when(F.col("cum_one") > allowed, F.col(score)))
+    return sums.agg(F.coalesce(over, F.min(score), F.lit(0.5)).alias("threshold"), over.isNotNull().alias("strict"))

@@ -119,3 +119,29 @@ def bit_key(embedding: str):
 def view_rows(cases: DataFrame, views: int = 8) -> DataFrame:
     rows = cases.select("case_id", "logit", F.explode(F.sequence(F.lit(0), F.lit(views - 1))).alias("view"))
     return rows.select("case_id", "view", (F.col("logit") + (hash32(F.col("case_id") * 8 + F.col("view")) % 200 - 100) / F.lit(1000.0)).alias("logit"))
+
+
+def halves_by_subject(df: DataFrame, subject: str, grade: str, fraction: float = 0.5, seed: str = "site") -> DataFrame:
+    """(subject, part): calibration or evaluation, by hash rank within the stratum of the worst grade."""
+    if not 0 < fraction < 1:
+        raise ValueError("fraction must be between 0 and 1")
+    ranked = split_by_subject(df, subject, grade, (fraction, 1.0), seed)
+    return ranked.select(subject, F.when(F.col("split") == "train", "calibration").otherwise("evaluation").alias("part"))
+
+
+def canonical_hash(df: DataFrame, columns: list[str], name: str = "record_sha256") -> DataFrame:
+    """Adds the SHA-256 of the sorted name=value strings of all columns that aren't null."""
+    parts = [F.when(F.col(c).isNotNull(), F.concat(F.lit(c + "="), F.col(c).cast("string"))) for c in sorted(columns)]
+    return df.withColumn(name, F.sha2(F.concat_ws("\x1f", *parts).cast("binary"), 256))
+
+
+def visit_cases(preds: DataFrame) -> DataFrame:
+    """All cases of each visit in one row, in the order of time."""
+    rows = preds.where(F.col("visit").isNotNull()).groupBy("visit").agg(F.array_sort(F.collect_list(F.struct("created", "case_id"))).alias("c"))
+    return rows.select("visit", F.array_join(F.transform("c", lambda x: x["case_id"].cast("string")), ",").alias("cases"), F.size("c").cast("long").alias("n"))
+
+
+def reason_counts(df: DataFrame, reasons: str) -> DataFrame:
+    """How often each reason occurs; what follows a colon or a bracket doesn't count."""
+    key = F.trim(F.element_at(F.split(F.element_at(F.split("reason", ":"), 1), r"\("), 1))
+    return df.select(F.explode(reasons).alias("reason")).groupBy(key.alias("reason")).agg(F.count("*").alias("n"))

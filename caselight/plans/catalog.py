@@ -427,3 +427,86 @@ def filter_seen(spark, d):
 def wilson_ci(spark, d):
     k = B.cases(spark, d).groupBy("device").agg(F.sum("y").alias("k"), F.count("*").alias("n"))
     return k.select("device", C.wilson(F.col("k"), F.col("n").cast("double")).alias("ci")).select("device", "ci.low", "ci.high")
+
+
+@query("select event_type as action, user_id as entity, max(event_id) as seq, arg_max(props, event_id) as detail from events group by 1, 2")
+def last_event(spark, d):
+    e = B.table(spark, d, "events")
+    return e.groupBy(F.col("event_type").alias("action"), F.col("user_id").alias("entity")).agg(F.max("event_id").alias("seq"), F.max_by("props", "event_id").alias("detail"))
+
+
+@query("select visit, string_agg(case_id, ',' order by created, case_id) as cases, count(*) as n from b_predictions group by visit")
+def visit_cases_join(spark, d):
+    return O.visit_cases(B.predictions(spark, d))
+
+
+@query("select p.case_id from b_predictions p where not exists (select 1 from b_verdicts v where v.case_id = p.case_id)")
+def anti_unanchored(spark, d):
+    return B.predictions(spark, d).join(B.verdicts(spark, d).select("case_id"), "case_id", "left_anti").select("case_id")
+
+
+@query("select case_id, sha256(concat_ws(chr(31), 'case_id=' || case_id, 'decision=' || decision, 'grade=' || grade, 'side=' || side)) as record_sha256 from b_predictions")
+def canonical_hash(spark, d):
+    return O.canonical_hash(B.predictions(spark, d), ["decision", "case_id", "side", "grade"]).select("case_id", "record_sha256")
+
+
+@query(f""", subj as (select subject, max(grade) as stratum, {_U("site", "subject")} as u from b_cases group by subject)
+select subject, case when sh < 0.5 then 'calibration' else 'evaluation' end as part from (select *, (row_number() over (partition by stratum order by u, subject) - 0.5) / count(*) over (partition by stratum) as sh from subj)""")
+def split_site_half(spark, d):
+    return O.halves_by_subject(B.cases(spark, d), "subject", "grade")
+
+
+@query(f"select case when {_U('holdout', 'case_id')} < 0.3 then 'holdout' else 'fit' end as part, count(*) as n, sum(y)::bigint as positives from b_cases group by 1")
+def calibration_holdout(spark, d):
+    part = F.when(C.hash_uniform("holdout", F.col("case_id")) < 0.3, "holdout").otherwise("fit")
+    return B.cases(spark, d).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
+
+
+@query("select case_id, round(1 / (1 + exp(-logit / 2.0::double)), 6) as probability from b_cases")
+def calibrator_apply(spark, d):
+    return B.cases(spark, d).select("case_id", C.apply_temperature(F.col("logit"), F.lit(2.0)).alias("probability"))
+
+
+@query(""", r as (select unnest(list_filter([case when blur_var < 500 then 'low sharpness: ' || blur_var end, case when p_ungradable > 0.6 then 'model (score)' end, case when reason_flag = 1 then 'flagged' end], lambda x: x is not null)) as reason from b_quality)
+select trim(split_part(split_part(reason, ':', 1), '(', 1)) as reason, count(*) as n from r group by 1""")
+def reject_reason_counts(spark, d):
+    q = B.quality(spark, d)
+    reasons = F.array_compact(F.array(
+        F.when(F.col("blur_var") < 500, F.concat(F.lit("low sharpness: "), F.col("blur_var").cast("string"))), F.when(F.col("p_ungradable") > 0.6, F.lit("model (score)")), F.when(F.col("reason_flag") == 1, F.lit("flagged")),
+    ))
+    return O.reason_counts(q.select(reasons.alias("reasons")), "reasons")
+
+
+@query("select item, blur_var < 500 or blur_var > 20000 as rejected, concat_ws(';', case when blur_var < 500 then 'low sharpness' end, case when blur_var > 20000 then 'too bright' end) as reasons from b_quality")
+def quality_gate_rule(spark, d):
+    reasons = F.array_compact(F.array(F.when(F.col("blur_var") < 500, F.lit("low sharpness")), F.when(F.col("blur_var") > 20000, F.lit("too bright"))))
+    return B.quality(spark, d).select("item", (F.size(reasons) > 0).alias("rejected"), F.array_join(reasons, ";").alias("reasons"))
+
+
+@query("""select count(*) filter (p_ungradable >= 0.6 and reject = 1) as learned_caught, count(*) filter (p_ungradable >= 0.6 and reject = 0) as learned_false, count(*) filter (blur_var < 500 and reject = 1) as classical_caught,
+  count(*) filter (blur_var < 500 and reject = 0) as classical_false, count(*) filter (reject = 1) as rejects, count(*) as n from b_quality""")
+def gate_compare(spark, d):
+    hit = lambda c, y: F.count_if(c & (F.col("reject") == y))
+    learned, classical = F.col("p_ungradable") >= 0.6, F.col("blur_var") < 500
+    return B.quality(spark, d).agg(hit(learned, 1).alias("learned_caught"), hit(learned, 0).alias("learned_false"), hit(classical, 1).alias("classical_caught"), hit(classical, 0).alias("classical_false"), F.count_if(F.col("reject") == 1).alias("rejects"), F.count("*").alias("n"))
+
+
+@query("""select round(case when k < n then v else mn end, 6) as threshold, k < n as strict from (select count(*) as n, cast(floor(0.05 * count(*)) as bigint) as k, min(p_ungradable) as mn, list_sort(list(p_ungradable), 'DESC')[cast(floor(0.05 * count(*)) as bigint) + 1] as v
+  from b_quality where reject = 0)""")
+def max_false_reject_threshold(spark, d):
+    return M.max_false_reject_threshold(B.quality(spark, d), "reject", "p_ungradable", 0.05)
+
+
+@query(f"""select device, {_DIVIDED} from (select device, {_CONFUSION} from (select device, prob as s, 0.5 as t, y from b_cases where gradable = 1) group by device)""")
+def external_report(spark, d):
+    return M.confusion(B.cases(spark, d).where("gradable = 1"), "y", "prob", 0.5, ["device"])
+
+
+@query("""select v.visit, v.decision, h.pending from (select visit, count(*) filter (latest is null) as pending, max(created) as last_utc from outcomes group by 1) h join visits v on h.visit = v.visit
+  order by h.pending > 0 desc, case v.decision when 'MANUAL_REVIEW' then 0 when 'REFER' then 1 when 'INCOMPLETE' then 2 else 3 end, h.last_utc desc, v.visit limit 100""".replace("select v.visit", _SIDES + "select v.visit", 1))
+def visit_worklist(spark, d):
+    o = O.effective_outcomes(B.predictions(spark, d), B.verdicts(spark, d))
+    heads = o.groupBy("visit").agg(F.count_if(F.col("latest").isNull()).alias("pending"), F.max("created").alias("last_utc"))
+    rank = F.when(F.col("decision") == "MANUAL_REVIEW", 0).when(F.col("decision") == "REFER", 1).when(F.col("decision") == "INCOMPLETE", 2).otherwise(3)
+    rows = heads.join(O.visit_decisions(o), "visit").orderBy((F.col("pending") > 0).desc(), rank, F.desc("last_utc"), "visit").limit(100)
+    return rows.select("visit", "decision", "pending")
