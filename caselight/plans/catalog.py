@@ -51,12 +51,13 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[C.rounded(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)) else F.col(f"`{f.name}`") for f in df.schema])
 
 
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
+def query(oracle: str | None = None, recursive: bool = False) -> Callable[[Query], Query]:
     """Registers a query under its function's name, with what follows VIEWS in its oracle."""
+    views = VIEWS.replace("with ", "with recursive ", 1) if recursive else VIEWS
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = lambda spark, sf_dir: _rounded(f(spark, sf_dir))
         if oracle:
-            ORACLES[f.__name__] = VIEWS + oracle
+            ORACLES[f.__name__] = views + oracle
         return f
 
     return register
