@@ -109,7 +109,8 @@ def bootstrap_rates(df: DataFrame, y: str, score: str, threshold: float, cluster
     Counts are summed by subject first and by replicate in each task, so that only a row for each replicate is shuffled.
     """
     counts = M.confusion(df, y, score, threshold, [cluster]).select(cluster, "tp", "fp", "tn", "fn")
-    each = counts.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", poisson_weight(hash_uniform(seed, F.col(cluster), F.col("r")))).where("w > 0")
+    spread = counts.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, cluster)  # few bytes, much work each
+    each = spread.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", poisson_weight(hash_uniform(seed, F.col(cluster), F.col("r")))).where("w > 0")
     total = lambda c, w: F.sum(F.col(c) * w) if w is not None else F.sum(c)
 
     def rates(rows: DataFrame, w: Column | None) -> list[Column]:

@@ -13,8 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored cases: the subject is the user, the device the event's type, a visit a subject's day."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", F.floor(F.col("value") * 100).cast("long").alias("v"), (hash32(F.col("event_id")) % 10000).alias("h"))
+    return cases_of(table(spark, sf_dir, "events"))
+
+
+def cases_of(events: DataFrame) -> DataFrame:
+    """Scored cases: the subject is the user, the device the event's type, a visit a subject's day. events may be a stream."""
+    e = events.select("event_id", "ts", "user_id", "event_type", F.floor(F.col("value") * 100).cast("long").alias("v"), (hash32(F.col("event_id")) % 10000).alias("h"))
     v = F.col("v")
     e = e.withColumn("grade", F.when(v < 1500, 0).when(v < 4000, 1).when(v < 8000, 2).when(v < 14000, 3).otherwise(4))
     subject = F.concat(F.lit("S"), F.col("user_id").cast("string"))
@@ -28,17 +32,25 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predictions_of(cases(spark, sf_dir))
+
+
+def predictions_of(scored: DataFrame) -> DataFrame:
     p, h = F.col("prob"), F.col("h")
     decision = F.when((F.col("gradable") == 0) | (p > 0.35) & (p < 0.65), "MANUAL_REVIEW").when(p >= 0.5, "REFER").otherwise("ROUTINE")
-    return cases(spark, sf_dir).select(
+    return scored.select(
         "*", decision.alias("decision"), F.when(F.col("gradable") == 0, None).otherwise(p).alias("probability"), (h % 50 == 0).cast("int").alias("is_demo"),
         F.when(h % 40 == 1, 0).when(h % 40 == 2, None).otherwise(1).alias("validated"), (h % 900).cast("double").alias("latency_ms"),
     )
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts_of(predictions(spark, sf_dir))
+
+
+def verdicts_of(preds: DataFrame) -> DataFrame:
     """0 to 3 revisions a case; later rows win."""
-    p = predictions(spark, sf_dir).where("h % 3 = 0").select("case_id", "created", "y", "grade", F.explode(F.sequence(F.lit(0), F.least(F.lit(2), (F.col("h") % 4).cast("int")))).alias("revision"))
+    p = preds.where("h % 3 = 0").select("case_id", "created", "y", "grade", F.explode(F.sequence(F.lit(0), F.least(F.lit(2), (F.col("h") % 4).cast("int")))).alias("revision"))
     p = p.withColumn("verdict_id", F.col("case_id") * 10 + F.col("revision")).withColumn("g", hash32(F.col("verdict_id")))
     g, y = F.col("g"), F.col("y") == 1
     verdict = F.when(g % 17 == 0, "UNGRADABLE").when(g % 10 < 8, F.when(y, "REFER").otherwise("ROUTINE")).otherwise(F.when(y, "ROUTINE").otherwise("REFER"))
