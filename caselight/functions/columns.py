@@ -1,9 +1,14 @@
-"""Column expressions that the operators share. All run in the JVM."""
+"""Column expressions that the operators share. All but the exact binomial interval run in the JVM."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hash32(c: Column) -> Column:
@@ -96,3 +101,102 @@ def locked_split(code: Column, share: float = 0.2) -> Column:
 
 def rounded(c: Column, digits: int = 6) -> Column:
     return F.round(c.cast("double"), digits)
+
+
+def base_name(path: Column) -> Column:
+    return F.element_at(F.split(norm_path(path), "/"), -1)
+
+
+def stem_prefix(path: Column) -> Column:
+    """The part of a file's name before its first underscore, without the suffix."""
+    return F.element_at(F.split(F.regexp_replace(base_name(path), r"\.[^.]*$", ""), "_"), 1)
+
+
+def side_from_id(c: Column) -> Column:
+    """left or right by an id's end (_l1, _r2); null if it names neither."""
+    mark = F.regexp_extract(c, r"_([lr])\d+$", 1)
+    return F.when(mark == "l", "left").when(mark == "r", "right")
+
+
+def month_of(iso: Column) -> Column:
+    return F.substring(iso, 1, 7)
+
+
+def level_index(c: Column, levels: list[float]) -> Column:
+    """The place of a raw sub-score among its levels, worst first; -1 if it is null or none of them."""
+    found = F.array_position(F.array(*[F.lit(float(v)) for v in levels]), c.try_cast("double"))
+    return F.coalesce(found - 1, F.lit(-1)).cast("int")
+
+
+def json_field(c: Column, path: str) -> Column:
+    return F.get_json_object(c, path)
+
+
+def encode_findings(codes: Column, separator: str | None = None) -> Column:
+    """Distinct codes in order, as a JSON list or joined by a separator; null stays null."""
+    clean = F.array_sort(F.array_distinct(F.array_compact(codes)))
+    return F.to_json(clean) if separator is None else F.array_join(clean, separator)
+
+
+def decode_findings(text: Column) -> Column:
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
+def json_safe(c: Column, kind: T.DataType) -> Column:
+    """NaN and infinite numbers become null, in nested values too. kind: the column's type."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: json_safe(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, x: json_safe(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[json_safe(c[f.name], f.dataType).alias(f.name) for f in kind]))
+    return c
+
+
+def _beta_share(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function by its continued fraction, on the side where that converges fast."""
+    swap = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    lgamma = np.vectorize(math.lgamma, otypes=[float])
+    with np.errstate(divide="ignore"):
+        front = np.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    tiny = 1e-300
+    solid = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    d = 1 / solid(1 - (a + b) * x / (a + 1))
+    c, h = np.ones_like(x), d
+    for m in range(1, 2000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / solid(1 + step * d), solid(1 + step / c)
+            h = h * d * c
+        if np.all(np.abs(d * c - 1) < 1e-14):
+            break
+    return np.where(swap, 1 - front * h, front * h)
+
+
+def _beta_quantile(share: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    lo, hi = np.zeros_like(a), np.ones_like(a)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        less = _beta_share(a, b, mid) < share
+        lo, hi = np.where(less, mid, lo), np.where(less, hi, mid)
+    return (lo + hi) / 2
+
+
+def clopper_pearson(k: Column, n: Column, alpha: float = 0.05) -> Column:
+    """struct(low, high): the exact binomial interval of k of n; null without cases. Meant for tables of groups."""
+
+    @F.pandas_udf("low double, high double")
+    def interval(k: pd.Series, n: pd.Series) -> pd.DataFrame:
+        ok = (k.notna() & n.notna() & (n > 0) & (k >= 0) & (k <= n)).to_numpy()
+        kk, nn = (v.to_numpy(dtype=float, na_value=np.nan) for v in (k, n))
+        low, high = np.where(ok, 0.0, np.nan), np.where(ok, 1.0, np.nan)
+        inner, outer = ok & (kk > 0), ok & (kk < nn)
+        if inner.any():
+            low[inner] = _beta_quantile(alpha / 2, kk[inner], nn[inner] - kk[inner] + 1)
+        if outer.any():
+            high[outer] = _beta_quantile(1 - alpha / 2, kk[outer] + 1, nn[outer] - kk[outer])
+        return pd.DataFrame({"low": low, "high": high})
+
+    return F.when(n > 0, interval(k, n))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselight.functions.columns import norm_path
+from caselight.functions.columns import norm_path, side_from_id
 
 #: Images are measured at this size, whatever their own.
 WORKING_SIZE = 512
@@ -110,6 +110,65 @@ def image_stats(spark: SparkSession, path: str, done: DataFrame | None = None) -
     return images.withColumn("_md5", digest).mapInPandas(measure, schema)
 
 
+def _area(n: int, m: int) -> np.ndarray:
+    """m x n weights that average n pixels over m equal stretches."""
+    edges = np.linspace(0, n, m + 1)
+    share = np.minimum(edges[1:, None], np.arange(1, n + 1)) - np.maximum(edges[:-1, None], np.arange(n))
+    return np.maximum(share, 0) / (n / m)
+
+
+def _shrunk(plane: np.ndarray, height: int, width: int) -> np.ndarray:
+    return np.rint(_area(plane.shape[0], height) @ plane @ _area(plane.shape[1], width).T)
+
+
+def _difference_hash(height: int, width: int, channels: int, data: bytes, size: int = 16) -> str:
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.float64)
+    b, g, r = (_shrunk(pixels[..., k if channels >= 3 else 0], 256, 256) for k in (0, 1, 2))
+    small = _shrunk(np.rint(0.114 * b + 0.587 * g + 0.299 * r), size, size + 1)
+    return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
+
+
+def image_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """(path, pixel_md5, dhash, h0-h3) of each readable image below a folder: a digest of the decoded pixels and 256 bits, whether a cell of a 16 x 17 grid is
+    brighter than its left neighbour, as hex and as four longs. Unreadable images have no row; image_stats counts them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # images are large
+    images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
+    images = images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data", F.md5("image.data").alias("pixel_md5"))
+
+    def fingerprint(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            bits = [_difference_hash(*row) for row in part[["height", "width", "nChannels", "data"]].itertuples(index=False)]
+            yield pd.DataFrame({"path": part["origin"], "pixel_md5": part["pixel_md5"], "dhash": bits})
+
+    words = [F.conv(F.substring("dhash", 1 + 16 * k, 16), 16, -10).cast("long").alias(f"h{k}") for k in range(4)]
+    return images.mapInPandas(fingerprint, "path string, pixel_md5 string, dhash string").select("*", *words)
+
+
+def assemble_multisource(parts: dict[str, DataFrame], sites: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(image_id, subject, split, side, raw_grade, site, other columns): a union of splits whose columns differ. parts: image_id, patient_id (else the id's first
+    piece), raw_grade or left_grade and right_grade, of which the id's side picks one. sites: image_id, site; unknown where missing. An id that names no side is
+    an error, and so is one without a file where files (image_id) are given."""
+    out = None
+    for split, part in parts.items():
+        side = side_from_id(F.col("image_id"))
+        subject = F.col("patient_id") if "patient_id" in part.columns else F.element_at(F.split("image_id", "_"), 1)
+        grade = F.col("raw_grade") if "raw_grade" in part.columns else F.when(side == "left", F.col("left_grade")).otherwise(F.col("right_grade"))
+        others = [c for c in part.columns if c not in ("image_id", "patient_id", "raw_grade", "left_grade", "right_grade")]
+        part = part.select("image_id", F.format_string("S%04d", subject.cast("int")).alias("subject"), F.lit(split).alias("split"), side.alias("side"), grade.alias("raw_grade"), *others)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no splits")
+    bad = out.where("side is null").limit(5).collect()
+    if bad:
+        raise ValueError(f"ids that name no side: {[r.image_id for r in bad]}")
+    if files is not None:
+        gone = out.join(files.select("image_id").distinct(), "image_id", "left_anti").limit(5).collect()
+        if gone:
+            raise ValueError(f"no file for: {[r.image_id for r in gone]}")
+    named = sites.groupBy("image_id").agg(F.max("site").alias("site"))
+    return out.join(named, "image_id", "left").withColumn("site", F.coalesce("site", F.lit("unknown")))
+
+
 def append_run(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
