@@ -24,20 +24,29 @@ BLOCK = 4096
 SMALL = 24
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """Of UTF-8 text: a bit is 1 if it is set in over half the hashes of the shingles. No words: 0."""
+def digests(text: bytes, shingle: int = 4) -> np.ndarray:
+    """Hashes of the shingles of UTF-8 text, in order, with repeats; fewer words make one shingle, none make no hash."""
     found = text.lower().split()  # of bytes: A-Z only, and exactly the blanks \x20 \x09-\x0D
     if not found:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     if len(found) < shingle:
         grams = [b" ".join(found)]
     else:
         grams = list(map(b" ".join, zip(*(found[k:] for k in range(shingle)), strict=False)))
+    return np.frombuffer(b"".join([xxhash.xxh64_digest(g, 42) for g in grams]), dtype=">u8").astype(np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes."""
     counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(grams), 1 << 16):
-        digests = b"".join([xxhash.xxh64_digest(g, 42) for g in grams[at : at + (1 << 16)]])
-        counts += np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(grams)).tobytes(), "big")
+    for at in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    """Of UTF-8 text: a bit is 1 if it is set in over half the hashes of the shingles. No words: 0."""
+    return majority(digests(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caselight.llm import decontaminate, exactdedup, mixing, simhash, toxicity
+from caselight.llm import decontaminate, exactdedup, mixing, similar, toxicity
 from caselight.llm.common import ascii_lower, if_small, shared_folder, stored, without
 
 
@@ -30,9 +30,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
-    found = simhash.near_duplicates(docs).where("component_id is not null and doc_id <> component_id")
-    return without(docs, stored(found.select("doc_id").distinct(), "near"), "doc_id").select(*docs.columns)
+    """Of texts whose sets of five-word shingles reach a Jaccard similarity of 0.8, and all that such links connect, the row with the smallest id stays."""
+    return similar.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from caselight.llm import decontaminate, exactdedup, html, licenses, mixing, pii, quality, secrets, simhash, toxicity
+from caselight.llm import decontaminate, exactdedup, html, licenses, mixing, pii, quality, secrets, similar, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, fp string, id string, row string, path string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -81,6 +81,38 @@ def test_simhash_hot_buckets_lose_no_link(spark):
     assert key(few) == key(components(simhash.link_fingerprints(df, 4))) and few.count() >= len([x for x in near if (x ^ centre).bit_count() <= 2]) - 1
 
 
+def test_near_copies_by_similarity_of_shingles(spark):
+    """Near copies far apart in bits go, texts below 0.8 stay, null ids shield nothing: as by brute force over all pairs."""
+    r = np.random.default_rng(5)
+    made = lambda n: [f"v{k}" for k in r.integers(0, 5000, n)]
+    line, texts = " ".join(made(12)), []
+    for n in (6, 30, 60, 200):
+        for _ in range(6):
+            base = made(n)
+            for changes in (0, 1, n // 60, n // 40, n // 20):
+                now = list(base)
+                for at in r.integers(0, n, changes):
+                    now[at] = f"c{r.integers(1 << 30)}"
+                texts.append(" ".join(now) + (f" {line}" if r.random() < 0.5 else ""))
+    ids = [None if k % 11 == 3 else k // 2 * 2 for k in range(len(texts))]  # some null, the others shared by two rows
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) or {t} for t in texts]
+    group, far = list(range(len(texts))), 0
+    for u in range(len(texts)):
+        for v in range(u):
+            if len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v]):
+                far += (simhash.fingerprint(texts[u].encode()) ^ simhash.fingerprint(texts[v].encode())).bit_count() > 4
+                a, b = group[u], group[v]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    assert far > 20
+    frame = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, text string, at long").repartition(5)
+    got = corpus_pipeline.simhash_stage(spark, frame, "").collect()
+    assert sorted(group[x.at] for x in got) == sorted(set(group))
+    least = defaultdict(list)
+    for k, g in enumerate(group):
+        least[g].append((ids[k] is None, ids[k] or 0))
+    assert all((x.doc_id is None, x.doc_id or 0) == min(least[group[x.at]]) for x in got)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, (1 << 50) - 1), unique=True), st.sampled_from([1 << 50, 1 << 56]))
 def test_golomb_round_trip(values, top):
