@@ -72,93 +72,146 @@ class Canonical:
     def __init__(self, text: str, vocabulary: Vocabulary) -> None:
         at = np.fromiter(map(vocabulary.__getitem__, text.replace("\n", " \0 ").split()), dtype=np.int64)
         ends = vocabulary.ends[at]
-        kind = vocabulary.kind[at]
         start = np.r_[True, ends[:-1]] if len(at) else ends
-        word = kind != _BREAK
+        word = vocabulary.kind[at] != _BREAK
         if not word.all():  # a break ends the sentence of the word before it
             groups = np.cumsum(word) - word
             breaks = np.zeros(int(word.sum()) + 1, dtype=bool)
             np.logical_or.at(breaks, groups[~word], ends[~word])
             start = start[word] | breaks[:-1]
-        at, kind = at[word], kind[word]
+            at = at[word]
         self.at, self.start = at, start
-        self.kind = np.where(start, vocabulary.first_kind[at], kind)
-        self.hash = np.where(start, vocabulary.first[at], vocabulary.mid[at])
         self.vocabulary = vocabulary
 
-    def windows(self, size: int, hashes: np.ndarray | None = None) -> np.ndarray:
-        h = self.hash if hashes is None else hashes
-        if len(h) < size:
-            return np.empty(0, dtype=np.uint64)
-        out = np.full(len(h) - size + 1, size, dtype=np.uint64)
-        for k in range(size):
-            out += h[k : len(h) - size + 1 + k] * np.uint64(_MULTIPLIERS[k])
+    def readings(self) -> list[Reading]:
+        """Capitalised words at the start of sentences as plain words, and as names."""
+        v = self.vocabulary
+        kind, first = v.kind[self.at], v.first_kind[self.at]
+        plain = Reading(self, np.where(self.start, v.first[self.at], v.mid[self.at]), np.where(self.start, first, kind), self.start)
+        opening = self.start & (kind != first)
+        return [plain, Reading(self, v.mid[self.at], kind, self.start, opening)] if opening.any() else [plain]
+
+    def small(self) -> Reading:
+        """As a text in capitals or in small letters shows it: names are plain words."""
+        return Reading(self, self.vocabulary.first[self.at], self.vocabulary.first_kind[self.at], self.start)
+
+
+class Reading:
+    """Canonical tokens of one reading: a run of names within a sentence is one token. place has the first raw token of each."""
+
+    def __init__(self, text: Canonical, hashes: np.ndarray, kind: np.ndarray, start: np.ndarray, changed: np.ndarray | None = None) -> None:
+        name = kind == _NAME
+        own = np.ones(len(kind), dtype=bool)
+        own[1:] = ~(name[1:] & name[:-1] & ~start[1:])
+        self.place = np.flatnonzero(own)
+        self.hash, self.kind, self.text = hashes[own], kind[own], text
+        #: Tokens that differ from the other reading; only windows with one of them are of interest.
+        self.changed = None if changed is None else np.flatnonzero(changed[own] | (np.add.reduceat(changed, self.place) > 0 if len(own) else own))
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, hashes) of windows."""
+        h, n = self.hash, len(self.hash) - size + 1
+        if n <= 0:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        if self.changed is None:
+            at, parts = np.arange(n), [h[k : n + k] for k in range(size)]
+        else:
+            some = np.zeros(len(h), dtype=bool)
+            for k in range(size):
+                some[self.changed[self.changed >= k] - k] = True
+            at = np.flatnonzero(some[:n])
+            parts = [h[at + k] for k in range(size)]
+        out = np.full(len(at), size, dtype=np.uint64)
+        for k, part in enumerate(parts):
+            out += part * np.uint64(_MULTIPLIERS[k])
             out ^= out >> np.uint64(31)
-        return out
+        return at, out
+
+    def value(self, j: int) -> str:
+        end = self.place[j + 1] if j + 1 < len(self.place) else len(self.text.at)
+        return " ".join(self.text.vocabulary.value[x] for x in self.text.at[self.place[j] : end])
 
     def slots(self) -> dict[int, str]:
-        return {int(j): self.vocabulary.value[self.at[j]] for j in np.flatnonzero((self.kind != _WORD))}
+        return {int(j): self.value(int(j)) for j in np.flatnonzero(self.kind != _WORD)}
 
 
 class Index:
     """The windows of benchmark items. An item of fewer than `window` tokens is one window of its own length."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW) -> None:
-        vocabulary, found = Vocabulary(), []
+        vocabulary = Vocabulary()
+        #: Of each item: the first raw tokens of its windows; its slots by reading; the length in raw tokens.
+        self.windows: dict[int, frozenset[int]] = {}
         self.total: dict[int, int] = {}
-        self.slots: dict[int, dict[int, str]] = {}
+        self.slots: dict[int, list[dict[int, str]]] = {}
         self.sizes: dict[int, int] = {}
+        self.by: dict[int, list[tuple[int, int, int, int, int]]] = defaultdict(list)
         for item, text in items:
             c = Canonical(text, vocabulary)
-            if not len(c.hash):
+            if not len(c.at):
                 continue
-            size = min(window, len(c.hash))
-            self.total[item], self.slots[item], self.sizes[item] = len(c.hash) - size + 1, c.slots(), size
-            found += [(int(w), item, k, size) for k, w in enumerate(c.windows(size))]
-            inside = c.hash.copy()  # within a sentence of another text the first word may look like a name
-            inside[0] = vocabulary.mid[c.at[0]]
-            found.append((int(c.windows(size, inside)[0]), item, 0, size))
+            readings = c.readings()
+            size = min(window, len(readings[0].hash))
+            self.windows[item] = frozenset(readings[0].place[: len(readings[0].hash) - size + 1].tolist())
+            self.total[item], self.sizes[item] = len(self.windows[item]), len(c.at)
             # Texts in capitals or in small letters show no names: there they are plain words.
-            found += [(int(w), item, k, size) for k, w in enumerate(c.windows(size, vocabulary.first[c.at]))]
-        self.by: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for w, item, k, _ in set(found):
-            self.by[w].append((item, k))
-        self.lengths = sorted({size for *_, size in found})
+            small = c.small()
+            self.slots[item] = [r.slots() for r in (*readings, small)]
+            known = set()
+            for which, r in enumerate((*readings, small)):
+                length = min(window, len(r.hash)) if r is small else size
+                for j, w in zip(*(x.tolist() for x in r.windows(length)), strict=True):
+                    if (w, int(r.place[j])) not in known:
+                        known.add((w, int(r.place[j])))
+                        self.by[w].append((item, int(r.place[j]), which, j, length))
+        self.lengths = sorted({length for found in self.by.values() for *_, length in found})
         self.sorted = np.array(sorted(self.by), dtype=np.uint64)
         self.sieve = np.zeros(1 << 22, dtype=bool)
         self.sieve[(self.sorted >> np.uint64(42)).astype(np.int64)] = True
 
     def leaks(self, text: str, vocabulary: Vocabulary, least: float = LEAST) -> list[tuple[int, float, int, bool]]:
         """(item, share of its windows, windows, re-parameterised) of each leaked item."""
-        c = Canonical(text, vocabulary)
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for size in self.lengths:
-            w = c.windows(size)
-            at = np.flatnonzero(self.sieve[(w >> np.uint64(42)).astype(np.int64)])
-            if not len(at):
-                continue
-            near = np.searchsorted(self.sorted, w[at])
-            near[near == len(self.sorted)] = 0
-            for p in at[self.sorted[near] == w[at]]:
-                for item, k in self.by[int(w[p])]:
-                    if self.sizes[item] == size:
-                        hits[item].append((int(p), k))
+        readings = Canonical(text, vocabulary).readings()
+        hits: dict[int, list[tuple]] = defaultdict(list)
+        for r in readings:
+            for size in self.lengths:
+                places, w = r.windows(size)
+                at = np.flatnonzero(self.sieve[(w >> np.uint64(42)).astype(np.int64)])
+                if not len(at):
+                    continue
+                near = np.searchsorted(self.sorted, w[at])
+                near[near == len(self.sorted)] = 0
+                for p in at[self.sorted[near] == w[at]]:
+                    for item, k, which, j, length in self.by[int(w[p])]:
+                        if length == size and k in self.windows[item]:
+                            hits[item].append((int(r.place[places[p]]) - k, k, r, int(places[p]), which, j, size))
         out = []
         for item, found in hits.items():
-            if len({k for _, k in found}) < least * self.total[item]:
+            if len({hit[1] for hit in found}) < least * self.total[item]:
                 continue
-            slots, size = self.slots[item], self.sizes[item]
-            pairs: dict[str, Counter] = defaultdict(Counter)
-            for p, k in found:
-                for j in range(size):
-                    if k + j in slots:
-                        pairs[slots[k + j]][vocabulary.value[c.at[p + j]]] += 1
-            agreed = {value: seen.most_common(1)[0][0] for value, seen in pairs.items()}
-            good = {k for p, k in found if all(vocabulary.value[c.at[p + j]] == agreed[slots[k + j]] for j in range(size) if k + j in slots)}
-            if len(good) >= least * self.total[item]:
-                out.append((item, len(good) / self.total[item], len(good), any(a != b for a, b in agreed.items())))
+            best = self._agreed(item, found)
+            if best[0] >= least * self.total[item]:
+                out.append((item, best[0] / self.total[item], best[0], -best[1] > 0))
         return out
 
+    @staticmethod
+    def _value(value: str, other: str, k: int, d: int) -> str:
+        """A name before the item may run into the name it begins with."""
+        return value if not k and not d and other.endswith(f" {value}") else other
+
+    def _agreed(self, item: int, found: list[tuple]) -> tuple[int, int]:
+        """Of hits: how many windows have slots of which each item value stands for one value, and whether none differs (0) or some (-1)."""
+        pairs: dict[str, Counter] = defaultdict(Counter)
+        told = []
+        for _, k, r, p, which, j, size in found:
+            slots = self.slots[item][which]
+            own = [(slots[j + d], self._value(slots[j + d], r.value(p + d), k, d)) for d in range(size) if j + d in slots]
+            told.append((k, own))
+            for value, other in own:
+                pairs[value][other] += 1
+        agreed = {value: seen.most_common(1)[0][0] for value, seen in pairs.items()}
+        return len({k for k, own in told if all(agreed[value] == other for value, other in own)}), -int(any(a != b for a, b in agreed.items()))
+
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = INDEX_CHARS) -> Iterator[Index]:
     """The stated query set in blocks of bounded size, whatever its number of items; null texts have no windows."""
@@ -178,9 +231,9 @@ def _vocabulary(now: Vocabulary) -> Vocabulary:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, containment, windows, reparameterised): a row for each benchmark item that a document contains.
 
-    Numbers, names (capitalised words within sentences) and units become typed slots, case and outer punctuation don't count.
-    An item is contained if at least `least` of its windows of five tokens occur in the document and every value of the item's
-    slots stands for one value of the document; reparameterised tells that some value differs. Null text counts as empty;
+    Numbers, names (runs of capitalised words) and units become typed slots, case and outer punctuation don't count. A capitalised
+    word at the start of a sentence is read both as a word and as a name. An item is contained if at least `least` of its windows
+    of five tokens occur in the document and every value of the item's slots stands for one value of the document; reparameterised tells that some value differs. Null text counts as empty;
     a null doc_id is kept; repeated rows give repeated results; items that repeat an id share it. Empty tables: no rows.
     """
     spark = docs.sparkSession

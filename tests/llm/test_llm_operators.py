@@ -180,6 +180,15 @@ def test_leaks_are_found_and_slots_must_agree(spark):
     assert index.leaks(mixed.replace("7", "9"), decontaminate.Vocabulary()) and not index.leaks("A cost 7 and B cost 8 and C cost 9 while D cost 5 but E cost 6", decontaminate.Vocabulary())
 
 
+def test_names_at_sentence_starts_and_runs_of_names():
+    item = "Natalia sold clips to 48 of her friends in April. Natalia sold half as many clips there in May. Natalia gave the rest away in New York. How many clips did she sell altogether?"
+    index, leaks = decontaminate.Index([(1, item)]), lambda text: index.leaks(text, decontaminate.Vocabulary())
+    for text in (item, item.replace("Natalia", "Maria"), f"so said he then {item.replace('Natalia', 'Mary Ann').replace('New York', 'Paris').replace('48', '52')}", item.lower()):
+        assert [x[0] for x in leaks(text)] == [1]
+    assert leaks(item.replace("Natalia", "Maria"))[0][3] and not leaks(item)[0][3]
+    assert not leaks("Maria rode a bus to 48 of her friends in April. Peter lost half as many hats there in May. How many did she see?")
+
+
 def test_benchmark_in_blocks_gives_the_same(spark, docs):
     bench = spark.createDataFrame([(k, f"{w} {BASE} {w}") for k, w in enumerate(WORDS)], "item_id long, text string")
     whole = decontaminate.contaminated(docs, bench).count()
