@@ -189,7 +189,7 @@ class Index:
         for item, found in hits.items():
             if len({hit[1] for hit in found}) < least * self.total[item]:
                 continue
-            best = self._agreed(item, found)
+            best = max((self._agreed(item, group) for group in self._occurrences(item, found, least)), default=(0, False))
             if best[0] >= least * self.total[item]:
                 out.append((item, best[0] / self.total[item], best[0], -best[1] > 0))
         return out
@@ -212,6 +212,27 @@ class Index:
         agreed = {value: seen.most_common(1)[0][0] for value, seen in pairs.items()}
         return len({k for k, own in told if all(agreed[value] == other for value, other in own)}), -int(any(a != b for a, b in agreed.items()))
 
+    def _occurrences(self, item: int, found: list[tuple], least: float) -> Iterator[list[tuple]]:
+        """The hits of one place each, with enough windows: those of equal offset to the item, those of offsets close by, and last all hits."""
+        yield found
+        found = sorted(found, key=lambda hit: hit[0])
+        for slack in (0, max(2, self.sizes[item] // 8)):
+            count: Counter = Counter()
+            low = high = 0
+            while high < len(found):
+                offset = found[high][0]
+                while high < len(found) and found[high][0] == offset:
+                    count[found[high][1]] += 1
+                    high += 1
+                while found[low][0] < offset - slack:
+                    k = found[low][1]
+                    count[k] -= 1
+                    if not count[k]:
+                        del count[k]
+                    low += 1
+                if high - low < len(found) and len(count) >= least * self.total[item]:
+                    yield found[low:high]
+
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = INDEX_CHARS) -> Iterator[Index]:
     """The stated query set in blocks of bounded size, whatever its number of items; null texts have no windows."""
@@ -233,7 +254,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Numbers, names (runs of capitalised words) and units become typed slots, case and outer punctuation don't count. A capitalised
     word at the start of a sentence is read both as a word and as a name. An item is contained if at least `least` of its windows
-    of five tokens occur in the document and every value of the item's slots stands for one value of the document; reparameterised tells that some value differs. Null text counts as empty;
+    of five tokens occur in the document, or at one place of it, and there every value of the item's slots stands for one value; reparameterised tells that some value differs. Null text counts as empty;
     a null doc_id is kept; repeated rows give repeated results; items that repeat an id share it. Empty tables: no rows.
     """
     spark = docs.sparkSession

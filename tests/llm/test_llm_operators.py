@@ -189,6 +189,14 @@ def test_names_at_sentence_starts_and_runs_of_names():
     assert not leaks("Maria rode a bus to 48 of her friends in April. Peter lost half as many hats there in May. How many did she see?")
 
 
+def test_copies_are_judged_at_their_place():
+    item = "a farmer picks 12 red apples from every tree and sells 30 of them at the market for 45 dollars before noon"
+    stray = " ".join(f"then {part}." for k in range(20) for part in ("a farmer picks 71 red apples from every", "and sells 88 of them at the", "the market for 99 dollars before noon"))
+    index = decontaminate.Index([(1, item)])
+    found = index.leaks(f"{stray} so {item} {stray}", decontaminate.Vocabulary())
+    assert [(x[0], x[1], x[3]) for x in found] == [(1, 1.0, False)] and not decontaminate.Index([(1, "a b c " + item)]).leaks("nothing here", decontaminate.Vocabulary())
+
+
 def test_benchmark_in_blocks_gives_the_same(spark, docs):
     bench = spark.createDataFrame([(k, f"{w} {BASE} {w}") for k, w in enumerate(WORDS)], "item_id long, text string")
     whole = decontaminate.contaminated(docs, bench).count()
