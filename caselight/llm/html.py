@@ -1,4 +1,4 @@
-"""Main text of web pages: what markup settles, and for the rest a suffix array of each host's token streams."""
+"""Main text of web pages: a suffix array of each host's token streams finds the boilerplate, markup what no repeat can tell."""
 
 from __future__ import annotations
 
@@ -12,32 +12,35 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, if_small, stored
+from .common import bounded_batches, if_small, lookup, stored
 
-#: Tokens of the shortest repeat that counts as boilerplate; the suffix array is sorted to this depth.
+#: Tokens of the shortest repeat that counts as boilerplate.
 LEAST_RUN = 6
+#: Tokens to which suffixes are sorted. Longer repeats are the union of the repeats of the suffixes within them.
+DEPTH = 24
 #: Share of a block's tokens that repeats must cover for the block to go.
 COVERED = 0.8
 #: Elements that are never main text, elements that begin a block, and words of class, id or role that mark other parts.
-NEVER = frozenset("head nav footer aside form dialog menu noscript figure button select".split())
+NEVER = frozenset("head nav footer aside form dialog menu noscript button select".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html "
     "li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 HOLDERS = frozenset("article aside body blockquote details dialog div dl figure footer form head header main menu nav ol p section span table ul".split())
 PARTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscri\w+|signup|sidebar|widgets?|related|"
-    r"recommend\w*|share|sharing|social|comments?|respond|disqus|repl(?:y|ies)|breadcrumbs?|menu|nav\w*|topbar|toolbar|footer|login|search|pagination|pager|skip)(?:$|[\s_-])",
+    r"(?:ads?|adverts?|advertisements?|advertising|ad-\w+|\w+-ads?|sponsor(?:ed|s)?|promo(?:tion|ted)?s?|cookies?(?:-\w+)?|consent|gdpr|(?:\w+-)?notice|popup|modal|"
+    r"newsletter(?:-\w+)?|subscribe|signup|sidebar(?:-\w+)?|related(?:-(?:posts?|articles?|links?|stories|news))?|recommend(?:ed|ations)|share(?:-\w+)?|sharing|"
+    r"social(?:-\w+)?|(?:\w+-)?comments?|comments?-\w+|respond|disqus(?:_\w+)?|breadcrumbs?|(?:\w+-)?menu|nav(?:bar|igation)?|topbar|toolbar|(?:\w+-)?footer|login|pagination|pager|skip-link)",
     re.I,
 )
-TOP = re.compile(r"(?:^|[\s_-])(?:header|masthead|banner)(?:$|[\s_-])", re.I)
+TOP = re.compile(r"(?:\w+-)?(?:header|masthead|banner)", re.I)
 HINTS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|template|iframe|svg|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[/!?a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-ARTICLE, OPEN, OTHER = range(3)
+ARTICLE, OPEN, PART = range(3)
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
@@ -76,11 +79,11 @@ def blocks(page: str) -> list[tuple[int, str]]:
             if tag == "body":
                 stack.clear()
             now = stack[-1][1] if stack else OPEN
-            hint = " ".join(a or b or c for a, b, c in HINTS.findall(m[4])) if "=" in m[4] else ""
-            if tag in NEVER or tag == "header" and now != ARTICLE or hint and (PARTS.search(hint) or now != ARTICLE and TOP.search(hint)) and tag != "body":
-                kind = OTHER
+            hints = [w for a, b, c in HINTS.findall(m[4]) for w in (a or b or c).split()] if "=" in m[4] and tag != "body" else []
+            if tag in NEVER or tag == "header" and now != ARTICLE or any(PARTS.fullmatch(w) or now != ARTICLE and TOP.fullmatch(w) for w in hints):
+                kind = PART
             else:
-                kind = ARTICLE if now != OTHER and (tag in ("article", "main")) else now
+                kind = ARTICLE if now != PART and (tag in ("article", "main")) else now
             if kind != now:
                 flush()
             if not m[4].endswith("/"):
@@ -92,92 +95,184 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def settled(page: str) -> str | None:
-    """The article's text where markup tells it; None if the page has no article element."""
-    found = blocks(page)
-    return "\n".join(t for z, t in found if z == ARTICLE) if any(z == ARTICLE for z, _ in found) or not found else None
+def stream_of(found: list[tuple[int, str]]) -> list[str]:
+    """The tokens outside the article, in page order; a break stands for the article."""
+    out: list[str] = []
+    for zone, text in found:
+        if zone != ARTICLE:
+            out += text.split()
+        elif out[-1:] != ["\x1e"]:
+            out.append("\x1e")
+    return [t if t == "\x1e" or t.isprintable() else "".join(c if c >= " " else "?" for c in t) for t in out]
 
 
-def suffixes(texts: list[str], depth: int = LEAST_RUN) -> np.ndarray:
-    """A key of the first `depth` tokens of each suffix of a page's token stream; the last suffixes are too short for a repeat."""
-    tokens = " ".join(texts).split()
-    return np.array([xxhash.xxh64_intdigest("\x1f".join(tokens[k : k + depth]), 11) for k in range(len(tokens) - depth + 1)], dtype=np.uint64).view(np.int64)
+def body_of(found: list[tuple[int, str]]) -> tuple[int, int]:
+    """What tells a page's main text from another's: hashes of its longest block, and of the least of that block's five-token windows."""
+    own = [t for z, t in found if z == ARTICLE] or [t for z, t in found if z == OPEN] or [""]
+    longest = max(own, key=len)
+    tokens = longest.split()
+    windows = (" ".join(tokens[k : k + 5]) for k in range(max(1, len(tokens) - 4)))
+    return xxhash.xxh3_64_intdigest(longest) >> 1, min(xxhash.xxh3_64_intdigest(w) for w in windows) >> 1
 
 
-def unique_runs(zones: list[int], texts: list[str], keys: set[int], depth: int = LEAST_RUN) -> str:
-    """The open blocks that repeats don't cover."""
-    covered = np.zeros(sum(len(t.split()) for t in texts) + 1, dtype=np.int64)
-    for k, key in enumerate(suffixes(texts, depth).tolist()):
-        if key in keys:
-            covered[k] += 1
-            covered[k + depth] -= 1
-    flags, at, kept = np.cumsum(covered) > 0, 0, []
+def shared_tokens(a: str, b: str) -> int:
+    """The length in tokens of the longest common prefix of two suffixes."""
+    n = 0
+    for x, y in zip(a.split(" "), b.split(" "), strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def longest_runs(batches: Iterator[pa.RecordBatch], least: int = LEAST_RUN) -> Iterator[pa.RecordBatch]:
+    """Of suffixes in order (host, suffix, lo, hi, low, high: the least and largest hashes of the bodies that have it): how many
+    tokens each shares with a suffix of another body, by its neighbours; at least `least`, as its group may go on in another task."""
+    waiting: list[list] = []  # suffixes since the last one of another body, with what they share with the current one
+    done: list[tuple] = []
+    last: tuple | None = None
+    before = 0  # tokens shared with the last suffix of another body
+
+    def flush() -> None:
+        done.extend((h, s, best) for h, s, best, _ in waiting)
+        waiting.clear()
+
+    for b in batches:
+        for host, suffix, lo, hi, low, high in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+            common = shared_tokens(last[1], suffix) if last and last[0] == host else 0
+            other = last is not None and (lo, hi) != last[2:4] and (low, high) != last[4:]
+            several = lo < hi and low < high
+            for row in waiting:
+                row[3] = min(row[3], common)
+                if other:
+                    row[2] = max(row[2], row[3])
+            before = common if other else min(before, common)
+            if other or common < least:
+                flush()
+            size = suffix.count(" ") + 1
+            waiting.append([host, suffix, size if several else max(least, before), size])
+            last = (host, suffix, lo, hi, low, high)
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.string(), pa.int32()), strict=True)], ["host", "suffix", "run"])
+            done.clear()
+    flush()
+    if done:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.string(), pa.int32()), strict=True)], ["host", "suffix", "run"])
+
+
+def repeats(streams: DataFrame, least: int = LEAST_RUN, depth: int = DEPTH, small: int | None = None) -> DataFrame:
+    """(sid, host, stream, lo, hi, low, high) of distinct token streams to (sid, runs): the (start, tokens) of runs that pages with
+    another main text have too.
+
+    The streams of a host are concatenated by sorting all their suffixes together. Suffixes that share fewer than `least` tokens
+    with any of another main text are left out by counting first; the others are range-partitioned by host and tokens, so that
+    a host of any size is dealt to many tasks, sorted, and each is compared with its neighbours. A group of equal suffixes is one
+    row wherever it is counted, however many pages have it.
+    """
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for sid, host, stream, *body in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                tokens = stream.split(" ")
+                for k in range(len(tokens) - least + 1):
+                    out.append((sid, k, host, " ".join(tokens[k : k + least]), " ".join(tokens[k : k + depth]), *body))
+                    if len(out) == 20_000:
+                        yield batch(out)
+                        out = []
+            if out:
+                yield batch(out)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), *[pa.int64()] * 4)
+        names = ["sid", "start", "host", "head", "suffix", "lo", "hi", "low", "high"]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    schema = "sid string, start int, host string, head string, suffix string, lo long, hi long, low long, high long"
+    columns = ["sid", "host", "stream", "lo", "hi", "low", "high"]
+    limit = {} if small is None else {"limit": small}
+    made = stored(streams.select(*columns).mapInArrow(suffixes, schema), "suffixes")
+    bodies = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("low").alias("low"), F.max("high").alias("high")]
+    distinct = made.groupBy("host", "head", "suffix").agg(*bodies)
+    heads = stored(made.groupBy("host", "head").agg(*bodies).where("lo < hi and low < high").select("host", "head"), "heads")
+    order = distinct.join(if_small(heads, **limit), ["host", "head"], "left_semi").select("host", "suffix", "lo", "hi", "low", "high")
+    array = order.repartitionByRange("host", "suffix").sortWithinPartitions("host", "suffix")
+    runs = stored(array.mapInArrow(lambda b: longest_runs(b, least), "host string, suffix string, run int"), "suffix-array")
+    hits = made.select("sid", "start", "host", "suffix").join(if_small(runs, **limit), ["host", "suffix"])
+    return hits.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("start", "run"))).alias("runs"))
+
+
+def unique_blocks(zones: list[int], texts: list[str], runs: list[tuple[int, int]]) -> tuple[list[str], int, int]:
+    """The blocks that stay, and how many go as repeats and as parts that markup names."""
+    place, at, inside = [], 0, False
     for zone, text in zip(zones, texts, strict=True):
-        n = len(text.split())
-        if zone == OPEN and flags[at : at + n].mean() < COVERED:
-            kept.append(text)
+        n = len(text.split()) if zone != ARTICLE else int(not inside)
+        inside = zone == ARTICLE
+        place.append((at, at + n))
         at += n
-    return "\n".join(kept)
+    covered = np.zeros(at + 1, dtype=np.int64)
+    for start, run in runs:
+        covered[start] += 1
+        covered[start + run] -= 1
+    covered = np.cumsum(covered) > 0
+    kept, repeated, marked = [], 0, 0
+    for zone, text, (a, z) in zip(zones, texts, place, strict=True):
+        if zone == ARTICLE:
+            kept.append(text)
+        elif covered[a:z].mean() >= COVERED:
+            repeated += 1
+        elif zone == PART:
+            marked += 1
+        else:
+            kept.append(text)
+    return kept, repeated, marked
+
 
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", small: int | None = None) -> DataFrame:
+    """(page_id, url, text, n_chars, repeat_blocks, marked_blocks) of every row of pages.
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of pages.
+    Of the blocks outside article and main elements, those go that runs of at least LEAST_RUN tokens cover to COVERED, if pages of
+    the host with another main text have these runs too; of the rest, those go that markup names as menus, footers, adverts, forms,
+    comments and the like; unique blocks stay. What stands in an article is main text (but for such parts in it). Runs come from
+    the sorted suffixes of each host's token streams (see repeats()). Pages whose longest block is the same, or has the same least
+    window, count as copies of one main text, and what only they share is no boilerplate.
 
-    On pages with an article or main element its text is taken, without navigation, forms, comments and the like inside it; no
-    repeat touches it. On others, blocks outside such parts stay unless runs that also occur on another page of the host cover
-    them. Runs come from a suffix array of each host's concatenated token streams: suffixes are grouped by their first
-    LEAST_RUN tokens, where neighbours in sorted order share at least that much, so covered positions are those of all longer
-    repeats too. Pages of one host with equal streams count as one page. A host of a third of all pages only makes more
-    partial groups. Null html is empty text; a null url is a host of its own; repeated rows stay; other columns are ignored.
-    Empty table: no rows.
+    Null html is empty text; a null url is a host of its own; repeated rows and null ids stay; other columns are ignored. Empty
+    table: no rows. `small` is the number of rows up to which a table of repeats is broadcast.
     """
     bounded_batches(pages.sparkSession, 500)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
-    hosted = rows.select("page_id", "url", host.alias("host"), "html")
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.list_(pa.int8()), pa.list_(pa.string()), pa.string(), pa.int64(), pa.int64())
         for b in batches:
-            hosts, streams, keys = [], [], []
-            for h, page in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                texts = [t for z, t in blocks(page) if z != ARTICLE]
-                found = np.unique(suffixes(texts)).tolist()
-                if found:
-                    hosts.append(h)
-                    streams.append(xxhash.xxh3_64_intdigest("\x1f".join(texts)) >> 1)
-                    keys.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(streams, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["host", "stream", "keys"])
-
-    def unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for k, page in enumerate(b.column(3).to_pylist()):
+            made = []
+            for page in b.column(3).to_pylist():
                 found = blocks(page)
-                if found and all(z != ARTICLE for z, _ in found):
-                    texts = [t for _, t in found]
-                    out.append((b.column(0)[k].as_py(), b.column(1)[k].as_py(), b.column(2)[k].as_py(), [z for z, _ in found], texts, suffixes(texts).tolist()))
-            types = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()))
-            columns = zip(*out, strict=True) if out else ([] for _ in types)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], ["page_id", "url", "host", "zones", "texts", "keys"])
-
-    def articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [settled(page) for page in b.column(2).to_pylist()]
-            keep = pa.array([t is not None for t in texts])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"]).filter(keep)
-
-    sure = rows.mapInArrow(articles, "page_id long, url string, text string")
-    rest = hosted.mapInArrow(unsettled, "page_id long, url string, host string, zones array<int>, texts array<string>, keys array<long>")
-    rest = stored(rest.withColumn("row", F.monotonically_increasing_id()), "unsettled")
-    array = hosted.mapInArrow(arrays, "host string, stream long, keys array<long>").select("host", "stream", F.explode("keys").alias("key"))
-    grouped = array.groupBy("host", "key").agg(F.min("stream").alias("a"), F.max("stream").alias("b"))
-    repeats = stored(grouped.where("a <> b").select("host", "key"), "repeats")
-    covered = rest.select("row", "host", F.explode(F.array_distinct("keys")).alias("key")).join(if_small(repeats), ["host", "key"]).groupBy("row").agg(F.collect_list("key").alias("covered"))
+                made.append(([z for z, _ in found], [t for _, t in found], " ".join(stream_of(found)), *body_of(found)))
+            columns = zip(*made, strict=True) if made else ([] for _ in types)
+            arrays = [pa.array(v, t) for v, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *arrays], ["page_id", "url", "host", "zones", "texts", "stream", "body", "window"])
+
+    schema = "page_id long, url string, host string, zones array<tinyint>, texts array<string>, stream string, body long, window long"
+    parsed = rows.select("page_id", "url", host.alias("host"), "html").mapInArrow(parse, schema)
+    parsed = stored(parsed.withColumn("sid", F.md5(F.concat_ws("\n", "host", "stream"))), "parsed")
+    bodies = [F.min("body").alias("lo"), F.max("body").alias("hi"), F.min("window").alias("low"), F.max("window").alias("high")]
+    streams = stored(parsed.groupBy("sid").agg(F.first("host").alias("host"), F.first("stream").alias("stream"), F.count("*").alias("n"), *bodies), "streams")
+    runs = repeats(streams, small=small).join(streams.select("sid", "n"), "sid")
+    total = parsed.count()
+    joined = lookup(parsed.select("page_id", "url", "zones", "texts", "sid"), stored(runs, "runs"), "sid", "n", total)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [unique_runs(z, t, set(c or ())) for z, t, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            made = []
+            for zones, texts, found in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                kept, repeated, marked = unique_blocks(zones, texts, [(r["start"], r["run"]) for r in found or ()])
+                made.append(("\n".join(kept), repeated, marked))
+            columns = zip(*made, strict=True) if made else ([], [], [])
+            arrays = [pa.array(v, t) for v, t in zip(columns, (pa.string(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], ["page_id", "url", "text", "repeat_blocks", "marked_blocks"])
 
-    judged = rest.join(covered, "row", "left").select("page_id", "url", "zones", "texts", "covered").mapInArrow(keep, "page_id long, url string, text string")
-    return sure.unionByName(judged).withColumn("n_chars", F.length("text").cast("long"))
+    judged = joined.select("page_id", "url", "zones", "texts", "runs").mapInArrow(keep, "page_id long, url string, text string, repeat_blocks int, marked_blocks int")
+    return judged.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "repeat_blocks", "marked_blocks")
