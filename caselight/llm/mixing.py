@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, words
+from .common import if_small, lookup, stored, words
 
 #: Weights of the sources in the order of their code points, null last, repeating.
 WEIGHTS = (5, 2, 1)
 #: A source is taken at most so many times.
 MOST_EPOCHS = 3
-#: Ranges of a source's keys whose sums are found first; only the range in which the budget ends is sorted.
-RANGES = 2048
+#: Rows of one range of keys, about; only the range in which a budget ends is sorted.
+RANGE_ROWS = 200_000
+#: Sources up to which the plan is broadcast as it is.
+SMALL_PLAN = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -21,24 +26,29 @@ def word_count(text: Column) -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    """A document's sampling weight: the share of different words, at least 0.05."""
+    """A document's sampling weight in [0.05, 1]: its different words against those expected of its length (twice the 0.75th power)."""
     w = words(text)
-    return F.greatest(F.lit(0.05), F.size(F.array_distinct(w)).cast("double") / F.greatest(F.size(w), F.lit(1)).cast("double"))
+    n = F.greatest(F.size(w), F.lit(1)).cast("double")
+    return F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.size(F.array_distinct(w)) / (2 * F.pow(n, F.lit(0.75)))))
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """In (0, 1), the same for the same id on every run."""
-    text = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """In (0, 1), the same for the same id and text on every run."""
+    text = F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), F.xxhash64(F.coalesce(text, F.lit(""))).cast("string"))
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
+def of_source(source: Column) -> Column:
+    """A source's name as a key that is never null."""
+    return F.when(source.isNull(), "-").otherwise(F.concat(F.lit("="), source))
+
+
 def sized(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, u, w, key) of every row. Sorting by key samples without replacement, weighted by w."""
+    """(id, source, of, size, key) of every row. Sorting by key samples without replacement, weighted by quality_weight()."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), text.alias("text"))
-    return rows.select(
-        "id", "source", word_count(F.col("text")).alias("size"), uniform(F.col("id"), seed).alias("u"), quality_weight(F.col("text")).alias("w")
-    ).withColumn("key", -F.log(F.col("u")) / F.col("w"))
+    key = -F.log(uniform(F.col("id"), F.col("text"), seed)) / quality_weight(F.col("text"))
+    return rows.select("id", "source", of_source(F.col("source")).alias("of"), word_count(F.col("text")).alias("size"), key.alias("key"))
 
 
 def targets(sizes: DataFrame, share: float = 1.0, weights: tuple[int, ...] = WEIGHTS, most: float = MOST_EPOCHS) -> DataFrame:
@@ -62,63 +72,107 @@ def targets(sizes: DataFrame, share: float = 1.0, weights: tuple[int, ...] = WEI
     return rows.select("source", "source_size", F.when(level.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * level)).alias("target"))
 
 
-def plan(rows: DataFrame, goals: DataFrame) -> DataFrame:
-    """For each source its complete epochs and `limit`, the (key, id) up to which documents are taken once more; null: none.
+def ranges(rows: DataFrame) -> list[float]:
+    """Cuts of the keys into ranges of about RANGE_ROWS rows: no source has more in one, whatever its weights. Some hundred numbers at most for 10^8 rows."""
+    n = max(8, math.ceil(rows.count() / RANGE_ROWS))
+    cuts = sorted(set(rows.approxQuantile("key", [k / n for k in range(1, n)], 0.5 / n)))
+    return [-math.inf, *(cuts or [0.0]), math.inf]
+
+
+def in_range(rows: DataFrame, cuts: list[float]) -> DataFrame:
+    return Bucketizer(splits=cuts, inputCol="key", outputCol="range").transform(rows)
 
-    A source may hold a third of all rows: its sizes are summed by ranges of keys first, and only the documents of the range
-    in which the budget ends are sorted, RANGES times fewer.
+
+def plan(rows: DataFrame, goals: DataFrame, cuts: list[float]) -> DataFrame:
+    """For each source (of): its complete epochs, the range of keys in which its budget ends, and within it `inner`, the last (key, id,
+    size) that is taken once more as a whole, and `edge`, the next one, of whose equal rows only `some` are taken; null: none.
+
+    A source may hold a third of all rows: its sizes are summed by ranges of keys first, and only the documents of the range in
+    which the budget ends are sorted, after equal ones are counted.
+    """
+    ranged = in_range(rows, cuts)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    goals = goals.withColumn("of", of_source(F.col("source"))).withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    sums = ranged.groupBy("of", "range").agg(F.sum("size").alias("n"))
+    sums = sums.withColumn("before", F.sum("n").over(W.partitionBy("of").orderBy("range")) - F.col("n"))
+    last = sums.join(goals.select("of", "rest"), "of").where("before <= rest and rest > 0")
+    last = stored(last.groupBy("of").agg(F.max(F.struct("range", "before")).alias("end"), F.first("rest").alias("rest")), "ends")
+    ends = last.select("of", F.col("end.range").alias("range"), F.col("end.before").alias("before"), "rest")
+    inside = ranged.join(if_small(ends), ["of", "range"]).groupBy("of", "before", "rest", "key", "id", "size").agg(F.count("*").alias("rows"))
+    order = W.partitionBy("of").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = inside.withColumn("before", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("rows")).over(order), F.lit(0)))
+    fit = F.floor((F.col("rest") - F.col("before")) / F.col("size") + 0.5)
+    inside = inside.withColumn("some", F.when(F.col("size") == 0, F.when(F.col("before") <= F.col("rest"), F.col("rows")).otherwise(0)).otherwise(F.greatest(F.lit(0), F.least(F.col("rows"), fit))))
+    place = F.struct("key", "id", "size")
+    # Everything before the first group that is not taken whole; that group is the edge.
+    edge = inside.where("some < rows").groupBy("of").agg(F.min(F.struct("key", "id", "size", "some", "rows")).alias("edge"))
+    inner = inside.groupBy("of").agg(F.max(place).alias("end_place"))
+    done = goals.join(ends.select("of", F.col("range").alias("end_range")), "of", "left").join(inner, "of", "left").join(edge, "of", "left")
+    return done.select("of", "source_size", "target", "epochs", "end_range", "edge", F.when(F.col("edge").isNull(), F.col("end_place")).alias("inner"))
+
+
+def planned(rows: DataFrame, share: float, weights: tuple[int, ...]) -> tuple[DataFrame, list[float]]:
+    """The stored plan of a mix, with the number of rows of each source, and the cuts of its ranges."""
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
+    sizes = stored(sizes, "source-sizes")
+    cuts = ranges(rows)
+    done = plan(rows, stored(targets(sizes.select("source", "source_size"), share, weights), "targets"), cuts)
+    return stored(done.join(sizes.select(of_source(F.col("source")).alias("of"), "n_rows"), "of"), "plan"), cuts
+
+
+def with_taken(rows: DataFrame, plan: DataFrame, cuts: list[float]) -> DataFrame:
+    """Adds source_size, target, epochs and taken to rows that have of, id, size and key.
+
+    Rows before a source's edge are taken once more. Of equal rows at the edge `some` are: they are counted by the partitions of a
+    stored table, and each partition takes its part of the number, so that no task gathers them.
     """
-    ranged = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * RANGES))
-    goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn(
-        "rest", F.col("target") - F.col("epochs") * F.col("source_size")
-    )
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("n"))
-    upto = F.sum("n").over(W.partitionBy("source").orderBy("range"))
-    sums = sums.withColumn("before", upto - F.col("n"))
-    last = sums.alias("s").join(goals.alias("g"), F.expr("s.source <=> g.source")).where("s.before <= g.rest and g.rest > 0")
-    last = last.groupBy(F.col("g.source").alias("source")).agg(F.max(F.struct("s.range", "s.before")).alias("end"))
-    inside = ranged.alias("r").join(last.alias("l"), F.expr("r.source <=> l.source and r.range = l.end.range"))
-    inside = inside.join(goals.select("source", "rest").alias("g"), F.expr("r.source <=> g.source"))
-    order = W.partitionBy("r.source", "r.range").orderBy("r.key", "r.id").rowsBetween(W.unboundedPreceding, 0)
-    inside = inside.select(F.col("r.source").alias("source"), F.col("r.key").alias("key"), F.col("r.id").alias("id"), F.col("r.size").alias("size"), F.col("g.rest").alias("rest"), (F.sum("r.size").over(order) + F.col("l.end.before")).alias("upto"))
-    cut = inside.where(F.col("upto") - F.col("size") / 2.0 <= F.col("rest")).groupBy("source").agg(F.max(F.struct("key", "id")).alias("inner"))
-    done = goals.alias("g").join(last.alias("l"), F.expr("g.source <=> l.source"), "left").join(cut.alias("c"), F.expr("g.source <=> c.source"), "left")
-    return done.select(
-        F.col("g.source").alias("source"), "g.source_size", "g.target", "g.epochs", F.col("l.end.range").alias("end_range"), F.col("c.inner").alias("limit")
-    )
-
-
-def with_taken(rows: DataFrame, planned: DataFrame) -> DataFrame:
-    """Adds epochs, source_size, target and taken to rows that have source, id, size and key. planned has a row a source."""
-    here = F.floor((1 - F.exp(-F.col("key"))) * RANGES)
-    planned = planned.withColumnRenamed("source", "of_source")
-    joined = rows.join(planned, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
-    more = (here < F.col("end_range")) | ((here == F.col("end_range")) & (F.struct("key", "id") <= F.col("limit")))
-    return joined.withColumn("taken", F.col("size") * (F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long"))).drop("end_range", "limit")
+    n_plan = plan.count()
+    ranged = in_range(rows, cuts)
+    if n_plan <= SMALL_PLAN:
+        joined = ranged.join(F.broadcast(plan.drop("n_rows")), "of", "left")
+    else:
+        joined = lookup(ranged, plan, "of", "n_rows", rows.count()).drop("n_rows")
+    place = F.struct("key", "id", "size")
+    same_id = F.col("id").eqNullSafe(F.col("edge.id")) & (F.col("key") == F.col("edge.key")) & (F.col("size") == F.col("edge.size"))
+    at_edge = F.coalesce((F.col("edge.some") > 0) & same_id & (F.col("range") == F.col("end_range")), F.lit(False))
+    more = (F.col("range") < F.col("end_range")) | ((F.col("range") == F.col("end_range")) & F.when(F.col("edge").isNull(), place <= F.col("inner")).otherwise(place < F.struct("edge.key", "edge.id", "edge.size")))
+    taken = lambda once: F.col("size") * (F.col("epochs") + F.coalesce(once, F.lit(False)).cast("long"))
+    extra = ["range", "end_range", "inner", "edge"]
+    if not plan.where("edge.some > 0").limit(1).count():
+        return joined.withColumn("taken", taken(more)).drop(*extra)
+    plain = joined.where(~at_edge).withColumn("taken", taken(more)).drop(*extra)
+    edge = stored(joined.where(at_edge).withColumn("__row", F.monotonically_increasing_id()), "edge")
+    part = F.shiftright("__row", 33)
+    counts = edge.groupBy("of", part.alias("__part")).agg(F.count("*").alias("__n"))
+    counts = counts.withColumn("__before", F.sum("__n").over(W.partitionBy("of").orderBy("__part")) - F.col("__n")).drop("__n")
+    ranked = edge.withColumn("__part", part).withColumn("__rank", F.row_number().over(W.partitionBy("of", "__part").orderBy("__row")))
+    ranked = ranked.join(F.broadcast(counts), ["of", "__part"]).withColumn("taken", taken(F.col("__before") + F.col("__rank") <= F.col("edge.some")))
+    return plain.unionByName(ranked.drop(*extra, "__row", "__part", "__rank", "__before").select(*plain.columns))
 
 
 def mix(docs: DataFrame, share: float = 1.0, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", **cols: str) -> DataFrame:
     """(doc_id, source, size, source_size, target, epochs, taken) of every row of docs; taken counts words with repeats.
 
-    size is the number of words (null text: 0). A null source is a source. Rows with a null id get one fixed key; repeated
-    rows share their key and are taken one after the other. Sources without words have target 0. Empty table: no rows.
-    Keys come from ids, so reruns agree.
+    size is the number of words (null text: 0). A null source is a source. Keys come from ids and texts, so reruns agree, and
+    rows with a null id differ by their texts. Of equal rows as many are taken as the budget needs. Sources without words have
+    target 0. Empty table: no rows. Other columns are ignored.
     """
     rows = stored(sized(docs, seed, **cols), "sizes")
-    goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, weights)
-    planned = stored(plan(rows, stored(goals, "targets")), "plan")
-    return with_taken(rows, F.broadcast(planned) if planned.count() <= 10_000 else planned).select(
-        F.col("id").alias("doc_id"), "source", "size", "source_size", "target", F.col("epochs").cast("long").alias("epochs"), "taken"
-    )
+    taken = with_taken(rows, *planned(rows, share, weights))
+    return taken.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", F.col("epochs").cast("long").alias("epochs"), "taken")
 
 
 def mixed_documents(docs: DataFrame, share: float = 1.0, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix") -> DataFrame:
-    """The documents that the mix takes, with all their columns, n_words, copies and taken. Texts are not shuffled."""
-    sizes = stored(sized(docs, seed), "sizes")
-    planned = stored(plan(sizes, stored(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), share, weights), "targets")), "plan")
+    """The documents that the mix takes, with all their columns, mix_words, mix_copies and mix_taken. Texts are not shuffled.
+
+    Rows are as in mix(); documents of no words are in no mix. Empty table: no rows.
+    """
+    plan, cuts = planned(stored(sized(docs, seed), "sizes"), share, weights)
     own = {c: f"own_{k}" for k, c in enumerate(docs.columns)}
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("size", word_count(F.col("text"))).withColumn("key", -F.log(uniform(F.col("id"), seed)) / quality_weight(F.col("text"))).drop("text")
-    taken = with_taken(rows, F.broadcast(planned) if planned.count() <= 10_000 else planned).where("taken > 0")
-    taken = taken.withColumn("copies", (F.col("taken") / F.col("size")).cast("long"))
-    return taken.select(*[F.col(n).alias(c) for c, n in own.items()], F.col("size").alias("mix_words"), F.col("copies").alias("mix_copies"), F.col("taken").alias("mix_taken"))
+    text = F.col("text").cast("string")
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.col("doc_id").cast("long").alias("id"), of_source(F.col("source").cast("string")).alias("of"), text.alias("text"))
+    key = -F.log(uniform(F.col("id"), F.col("text"), seed)) / quality_weight(F.col("text"))
+    rows = rows.withColumn("size", word_count(F.col("text"))).withColumn("key", key).drop("text")
+    taken = with_taken(rows, plan, cuts).where("taken > 0")
+    copies = (F.col("taken") / F.col("size")).cast("long")
+    return taken.select(*[F.col(n).alias(c) for c, n in own.items()], F.col("size").alias("mix_words"), copies.alias("mix_copies"), F.col("taken").alias("mix_taken"))
