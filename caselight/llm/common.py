@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -12,15 +13,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 400_000
 #: A key is hot when it holds more than one in so many rows; so there are fewer than this many hot keys, whatever the input.
 HOT_SHARE = 1000
+#: Bits of one bitmap of a sieve, and bitmaps at most: 32 MB for keys without number.
+SIEVE_BITS, SIEVE_BUCKETS = 32_768, 8_192
 #: Characters that separate words, as a Java pattern.
 BLANKS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where spark.checkpoint.dir is unset (tests) a local one is made."""
+    """The folder that driver and executors share. Where spark.checkpoint.dir is unset, a local master (tests) gets a local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -73,6 +78,43 @@ def lookup(rows: DataFrame, classes: DataFrame, key: str, weight: str, total: in
     return near_hot.unionByName(rest.select(*near_hot.columns))
 
 
-def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """rows whose key is not in ids (a stored table of distinct keys); rows with a null key stay."""
-    return rows.join(if_small(ids), key, "left_anti")
+def sieve(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """Bitmaps of the hashes of stored keys, as (bucket, bits) of 4 KB each, and their number: at most SIEVE_BUCKETS, whatever the keys."""
+    buckets = max(1, min(SIEVE_BUCKETS, math.ceil(keys.count() * 16 / SIEVE_BITS)))
+    place = F.pmod(F.xxhash64(key), F.lit(buckets * SIEVE_BITS))
+    found = keys.select(F.floor(place / SIEVE_BITS).alias("bucket"), (place % SIEVE_BITS).alias("bit"))
+    return found.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), buckets
+
+
+def bit_set(bits: str, key: Column, buckets: int) -> Column:
+    """Whether a bucket's bitmap (a column's name) has the key's bit: never false for a key that went into it."""
+    bit = F.pmod(F.xxhash64(key), F.lit(buckets * SIEVE_BITS)) % SIEVE_BITS
+    byte = F.conv(F.hex(F.substring(F.col(bits), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+
+
+def in_bucket(key: Column, buckets: int) -> Column:
+    return F.floor(F.pmod(F.xxhash64(key), F.lit(buckets * SIEVE_BITS)) / SIEVE_BITS)
+
+
+def _sieved(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    bitmaps, buckets = sieve(keys, key)
+    named = bitmaps.withColumnRenamed("bucket", "__bucket").withColumnRenamed("bits", "__bits")
+    joined = rows.withColumn("__bucket", in_bucket(F.col(key), buckets)).join(F.broadcast(named), "__bucket", "left")
+    return joined.withColumn("__may", bit_set("__bits", F.col(key), buckets)).drop("__bucket", "__bits")
+
+
+def among(rows: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """rows whose key is in keys (a stored table of distinct keys). Beyond the limit only rows that a sieve lets through are shuffled."""
+    if keys.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(keys), key, "left_semi")
+    return _sieved(rows, keys, key).where("__may").drop("__may").join(keys, key, "left_semi")
+
+
+def without(rows: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """rows whose key is not in keys (a stored table of distinct keys); rows with a null key stay. As among(), most rows stay in place."""
+    if keys.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(keys), key, "left_anti")
+    marked = _sieved(rows, keys, key)
+    far = marked.where(~F.col("__may")).drop("__may")
+    return far.unionByName(marked.where("__may").drop("__may").join(keys, key, "left_anti").select(*far.columns))

@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, if_small, lookup, stored
+from .common import among, ascii_lower, lookup, stored, without
 
 #: Bits of a fingerprint that are exchanged. Equal ones only make suspects; the texts decide.
 BITS = 56
 #: Fingerprints that one owner gathers, on average; the number of owners grows with the input.
 PER_OWNER = 1_000_000
+#: Bytes of answers that are broadcast back to the senders; beyond, messages are shuffled to them.
+ANSWER_BYTES = 64_000_000
 #: Rows of one sender's message block.
 BLOCK_ROWS = 65_536
 
@@ -109,12 +111,14 @@ def suspects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     schema = "owner int, block long, n int, k int, code binary, again binary, ids array<long>, shas array<binary>, slots array<int>"
     sent = stored(rows.mapInArrow(lambda b: _messages(b, owners, bits), schema), "messages")
     answers = sent.select("owner", "block", "n", "k", "code", "again").groupBy("owner").applyInPandas(_answer, "owner int, block long, bitmap binary")
-    byte = F.conv(F.hex(F.expr("substring(bitmap, slot div 8 + 1, 1)")), 16, 10).cast("int")
-    back = (
-        sent.select("owner", "block", F.posexplode(F.arrays_zip("ids", "shas", "slots")).alias("at", "row"))
-        .join(answers, ["owner", "block"])
-        .select(F.col("row.ids").alias("id"), F.col("row.shas").alias("sha"), F.struct("block", "owner", "at").alias("pos"), F.col("row.slots").alias("slot"), "bitmap")
+    answers = stored(answers, "answers")
+    size = answers.agg(F.sum(F.length("bitmap") + 32)).first()[0] or 0
+    # A message meets its answer before its rows are told apart; up to ANSWER_BYTES of bitmaps no sender's rows move at all.
+    met = sent.select("owner", "block", "ids", "shas", "slots").join(F.broadcast(answers) if size <= ANSWER_BYTES else answers, ["owner", "block"])
+    back = met.select("owner", "block", "bitmap", F.posexplode(F.arrays_zip("ids", "shas", "slots")).alias("at", "row")).select(
+        F.col("row.ids").alias("id"), F.col("row.shas").alias("sha"), F.struct("block", "owner", "at").alias("pos"), F.col("row.slots").alias("slot"), "bitmap"
     )
+    byte = F.conv(F.hex(F.expr("substring(bitmap, slot div 8 + 1, 1)")), 16, 10).cast("int")
     bit = F.expr("shiftright(byte, 7 - slot % 8) & 1") == 1
     return stored(back.withColumn("byte", byte).select("id", "sha", "pos", bit.alias("suspect")), "suspects")
 
@@ -134,7 +138,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     doubtful = found.where("suspect")
     keys = stored(doubtful.select("sha").distinct(), "suspect-keys")
     norm = ascii_lower(F.col(text_col).cast("string"))
-    texts = docs.select(norm.alias("norm"), F.unhex(F.sha2(norm, 256)).alias("sha")).join(if_small(keys), "sha", "left_semi")
+    texts = among(docs.select(norm.alias("norm"), F.unhex(F.sha2(norm, 256)).alias("sha")), keys, "sha")
     verified = texts.groupBy("sha", "norm").agg(F.count("*").alias("n")).groupBy("sha").agg(F.sum("n").alias("group_size"), F.count("*").alias("texts"))
     verified = verified.withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("different texts have one SHA-256")).cast("long")))
     keep = doubtful.groupBy("sha").agg(F.max(F.struct("id", "pos")).alias("keep"))
@@ -144,3 +148,28 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("pos") == F.col("keep.pos")).alias("kept"), "sha"
     )
     return alone.unionByName(shared).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of equal texts, as exact_duplicates() says, all columns kept.
+
+    Rows are told apart by id and text: a null id shields no row, and an id that several texts share takes none of them along. Of
+    rows equal in both, the one with the least hash of its raw text, then of its other columns, stays; texts are looked at again
+    only where an id has such a group. Null text counts as empty. Empty table: no rows.
+    """
+    found = stored(exact_duplicates(docs, id_col, text_col), "exact")
+    name = lambda i, sha: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), sha)
+    by = found.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.max("group_size").alias("size"), F.max("kept").alias("kept"))
+    by = stored(by.where("size > 1 or n > 1").withColumn("key", name(F.col("doc_id"), F.col("text_sha256"))), "exact-keys")
+    ids = stored(by.where("doc_id is not null").select(F.col("doc_id").alias("id")).distinct(), "exact-ids")
+    gone, several = (stored(by.where(c).select("key"), n) for c, n in (("not kept", "exact-gone"), ("kept and n > 1", "exact-several")))
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = without(packed.where("id is not null"), ids, "id").select("row")
+    again = among(packed.where("id is not null"), ids, "id").unionByName(packed.where("id is null"))
+    again = again.withColumn("key", name(F.col("id"), F.sha2(ascii_lower(F.col("text")), 256)))
+    again = without(again, gone, "key")
+    out = out.unionByName(without(again, several, "key").select("row"))
+    if several.limit(1).count():
+        order = F.struct(F.xxhash64("text"), F.xxhash64("row"))
+        out = out.unionByName(among(again, several, "key").groupBy("key").agg(F.min_by("row", order).alias("row")).select("row"))
+    return out.select("row.*")

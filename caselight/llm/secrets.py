@@ -9,7 +9,7 @@ from re import _parser as sre_parse
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, stored
+from .common import SIEVE_BITS, bit_set, in_bucket, stored
 
 #: Kind, pattern, whether letters match in either case, the group whose length counts, its least length.
 RULES: tuple[tuple[str, str, bool, int, int], ...] = (
@@ -25,6 +25,8 @@ RULES: tuple[tuple[str, str, bool, int, int], ...] = (
 BASE = ("assign", "access", "hex")
 #: Rules without a mandatory trigram scan all texts; a text without this has no match of the least length.
 SIEVES = {"hex": "[0-9a-f]{32}"}
+#: Bitmaps of candidates that are broadcast at most, of 4 KB for each rule: 28 MB. Bits beyond their number are shared.
+MOST_BUCKETS = 1024
 #: Documents of one shard of the postings; the number of shards grows with the input.
 SHARD = 20_000
 
@@ -103,16 +105,22 @@ def candidates(rows: DataFrame, shards: int) -> DataFrame:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, found) of every row: found is the array of (start, rank, end, kind) of all rules, by start and then rule.
 
-    Null and empty texts have no spans. Rows with a null id aren't in the index and are scanned by every rule. Repeated rows
-    give repeated results. Other columns are ignored. Empty table: no rows.
+    Candidates come back to the rows as bitmaps of bounded size, so that no text is shuffled; a row whose bit another document set
+    is verified in vain. Null and empty texts have no spans. Rows with a null id aren't in the index and are scanned by every
+    rule. Repeated rows give repeated results. Other columns are ignored. Empty table: no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = stored(candidates(rows, max(1, math.ceil(docs.count() / SHARD))), "candidates")
-    joined = rows.join(if_small(found), "id", "left")
+    kinds = [r[0] for r in RULES if trigram_query(r[1])]
+    buckets = max(1, min(MOST_BUCKETS, math.ceil(found.count() * 16 / SIEVE_BITS)))
+    place = F.pmod(F.xxhash64("id"), F.lit(buckets * SIEVE_BITS))
+    bit = lambda kind: F.bitmap_construct_agg(F.when(F.array_contains("rules", kind), place % SIEVE_BITS)).alias(kind)
+    bitmaps = found.groupBy(in_bucket(F.col("id"), buckets).alias("bucket")).agg(*map(bit, kinds))
+    joined = rows.withColumn("bucket", in_bucket(F.col("id"), buckets)).join(F.broadcast(bitmaps), "bucket", "left")
     empty = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)")
     parts = []
     for kind, pattern, either, group, least in RULES:
-        wanted = F.array_contains("rules", kind) | F.col("id").isNull() if trigram_query(pattern) else F.col("text").rlike(SIEVES.get(kind, pattern))
+        wanted = bit_set(kind, F.col("id"), buckets) | F.col("id").isNull() if kind in kinds else F.col("text").rlike(SIEVES.get(kind, pattern))
         parts.append(F.when(wanted, spans(F.col("text"), kind, pattern, either, group, least)).otherwise(empty))
     return joined.select(F.col("id").alias("doc_id"), F.array_sort(F.flatten(F.array(*parts))).alias("found"))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, if_small, stored, without
+from .common import among, bounded_batches, if_small, stored, without
 from .graph import components
 from .simhash import digests, link_fingerprints, majority
 
@@ -136,7 +136,7 @@ def _alike(batches: Iterator[pa.RecordBatch], shingle: int, least: float) -> Ite
 def alike(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """The pairs (u, v) of keys whose texts reach the similarity, by their whole sets of shingles."""
     keys = stored(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "candidates")
-    own = stored(texts.join(if_small(keys), "key", "left_semi").dropDuplicates(["key"]), "candidate-texts")
+    own = stored(among(texts, keys, "key").dropDuplicates(["key"]), "candidate-texts")
     both = pairs.join(own.select(F.col("key").alias("u"), F.col("text").alias("left")), "u").join(own.select(F.col("key").alias("v"), F.col("text").alias("right")), "v")
     return both.select("u", "v", "left", "right").mapInArrow(lambda batches: _alike(batches, shingle, least), "u long, v long")
 

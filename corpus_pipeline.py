@@ -3,44 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 
 from caselight.llm import decontaminate, exactdedup, mixing, similar, toxicity
-from caselight.llm.common import ascii_lower, if_small, shared_folder, stored, without
+from caselight.llm.common import shared_folder, stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity grammar rejects go."""
+    """Documents that the toxicity grammar rejects go. Null and empty texts have no clause and stay; equal rows go or stay alike; empty tables pass."""
     return toxicity.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays. Ids that several rows share (repeated rows) are the only ones whose texts are looked at again."""
-    found = stored(exactdedup.exact_duplicates(docs), "exact")
-    by_id = stored(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).where("n > kept or n > 1"), "exact-ids")
-    once = without(docs, by_id.select("doc_id"), "doc_id")
-    shared = by_id.where("n > 1 and kept > 0").select("doc_id")
-    if not shared.limit(1).count():
-        return once.select(*docs.columns)
-    again = docs.join(if_small(shared), "doc_id", "left_semi").withColumn("__text_sha256", F.sha2(ascii_lower(F.col("text").cast("string")), 256))
-    again = again.join(found.where("kept").select("doc_id", F.col("text_sha256").alias("__text_sha256")).distinct(), ["doc_id", "__text_sha256"], "left_semi")
-    first = again.withColumn("__rank", F.row_number().over(W.partitionBy("doc_id", "__text_sha256").orderBy("source", "lang"))).where("__rank = 1")
-    return once.select(*docs.columns).unionByName(first.select(*docs.columns))
+    """Of equal texts (A-Z lower-cased, null as empty) one row stays, that of the largest id; null ids are beaten by any other and
+    shield nothing; of rows equal in id and text one stays. Empty tables pass."""
+    return exactdedup.one_of_each(docs)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts whose sets of five-word shingles reach a Jaccard similarity of 0.8, and all that such links connect, the row with the smallest id stays."""
+    """Of texts whose sets of five-word shingles reach a Jaccard similarity of 0.8, and all that such links connect, the row with
+    the smallest id stays. Rows are known by their texts, not by ids, so null and repeated ids lose and shield nothing. Texts
+    without words are alike. Empty tables pass."""
     return similar.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go. Null and empty texts contain none; equal rows go or stay alike; empty tables pass."""
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their words, copies and words taken."""
+    """The documents that the mix takes, with their words, copies and words taken. Of equal rows as many are taken as the budget
+    needs; documents without words are in no mix; an empty table gives an empty one."""
     return mixing.mixed_documents(docs)
 
 
