@@ -12,12 +12,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, if_small, lookup, stored
+from .common import BROADCAST_ROWS, bounded_batches, if_small, lookup, stored
 
 #: Tokens of the shortest repeat that counts as boilerplate.
 LEAST_RUN = 6
 #: Tokens to which suffixes are sorted. Longer repeats are the union of the repeats of the suffixes within them.
-DEPTH = 24
+DEPTH = 16
 #: Share of a block's tokens that repeats must cover for the block to go.
 COVERED = 0.8
 #: Elements that are never main text, elements that begin a block, and words of class, id or role that mark other parts.
@@ -126,17 +126,24 @@ def shared_tokens(a: str, b: str) -> int:
 
 
 def longest_runs(batches: Iterator[pa.RecordBatch], least: int = LEAST_RUN) -> Iterator[pa.RecordBatch]:
-    """Of suffixes in order (host, suffix, lo, hi, low, high: the least and largest hashes of the bodies that have it): how many
-    tokens each shares with a suffix of another body, by its neighbours; at least `least`, as its group may go on in another task."""
+    """Of suffixes in order (host, suffix, lo, hi, low, high: the least and largest hashes of the bodies that have it): the longest
+    beginning of each that a suffix of another body shares, by its neighbours. It has at least `least` tokens, as the suffix's
+    group may go on in another task."""
     waiting: list[list] = []  # suffixes since the last one of another body, with what they share with the current one
-    done: list[tuple] = []
+    done: dict[tuple[str, str], None] = {}
     last: tuple | None = None
     before = 0  # tokens shared with the last suffix of another body
 
     def flush() -> None:
-        done.extend((h, s, best) for h, s, best, _ in waiting)
+        for host, suffix, best, _ in waiting:
+            done[host, " ".join(suffix.split(" ")[:best])] = None
         waiting.clear()
 
+    def batch() -> pa.RecordBatch:
+        hosts, runs = zip(*done, strict=True) if done else ((), ())
+        done.clear()
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(runs, pa.string())], ["host", "run"])
+
     for b in batches:
         for host, suffix, lo, hi, low, high in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
             common = shared_tokens(last[1], suffix) if last and last[0] == host else 0
@@ -152,60 +159,103 @@ def longest_runs(batches: Iterator[pa.RecordBatch], least: int = LEAST_RUN) -> I
             size = suffix.count(" ") + 1
             waiting.append([host, suffix, size if several else max(least, before), size])
             last = (host, suffix, lo, hi, low, high)
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.string(), pa.int32()), strict=True)], ["host", "suffix", "run"])
-            done.clear()
+        if len(done) > 50_000:
+            yield batch()
     flush()
-    if done:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.string(), pa.int32()), strict=True)], ["host", "suffix", "run"])
+    yield batch()
 
 
-def repeats(streams: DataFrame, least: int = LEAST_RUN, depth: int = DEPTH, small: int | None = None) -> DataFrame:
-    """(sid, host, stream, lo, hi, low, high) of distinct token streams to (sid, runs): the (start, tokens) of runs that pages with
-    another main text have too.
+class Merged(dict):
+    """Rows by key with the least and largest hashes of their bodies, given out in batches."""
 
-    The streams of a host are concatenated by sorting all their suffixes together. Suffixes that share fewer than `least` tokens
-    with any of another main text are left out by counting first; the others are range-partitioned by host and tokens, so that
-    a host of any size is dealt to many tasks, sorted, and each is compared with its neighbours. A group of equal suffixes is one
-    row wherever it is counted, however many pages have it.
-    """
+    def add(self, key: tuple, lo: int, hi: int, low: int, high: int) -> None:
+        old = self.get(key)
+        self[key] = (lo, hi, low, high) if old is None else (min(old[0], lo), max(old[1], hi), min(old[2], low), max(old[3], high))
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for sid, host, stream, *body in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
-                tokens = stream.split(" ")
-                for k in range(len(tokens) - least + 1):
-                    out.append((sid, k, host, " ".join(tokens[k : k + least]), " ".join(tokens[k : k + depth]), *body))
-                    if len(out) == 20_000:
-                        yield batch(out)
-                        out = []
-            if out:
-                yield batch(out)
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), *[pa.int64()] * 4)
-        names = ["sid", "start", "host", "head", "suffix", "lo", "hi", "low", "high"]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    schema = "sid string, start int, host string, head string, suffix string, lo long, hi long, low long, high long"
-    columns = ["sid", "host", "stream", "lo", "hi", "low", "high"]
-    limit = {} if small is None else {"limit": small}
-    made = stored(streams.select(*columns).mapInArrow(suffixes, schema), "suffixes")
+    def batch(self, names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+        keys, bodies = zip(*self, strict=True) if self else [()] * len(types), zip(*self.values(), strict=True) if self else [()] * 4
+        arrays = [pa.array(v, t) for v, t in zip(keys, types, strict=True)] + [pa.array(v, pa.int64()) for v in bodies]
+        self.clear()
+        return pa.RecordBatch.from_arrays(arrays, [*names, "lo", "hi", "low", "high"])
+
+
+def key_of(tokens: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(tokens)) - (1 << 63)
+
+
+def heads_of(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Of streams (host, stream, body, window): the first `least` tokens of each suffix, as a key."""
+    made, names, types = Merged(), ["host", "head"], [pa.string(), pa.int64()]
+    for b in batches:
+        for host, stream, body, window in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            tokens = stream.split(" ")
+            for k in range(len(tokens) - least + 1):
+                made.add((host, key_of(tokens[k : k + least])), body, body, window, window)
+            if len(made) > 200_000:
+                yield made.batch(names, types)
+    yield made.batch(names, types)
+
+
+def suffixes_of(batches: Iterator[pa.RecordBatch], least: int, depth: int) -> Iterator[pa.RecordBatch]:
+    """Of streams (host, stream, body, window): their suffixes to `depth` tokens, each with the key of its head."""
+    made, names, types = Merged(), ["host", "head", "suffix"], [pa.string(), pa.int64(), pa.string()]
+    for b in batches:
+        for host, stream, body, window in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            tokens = stream.split(" ")
+            for k in range(len(tokens) - least + 1):
+                made.add((host, key_of(tokens[k : k + least]), " ".join(tokens[k : k + depth])), body, body, window, window)
+            if len(made) > 50_000:
+                yield made.batch(names, types)
+    yield made.batch(names, types)
+
+
+def repeats(streams: DataFrame, least: int = LEAST_RUN, depth: int = DEPTH, small: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(host, stream, body, window) of token streams to (host, run), the long substrings that pages of another main text share, and
+    (host, head), the keys of their beginnings.
+
+    The streams of a host are concatenated by sorting all their suffixes together. Suffixes whose first `least` tokens no page of
+    another main text has are left out by counting first; the others are range-partitioned by host and tokens, so that a host of
+    any size is dealt to many tasks, sorted, and each is compared with its neighbours. Equal suffixes are merged where they are
+    read and wherever they are counted, however many pages have them. Runs longer than `depth` are the union of the runs within.
+    """
     bodies = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("low").alias("low"), F.max("high").alias("high")]
-    distinct = made.groupBy("host", "head", "suffix").agg(*bodies)
-    heads = stored(made.groupBy("host", "head").agg(*bodies).where("lo < hi and low < high").select("host", "head"), "heads")
-    order = distinct.join(if_small(heads, **limit), ["host", "head"], "left_semi").select("host", "suffix", "lo", "hi", "low", "high")
+    four = "lo long, hi long, low long, high long"
+    own = streams.select("host", "stream", "body", "window")
+    heads = own.mapInArrow(lambda b: heads_of(b, least), f"host string, head long, {four}").groupBy("host", "head").agg(*bodies)
+    heads = stored(heads.where("lo < hi and low < high").select("host", "head"), "heads")
+    suffixes = own.mapInArrow(lambda b: suffixes_of(b, least, depth), f"host string, head long, suffix string, {four}")
+    order = suffixes.join(if_small(heads, small), ["host", "head"], "left_semi").select("host", "suffix", "lo", "hi", "low", "high")
     array = order.repartitionByRange("host", "suffix").sortWithinPartitions("host", "suffix")
-    runs = stored(array.mapInArrow(lambda b: longest_runs(b, least), "host string, suffix string, run int"), "suffix-array")
-    hits = made.select("sid", "start", "host", "suffix").join(if_small(runs, **limit), ["host", "suffix"])
-    return hits.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("start", "run"))).alias("runs"))
+    runs = array.mapInArrow(lambda b: longest_runs(b, least), "host string, run string").distinct()
+    return stored(runs, "suffix-array"), heads
+
+
+def covered_by(tokens: list[str], runs: dict[int, int], least: int = LEAST_RUN, depth: int = DEPTH) -> list[tuple[int, int]]:
+    """(start, length) of the longest run of the dictionary at each place of a stream. runs has keys of runs, and of heads, to their lengths."""
+    out = []
+    for k in range(len(tokens) - least + 1):
+        longest = runs.get(key_of(tokens[k : k + least]))
+        if longest is not None:
+            size = next((n for n in range(min(longest, len(tokens) - k), least, -1) if key_of(tokens[k : k + n]) in runs), least)
+            out.append((k, size))
+    return out
+
+
+def dictionary(runs: DataFrame, least: int = LEAST_RUN) -> dict[str, dict[int, int]]:
+    """By host: the keys of runs, and of their heads to the length of the longest run that begins so. runs has a checked number of rows."""
+    out: dict[str, dict[int, int]] = {}
+    for host, run in runs.toLocalIterator():
+        tokens = run.split(" ")
+        own, head = out.setdefault(host, {}), key_of(tokens[:least])
+        own.setdefault(key_of(tokens), len(tokens))
+        own[head] = max(own.get(head, 0), len(tokens))
+    return out
 
 
-def unique_blocks(zones: list[int], texts: list[str], runs: list[tuple[int, int]]) -> tuple[list[str], int, int]:
-    """The blocks that stay, and how many go as repeats and as parts that markup names."""
+def unique_blocks(found: list[tuple[int, str]], runs: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """The text of the blocks that stay, and how many go as repeats and as parts that markup names."""
     place, at, inside = [], 0, False
-    for zone, text in zip(zones, texts, strict=True):
+    for zone, text in found:
         n = len(text.split()) if zone != ARTICLE else int(not inside)
         inside = zone == ARTICLE
         place.append((at, at + n))
@@ -216,7 +266,7 @@ def unique_blocks(zones: list[int], texts: list[str], runs: list[tuple[int, int]
         covered[start + run] -= 1
     covered = np.cumsum(covered) > 0
     kept, repeated, marked = [], 0, 0
-    for zone, text, (a, z) in zip(zones, texts, place, strict=True):
+    for (zone, text), (a, z) in zip(found, place, strict=True):
         if zone == ARTICLE:
             kept.append(text)
         elif covered[a:z].mean() >= COVERED:
@@ -225,10 +275,10 @@ def unique_blocks(zones: list[int], texts: list[str], runs: list[tuple[int, int]
             marked += 1
         else:
             kept.append(text)
-    return kept, repeated, marked
+    return "\n".join(kept), repeated, marked
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", small: int | None = None) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", small: int = BROADCAST_ROWS // 4) -> DataFrame:
     """(page_id, url, text, n_chars, repeat_blocks, marked_blocks) of every row of pages.
 
     Of the blocks outside article and main elements, those go that runs of at least LEAST_RUN tokens cover to COVERED, if pages of
@@ -238,41 +288,68 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     window, count as copies of one main text, and what only they share is no boilerplate.
 
     Null html is empty text; a null url is a host of its own; repeated rows and null ids stay; other columns are ignored. Empty
-    table: no rows. `small` is the number of rows up to which a table of repeats is broadcast.
+    table: no rows. Up to `small` runs are sent to all tasks; beyond, places are joined with the heads of runs, and pages with them.
     """
-    bounded_batches(pages.sparkSession, 500)
+    spark = pages.sparkSession
+    bounded_batches(spark, 500)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
+    hosted = rows.select("page_id", "url", host.alias("host"), "html")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.list_(pa.int8()), pa.list_(pa.string()), pa.string(), pa.int64(), pa.int64())
-        for b in batches:
-            made = []
-            for page in b.column(3).to_pylist():
-                found = blocks(page)
-                made.append(([z for z, _ in found], [t for _, t in found], " ".join(stream_of(found)), *body_of(found)))
-            columns = zip(*made, strict=True) if made else ([] for _ in types)
-            arrays = [pa.array(v, t) for v, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *arrays], ["page_id", "url", "host", "zones", "texts", "stream", "body", "window"])
-
-    schema = "page_id long, url string, host string, zones array<tinyint>, texts array<string>, stream string, body long, window long"
-    parsed = rows.select("page_id", "url", host.alias("host"), "html").mapInArrow(parse, schema)
-    parsed = stored(parsed.withColumn("sid", F.md5(F.concat_ws("\n", "host", "stream"))), "parsed")
-    bodies = [F.min("body").alias("lo"), F.max("body").alias("hi"), F.min("window").alias("low"), F.max("window").alias("high")]
-    streams = stored(parsed.groupBy("sid").agg(F.first("host").alias("host"), F.first("stream").alias("stream"), F.count("*").alias("n"), *bodies), "streams")
-    runs = repeats(streams, small=small).join(streams.select("sid", "n"), "sid")
-    total = parsed.count()
-    joined = lookup(parsed.select("page_id", "url", "zones", "texts", "sid"), stored(runs, "runs"), "sid", "n", total)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = []
-            for zones, texts, found in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                kept, repeated, marked = unique_blocks(zones, texts, [(r["start"], r["run"]) for r in found or ()])
-                made.append(("\n".join(kept), repeated, marked))
-            columns = zip(*made, strict=True) if made else ([], [], [])
-            arrays = [pa.array(v, t) for v, t in zip(columns, (pa.string(), pa.int32(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], ["page_id", "url", "text", "repeat_blocks", "marked_blocks"])
-
-    judged = joined.select("page_id", "url", "zones", "texts", "runs").mapInArrow(keep, "page_id long, url string, text string, repeat_blocks int, marked_blocks int")
+            made = [(" ".join(stream_of(found)), *body_of(found)) for found in map(blocks, b.column(1).to_pylist())]
+            arrays = [pa.array([x[k] for x in made], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["host", "stream", "body", "window"])
+
+    streams = stored(hosted.select("host", "html").mapInArrow(parse, "host string, stream string, body long, window long"), "streams")
+    runs, heads = repeats(streams, small=small)
+    result = "page_id long, url string, text string, repeat_blocks int, marked_blocks int"
+
+    def judge(b: pa.RecordBatch, made: list[tuple]) -> pa.RecordBatch:
+        types = (pa.string(), pa.int32(), pa.int32())
+        arrays = [pa.array([x[k] for x in made], t) for k, t in enumerate(types)]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], ["page_id", "url", "text", "repeat_blocks", "marked_blocks"])
+
+    if runs.limit(small + 1).count() <= small:
+        held = spark.sparkContext.broadcast(dictionary(runs))
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                made = []
+                for h, page in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    found = blocks(page)
+                    made.append(unique_blocks(found, covered_by(stream_of(found), held.value.get(h, {}))))
+                yield judge(b, made)
+
+        judged = hosted.mapInArrow(keep, result)
+    else:
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys, streams = [], b.column(1).to_pylist()
+                for stream in streams:
+                    tokens = stream.split(" ")
+                    keys.append([key_of(tokens[k : k + LEAST_RUN]) for k in range(len(tokens) - LEAST_RUN + 1)])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.list_(pa.int64()))], ["host", "sid", "keys"])
+
+        def keep_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
+                yield judge(b, [unique_blocks(blocks(page), [(k, LEAST_RUN) for k in starts or ()]) for page, starts in found])
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = [" ".join(stream_of(blocks(page))) for page in b.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], ["page_id", "url", "host", "html", "stream"])
+
+        sid = F.md5(F.concat_ws("\n", "host", "stream"))
+        distinct = streams.withColumn("sid", sid).groupBy("sid").agg(F.first("host").alias("host"), F.first("stream").alias("stream"), F.count("*").alias("n"))
+        distinct = stored(distinct, "distinct-streams")
+        each = distinct.select("host", "stream", "sid").mapInArrow(places, "host string, sid string, keys array<long>")
+        hits = each.select("host", "sid", F.posexplode("keys").alias("start", "head")).join(if_small(heads, small), ["host", "head"])
+        found = hits.groupBy("sid").agg(F.collect_list("start").alias("starts")).join(distinct.select("sid", "n"), "sid")
+        paged = hosted.mapInArrow(named, "page_id long, url string, host string, html string, stream string").withColumn("sid", sid)
+        joined = lookup(paged.select("page_id", "url", "html", "sid"), stored(found, "found"), "sid", "n", streams.count())
+        judged = joined.select("page_id", "url", "html", "starts").mapInArrow(keep_joined, result)
     return judged.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "repeat_blocks", "marked_blocks")
