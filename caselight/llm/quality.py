@@ -12,98 +12,195 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out
+from .common import bounded_batches, held_out, stored
 from .toxicity import training_rows
 
 #: Labelled rows that the network and its temperature are fitted on, at most (about). Word vectors come from all documents.
 MAX_TRAINING = 20_000
-#: Word classes (hashed words and shapes), length of their vectors, non-zero entries of an index vector, reach of a context.
-CLASSES, SIZE, NONZERO, REACH = 2048, 48, 6, 2
-#: The first classes are for words of an uncommon shape.
-SHAPES = 512
+#: Length of a vector, non-zero entries of an index vector, reach of a context.
+SIZE, NONZERO, REACH = 48, 6, 2
+#: A word is common if it makes at least one in so many words of the corpus, so there are no more common words than this.
+COMMON = 65_536
+#: Words that are worked on at a time.
+PIECE = 200_000
 HIDDEN = 24
 THRESHOLD = 0.7
 PLAIN = re.compile(r"[^\W\d_]+[.,;:!?]?\Z")
+ODD = np.uint64(1 << 63)
 
 
-class Classes(dict):
-    """Word to its class: of plain words the hash of their lower-cased form, of others that of their shape."""
+class Words(dict):
+    """Token to the hash of its word: plain ones lower-cased without end marks, all others by their shape, with the top bit set."""
 
-    def __missing__(self, word: str) -> int:
-        if PLAIN.match(word) and not (len(word) > 2 and word.isupper()):
-            found = SHAPES + xxhash.xxh32_intdigest(word.lower().rstrip(".,;:!?"), 3) % (CLASSES - SHAPES)
+    def __missing__(self, token: str) -> int:
+        if PLAIN.match(token) and not (len(token) > 2 and token.isupper()):
+            found = xxhash.xxh3_64_intdigest(token.lower().rstrip(".,;:!?")) >> 1
         else:
-            shape = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", word)
-            shape = re.sub(r"\d+", "0", shape)
-            found = xxhash.xxh32_intdigest(re.sub(r"(.)\1+", r"\1\1", shape)[:24], 3) % SHAPES
+            shape = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", token)
+            shape = re.sub(r"(.)\1+", r"\1\1", re.sub(r"\d+", "0", shape))
+            found = xxhash.xxh3_64_intdigest(shape) >> 1 | 1 << 63
         if len(self) > 300_000:
             self.clear()
-        self[word] = found
+        self[token] = found
         return found
 
 
-def class_ids(text: str, classes: Classes) -> np.ndarray:
-    words = text.split()
-    return np.fromiter(map(classes.__getitem__, words), dtype=np.int64, count=len(words))
+def hashes(text: str, words: Words) -> np.ndarray:
+    tokens = text.split()
+    return np.fromiter(map(words.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
 
-def index_vectors() -> np.ndarray:
-    """Sparse ternary vectors, one a class, the same everywhere."""
-    rng = np.random.default_rng(20_240_101)
-    out = np.zeros((CLASSES, SIZE), dtype=np.float32)
-    for row in out:
-        row[rng.choice(SIZE, NONZERO, replace=False)] = rng.choice([-1.0, 1.0], NONZERO)
+def index_vectors(found: np.ndarray) -> np.ndarray:
+    """Sparse ternary vectors of words, from their hashes alone."""
+    out, row = np.zeros((len(found), SIZE), dtype=np.int8), np.arange(len(found))
+    for k in range(NONZERO):
+        place = ((found >> np.uint64(8 * k)) & np.uint64(0xFF)) % np.uint64(SIZE)
+        out[row, place.astype(np.int64)] += (((found >> np.uint64(50 + k)) & np.uint64(1)).astype(np.int8) << 1) - 1
     return out
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Sums of the index vectors of all words within reach, over all documents; CLASSES x SIZE numbers whatever the input.
+def pieces(texts: list[str], words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of about PIECE words at most: (document's place in texts, hash, whether it is only there as context of its neighbours)."""
+    owners, found, edge, size = [], [], [], 0
+    for at, text in enumerate(texts):
+        own = hashes(text, words)
+        for start in range(0, len(own), PIECE):
+            low, high = max(0, start - REACH), min(len(own), start + PIECE + REACH)
+            outside = np.ones(high - low + REACH, dtype=bool)  # the last REACH places are empty
+            outside[start - low : min(len(own), start + PIECE) - low] = False
+            owners.append(np.full(len(outside), at))
+            found.append(np.r_[own[low:high], np.zeros(REACH, dtype=np.uint64)])
+            edge.append(outside)
+            size += len(outside)
+            if size >= PIECE:
+                yield np.concatenate(owners), np.concatenate(found), np.concatenate(edge)
+                owners, found, edge, size = [], [], [], 0
+    if size:
+        yield np.concatenate(owners), np.concatenate(found), np.concatenate(edge)
+
+
+def contexts(found: np.ndarray) -> np.ndarray:
+    """For each place the sum of the index vectors of the words within reach; empty places have hash 0."""
+    distinct, at = np.unique(found, return_inverse=True)
+    table = index_vectors(distinct)
+    table[distinct == 0] = 0
+    near = table[at]
+    out = np.zeros_like(near)
+    for k in range(1, REACH + 1):
+        out[k:] += near[:-k]
+        out[:-k] += near[k:]
+    return out
 
-    A task adds up its share and sends 16 slices; slices are summed in two steps, so that no task gathers all of them.
-    """
-    slices = 16
+
+def common_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, shares of all words) of the words that make at least one in COMMON, counted over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, pairs = Classes(), np.zeros(CLASSES * CLASSES, dtype=np.int32)
+        words, waiting, size = Words(), [], 0
         for b in batches:
             for text in b.column(0).to_pylist():
-                ids = class_ids(text, classes)
-                for k in range(1, REACH + 1):
-                    if len(ids) > k:
-                        codes, n = np.unique(ids[:-k] * CLASSES + ids[k:], return_counts=True) if len(ids) > 100_000 else (ids[:-k] * CLASSES + ids[k:], 1)
-                        np.add.at(pairs, codes, n)
-        table = pairs.reshape(CLASSES, CLASSES).astype(np.float64)
-        made = ((table + table.T) @ index_vectors()).astype(np.float64)  # whole numbers: sums don't depend on their order
-        parts = np.split(made, slices)
-        salt = xxhash.xxh32_intdigest(made.tobytes()) % 64
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([salt] * slices, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "salt", "sums"])
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(CLASSES // slices * SIZE, dtype=np.float64)
-        for x in rows["sums"]:
-            total += np.frombuffer(x, dtype=np.float64)
-        return pd.DataFrame({"part": [rows["part"].iloc[0]], "sums": [total.tobytes()]})
-
-    sent = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "part int, salt int, sums binary")
-    summed = sent.groupBy("part", "salt").applyInPandas(add, "part int, sums binary").groupBy("part").applyInPandas(add, "part int, sums binary")
-    out = np.zeros((CLASSES, SIZE), dtype=np.float32)
-    for r in summed.collect():  # 16 slices of a table of fixed size
-        out[r.part * (CLASSES // slices) : (r.part + 1) * (CLASSES // slices)] = np.frombuffer(r.sums, dtype=np.float64).reshape(-1, SIZE)
-    return out / np.maximum(1e-6, np.linalg.norm(out, axis=1, keepdims=True))
-
-
-def pooled(text: str, classes: Classes, vectors: np.ndarray) -> np.ndarray:
-    """The mean vector of a document's words, the spread, and how often words follow themselves, repeat and have uncommon shapes."""
-    ids = class_ids(text, classes)
-    n = len(ids)
-    if not n:
-        return np.zeros(2 * SIZE + 4)
-    counts = np.bincount(ids, minlength=CLASSES)
-    used = np.flatnonzero(counts)
-    share = counts[used] / n
-    mean = share @ vectors[used]
-    spread = np.sqrt(np.maximum(0.0, share @ np.square(vectors[used]) - np.square(mean)))
-    return np.r_[mean, spread, np.mean(ids[1:] == ids[:-1]) if n > 1 else 0.0, len(used) / min(n, CLASSES), (ids < SHAPES).mean(), np.log1p(n) / 10]
+                waiting.append(hashes(text, words))
+                size += len(waiting[-1])
+                if size > 1_000_000:
+                    yield counted(waiting)
+                    waiting, size = [], 0
+        if waiting:
+            yield counted(waiting)
+
+    def counted(waiting: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(waiting), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["word", "n"])
+
+    sums = docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sums = stored(sums, "word-counts")
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    table = sums.where(F.col("n") * COMMON >= total).toPandas()  # at most COMMON rows
+    found, n = table["word"].to_numpy(dtype=np.int64).view(np.uint64), table["n"].to_numpy(dtype=float)
+    order = np.argsort(found)
+    return found[order], n[order] / max(1, total)
+
+
+def places(found: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The places of hashes in the sorted table, -1 for others."""
+    if not len(known):
+        return np.full(len(found), -1)
+    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+    return np.where(known[at] == found, at, -1)
+
+
+class Vectors:
+    """Vectors of the common words, and what all words weigh: the rarer, the more."""
+
+    def __init__(self, known: np.ndarray, shares: np.ndarray, sums: np.ndarray) -> None:
+        self.known = known
+        self.table = (sums / np.maximum(1e-6, np.linalg.norm(sums, axis=1, keepdims=True))).astype(np.float32)
+        self.weights = (1e-3 / (1e-3 + shares)).astype(np.float32)
+
+    def pooled(self, texts: list[str], words: Words) -> np.ndarray:
+        """Of each text: the weighted mean of its words' vectors and their spread, how often words follow themselves, repeat, are not
+        common and have an uncommon shape, and the length. The vector of a word that isn't common comes from its neighbours here."""
+        n = len(texts)
+        mean, square, weight = np.zeros((n, SIZE)), np.zeros((n, SIZE)), np.zeros(n)
+        more = np.zeros((n, 5))
+        for owner, found, edge in pieces(texts, words):
+            at = places(found, self.known)
+            vectors = self.table[at] if len(self.table) else np.zeros((len(found), SIZE), dtype=np.float32)
+            rare = np.flatnonzero((at < 0) & ~edge)
+            if len(rare):
+                local = contexts(found)[rare].astype(np.float32)
+                vectors[rare] = local / np.maximum(1e-6, np.linalg.norm(local, axis=1, keepdims=True))
+            w = np.where(at < 0, np.float32(1), self.weights[at] if len(self.weights) else np.float32(1)) * ~edge
+            new = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            who = owner[new]
+            vectors *= w[:, None]
+            mean[who] += np.add.reduceat(vectors, new, axis=0)
+            vectors *= vectors
+            square[who] += np.add.reduceat(vectors, new, axis=0)
+            weight[who] += np.add.reduceat(w, new)
+            again = np.r_[False, (found[1:] == found[:-1])] & ~edge
+            for k, flag in enumerate((~edge, again, (at < 0) & ~edge, (found >= ODD) & ~edge)):
+                more[who, k] += np.add.reduceat(flag.astype(np.float64), new)
+            order = np.lexsort((found, owner))
+            first = np.r_[True, (found[order][1:] != found[order][:-1]) | (owner[order][1:] != owner[order][:-1])]
+            first &= ~edge[order]
+            np.add.at(more[:, 4], owner[order][first], 1.0)
+        size = np.maximum(1.0, more[:, :1])
+        mean /= np.maximum(1e-6, weight)[:, None]
+        spread = np.sqrt(np.maximum(0.0, square / size))
+        return np.c_[mean, spread, more[:, 1:] / size, np.log1p(more[:, 0]) / 10]
+
+
+def word_vectors(docs: DataFrame) -> Vectors:
+    """Sums of the index vectors of all words within reach, for each common word over all documents: COMMON x SIZE numbers at most.
+
+    A task adds up its share and sends a row a word; Spark adds the rows of a word, so that no task gathers those of all tasks.
+    """
+    docs = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    known, shares = common_words(docs)
+    held = docs.sparkSession.sparkContext.broadcast(known)
+    names = [f"c{k}" for k in range(SIZE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, sums = Words(), np.zeros((len(held.value), SIZE), dtype=np.int32)
+        for b in batches:
+            for _, found, edge in pieces(b.column(0).to_pylist(), words):
+                at = places(found, held.value)
+                own = np.flatnonzero((at >= 0) & ~edge)
+                if len(own):
+                    own = own[np.argsort(at[own], kind="stable")]
+                    word = at[own]
+                    new = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+                    sums[word[new]] += np.add.reduceat(contexts(found)[own], new, axis=0, dtype=np.int32)
+        some = np.flatnonzero(sums.any(axis=1)).astype(np.int32)
+        for k in range(0, len(some), 8192):
+            part = some[k : k + 8192]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(sums[part, j]) for j in range(SIZE))], ["word", *names])
+
+    schema = "word int, " + ", ".join(f"{c} int" for c in names)
+    summed = docs.mapInArrow(run, schema).groupBy("word").agg(*[F.sum(c).cast("double").alias(c) for c in names]).toPandas()
+    sums = np.zeros((len(known), SIZE))
+    sums[summed["word"].to_numpy(dtype=np.int64)] = summed[names].to_numpy(dtype=float)
+    return Vectors(known, shares, sums)
 
 
 class Network:
@@ -141,14 +238,14 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, label: str = "quality", most: int = MAX_TRAINING) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, vectors: Vectors, label: str = "quality", most: int = MAX_TRAINING) -> Network | None:
     """The network from four fifths of the training rows, its temperature from the rest. None without labels of both kinds."""
     held = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes()
+        words = Words()
         for b in batches:
-            x = [pooled(t, classes, held.value).astype(np.float32).tobytes() for t in b.column(1).to_pylist()]
+            x = [row.tobytes() for row in held.value.pooled(b.column(1).to_pylist(), words).astype(np.float32)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), b.column(2)], ["doc_id", "x", "y"])
 
     rows = training_rows(docs, labels, label, most).select("doc_id", "text", "y")
@@ -179,12 +276,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
 
     @F.pandas_udf("double")
     def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        (table, net), classes = held.value, Classes()
+        (table, net), words = held.value, Words()
         for batch in batches:
             if net is None or not len(batch):
                 yield pd.Series(np.full(len(batch), 0.5))
             else:
-                yield pd.Series(net.probability(np.stack([pooled(t or "", classes, table) for t in batch])))
+                yield pd.Series(net.probability(table.pooled([t or "" for t in batch], words)))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality("text").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
