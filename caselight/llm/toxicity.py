@@ -18,12 +18,13 @@ from .common import bounded_batches, held_out, stored
 
 #: Labelled rows from which lexicon and calibration are learnt, at most (about); the only bound on what is read.
 MAX_TRAINING = 20_000
-#: Entries of the learnt lexicon at most; it is broadcast.
-MAX_LEXICON = 5_000
 #: About so many words and stems may enter the lexicon by chance; the least G2 with the label follows from the number tried.
 BY_CHANCE = 20
 #: Letters of the stems that stand for all words that begin with them.
 STEMS = (4, 5, 6)
+#: Of the toxic texts with a learnt word, the share in which it must follow a modal to be a threat, or stand beside a known insult or
+#: threat to be a target, and the texts needed to tell.
+LIKE_THREAT, LIKE_TARGET, TELLING = 0.5, 0.8, 10
 THRESHOLD = 0.3
 #: The grammar's own words.
 INSULTS = "idiot idiots moron morons imbecile stupid scum idiota imbécil estúpido estúpida escoria dummkopf arschloch trottel abschaum imbécile connard crétin".split()
@@ -71,9 +72,9 @@ GRAMMAR = (
 
 
 class Lexicon(dict):
-    """Token to (class, weight); words get the largest weight of the entries for the word and its stems."""
+    """Token to (class, weight); words get the largest weight of the entries for the word and its stems, and the class of that entry."""
 
-    def __init__(self, learnt: dict[str, float]) -> None:
+    def __init__(self, learnt: dict[str, tuple[int, float]]) -> None:
         super().__init__()
         self.learnt = learnt
         self.fixed: dict[str, tuple[int, float]] = {m: (END, 0.0) for m in ".!?;\n"} | {m: (QUOTE, 0.0) for m in '"“”«»'}
@@ -83,8 +84,12 @@ class Lexicon(dict):
     def __missing__(self, token: str) -> tuple[int, float]:
         low = token.lower()
         fixed = self.fixed.get(low)
-        weight = max([self.learnt.get(low, 0.0), *(self.learnt.get(low[:k] + "*", 0.0) for k in STEMS if len(low) >= k)])
-        found = (fixed if fixed and (fixed[0] != INSULT or weight < fixed[1]) else (INSULT, weight)) if fixed or weight > 0 else (OTHER, 0.0)
+        names = [low, *(low[:k] + "*" for k in STEMS if len(low) >= k)]
+        kind, weight = max((self.learnt[n] for n in names if n in self.learnt), key=lambda x: x[1], default=(OTHER, 0.0))
+        if fixed and (fixed[0] not in (INSULT, THREAT) or weight < fixed[1]):
+            found = fixed
+        else:
+            found = (fixed[0] if fixed else kind, weight if kind != TARGET else 0.0)
         if len(self) > 300_000:
             self.clear()
         self[token] = found
@@ -114,11 +119,11 @@ def clause_scores(text: str, lexicon: Lexicon) -> tuple[list[float], int, int]:
 def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
     scores, events, n = clause_scores(text, lexicon)
     total = sum(scores)
-    return math.log1p(total), max(scores, default=0.0), math.log1p(100 * total / max(20, n)), float(min(events, 4))
+    return math.log1p(total), max(scores, default=0.0), math.log1p(100 * total / max(20, n)), math.log1p(events)
 
 
 class Model:
-    def __init__(self, learnt: dict[str, float], weights: np.ndarray) -> None:
+    def __init__(self, learnt: dict[str, tuple[int, float]], weights: np.ndarray) -> None:
         self.learnt, self.weights = learnt, weights
 
     def score(self, f: tuple[float, ...]) -> float:
@@ -137,17 +142,36 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int = MA
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = {0: Counter(), 1: Counter()}
+    """Of words and stems: the toxic and other texts that have them, and the toxic ones in which they follow a modal, or stand beside an
+    insult or threat of the fixed lists."""
+    plain, names = Lexicon({}), ("feature", "bad", "good", "modal", "beside")
+    counts = [Counter() for _ in names[1:]]
     for b in batches:
         for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found = {t for t in map(str.lower, set(TOKENS.findall(text))) if len(t) > 2}
-            counts[y].update(found | {t[:k] + "*" for t in found for k in STEMS if len(t) >= k})
-    names = list(counts[1])  # only what occurs in a toxic text can be learnt as an insult
-    if names:
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([counts[1][w] for w in names], pa.int64()), pa.array([counts[0][w] for w in names], pa.int64())], ["feature", "bad", "good"])
-    rest = [w for w in counts[0] if w not in counts[1]]
-    if rest:
-        yield pa.RecordBatch.from_arrays([pa.array(rest), pa.array([0] * len(rest), pa.int64()), pa.array([counts[0][w] for w in rest], pa.int64())], ["feature", "bad", "good"])
+            tokens = [t.lower() for t in TOKENS.findall(text)]
+            features = lambda found: found | {t[:k] + "*" for t in found for k in STEMS if len(t) >= k}
+            counts[1 - y].update(features({t for t in tokens if t[0].isalpha()}))
+            if y:
+                kinds = [plain[t][0] for t in tokens]
+                after, beside = set(), set()
+                for k, kind in enumerate(kinds):
+                    if kind == MODAL:
+                        after.update(tokens[k + 1 : k + 4])
+                    elif kind in (INSULT, THREAT):
+                        beside.update(tokens[max(0, k - 3) : k] + tokens[k + 1 : k + 4])
+                counts[2].update(features({t for t in after if t[0].isalpha()}))
+                counts[3].update(features({t for t in beside if t[0].isalpha()}))
+        if len(counts[1]) > 300_000:
+            yield _counted(counts, names)
+    yield _counted(counts, names)
+
+
+def _counted(counts: list[Counter], names: tuple[str, ...]) -> pa.RecordBatch:
+    found = list(counts[0].keys() | counts[1].keys())
+    arrays = [pa.array(found, pa.string()), *(pa.array([c[w] for w in found], pa.int64()) for c in counts)]
+    for c in counts:
+        c.clear()
+    return pa.RecordBatch.from_arrays(arrays, list(names))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_TRAINING) -> Model:
@@ -159,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MA
     bad_n, good_n = n.get(1, 0), n.get(0, 0)
     if not bad_n or not good_n:
         return Model({}, np.array([-3.0, 1.0, 0.3, 0.3, 0.0]))
-    counted = rows.select("text", "y").mapInArrow(_counts, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad >= 3")
+    sums = [F.sum(c).alias(c) for c in ("bad", "good", "modal", "beside")]
+    counted = rows.select("text", "y").mapInArrow(_counts, "feature string, bad long, good long, modal long, beside long").groupBy("feature").agg(*sums).where("bad >= 3")
     total, seen = float(bad_n + good_n), F.col("bad") + F.col("good")
     part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
     rest_bad, rest_good = F.lit(bad_n) - F.col("bad"), F.lit(good_n) - F.col("good")
@@ -169,7 +194,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MA
     counted = stored(counted.withColumn("g2", g2).withColumn("odds", odds), "counted")
     least = max(8.0, 2 * math.log(max(1.0, counted.count() / BY_CHANCE)))
     learnt = counted.where((F.col("g2") >= least) & (F.col("odds") >= 1.5))
-    lexicon = {r.feature: float(r.odds) for r in learnt.orderBy(F.desc("g2"), "feature").limit(MAX_LEXICON).collect()}
+    telling = F.col("bad") >= TELLING
+    kind = F.when(telling & (F.col("modal") >= F.col("bad") * LIKE_THREAT), THREAT).when(telling & (F.col("beside") >= F.col("bad") * LIKE_TARGET), TARGET).otherwise(INSULT)
+    # As many words as about `most` labelled rows can tell to be toxic ones, far fewer than those rows have.
+    lexicon = {r.feature: (r.kind, float(r.odds)) for r in learnt.select("feature", "odds", kind.alias("kind")).collect()}
     held = spark.sparkContext.broadcast(lexicon)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
