@@ -278,7 +278,7 @@ def unique_blocks(found: list[tuple[int, str]], runs: list[tuple[int, int]]) ->
     return "\n".join(kept), repeated, marked
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", small: int = BROADCAST_ROWS // 4) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", small: int = BROADCAST_ROWS) -> DataFrame:
     """(page_id, url, text, n_chars, repeat_blocks, marked_blocks) of every row of pages.
 
     Of the blocks outside article and main elements, those go that runs of at least LEAST_RUN tokens cover to COVERED, if pages of
