@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -176,32 +177,63 @@ def test_leaks_are_found_and_slots_must_agree(spark):
     assert set(got) == {(0, 1), (1, 1), (3, 1), (7, 1), (8, 4)}
     assert got[1, 1].reparameterised and not got[0, 1].reparameterised
     mixed = "A cost 7 and B cost 7 and C cost 7 while D cost 7 but E cost 7"
-    index = decontaminate.Index([(1, mixed)])
-    assert index.leaks(mixed.replace("7", "9"), decontaminate.Vocabulary()) and not index.leaks("A cost 7 and B cost 8 and C cost 9 while D cost 5 but E cost 6", decontaminate.Vocabulary())
+    assert leaks_of([(1, mixed)], mixed.replace("7", "9")) and not leaks_of([(1, mixed)], "A cost 7 and B cost 8 and C cost 9 while D cost 5 but E cost 6")
+
+
+def leaks_of(items, text, window=decontaminate.WINDOW, least=decontaminate.LEAST):
+    """(item, share, re-parameterised) by the operator's own functions, without Spark."""
+    vocabulary, out = decontaminate.Vocabulary(), []
+    for item, item_text in items:
+        total, tokens, own = decontaminate.item_windows(item_text, vocabulary, window)
+        full = np.full(1 << 12, 255, dtype=np.uint8)
+        found = decontaminate.text_windows(pa.array([text]), vocabulary, sorted({n for _, _, n, _ in own}), full).get(0, []) if own else []
+        hits = [{"place": p, "k": k, "slots": s, "item_slots": t} for p, w, n, s in found for k, v, m, t in own if (w, n) == (v, m)]
+        if hits and (best := decontaminate.judged(hits, total, tokens, least)):
+            out.append((item, best[0] / total, best[1]))
+    return out
 
 
 def test_names_at_sentence_starts_and_runs_of_names():
     item = "Natalia sold clips to 48 of her friends in April. Natalia sold half as many clips there in May. Natalia gave the rest away in New York. How many clips did she sell altogether?"
-    index, leaks = decontaminate.Index([(1, item)]), lambda text: index.leaks(text, decontaminate.Vocabulary())
+    leaks = lambda text: leaks_of([(1, item)], text)
     for text in (item, item.replace("Natalia", "Maria"), f"so said he then {item.replace('Natalia', 'Mary Ann').replace('New York', 'Paris').replace('48', '52')}", item.lower()):
         assert [x[0] for x in leaks(text)] == [1]
-    assert leaks(item.replace("Natalia", "Maria"))[0][3] and not leaks(item)[0][3]
+    assert leaks(item.replace("Natalia", "Maria"))[0][2] and not leaks(item)[0][2]
     assert not leaks("Maria rode a bus to 48 of her friends in April. Peter lost half as many hats there in May. How many did she see?")
 
 
 def test_copies_are_judged_at_their_place():
     item = "a farmer picks 12 red apples from every tree and sells 30 of them at the market for 45 dollars before noon"
     stray = " ".join(f"then {part}." for k in range(20) for part in ("a farmer picks 71 red apples from every", "and sells 88 of them at the", "the market for 99 dollars before noon"))
-    index = decontaminate.Index([(1, item)])
-    found = index.leaks(f"{stray} so {item} {stray}", decontaminate.Vocabulary())
-    assert [(x[0], x[1], x[3]) for x in found] == [(1, 1.0, False)] and not decontaminate.Index([(1, "a b c " + item)]).leaks("nothing here", decontaminate.Vocabulary())
-
-
-def test_benchmark_in_blocks_gives_the_same(spark, docs):
-    bench = spark.createDataFrame([(k, f"{w} {BASE} {w}") for k, w in enumerate(WORDS)], "item_id long, text string")
-    whole = decontaminate.contaminated(docs, bench).count()
-    blocks = list(decontaminate.indexes(bench, most=600))
-    assert whole > 0 and len(blocks) > 1 and sum(len(b.total) for b in blocks) == len(WORDS)
+    found = leaks_of([(1, item)], f"{stray} so {item} {stray}")
+    assert found == [(1, 1.0, False)] and not leaks_of([(1, "a b c " + item)], "nothing here")
+    assert leaks_of([(1, item)], f"{item} then sells 30 of them at the and a farmer picks 71 red apples from every") == [(1, 1.0, False)]
+
+
+def test_leaks_equal_brute_force_and_do_not_depend_on_batches(spark):
+    """Random texts with whole, partial and re-parameterised items: as by joining all windows of each pair of text and item."""
+    r = np.random.default_rng(9)
+    word = lambda: f"w{r.integers(60)}"
+    items = [(k, " ".join(word() if r.random() < 0.8 else str(r.integers(9)) for _ in range(r.integers(3, 25)))) for k in range(12)]
+    items += [(3, items[4][1]), (5, items[5][1]), (None, "not an item at all")]
+    texts = []
+    for k in range(60):
+        own = items[r.integers(12)][1].split()
+        own = [str(r.integers(9)) if t.isdigit() and r.random() < 0.3 else word() if r.random() < 0.05 else t for t in own]
+        texts.append(" ".join([*(word() for _ in range(r.integers(0, 30))), *own, *(word() for _ in range(r.integers(0, 9)))]))
+    texts += [texts[0], "", None, "Ünï \x01 \x00 x"]
+    want = set()
+    for k, text in enumerate(texts):
+        best = {}
+        for item, share, changed in leaks_of([i for i in items if i[0] is not None], text or ""):
+            best[item] = max(best.get(item, (0, False)), (round(share, 9), not changed))
+        want |= {(k, i, share, not same) for i, (share, same) in best.items()}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id, round(x.containment, 9), x.reparameterised) for x in decontaminate.contaminated(docs, bench).collect()}
+    assert got == want and len(want) > 20
+    clean = {x.doc_id for x in decontaminate.clean_documents(docs, bench).collect()}
+    assert clean == set(range(len(texts))) - {x[0] for x in want}
 
 
 def test_entities_get_distinct_coherent_surrogates(spark):
