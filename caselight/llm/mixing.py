@@ -74,7 +74,7 @@ def targets(sizes: DataFrame, share: float = 1.0, weights: tuple[int, ...] = WEI
 
 def ranges(rows: DataFrame) -> list[float]:
     """Cuts of the keys into ranges of about RANGE_ROWS rows: no source has more in one, whatever its weights. Some hundred numbers at most for 10^8 rows."""
-    n = max(8, math.ceil(rows.count() / RANGE_ROWS))
+    n = max(256, math.ceil(rows.count() / RANGE_ROWS))
     cuts = sorted(set(rows.approxQuantile("key", [k / n for k in range(1, n)], 0.5 / n)))
     return [-math.inf, *(cuts or [0.0]), math.inf]
 
