@@ -42,8 +42,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie in directories source/lang/k of 50 ids each; those of which half the lines or more speak of a licence are its LICENSE files."""
     docs = _table(spark, sf_dir, "documents")
-    return licenses.scan_licenses(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))))
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    cued = F.col("text").rlike(licenses.CUES) & (F.size(F.filter(lines, lambda x: x.rlike(licenses.CUES))) * 2 >= F.size(lines))
+    name = F.concat(F.when(cued, "LICENSE-").otherwise(""), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(".txt"))
+    folder = F.coalesce(F.floor(F.col("doc_id") / 50).cast("string"), F.lit("null"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), folder, name)
+    return licenses.scan_licenses(docs.withColumn("path", path))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
