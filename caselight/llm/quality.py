@@ -59,11 +59,10 @@ def index_vectors(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(texts: list[str], words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of about PIECE words at most: (document's place in texts, hash, whether it is only there as context of its neighbours)."""
+def pieces(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of texts as hashes, runs of about PIECE words: (a text's place, hash, whether it is only there as context of its neighbours)."""
     owners, found, edge, size = [], [], [], 0
-    for at, text in enumerate(texts):
-        own = hashes(text, words)
+    for at, own in enumerate(texts):
         for start in range(0, len(own), PIECE):
             low, high = max(0, start - REACH), min(len(own), start + PIECE + REACH)
             outside = np.ones(high - low + REACH, dtype=bool)  # the last REACH places are empty
@@ -142,7 +141,9 @@ class Vectors:
         n = len(texts)
         mean, square, weight = np.zeros((n, SIZE)), np.zeros((n, SIZE)), np.zeros(n)
         more = np.zeros((n, 5))
-        for owner, found, edge in pieces(texts, words):
+        own = [hashes(text, words) for text in texts]
+        more[:, 4] = [len(np.unique(h)) for h in own]
+        for owner, found, edge in pieces(own):
             at = places(found, self.known)
             vectors = self.table[at] if len(self.table) else np.zeros((len(found), SIZE), dtype=np.float32)
             rare = np.flatnonzero((at < 0) & ~edge)
@@ -160,10 +161,6 @@ class Vectors:
             again = np.r_[False, (found[1:] == found[:-1])] & ~edge
             for k, flag in enumerate((~edge, again, (at < 0) & ~edge, (found >= ODD) & ~edge)):
                 more[who, k] += np.add.reduceat(flag.astype(np.float64), new)
-            order = np.lexsort((found, owner))
-            first = np.r_[True, (found[order][1:] != found[order][:-1]) | (owner[order][1:] != owner[order][:-1])]
-            first &= ~edge[order]
-            np.add.at(more[:, 4], owner[order][first], 1.0)
         size = np.maximum(1.0, more[:, :1])
         mean /= np.maximum(1e-6, weight)[:, None]
         spread = np.sqrt(np.maximum(0.0, square / size))
@@ -183,7 +180,7 @@ def word_vectors(docs: DataFrame) -> Vectors:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sums = Words(), np.zeros((len(held.value), SIZE), dtype=np.int32)
         for b in batches:
-            for _, found, edge in pieces(b.column(0).to_pylist(), words):
+            for _, found, edge in pieces([hashes(text, words) for text in b.column(0).to_pylist()]):
                 at = places(found, held.value)
                 own = np.flatnonzero((at >= 0) & ~edge)
                 if len(own):

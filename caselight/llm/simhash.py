@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, if_small, lookup, stored
 from .graph import components
 
-#: Bands of a fingerprint: 4 differing bits spoil at most 4 of 6 bands, so two bands of any linked pair are equal.
-BANDS = 6
+#: Bands of a fingerprint, by the number of distinct ones: 4 differing bits spoil at most 4 bands, so two or more of any linked pair are
+#: equal. More fingerprints need keys of more bits, so that a bucket of random ones stays small: 21, 27 and 32 bits.
+BANDS = ((2_000_000_000, 6), (100_000_000_000, 7), (math.inf, 8))
 #: Reference fingerprints of the distance table.
 PIVOTS = 16
 #: Fingerprints of one bucket that one block holds; larger buckets are compared in pairs of blocks.
@@ -153,13 +155,16 @@ def band_keys(bands: int, most: int) -> list[list[tuple[int, int]]]:
     return [list(c) for c in combinations(cuts, bands - most)]
 
 
-def link_fingerprints(distinct: DataFrame, most: int = 4, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, most: int = 4, bands: int | None = None, block: int = BLOCK) -> DataFrame:
     """(id, fp) of distinct fingerprints to edges (u, v) between ids that have the components of all links of at most `most` bits.
 
     Linked fingerprints agree in bands - most bands, so each fingerprint goes to one bucket for every such choice of bands.
     Within buckets, the pivot table discards pairs and the survivors are verified. A bucket of over `block` fingerprints is
     compared in pairs of blocks, each a task's work of bounded size; nothing is capped.
     """
+    if bands is None:
+        n = distinct.count()
+        bands = next(b for limit, b in BANDS if n < limit) - 4 + most
     keys = []
     for k, parts in enumerate(band_keys(bands, most)):
         bits, key = 0, F.lit(k).cast("long")
