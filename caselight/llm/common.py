@@ -5,7 +5,11 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 400_000
 #: A key is hot when it holds more than one in so many rows; so there are fewer than this many hot keys, whatever the input.
 HOT_SHARE = 1000
+#: Bytes of texts that a task cuts into words at a time, about.
+SLICE_CHARS = 8_000_000
 #: Bits of one bitmap of a sieve, and bitmaps at most: 32 MB for keys without number.
 SIEVE_BITS, SIEVE_BUCKETS = 32_768, 8_192
 #: Characters that separate words, as a Java pattern.
@@ -38,6 +44,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, pa.Array]]:
+    """(first place, part) of a column of texts, in parts of about `limit` bytes."""
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.searchsorted(size // limit, np.arange(int(size[-1]) // limit + 2)) if len(size) else np.zeros(1, dtype=np.int64)
+    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if high > low:
+            yield low, texts.slice(low, high - low)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Python workers get few rows at a time, so that very long texts don't fill their memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIEVE_BITS, SIEVE_BUCKETS, bounded_batches, if_small, stored, without
+from .common import SIEVE_BITS, SIEVE_BUCKETS, bounded_batches, if_small, stored, text_slices, without
 
 #: Canonical tokens of a window, and the share of an item's windows that makes a leak.
 WINDOW, LEAST = 5, 0.8
@@ -35,8 +35,6 @@ EDGES = re.compile(r"^\W+|\W+$")
 
 #: Stands between texts that are worked on together, and at the ends of lines.
 SEPARATOR, LINE = "\x01", "\0"
-#: Characters of texts that are worked on together, about.
-PIECE = 8_000_000
 
 
 class Vocabulary(dict):
@@ -357,13 +355,11 @@ def candidates(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) ->
         words, sieve = held.value
         vocabulary = Vocabulary(words)
         for b in batches:
-            out, size = [], pc.binary_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
-            cuts = np.searchsorted(np.cumsum(size, dtype=np.int64) // PIECE, np.arange(int(size.sum()) // PIECE + 2))
-            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            out = []
+            for low, texts in text_slices(b.column(1)):
                 if len(vocabulary) > 300_000:
                     vocabulary = Vocabulary(words)
-                texts = b.column(1).slice(low, high - low)
-                for k, found in text_windows(texts, vocabulary, lengths, sieve).items() if high > low else ():
+                for k, found in text_windows(texts, vocabulary, lengths, sieve).items():
                     out.append((b.column(0)[low + k].as_py(), hashlib.md5((texts[k].as_py() or "").encode()).hexdigest(), _rows(found)))
             types = (pa.int64(), pa.string(), _WINDOW_TYPE)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["doc_id", "key", "windows"])

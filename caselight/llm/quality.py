@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, stored
+from .common import bounded_batches, held_out, stored, text_slices
 from .toxicity import training_rows
 
 #: Labelled rows that the network and its temperature are fitted on, at most (about). Word vectors come from all documents.
@@ -45,9 +46,17 @@ class Words(dict):
         return found
 
 
-def hashes(text: str, words: Words) -> np.ndarray:
-    tokens = text.split()
-    return np.fromiter(map(words.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+def hashes(texts: pa.Array, words: Words) -> list[np.ndarray]:
+    """The hashes of each text's words, in order; only different tokens of a batch are looked at one by one."""
+    lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.fill_null(texts, "")))
+    coded = lists.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    table = np.fromiter(map(words.__getitem__, distinct), dtype=np.uint64, count=len(distinct))
+    found = table[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, dtype=np.uint64)
+    cuts = lists.offsets.to_numpy()
+    own = np.split(found, (cuts - cuts[0])[1:-1]) if len(texts) else []
+    empty = next((k for k, token in enumerate(distinct) if not token), None)  # a text without words is one empty token
+    return own if empty is None else [h[:0] if len(h) == 1 and h[0] == table[empty] else h for h in own]
 
 
 def index_vectors(found: np.ndarray) -> np.ndarray:
@@ -95,14 +104,13 @@ def common_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, shares of all words) of the words that make at least one in COMMON, counted over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, waiting, size = Words(), [], 0
+        words, waiting = Words(), []
         for b in batches:
-            for text in b.column(0).to_pylist():
-                waiting.append(hashes(text, words))
-                size += len(waiting[-1])
-                if size > 1_000_000:
-                    yield counted(waiting)
-                    waiting, size = [], 0
+            for _, texts in text_slices(b.column(0)):
+                waiting += hashes(texts, words)
+            if sum(map(len, waiting)) > 1_000_000:
+                yield counted(waiting)
+                waiting = []
         if waiting:
             yield counted(waiting)
 
@@ -135,13 +143,13 @@ class Vectors:
         self.table = (sums / np.maximum(1e-6, np.linalg.norm(sums, axis=1, keepdims=True))).astype(np.float32)
         self.weights = (1e-3 / (1e-3 + shares)).astype(np.float32)
 
-    def pooled(self, texts: list[str], words: Words) -> np.ndarray:
+    def pooled(self, texts: pa.Array, words: Words) -> np.ndarray:
         """Of each text: the weighted mean of its words' vectors and their spread, how often words follow themselves, repeat, are not
         common and have an uncommon shape, and the length. The vector of a word that isn't common comes from its neighbours here."""
         n = len(texts)
         mean, square, weight = np.zeros((n, SIZE)), np.zeros((n, SIZE)), np.zeros(n)
         more = np.zeros((n, 5))
-        own = [hashes(text, words) for text in texts]
+        own = [h for _, part in text_slices(texts) for h in hashes(part, words)]
         more[:, 4] = [len(np.unique(h)) for h in own]
         for owner, found, edge in pieces(own):
             at = places(found, self.known)
@@ -180,7 +188,7 @@ def word_vectors(docs: DataFrame) -> Vectors:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sums = Words(), np.zeros((len(held.value), SIZE), dtype=np.int32)
         for b in batches:
-            for _, found, edge in pieces([hashes(text, words) for text in b.column(0).to_pylist()]):
+            for _, found, edge in (x for _, texts in text_slices(b.column(0)) for x in pieces(hashes(texts, words))):
                 at = places(found, held.value)
                 own = np.flatnonzero((at >= 0) & ~edge)
                 if len(own):
@@ -242,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: Vectors, label: str = "qual
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
-            x = [row.tobytes() for row in held.value.pooled(b.column(1).to_pylist(), words).astype(np.float32)]
+            x = [row.tobytes() for row in held.value.pooled(b.column(1), words).astype(np.float32)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), b.column(2)], ["doc_id", "x", "y"])
 
     rows = training_rows(docs, labels, label, most).select("doc_id", "text", "y")
@@ -278,7 +286,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
             if net is None or not len(batch):
                 yield pd.Series(np.full(len(batch), 0.5))
             else:
-                yield pd.Series(net.probability(table.pooled([t or "" for t in batch], words)))
+                yield pd.Series(net.probability(table.pooled(pa.array(batch, pa.string(), from_pandas=True), words)))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality("text").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -459,13 +459,13 @@ def test_word_vectors_equal_brute_force(spark):
     vectors = quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
     words, sums = quality.Words(), defaultdict(lambda: np.zeros(quality.SIZE))
     for text in texts:
-        h = quality.hashes(text or "", words)
+        h = quality.hashes(pa.array([text], pa.string()), words)[0]
         r = quality.index_vectors(h)
         for i in range(len(h)):
             for j in range(max(0, i - quality.REACH), min(len(h), i + quality.REACH + 1)):
                 if i != j:
                     sums[int(h[i])] += r[j]
-    assert set(map(int, vectors.known)) == {int(quality.hashes(t, words)[0]) for t in ("a", "b", "c", "x1")}
+    assert set(map(int, vectors.known)) == {int(h[0]) for h in quality.hashes(pa.array(["a", "b", "c", "x1"]), words)}
     for word, row in zip(vectors.known, vectors.table, strict=True):
         assert np.allclose(row, sums[int(word)] / max(1e-6, np.linalg.norm(sums[int(word)])), atol=1e-6)
 
@@ -473,11 +473,11 @@ def test_word_vectors_equal_brute_force(spark):
 def test_pooling_does_not_depend_on_pieces(monkeypatch):
     rng = np.random.default_rng(2)
     texts = [" ".join(f"w{rng.integers(50)}" for _ in range(n)) for n in (0, 1, 7, 300, 40)]
-    known = np.sort(np.array([quality.hashes(f"w{k}", quality.Words())[0] for k in range(20)], dtype=np.uint64))
+    known = np.concatenate(quality.hashes(pa.array([f"w{k}" for k in range(20)]), quality.Words()))
     vectors = quality.Vectors(np.unique(known), np.full(len(np.unique(known)), 0.02), rng.normal(size=(len(np.unique(known)), quality.SIZE)))
-    whole = vectors.pooled(texts, quality.Words())
+    whole = vectors.pooled(pa.array(texts), quality.Words())
     monkeypatch.setattr(quality, "PIECE", 16)
-    parts = vectors.pooled(texts, quality.Words())
+    parts = vectors.pooled(pa.array(texts), quality.Words())
     assert np.allclose(whole, parts, atol=1e-5)
 
 
