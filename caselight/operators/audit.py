@@ -58,6 +58,47 @@ def verify(log: DataFrame, seq: str, body: str, stored_heads: DataFrame, block:
     return own.unionByName(ends.select((F.col("block") * block).alias("seq"), F.lit("end missing").alias("problem")))
 
 
+def verify_heads(stored_heads: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(level, block, problem): heads above level 0 that don't follow from those below, so that who rewrites a block and its head is
+    found up to the root; heads that lack their level above, and a top that isn't one."""
+    stored_heads = stored_heads.where("head is not null")
+    top = stored_heads.agg(F.max("level")).first()[0]
+    out = stored_heads.where("false").select("level", "block", F.lit("").alias("problem"))
+    if top is None:
+        return out
+    for level in range(1, top + 1):
+        below = stored_heads.where(F.col("level") == level - 1).select(F.col("block").alias("seq"), F.col("head").alias("body"))
+        made = chain(below, "seq", "body", block).groupBy("block").agg(F.max_by("entry_hash", "seq").alias("made"))
+        kept = stored_heads.where(F.col("level") == level).select("block", "head")
+        wrong = made.join(kept, "block", "full").where(~F.col("made").eqNullSafe(F.col("head")))
+        out = out.unionByName(wrong.select(F.lit(level).alias("level"), "block", F.lit("head doesn't follow").alias("problem")))
+    roots = stored_heads.where(F.col("level") == top).where("block > 0")
+    return out.unionByName(roots.select("level", "block", F.lit("no single root").alias("problem")))
+
+
+def verified(log: DataFrame, seq: str, body: str, stored_heads: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(ok, entries, head, problems): one row for the whole log, of verify() and verify_heads() together."""
+    bad = verify(log, seq, body, stored_heads, block).agg(F.count("*").alias("a")).crossJoin(verify_heads(stored_heads, block).agg(F.count("*").alias("b")))
+    root = stored_heads.agg(F.max_by("head", F.struct("level", "block")).alias("head"))
+    counted = log.agg(F.count("*").alias("entries"))
+    return counted.crossJoin(root).crossJoin(bad).select(((F.col("a") + F.col("b")) == 0).alias("ok"), "entries", "head", (F.col("a") + F.col("b")).alias("problems"))
+
+
+def anchored(rows: DataFrame, log: DataFrame, key: str, action: str, seq: str = "seq") -> DataFrame:
+    """(seq, key, action, legacy): the log's entries with those of missing_entries() appended after its last number; a second run appends none.
+
+    New numbers follow the order of the key, by a sort in ranges; a range's first number comes from the sizes of those before it.
+    """
+    new = missing_entries(rows, log, key, action).repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    new = written(new.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(key))), "legacy")
+    sizes = new.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each range
+    last = log.agg(F.coalesce(F.max(seq), F.lit(0)).alias("_last"))
+    numbered = new.join(F.broadcast(before), "_part").crossJoin(F.broadcast(last)).withColumn(seq, F.col("_last") + F.col("_before") + F.col("_at"))
+    old = log.select(seq, key, "action", F.lit(False).alias("legacy"))
+    return old.unionByName(numbered.select(F.col(seq).cast(log.schema[seq].dataType).alias(seq), key, "action", "legacy"))
+
+
 def missing_entries(rows: DataFrame, log: DataFrame, key: str, action: str) -> DataFrame:
     """Legacy entries for rows that the log doesn't name yet; none on a second run."""
     known = log.where((F.col("action") == action) & F.col(key).isNotNull()).select(key)

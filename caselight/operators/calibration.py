@@ -1,62 +1,108 @@
-"""Calibration of scores: isotonic fits on a grid, the choice of a method, profiles of sites, cross-fits, and resampling of subjects."""
+"""Calibration of scores: isotonic fits, the choice of a method, storable profiles, sites, cross-fits, and resampling of subjects."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselight.functions.columns import apply_temperature, hash_uniform, sigmoid
 from caselight.operators import metrics as M
+from caselight.operators.gates import report_failures
 
-#: Steps of the grid on which isotonic fits are made; it bounds a fit whatever the number of rows.
-LEVELS = 200
+#: The least rows of a held-out part, and how calibrators are tried, in the order that decides ties.
+LEAST_HELD, METHODS = 20, ("identity", "temperature", "isotonic")
 #: The distribution function of a Poisson variable of mean one.
 POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
 
 
-def level_of(p: Column, levels: int) -> Column:
-    return F.floor(p * levels + 0.5).cast("int")
+def fit_isotonic(df: DataFrame, score: str, y: str) -> IsotonicRegressionModel:
+    """The isotonic fit of y on score. Equal scores are pooled first, so only distinct scores with their means and counts are fitted."""
+    pooled = df.groupBy(F.col(score).cast("double").alias("features")).agg(F.avg(F.col(y).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
+    return IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(pooled)
 
 
-def fit_isotonic(df: DataFrame, prob: str, y: str, levels: int = LEVELS) -> DataFrame:
-    """(level, fitted) for each level seen: at each level the largest, over starts, of the least mean from there to any end."""
-    grid = df.groupBy(level_of(F.col(prob), levels).alias("level")).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count("*").alias("n"))
-    upto = W.partitionBy().orderBy("level")  # over the grid
-    cum = grid.select("level", "s", "n", F.sum("s").over(upto).alias("cs"), F.sum("n").over(upto).alias("cn"))
-    start = cum.select(F.col("level").alias("a"), (F.col("cs") - F.col("s")).alias("as"), (F.col("cn") - F.col("n")).alias("an"))
-    pairs = start.join(cum.select("level", "cs", "cn"), F.col("a") <= F.col("level")).withColumn("mean", (F.col("cs") - F.col("as")) / (F.col("cn") - F.col("an")))
-    least = F.min("mean").over(W.partitionBy("a").orderBy(F.desc("level")).rowsBetween(W.unboundedPreceding, 0))
-    return pairs.withColumn("least", least).groupBy("level").agg(F.max("least").alias("fitted"))
+def apply_isotonic(df: DataFrame, score: str, model: IsotonicRegressionModel, name: str = "calibrated") -> DataFrame:
+    """Adds the fitted value: a straight line between knots, the ends beyond them, within [0, 1]."""
+    own = df.withColumn("_score", F.col(score).cast("double"))
+    fitted = model.copy({model.featuresCol: "_score", model.predictionCol: name}).transform(own).drop("_score")
+    return fitted.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(name))))
 
 
-def isotonic_grid(fit: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """(level, fitted) for every level: between levels seen a straight line, beyond them the nearest."""
-    every = fit.sparkSession.range(levels + 1).select(F.col("id").cast("int").alias("level")).join(fit, "level", "left")
-    at = F.when(F.col("fitted").isNotNull(), F.struct("level", "fitted"))
-    back, ahead = W.partitionBy().orderBy("level").rowsBetween(W.unboundedPreceding, 0), W.partitionBy().orderBy("level").rowsBetween(0, W.unboundedFollowing)
-    g = every.select("level", F.last(at, True).over(back).alias("l"), F.first(at, True).over(ahead).alias("r"))
-    share = F.try_divide(F.col("level") - F.col("l.level"), F.col("r.level") - F.col("l.level"))
-    return g.select("level", F.coalesce(F.col("l.fitted") + F.coalesce(share, F.lit(0.0)) * (F.col("r.fitted") - F.col("l.fitted")), "l.fitted", "r.fitted").alias("fitted"))
+def knots(model: IsotonicRegressionModel) -> tuple[list[float], list[float]]:
+    """The scores and fitted values that a stored profile holds."""
+    return model.boundaries.toArray().tolist(), model.predictions.toArray().tolist()
 
 
-def apply_isotonic(df: DataFrame, prob: str, fit: DataFrame, levels: int = LEVELS, name: str = "calibrated") -> DataFrame:
-    grid = isotonic_grid(fit, levels).withColumnsRenamed({"level": "_level", "fitted": name})
-    return df.withColumn("_level", level_of(F.col(prob), levels)).join(F.broadcast(grid), "_level", "left").drop("_level")
+def holdout(df: DataFrame, key: str, share: float = 0.3, seed: str = "holdout") -> tuple[DataFrame, DataFrame]:
+    """(fit, held) parts by a hash of the key."""
+    u = hash_uniform(seed, F.col(key))
+    return df.where(u >= share), df.where(u < share)
+
+
+def _degenerate(fit: DataFrame, held: DataFrame, y: str) -> bool:
+    count = lambda d: d.agg(F.count("*").alias("n"), F.count_if(F.col(y) == 1).alias("p")).first()
+    a, b = count(fit), count(held)
+    return b.n < LEAST_HELD or not b.p or not a.p
 
 
 def select_calibrator(fit: DataFrame, held: DataFrame, z: str, y: str) -> DataFrame:
-    """(method, ece, chosen): fitted on one part, measured on the other; of equals identity before temperature before isotonic."""
+    """(method, ece, chosen): fitted on one part, measured on the other; of equals identity before temperature before isotonic.
+
+    With fewer than LEAST_HELD rows held out, or a part without positives, temperature is chosen, and nothing is measured.
+    """
+    if _degenerate(fit, held, y):
+        return fit.sparkSession.createDataFrame([(m, None, m == "temperature") for m in METHODS], "method string, ece double, chosen boolean")
     t = M.fit_temperature(fit, z, y)
     p = held.withColumn("_identity", sigmoid(F.col(z))).crossJoin(F.broadcast(t)).withColumn("_temperature", apply_temperature(F.col(z), F.col("temperature")))
-    iso = fit_isotonic(fit.withColumn("_p", sigmoid(F.col(z))), "_p", y)
-    p = apply_isotonic(p, "_identity", iso, name="_isotonic")
-    long = p.select(F.col(y).alias("y"), F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(m).alias("method"), F.col(f"_{m}").alias("p")) for k, m in enumerate(("identity", "temperature", "isotonic"))])).alias("m")).select("y", "m.*")
-    found = M.ece(long, "y", "p", by=["rank", "method"])
+    p = apply_isotonic(p, z, fit_isotonic(fit, z, y), "_isotonic")
+    arms = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(m).alias("method"), F.col(f"_{m}").alias("p")) for k, m in enumerate(METHODS)])
+    found = M.ece(p.select(F.col(y).alias("y"), F.explode(arms).alias("m")).select("y", "m.*"), "y", "p", by=["rank", "method"])
     best = found.agg(F.min_by("method", F.struct(F.round("ece", 9), F.col("rank"))).alias("best"))
     return found.crossJoin(F.broadcast(best)).select("method", "ece", (F.col("method") == F.col("best")).alias("chosen"))
 
 
+PROFILE = "method string, temperature double, isotonic_x array<double>, isotonic_y array<double>, held_out_ece double, threshold double, band_low double, band_high double, n long, positives long, fingerprint string"
+
+
+def fit_profile(df: DataFrame, key: str, z: str, y: str, target: float = 0.9, coverage: float = 0.85, seed: str = "holdout") -> DataFrame:
+    """One storable row (PROFILE) fitted on df: the calibrator with the least held-out error, its parameters, the operating point at
+    the target sensitivity and the abstention band of calibrated probabilities, the sizes, and a fingerprint of the rows used."""
+    spark, (fit, held) = df.sparkSession, holdout(df, key, seed=seed)
+    whole = _degenerate(fit, held, y)
+    chosen = {r.method: r.ece for r in select_calibrator(fit, held, z, y).where("chosen").collect()}  # one row
+    method = next(iter(chosen))
+    temperature = M.fit_temperature(df if whole else fit, z, y).first()[0]
+    xs, ys = ([], []) if whole else knots(fit_isotonic(fit, z, y))
+    stored = spark.createDataFrame([(method, temperature, xs, ys)], "method string, temperature double, isotonic_x array<double>, isotonic_y array<double>")
+    p = calibrated(df, z, stored, "_p")
+    cut = M.threshold_at_sensitivity(p, y, "_p", target).first()[0]
+    band = M.abstention_bands(p, "_p", min(max(cut, 1e-6), 1 - 1e-6), [coverage]).first()
+    size = df.agg(F.count("*").alias("n"), F.count_if(F.col(y) == 1).alias("p"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.bit_xor(F.xxhash64(F.col(key).cast("string"), F.col(y)))), 256).alias("f")).first()
+    return spark.createDataFrame([(method, temperature, xs, ys, chosen[method], cut, band.low, band.high, size.n, size.p, size.f)], PROFILE)
+
+
+def calibrated(df: DataFrame, z: str, stored: DataFrame, name: str = "calibrated") -> DataFrame:
+    """Adds the probability that a stored profile (one row) gives: by isotonic knots, by its temperature, or as the model has it."""
+    fields = ["method", "temperature", "isotonic_x", "isotonic_y"]
+    p = stored.select(F.struct(*fields).alias("_profile"))
+
+    @F.pandas_udf("double")
+    def between(score: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
+        if not len(score) or not len(xs.iloc[0]):
+            return pd.Series([None] * len(score), dtype="float64")
+        return pd.Series(np.clip(np.interp(score.to_numpy(dtype=float), xs.iloc[0], ys.iloc[0]), 0.0, 1.0)).where(score.notna().to_numpy())
+
+    j = df.crossJoin(F.broadcast(p))
+    method = F.col("_profile.method")
+    iso = between(F.col(z).cast("double"), F.col("_profile.isotonic_x"), F.col("_profile.isotonic_y"))
+    if stored.select("method").first()[0] != "isotonic":
+        return j.withColumn(name, F.when(method == "temperature", apply_temperature(F.col(z), F.col("_profile.temperature"))).otherwise(sigmoid(F.col(z)))).drop("_profile")
+    return j.withColumn(name, iso).drop("_profile")
+
+
 def profile(df: DataFrame, z: str, y: str, target: float = 0.9) -> DataFrame:
     """(temperature, threshold): one row, fitted on df."""
     return M.fit_temperature(df, z, y).crossJoin(M.threshold_at_sensitivity(df, y, z, target))
@@ -85,6 +131,25 @@ def recalibrated(train: DataFrame, locked: DataFrame, z: str, y: str, target: fl
     return profile_score(locked, z, y, profile(train, z, y, target))
 
 
+def profile_report(df: DataFrame, z: str, y: str, stored: DataFrame) -> DataFrame:
+    """One row: a stored profile measured on df, with tp, fp, tn, fn, rates, AUROC, the calibration error, and the share outside its band."""
+    p = calibrated(df, z, stored, "_p").crossJoin(F.broadcast(stored.select("threshold", "band_low", "band_high")))
+    c = M.confusion(p, y, "_p", F.col("threshold"), ["threshold"])
+    outside = p.agg(F.avg(((F.col("_p") <= F.col("band_low")) | (F.col("_p") >= F.col("band_high"))).cast("double")).alias("coverage"))
+    return c.crossJoin(M.auroc(df, y, z).select("auroc")).crossJoin(M.ece(p, y, "_p")).crossJoin(outside)
+
+
+def recalibrate(train: DataFrame, locked: DataFrame, current: DataFrame, key: str, z: str, y: str, target: float = 0.9) -> DataFrame:
+    """(profile, ..., failures): the current profile and one fitted on the train part, both measured on the locked part, with every reason of
+    the acceptance rule against serving it; the current profile stays stored whatever comes out."""
+    recalibrated(train, locked, z, y, target)  # refuses parts that are too small
+    rows = []
+    for name, stored in (("current", current), ("candidate", fit_profile(train, key, z, y, target))):
+        report = profile_report(locked, z, y, stored)
+        rows.append(report.select(F.lit(name).alias("profile"), "*", F.array_sort(report_failures(F.struct(*report.columns), "locked")).alias("failures")))
+    return rows[0].unionByName(rows[1])
+
+
 def crossfit(df: DataFrame, key: str, z: str, y: str, target: float = 0.9, repeats: int = 5, folds: int = 2) -> DataFrame:
     """(repeat, fold, n, threshold, sensitivity, specificity): the threshold of the other folds measured on each fold."""
     runs = df.select(key, z, y, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))

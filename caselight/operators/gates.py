@@ -60,8 +60,9 @@ def combined_gate(df: DataFrame, threshold: float) -> DataFrame:
     return df.withColumn("reasons", reasons).withColumn("gradable", F.size("reasons") == 0).withColumn("source", source)
 
 
-def checked_verdicts(verdicts: DataFrame, preds: DataFrame, note: str | None = None) -> DataFrame:
-    """Adds problem (null if valid) and agreed, which is null unless verdict and decision are both REFER or ROUTINE. Notes are cut to 2000 characters."""
+def checked_verdicts(verdicts: DataFrame, preds: DataFrame, note: str | None = None, findings: str | None = None, codes: tuple[str, ...] = ()) -> DataFrame:
+    """Adds problem (null if valid) and agreed, which is null unless verdict and decision are both REFER or ROUTINE. Notes are cut to 2000
+    characters. findings is an array column, all of whose values must be among codes."""
     known = preds.select("case_id", "decision")
     j = verdicts.join(known, "case_id", "left")
     verdict, call = F.col("verdict"), ("REFER", "ROUTINE")
@@ -69,6 +70,9 @@ def checked_verdicts(verdicts: DataFrame, preds: DataFrame, note: str | None = N
         F.when(F.col("decision").isNull(), "unknown case").when(verdict.isNull() | ~verdict.isin(*call, "UNGRADABLE"), "unknown verdict")
         .when(~F.col("grade").between(0, 4), "grade out of range").when((verdict == "UNGRADABLE") & (F.col("grade").isNotNull() | F.col("dme").isNotNull()), "ungradable with a finding")
     )
+    if findings:
+        unknown = F.size(F.array_except(F.coalesce(findings, F.array().cast("array<string>")), F.array(*[F.lit(c) for c in codes]).cast("array<string>"))) > 0
+        problem = F.coalesce(problem, F.when(unknown, "unknown finding"))
     agreed = F.when(problem.isNull() & verdict.isin(*call) & F.col("decision").isin(*call), verdict == F.col("decision"))
     j = j.withColumn("problem", problem).withColumn("agreed", agreed)
     return j.withColumn(note, F.substring(note, 1, 2000)) if note else j

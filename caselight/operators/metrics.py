@@ -25,7 +25,7 @@ def confusion(df: DataFrame, y: str, score: str, threshold: float | Column, by:
     )
 
 
-def prefix_sums(df: DataFrame, order: str, values: list[str], by: list[str] = []) -> DataFrame:  # noqa: B006
+def prefix_sums(df: DataFrame, order: str, values: list[str], by: list[str] = [], ranged: bool = False) -> DataFrame:  # noqa: B006
     """Per distinct value of `order`, descending: the sums of values there and, as cum_*, at it and above.
 
     Distinct values are cut into ranges; ranges get offsets from their sums and are sorted on their own, so that no single
@@ -39,16 +39,20 @@ def prefix_sums(df: DataFrame, order: str, values: list[str], by: list[str] = []
     above = W.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(*by, "_range", *[F.coalesce(F.sum("_" + v).over(above), F.lit(0)).alias("_" + v) for v in values])
     inside = W.partitionBy(*by, "_range").orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
-    return rows.join(offsets, [*by, "_range"]).select(*by, order, *values, *[(F.sum(v).over(inside) + F.col("_" + v)).alias("cum_" + v) for v in values])
+    found = rows.join(offsets, [*by, "_range"]).select(*by, "_range", order, *values, *[(F.sum(v).over(inside) + F.col("_" + v)).alias("cum_" + v) for v in values])
+    return found if ranged else found.drop("_range")
 
 
 def _marks(df: DataFrame, y: str) -> DataFrame:
     return df.withColumn("pos", (F.col(y) == 1).cast("long")).withColumn("neg", (F.col(y) != 1).cast("long"))
 
 
-def auroc(df: DataFrame, y: str, score: str, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """(by, auroc, auprc): by ranks with ties shared, and average precision; null with one class."""
-    sums = prefix_sums(_marks(df, y), score, ["pos", "neg"], by)
+def auroc(df: DataFrame, y: str, score: str, by: list[str] = [], weight: str | None = None) -> DataFrame:  # noqa: B006
+    """(by, auroc, auprc): by ranks with ties shared, and average precision; null with one class. Rows may have weights."""
+    marked = _marks(df, y)
+    if weight:
+        marked = marked.withColumns({c: F.col(c) * F.col(weight) for c in ("pos", "neg")})
+    sums = prefix_sums(marked, score, ["pos", "neg"], by)
     won = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0))
     total = F.sum("pos").cast("double"), F.sum("neg").cast("double")
     precision = F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
@@ -57,12 +61,19 @@ def auroc(df: DataFrame, y: str, score: str, by: list[str] = []) -> DataFrame:
 
 def roc_points(df: DataFrame, y: str, score: str, drop: bool = True) -> DataFrame:
     """(threshold, fpr, tpr, fps, tps): without points on a straight line between neighbours, after a first point (0, 0, inf)."""
-    sums = prefix_sums(_marks(df, y), score, ["pos", "neg"]).select(F.col(score).cast("double").alias("threshold"), F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"))
-    order = W.partitionBy().orderBy(F.desc("threshold"))  # over distinct scores
+    sums = prefix_sums(_marks(df, y), score, ["pos", "neg"], ranged=True)
+    sums = sums.select("_range", F.col(score).cast("double").alias("threshold"), F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"))
     if drop:
-        side = lambda c, f: f(c).over(order)
-        bend = lambda c: side(c, F.lead) - F.col(c) != F.col(c) - side(c, F.lag)
-        sums = sums.withColumn("keep", F.coalesce(bend("fps") | bend("tps"), F.lit(True))).where("keep").drop("keep")
+        # Neighbours come from the own range; at its ends from the last and first rows of the ranges beside it, one row a range.
+        point = F.struct("fps", "tps")
+        ends = sums.groupBy("_range").agg(F.max_by(point, "threshold").alias("top"), F.min_by(point, "threshold").alias("bottom"))
+        order = W.partitionBy().orderBy(F.desc("_range"))  # over at most RANGES rows
+        ends = ends.select("_range", F.lag("bottom").over(order).alias("above"), F.lead("top").over(order).alias("below"))
+        own = W.partitionBy("_range").orderBy(F.desc("threshold"))
+        near = sums.join(F.broadcast(ends), "_range").withColumn("above", F.coalesce(F.lag(point).over(own), "above")).withColumn("below", F.coalesce(F.lead(point).over(own), "below"))
+        bend = lambda c: F.col("below")[c] - F.col(c) != F.col(c) - F.col("above")[c]
+        sums = near.where(F.coalesce(bend("fps") | bend("tps"), F.lit(True)))
+    sums = sums.select("threshold", "tps", "fps")
     first = sums.limit(1).select(F.lit(float("inf")).alias("threshold"), (F.col("tps") * 0).alias("tps"), (F.col("fps") * 0).alias("fps"))
     points = first.unionByName(sums)
     top = sums.agg(F.max("tps").alias("p"), F.max("fps").alias("n"))
@@ -134,7 +145,7 @@ def fit_temperature(df: DataFrame, z: str, y: str, lo: float = 0.05, hi: float =
         return grouped.crossJoin(F.broadcast(grid)).groupBy("t").agg(F.round(loss, 6).alias("loss")).agg(F.min_by("t", F.struct("loss", "t"))).first()[0]
 
     first = best(lo, hi, n)
-    step = (hi - lo) / (n - 1)
+    step = (hi - lo) / n
     return spark.createDataFrame([(best(max(lo, first - step), min(hi, first + step), fine),)], "temperature double")
 
 

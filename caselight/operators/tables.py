@@ -88,21 +88,33 @@ def pseudonymise(preds: DataFrame, key_hex: str) -> DataFrame:
     return rows.withColumn("split", locked_split(F.col("subject_code")))
 
 
-def hamming_pairs(df: DataFrame, key: str, bits: str, distance: int) -> DataFrame:
-    """Pairs of rows at most `distance` bits apart: they agree in one of distance + 1 bands of the 64 bits."""
-    bands = distance + 1
-    cut = [(64 * k // bands, 64 * (k + 1) // bands) for k in range(bands)]
-    part = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.col(bits), a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("part")) for k, (a, b) in enumerate(cut)])
-    banded = df.select(F.col(key).alias("k"), F.col(bits).alias("x"), F.explode(part).alias("p"))
+def hamming_pairs(df: DataFrame, key: str, bits: str | list[str], distance: int) -> DataFrame:
+    """(a, b, distance) of pairs of rows at most `distance` bits apart, by one long of bits or several.
+
+    Of distance + 1 bands such pairs agree in one; the bands are dealt over the words, so that each lies within a word. A pair is
+    given out by the first band in which it agrees. Selective if words x 64 / (distance + 1) bits are many, such as 19 of 256 at 12.
+    """
+    words = [bits] if isinstance(bits, str) else list(bits)
+    share = [(distance + 1) * k // len(words) for k in range(len(words) + 1)]
+    cuts = [(w, 64 * j // n, 64 * (j + 1) // n) for w, n in enumerate(b - a for a, b in zip(share[:-1], share[1:], strict=True)) for j in range(n)]
+    cut = lambda x, w, a, b: x[w] if b - a == 64 else F.shiftrightunsigned(x[w], a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+    rows = df.select(F.col(key).alias("k"), F.array(*[F.col(w) for w in words]).alias("x"))
+    part = F.array(*[F.struct(F.lit(n).alias("band"), cut(F.col("x"), *c).alias("part")) for n, c in enumerate(cuts)])
+    banded = rows.select("k", "x", F.explode(part).alias("p"))
     other = banded.select(F.col("k").alias("k2"), F.col("x").alias("x2"), "p")
-    near = F.bit_count(F.col("x").bitwiseXOR(F.col("x2")))
-    return banded.join(other, "p").where((F.col("k") < F.col("k2")) & (near <= distance)).select(F.col("k").alias("a"), F.col("k2").alias("b"), near.alias("distance")).distinct()
+    near = sum((F.bit_count(F.col("x")[w].bitwiseXOR(F.col("x2")[w])) for w in range(1, len(words))), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("x2")[0])))
+    first = F.coalesce(*[F.when(cut(F.col("x"), *c) == cut(F.col("x2"), *c), F.lit(n)) for n, c in enumerate(cuts)])
+    found = banded.join(other, "p").where((F.col("k") < F.col("k2")) & (near <= distance) & (first == F.col("p.band")))
+    return found.select(F.col("k").alias("a"), F.col("k2").alias("b"), near.cast("int").alias("distance"))
 
 
 def early_stop(history: DataFrame, run: str, epoch: str, metric: str, patience: int = 7) -> DataFrame:
-    """By run: the epoch of the first strict maximum, and the first epoch at which it is `patience` old."""
+    """By run: the epoch of the first strict maximum, and the first epoch at which it is `patience` old. A metric that is null, NaN or
+    infinite counts as minus infinity."""
     upto = W.partitionBy(run).orderBy(epoch).rowsBetween(W.unboundedPreceding, 0)
-    best = F.max(F.struct(F.col(metric), -F.col(epoch))).over(upto)
+    value = F.col(metric).cast("double")
+    finite = F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), F.lit(float("-inf"))).otherwise(value)
+    best = F.max(F.struct(finite, -F.col(epoch))).over(upto)
     rows = history.withColumn("best", -best["col2"])
     stop = rows.where(F.col(epoch) - F.col("best") >= patience).groupBy(run).agg(F.min(epoch).alias("stop_epoch"))
     kept = rows.join(stop, run, "left").where(F.col("stop_epoch").isNull() | (F.col(epoch) <= F.col("stop_epoch")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from caselight.functions import columns as C
 from caselight.operators import calibration as K
 from caselight.operators import metrics as M
+from caselight.operators import reports as R
 from caselight.operators import tables as O
 from caselight.plans.catalog import _CONFUSION, _DIVIDED, ORACLES, VIEWS, _auroc, _hash, _U, query
 from caselight.sources import bridge as B
@@ -20,16 +21,20 @@ def _temperature_sql(name: str, src: str) -> str:
       from (select logit as z, y, count(*) as n from {src} group by 1, 2), {grid}) group by t)"""
     step = "((10 - 0.05::double) / 399)"
     first = loss(f"(select 0.05::double + i * {step} as t from range(400) r(i))")
-    lo, hi = f"greatest(0.05::double, t - {step})", f"least(10::double, t + {step})"
+    lo, hi = "greatest(0.05::double, t - (10 - 0.05::double) / 400)", "least(10::double, t + (10 - 0.05::double) / 400)"
     return f"{name}_a as ({first}), {name} as ({loss(f'(select {lo} + i * (({hi} - {lo}) / 49) as t from {name}_a, range(50) r(i))')})"
 
 
-def _isotonic_sql(name: str, src: str, p: str) -> str:
-    """CTEs that end in {name}(level, fitted) over all levels."""
-    return f"""{name}_g as (select cast(floor({p} * 200 + 0.5) as int) as level, sum(y)::double as s, count(*) as n from {src} group by 1), {name}_c as (select *, sum(s) over w as cs, sum(n) over w as cn from {name}_g window w as (order by level)),
-    {name}_f as (select level, max(least_mean) as fitted from (select b.level, min((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)::double) over (partition by a.level order by b.level desc) as least_mean from {name}_c a join {name}_c b on a.level <= b.level) group by 1),
-    {name} as (select level, coalesce(lf + coalesce((level - ll) / nullif(rl - ll, 0)::double, 0) * (rf - lf), lf, rf) as fitted from (select r.level, max(f.level) filter (f.level <= r.level) as ll, arg_max(f.fitted, f.level) filter (f.level <= r.level) as lf, min(f.level) filter (f.level >= r.level) as rl, arg_min(f.fitted, f.level) filter (f.level >= r.level) as rf
-      from (select cast(i as int) as level from range(201) r(i)) r cross join {name}_f f group by 1))"""
+def _isotonic_sql(name: str, src: str) -> str:
+    """CTEs that end in {name}(x, fitted) over the distinct scores: the largest, over starts, of the least mean from there to any end."""
+    return f"""{name}_g as (select logit as x, sum(y)::double as s, count(*) as n from {src} group by 1), {name}_c as (select *, sum(s) over w as cs, sum(n) over w as cn from {name}_g window w as (order by x)),
+    {name} as (select x, max(least_mean) as fitted from (select b.x, min((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)::double) over (partition by a.x order by b.x desc) as least_mean from {name}_c a join {name}_c b on a.x <= b.x) group by 1)"""
+
+
+def _between_sql(rows: str, iso: str) -> str:
+    """rows with fitted: a straight line between the fitted scores beside each, the ends beyond them."""
+    return f"""(select r.*, case when l.x is null then u.fitted when u.x is null or u.x = l.x then l.fitted else l.fitted + (r.logit - l.x) / (u.x - l.x) * (u.fitted - l.fitted) end as fitted
+      from {rows} r asof left join {iso} l on r.logit >= l.x asof left join {iso} u on r.logit <= u.x)"""
 
 
 def _ece_sql(src: str, p: str) -> str:
@@ -39,23 +44,44 @@ def _ece_sql(src: str, p: str) -> str:
 ORACLES["fit_temperature"] = VIEWS + ", " + _temperature_sql("tt", "b_cases") + " select round(t, 6) as temperature from tt"
 
 
-@query(", " + _isotonic_sql("iso", "b_cases", "prob") + " select level, round(fitted, 6) as fitted from iso")
+@query(", " + _isotonic_sql("iso", "b_cases") + " select round(x, 6) as logit, round(fitted, 6) as fitted from iso")
 def fit_isotonic(spark, d):
-    return K.isotonic_grid(K.fit_isotonic(B.cases(spark, d), "prob", "y"))
+    c = B.cases(spark, d)
+    return K.apply_isotonic(c.select("logit").distinct(), "logit", K.fit_isotonic(c, "logit", "y"), "fitted")
 
 
-@query(", " + _isotonic_sql("iso", "b_cases", "prob") + " select case_id, round(fitted, 6) as calibrated from b_cases join iso on level = cast(floor(prob * 200 + 0.5) as int)")
+@query(", part as (select * from b_cases where device in ('click', 'view')), " + _isotonic_sql("iso", "part") + " select case_id, round(fitted, 6) as calibrated from " + _between_sql("b_cases", "iso"))
 def apply_isotonic(spark, d):
     c = B.cases(spark, d)
-    return K.apply_isotonic(c, "prob", K.fit_isotonic(c, "prob", "y")).select("case_id", "calibrated")
+    return K.apply_isotonic(c, "logit", K.fit_isotonic(c.where("device in ('click', 'view')"), "logit", "y")).select("case_id", "calibrated")
+
 
+_PARTS = f""", fit as (select *, {_SIG('logit')} as p from b_cases where {_U('holdout', 'case_id')} >= 0.3), held as (select *, {_SIG('logit')} as p from b_cases where {_U('holdout', 'case_id')} < 0.3),
+{_temperature_sql('tt', 'fit')}, {_isotonic_sql('iso', 'fit')}, m as (select 'identity' as method, 0 as k, {_ece_sql('held', 'p')} as ece union all select 'temperature', 1, {_ece_sql('(select * from held, tt)', _SIG('logit / t'))}
+union all select 'isotonic', 2, {_ece_sql(_between_sql('held', 'iso'), 'fitted')})"""
 
-@query(f""", fit as (select *, {_SIG('logit')} as p from b_cases where {_U('holdout', 'case_id')} >= 0.3), held as (select *, {_SIG('logit')} as p from b_cases where {_U('holdout', 'case_id')} < 0.3),
-{_temperature_sql('tt', 'fit')}, {_isotonic_sql('iso', 'fit', 'p')}, m as (select 'identity' as method, 0 as k, {_ece_sql('held', 'p')} as ece union all select 'temperature', 1, {_ece_sql('(select * from held, tt)', _SIG('logit / t'))}
-union all select 'isotonic', 2, {_ece_sql('(select * from held join iso on level = cast(floor(p * 200 + 0.5) as int))', 'fitted')}) select method, round(ece, 6) as ece, k = (select arg_min(k, {{'a': round(ece, 9), 'b': k}}) from m) as chosen from m""")
+
+@query(_PARTS + " select method, round(ece, 6) as ece, k = (select arg_min(k, {'a': round(ece, 9), 'b': k}) from m) as chosen from m")
 def calibrator_select(spark, d):
-    c = B.cases(spark, d).withColumn("u", C.hash_uniform("holdout", F.col("case_id")))
-    return K.select_calibrator(c.where("u >= 0.3"), c.where("u < 0.3"), "logit", "y")
+    return K.select_calibrator(*K.holdout(B.cases(spark, d), "case_id"), "logit", "y")
+
+
+@query(_PARTS + f""", best as (select arg_min(method, {{'a': round(ece, 9), 'b': k}}) as method from m)
+select case_id, (select method from best) as method, round(case (select method from best) when 'identity' then {_SIG('logit')} when 'temperature' then {_SIG('logit / (select t from tt)')} else greatest(0, least(1, fitted)) end, 6) as probability from {_between_sql('b_cases', 'iso')}""")
+def calibrator_apply(spark, d):
+    """All cases under a stored profile: the calibrator that is best on held-out cases, its parameters, threshold and band."""
+    c = B.cases(spark, d)
+    profile = K.fit_profile(c, "case_id", "logit", "y")
+    return K.calibrated(c, "logit", profile, "probability").crossJoin(F.broadcast(profile.select("method"))).select("case_id", "method", "probability")
+
+
+@query()
+def recalibrate_site(spark, d):
+    """The current profile and a candidate of other devices on locked cases, with the reasons against serving each."""
+    c = B.cases(spark, d)
+    current = K.fit_profile(c.where("device in ('click', 'view')"), "case_id", "logit", "y")
+    rows = K.recalibrate(c.where("device <> 'signup'"), c.where("device = 'signup'"), current, "case_id", "logit", "y")
+    return rows.withColumn("failures", F.array_join("failures", "; "))
 
 
 def _threshold_sql(name: str, src: str) -> str:
@@ -128,7 +154,10 @@ def full_report(spark, d):
     return K.full_report(B.cases(spark, d), "y", "logit", "prob", "subject")
 
 
-@query(f"""select tp, fp, tn, fn, round(tp / nullif(tp + fn, 0), 6) as sensitivity, round(tn / nullif(tn + fp, 0), 6) as specificity from (select {_CONFUSION} from (select prob as s, 0.4 + (case_id % 5) * 0.05 as t, y from b_cases))""")
+_ONE = _auroc("1 as one", "(select logit as s, y from b_cases)").replace("group by 1 as one", "").replace("partition by 1 as one ", "")
+
+
+@query(f"""select {_DIVIDED}, round(auroc, 6) as auroc, round({_ece_sql('b_cases', 'prob')}, 6) as ece from (select {_CONFUSION} from (select prob as s, 0.4 + (case_id % 5) * 0.05 as t, y from b_cases)) cross join {_ONE}""")
 def oof_report(spark, d):
     cut = (40 + (F.col("case_id") % 5) * 5) / F.lit(100.0)
-    return M.confusion(B.cases(spark, d), "y", "prob", cut).select("tp", "fp", "tn", "fn", "sensitivity", "specificity")
+    return R.oof_report(B.cases(spark, d).withColumn("cut", cut), "y", "logit", "prob", "cut")

@@ -156,13 +156,6 @@ def subgroup_report(spark, d):
     return M.subgroups(B.cases(spark, d), "y", "prob", 0.5, ["device", "side", "age_group"])
 
 
-@query("select cast(grade as int) as grade, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 6) as percent from b_cases group by grade")
-def grade_distribution(spark, d):
-    c = B.cases(spark, d)
-    total = c.agg(F.count("*").alias("total"))
-    return c.groupBy("grade").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("grade", "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
-
-
 @query("select subject, max(grade) as grade from b_cases group by subject")
 def worst_grade(spark, d):
     return B.cases(spark, d).groupBy("subject").agg(F.max("grade").alias("grade"))
@@ -185,22 +178,6 @@ def repeat_mean_sd(spark, d):
     return B.cases(spark, d).groupBy("device").agg(F.avg("logit").alias("mean"), F.stddev_pop("logit").alias("sd"))
 
 
-@query("""select 'blur_var' as metric, reject, round(quantile_cont(blur_var, 0.05), 6) as p5, round(quantile_cont(blur_var, 0.25), 6) as p25, round(quantile_cont(blur_var, 0.5), 6) as p50, round(quantile_cont(blur_var, 0.75), 6) as p75,
-  round(quantile_cont(blur_var, 0.95), 6) as p95 from b_quality group by reject union all select 'p_ungradable', reject, round(quantile_cont(p_ungradable, 0.05), 6), round(quantile_cont(p_ungradable, 0.25), 6), round(quantile_cont(p_ungradable, 0.5), 6), round(quantile_cont(p_ungradable, 0.75), 6), round(quantile_cont(p_ungradable, 0.95), 6) from b_quality group by reject""")
-def metric_percentiles(spark, d):
-    long = B.quality(spark, d).select("reject", F.explode(F.create_map(F.lit("blur_var"), "blur_var", F.lit("p_ungradable"), "p_ungradable")).alias("metric", "value"))
-    p = long.groupBy("metric", "reject").agg(F.percentile("value", F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)])).alias("p"))
-    return p.select("metric", "reject", *[F.element_at("p", k + 1).alias(n) for k, n in enumerate(("p5", "p25", "p50", "p75", "p95"))])
-
-
-@query(f"""select tp as caught, fn as missed, fp as false_rejects, round(tp / nullif(tp + fn, 0), 6) as catch_rate, round(fp / nullif(fp + tn, 0), 6) as false_reject_rate, round(auroc, 6) as auroc
-  from (select {_CONFUSION} from (select p_ungradable as s, 0.6 as t, reject as y from b_quality)) cross join {_auroc("1 as one", "(select p_ungradable as s, reject as y from b_quality)").replace("group by 1 as one", "").replace("partition by 1 as one ", "")}""")
-def gate_metrics(spark, d):
-    q = B.quality(spark, d)
-    c = M.confusion(q, "reject", "p_ungradable", 0.6).crossJoin(M.auroc(q, "reject", "p_ungradable"))
-    return c.select(F.col("tp").alias("caught"), F.col("fn").alias("missed"), F.col("fp").alias("false_rejects"), F.col("sensitivity").alias("catch_rate"), F.try_divide("fp", F.col("fp") + F.col("tn")).alias("false_reject_rate"), "auroc")
-
-
 def _bands_sql(src: str) -> str:
     cov = ", ".join(f"({c}::double)" for c in COVERAGES)
     return f"""(select c, case when c >= 1 then 0.5 else 1 / (1 + exp(cut)) end as low, case when c >= 1 then 0.5 else 1 / (1 + exp(-cut)) end as high from (select c, case {" ".join(f"when c = {c} then quantile_cont(dd, 1 - {c}::double)" for c in COVERAGES)} end as cut
@@ -265,13 +242,6 @@ def visit_heads(spark, d):
     return O.visit_heads(B.predictions(spark, d)).withColumns({c: F.col(c).cast("string") for c in ("first_utc", "last_utc")})
 
 
-@query(_SIDES + """select h.visit, subject, cases, decision, pending from (select visit, max(subject) as subject, count(*) as cases, count(*) filter (latest is null) as pending from outcomes group by 1) h join visits v on h.visit = v.visit""")
-def visit_list(spark, d):
-    o = O.effective_outcomes(B.predictions(spark, d), B.verdicts(spark, d))
-    heads = o.groupBy("visit").agg(F.max("subject").alias("subject"), F.count("*").alias("cases"), F.count_if(F.col("latest").isNull()).alias("pending"))
-    return heads.join(O.visit_decisions(o).select("visit", "decision"), "visit")
-
-
 @query("""select case_id, decision, round(probability, 6) as probability from b_predictions order by case decision when 'MANUAL_REVIEW' then 0 when 'REFER' then 1 else 2 end, probability desc nulls last, created desc, case_id desc limit 200""")
 def worklist(spark, d):
     return O.worklist(B.predictions(spark, d)).select("case_id", "decision", "probability")
@@ -283,60 +253,17 @@ def median_case(spark, d):
     return O.median_cases(B.predictions(spark, d), "decision", "probability", "case_id").select("decision", "median", "case_id")
 
 
-@query("select cast(grade as int) as grade, case_id from (select *, row_number() over (partition by grade order by case_id) as rk from b_predictions where gradable = 1) where rk <= 4")
-def top_n_per_grade(spark, d):
-    from pyspark.sql import Window as W
-
-    p = B.predictions(spark, d).where("gradable = 1").withColumn("rk", F.row_number().over(W.partitionBy("grade").orderBy("case_id")))
-    return p.where("rk <= 4").select("grade", "case_id")
-
-
 @query("select case_id, string_agg(verdict, '>' order by case_created, row_id) as history, count(*) as n from b_verdicts group by case_id")
 def case_timeline(spark, d):
     v = B.verdicts(spark, d).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("case_created", "row_id", "verdict"))).alias("v"))
     return v.select("case_id", F.array_join(F.col("v.verdict"), ">").alias("history"), F.size("v").cast("long").alias("n"))
 
 
-@query(f"select device, {_RATES} from outcomes group by device")
-def device_rates(spark, d):
-    return M.rates(B.predictions(spark, d), O.latest_verdict(B.verdicts(spark, d)), ["device"])
-
-
 @query(f"select strftime(created, '%G-W%V') as week, {_RATES} from outcomes group by 1")
 def weekly_rates(spark, d):
     return M.rates(B.predictions(spark, d).withColumn("week", C.iso_week(F.col("created"))), O.latest_verdict(B.verdicts(spark, d)), ["week"])
 
 
-@query(f"select case when created >= timestamp '2024-01-31' - interval 14 day then 'recent' else 'baseline' end as period, {_RATES} from outcomes where created >= timestamp '2024-01-31' - interval 90 day group by 1")
-def recent_vs_baseline(spark, d):
-    now = F.lit("2024-01-31").cast("timestamp")
-    p = B.predictions(spark, d).where(F.col("created") >= now - F.expr("interval 90 days"))
-    p = p.withColumn("period", F.when(F.col("created") >= now - F.expr("interval 14 days"), "recent").otherwise("baseline"))
-    return M.rates(p, O.latest_verdict(B.verdicts(spark, d)), ["period"])
-
-
-@query("""select count(*) as total, count(*) filter (decision = 'REFER') as refer, count(*) filter (decision = 'ROUTINE') as routine, count(*) filter (decision = 'MANUAL_REVIEW') as manual, count(*) filter (gradable = 0) as ungradable,
-  count(latest) as reviewed, round(avg(case when latest in ('REFER', 'ROUTINE') and decision in ('REFER', 'ROUTINE') then (case when latest = decision then 1.0::double else 0 end) end), 6) as agreement, round(coalesce(median(latency_ms), 0), 6) as median_latency from outcomes""")
-def ops_summary(spark, d):
-    o = O.effective_outcomes(B.predictions(spark, d), B.verdicts(spark, d))
-    both = F.col("latest").isin("REFER", "ROUTINE") & F.col("decision").isin("REFER", "ROUTINE")
-    of = lambda x: F.count_if(F.col("decision") == x)
-    return o.agg(
-        F.count("*").alias("total"), of("REFER").alias("refer"), of("ROUTINE").alias("routine"), of("MANUAL_REVIEW").alias("manual"), F.count_if(F.col("gradable") == 0).alias("ungradable"),
-        F.count("latest").alias("reviewed"), F.avg(F.when(both, (F.col("latest") == F.col("decision")).cast("double"))).alias("agreement"), F.coalesce(F.median("latency_ms"), F.lit(0.0)).alias("median_latency"),
-    )
-
-
-@query("""select decision, count(*) as n, count(*) filter (decision = 'MANUAL_REVIEW' and probability is null) as by_gate, count(*) filter (decision = 'MANUAL_REVIEW' and probability is not null) as by_band,
-  count(*) filter (decision = 'ROUTINE' and y = 1) as missed, count(*) filter (decision = 'REFER' and y = 0) as false_referrals from b_predictions group by decision""")
-def served_summary(spark, d):
-    m = F.col("decision") == "MANUAL_REVIEW"
-    return B.predictions(spark, d).groupBy("decision").agg(
-        F.count("*").alias("n"), F.count_if(m & F.col("probability").isNull()).alias("by_gate"), F.count_if(m & F.col("probability").isNotNull()).alias("by_band"),
-        F.count_if((F.col("decision") == "ROUTINE") & (F.col("y") == 1)).alias("missed"), F.count_if((F.col("decision") == "REFER") & (F.col("y") == 0)).alias("false_referrals"),
-    )
-
-
 _SPLIT = f""", subj as (select subject, max(grade) as stratum, {_U("split", "subject")} as u from b_cases group by subject),
 split as (select subject, cast(stratum as int) as stratum, case when sh < 0.7 then 'train' when sh < 0.85 then 'val' else 'test' end as split from
   (select *, (row_number() over (partition by stratum order by u, subject) - 0.5) / count(*) over (partition by stratum) as sh from subj)) """
@@ -373,14 +300,6 @@ def label_conflicts(spark, d):
     return O.label_conflicts(B.duplicates(spark, d), "content_md5", "grade", "row_id")
 
 
-@query("select row_id, rk from (select row_id, row_number() over (partition by content_md5 order by row_id) as rk, count(*) over (partition by content_md5) as n from b_dups) where n > 1")
-def keep_first_dup(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("content_md5")
-    return B.duplicates(spark, d).select("row_id", F.row_number().over(w.orderBy("row_id")).cast("long").alias("rk"), F.count("*").over(w).alias("n")).where("n > 1").drop("n")
-
-
 @query("select user_id, event_type, count(*) as n from events group by all having count(*) > 1")
 def duplicate_key_check(spark, d):
     return B.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).where("n > 1")
@@ -412,11 +331,6 @@ def early_stop(spark, d):
     return O.early_stop(h, "run", "epoch", "prob")
 
 
-@query("select case_id, gradable, round(prob, 6) as prob, case when gradable = 0 then 'MANUAL_REVIEW' when prob > 0.35 and prob < 0.65 then 'MANUAL_REVIEW' when prob >= 0.5 then 'REFER' else 'ROUTINE' end as decision from b_cases")
-def decision_rule(spark, d):
-    return B.predictions(spark, d).select("case_id", "gradable", "prob", "decision")
-
-
 @query("select q.item, q.filename from b_quality q where q.subject not in (select source from documents where doc_id % 97 = 0)")
 def filter_seen(spark, d):
     seen = B.table(spark, d, "documents").where("doc_id % 97 = 0").select(F.col("source").alias("subject")).distinct()
@@ -457,17 +371,6 @@ def split_site_half(spark, d):
     return O.halves_by_subject(B.cases(spark, d), "subject", "grade")
 
 
-@query(f"select case when {_U('holdout', 'case_id')} < 0.3 then 'holdout' else 'fit' end as part, count(*) as n, sum(y)::bigint as positives from b_cases group by 1")
-def calibration_holdout(spark, d):
-    part = F.when(C.hash_uniform("holdout", F.col("case_id")) < 0.3, "holdout").otherwise("fit")
-    return B.cases(spark, d).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
-
-
-@query("select case_id, round(1 / (1 + exp(-logit / 2.0::double)), 6) as probability from b_cases")
-def calibrator_apply(spark, d):
-    return B.cases(spark, d).select("case_id", C.apply_temperature(F.col("logit"), F.lit(2.0)).alias("probability"))
-
-
 @query(""", r as (select unnest(list_filter([case when blur_var < 500 then 'low sharpness: ' || blur_var end, case when p_ungradable > 0.6 then 'model (score)' end, case when reason_flag = 1 then 'flagged' end], lambda x: x is not null)) as reason from b_quality)
 select trim(split_part(split_part(reason, ':', 1), '(', 1)) as reason, count(*) as n from r group by 1""")
 def reject_reason_counts(spark, d):
@@ -478,36 +381,7 @@ def reject_reason_counts(spark, d):
     return O.reason_counts(q.select(reasons.alias("reasons")), "reasons")
 
 
-@query("select item, blur_var < 500 or blur_var > 20000 as rejected, concat_ws(';', case when blur_var < 500 then 'low sharpness' end, case when blur_var > 20000 then 'too bright' end) as reasons from b_quality")
-def quality_gate_rule(spark, d):
-    reasons = F.array_compact(F.array(F.when(F.col("blur_var") < 500, F.lit("low sharpness")), F.when(F.col("blur_var") > 20000, F.lit("too bright"))))
-    return B.quality(spark, d).select("item", (F.size(reasons) > 0).alias("rejected"), F.array_join(reasons, ";").alias("reasons"))
-
-
-@query("""select count(*) filter (p_ungradable >= 0.6 and reject = 1) as learned_caught, count(*) filter (p_ungradable >= 0.6 and reject = 0) as learned_false, count(*) filter (blur_var < 500 and reject = 1) as classical_caught,
-  count(*) filter (blur_var < 500 and reject = 0) as classical_false, count(*) filter (reject = 1) as rejects, count(*) as n from b_quality""")
-def gate_compare(spark, d):
-    hit = lambda c, y: F.count_if(c & (F.col("reject") == y))
-    learned, classical = F.col("p_ungradable") >= 0.6, F.col("blur_var") < 500
-    return B.quality(spark, d).agg(hit(learned, 1).alias("learned_caught"), hit(learned, 0).alias("learned_false"), hit(classical, 1).alias("classical_caught"), hit(classical, 0).alias("classical_false"), F.count_if(F.col("reject") == 1).alias("rejects"), F.count("*").alias("n"))
-
-
 @query("""select round(case when k < n then v else mn end, 6) as threshold, k < n as strict from (select count(*) as n, cast(floor(0.05 * count(*)) as bigint) as k, min(p_ungradable) as mn, list_sort(list(p_ungradable), 'DESC')[cast(floor(0.05 * count(*)) as bigint) + 1] as v
   from b_quality where reject = 0)""")
 def max_false_reject_threshold(spark, d):
     return M.max_false_reject_threshold(B.quality(spark, d), "reject", "p_ungradable", 0.05)
-
-
-@query(f"""select device, {_DIVIDED} from (select device, {_CONFUSION} from (select device, prob as s, 0.5 as t, y from b_cases where gradable = 1) group by device)""")
-def external_report(spark, d):
-    return M.confusion(B.cases(spark, d).where("gradable = 1"), "y", "prob", 0.5, ["device"])
-
-
-@query("""select v.visit, v.decision, h.pending from (select visit, count(*) filter (latest is null) as pending, max(created) as last_utc from outcomes group by 1) h join visits v on h.visit = v.visit
-  order by h.pending > 0 desc, case v.decision when 'MANUAL_REVIEW' then 0 when 'REFER' then 1 when 'INCOMPLETE' then 2 else 3 end, h.last_utc desc, v.visit limit 100""".replace("select v.visit", _SIDES + "select v.visit", 1))
-def visit_worklist(spark, d):
-    o = O.effective_outcomes(B.predictions(spark, d), B.verdicts(spark, d))
-    heads = o.groupBy("visit").agg(F.count_if(F.col("latest").isNull()).alias("pending"), F.max("created").alias("last_utc"))
-    rank = F.when(F.col("decision") == "MANUAL_REVIEW", 0).when(F.col("decision") == "REFER", 1).when(F.col("decision") == "INCOMPLETE", 2).otherwise(3)
-    rows = heads.join(O.visit_decisions(o), "visit").orderBy((F.col("pending") > 0).desc(), rank, F.desc("last_utc"), "visit").limit(100)
-    return rows.select("visit", "decision", "pending")
