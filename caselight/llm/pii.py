@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -41,13 +42,18 @@ PATTERNS = (
     ("ip", rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)"),
     ("ssn", r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"),
     ("date", rf"(?<=(?:[Bb]orn|DOB|dob|of birth|geboren|eburtsdatum|nacid[oa]|naissance|née?|родил(?:ся|ась)).{{0,12}}){_B}{_DATE}{_E}"),
-    ("address", rf"{_B}\d{{1,5}},? (?:{_CAP} ){{1,2}}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Drive|Boulevard|Blvd){_E}|{_B}\p{{Lu}}\p{{Ll}}+(?:straße|strasse|gasse|weg|platz) \d{{1,4}}[a-z]?{_E}"
-     rf"|{_B}(?:Calle|Avenida|Plaza) (?:de |del |de la )?{_CAP},? \d{{1,4}}{_E}|{_B}\d{{1,4}},? (?:rue|avenue|boulevard|place) (?:de |du |des |de la )?{_CAP}{_E}"),
+    ("address", rf"{_B}\d{{1,5}},? (?:{_CAP} ){{1,2}}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Drive|Boulevard|Blvd){_E}|{_B}\d{{1,4}},? (?:rue|avenue|boulevard|place) (?:de |du |des |de la )?{_CAP}{_E}"),
+    ("street", rf"{_B}\p{{Lu}}\p{{Ll}}++(?<=straße|strasse|gasse|weg|platz) \d{{1,4}}[a-z]?{_E}|{_B}(?:Calle|Avenida|Plaza) (?:de |del |de la )?{_CAP},? \d{{1,4}}{_E}"),
     ("phone", rf"(?<![\p{{L}}\p{{N}}+])(?:\+?\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?[ .-]\d{{3,4}}[ .-]?\d{{3,4}}|\+\d{{9,14}}|0\d(?:[ .]\d{{2}}){{4}}){_E}"),
     ("name", rf"{_B}(?:{_GIVEN}){_MORE}?{_E}|(?<={_B}(?:{'|'.join(TITLES)})\.? ){_CAP}{_MORE}{{0,2}}{_E}|(?<=(?:{'|'.join(LABELS)})){_CAP}{_MORE}{{0,2}}{_E}"),
 )
-ANY = "|".join(p for _, p in PATTERNS)
-SIEVE = rf"[0-9@]|{_B}(?:{_GIVEN}|{'|'.join(TITLES)}){_E}|{'|'.join(LABELS)}"
+#: Which kinds can begin with a capital, and which with a digit or a sign: a look at one character spares most places the others.
+_STARTS = ((r"(?=\p{Lu})", ("iban", "street", "name")), (r"(?=[0-9+])", ("card", "ip", "ssn", "date", "address", "phone")))
+_BY_KIND = dict(PATTERNS)
+ANY = "|".join([_BY_KIND["email"], *(f"{look}(?:{'|'.join(_BY_KIND[k] for k in kinds)})" for look, kinds in _STARTS)])
+SIEVE = rf"[0-9@]|(?=\p{{Lu}}){_B}(?:{_GIVEN}|{'|'.join(TITLES)}){_E}"
+#: Stands on both sides of an entity while a text is cut; texts that have this character themselves are cut in another way.
+MARK = "\ue0ff"
 #: Rounds of the permutations of digits, days and addresses.
 ROUNDS = 8
 #: Days from 1900 on that birth dates are permuted among, as two coordinates.
@@ -56,7 +62,7 @@ DAYS = (233, 235)
 
 def kind_of(value: Column) -> Column:
     """The first pattern that the whole value fulfils; dates and names are told by what stands before them, so names are the rest."""
-    tests = [(kind, _DATE if kind == "date" else p) for kind, p in PATTERNS[:-1]]
+    tests = [("address" if kind == "street" else kind, _DATE if kind == "date" else p) for kind, p in PATTERNS[:-1]]
     return F.coalesce(*[F.when(value.rlike(f"^(?:{p})$"), kind) for kind, p in tests], F.lit("name"))
 
 
@@ -277,9 +283,20 @@ def anonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     table: no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    doubtful = F.coalesce(F.col("text").rlike(SIEVE), F.lit(False))
-    pattern = lambda p: F.concat(F.lit(r"(?s)\G(.*?)("), p, F.lit(")"))  # noqa: E731  # \G: after the last match no other start is tried
-    cut = lambda p: (F.regexp_extract_all("text", pattern(p), 1).alias("gaps"), F.regexp_extract_all("text", pattern(p), 2).alias("found"))
+    labelled = [F.contains("text", F.lit(label)) for label in LABELS]
+    doubtful = F.coalesce(F.col("text").rlike(SIEVE) | reduce(Column.__or__, labelled), F.lit(False))
+
+    def cut(pattern: Column) -> tuple[Column, Column]:
+        """(gaps, found): one scan of the text puts marks around entities, by which it is split."""
+        parts = F.split(F.regexp_replace("text", F.concat(F.lit("(?s)(?:"), pattern, F.lit(")")), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+        own = lambda k: F.transform(F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["i"] % 2 == k), lambda s: s["x"])
+        # \G: after the last match no other start is tried
+        group = lambda k: F.regexp_extract_all("text", F.concat(F.lit(r"(?s)\G(.*?)("), pattern, F.lit(")")), F.lit(k))
+        marked = F.contains("text", F.lit(MARK))
+        even = own(0)
+        gaps = F.when(marked, group(1)).otherwise(F.slice(even, 1, F.greatest(F.size(even) - 1, F.lit(0))))
+        return gaps.alias("gaps"), F.when(marked, group(2)).otherwise(own(1)).alias("found")
+
     first = stored(rows.where(doubtful).select("doc_id", "text", *cut(F.lit(ANY))), "first-entities")
     given = F.array(*[F.lit(form) for names in NAMES.values() for n in names for form in (n, n.upper())])
     multi = F.filter("found", lambda v: v.rlike(rf"^{_CAP}(?: {_CAP})*$"))
