@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from caselight.functions.columns import code_share, hash_uniform, pseudonym
+from caselight.functions.columns import code_share, hash_uniform, locked_split, pseudonym
 from caselight.operators.store import written
 from caselight.operators.tables import hamming_pairs, latest_verdict, pseudonymise
 
@@ -76,21 +79,41 @@ def training_roles(base: DataFrame, local: DataFrame, code: str, split: str) ->
     return rows.unionByName(local.withColumn("origin", F.lit("local")).withColumn("role", role), allowMissingColumns=True)
 
 
-def snapshot(preds: DataFrame, verdicts: DataFrame, key_hex: str) -> DataFrame:
-    """Reviewed cases under pseudonyms: month instead of date, no names of graders, labels from the latest verdict."""
-    v = latest_verdict(verdicts).select(pseudonym(key_hex, "case", F.col("case_id")).alias("case_code"), F.col("verdict"), F.col("grade").alias("human_grade"), pseudonym(key_hex, "grader", F.col("grader")).alias("grader_code"))
-    base = pseudonymise(preds, key_hex).drop("referable", "gradable")
-    label = F.when(F.col("verdict") != "UNGRADABLE", (F.col("verdict") == "REFER").cast("int"))
-    return base.join(v, "case_code").withColumn("human_gradable", (F.col("verdict") != "UNGRADABLE").cast("int")).withColumn("human_referable", label)
+def snapshot(preds: DataFrame, verdicts: DataFrame, key_hex: str, available: DataFrame | None = None) -> DataFrame:
+    """Reviewed cases under pseudonyms: month instead of date, nothing of graders, labels from the latest verdict, the model's answer beside.
+
+    Cases join by their ids and are hashed afterwards. Cases without a subject, and those not in `available` (case_id of the images that
+    retention has left), are left out. A verdict's array `findings` is joined by semicolons.
+    """
+    v = latest_verdict(verdicts).select("case_id", "verdict", F.col("grade").alias("human_grade"), F.col("dme").alias("human_dme"))
+    if "findings" in verdicts.columns:
+        v = v.join(verdicts.groupBy("case_id").agg(F.max_by("findings", F.struct("case_created", "row_id")).alias("findings")), "case_id")
+    else:
+        v = v.withColumn("findings", F.array().cast("array<string>"))
+    rows = preds.where(F.col("subject").isNotNull()).join(v, "case_id")
+    if available is not None:
+        rows = rows.join(available.select("case_id").distinct(), "case_id", "left_semi")
+    code = lambda kind, c: pseudonym(key_hex, kind, c).alias(f"{kind}_code")
+    label = F.when(F.col("verdict") == "REFER", 1).when(F.col("verdict") == "ROUTINE", 0)
+    out = rows.select(
+        code("subject", F.col("subject")), code("case", F.col("case_id")), code("visit", F.coalesce("visit", F.lit(""))), "side", F.date_format("created", "yyyy-MM").alias("month"), "device", "verdict",
+        (F.col("verdict") != "UNGRADABLE").cast("int").alias("human_gradable"), label.alias("human_referable"), "human_grade", "human_dme", F.coalesce(F.array_join("findings", ";"), F.lit("")).alias("findings"),
+        F.col("decision").alias("model_decision"), F.col("probability").alias("model_probability"), F.col("gradable").alias("model_gradable"),
+    )
+    return out.withColumn("split", locked_split(F.col("subject_code")))
 
 
-def dataset_card(rows: DataFrame) -> DataFrame:
-    """One row that describes a snapshot."""
-    return rows.agg(
-        F.count("*").alias("images"), F.countDistinct("subject_code").alias("subjects"), F.countDistinct("visit_code").alias("visits"), F.countDistinct("grader_code").alias("graders"),
+def dataset_card(rows: DataFrame, graders: DataFrame | None = None) -> DataFrame:
+    """One row that describes a snapshot; graders is a table with their names, of which only the number is told."""
+    counts = rows.agg(
+        F.count("*").alias("images"), F.countDistinct("subject_code").alias("subjects"), F.countDistinct("visit_code").alias("visits"),
         F.array_join(F.array_sort(F.collect_set("month")), ",").alias("months"), F.count_if(F.col("split") == "locked_test").alias("locked"), F.countDistinct(F.when(F.col("split") == "locked_test", F.col("subject_code"))).alias("locked_subjects"),
-        F.count("human_grade").alias("graded"), F.count("human_referable").alias("with_label"), *[F.count_if(F.col("verdict") == v).alias(v.lower()) for v in ("REFER", "ROUTINE", "UNGRADABLE")],
+        F.count("human_grade").alias("graded"), F.count("human_referable").alias("with_label"), F.count("human_dme").alias("with_dme"), *[F.count_if(F.col("verdict") == v).alias(v.lower()) for v in ("REFER", "ROUTINE", "UNGRADABLE")],
     )
+    found = rows.select(F.explode(F.split("findings", ";")).alias("f")).where("f <> ''").groupBy("f").agg(F.count("*").alias("n"))  # a row for each known code
+    found = found.agg(F.array_join(F.array_sort(F.collect_list(F.concat("f", F.lit("="), F.col("n").cast("string")))), ",").alias("findings"))
+    n = graders.agg(F.countDistinct("grader").alias("graders")) if graders is not None else rows.sparkSession.createDataFrame([(None,)], "graders long")
+    return counts.crossJoin(F.broadcast(found)).crossJoin(F.broadcast(n))
 
 
 def learning_progress(rows: DataFrame, needs: tuple[int, int, int, int] = (20, 30, 30, 30)) -> DataFrame:
@@ -113,6 +136,14 @@ def reason_agreement(df: DataFrame, causes: list[str], threshold: float) -> Data
     return rows.agg(F.count("*").alias("rejected"), F.count_if(has).alias("named"), F.count_if(sure).alias("checked"), F.count_if(sure & F.try_element_at("named", F.lit(1))["ok"]).alias("first_confirmed"), F.count_if(sure & F.exists("named", lambda s: s["ok"])).alias("any_confirmed"))
 
 
+def reason_precision(df: DataFrame, causes: list[str], threshold: float) -> DataFrame:
+    """(cause, named, checked, confirmed, precision) of rejected rows: how often each cause was named, and of those with its label how often rightly."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("cause"), (F.col(f"p_{c}") >= threshold).alias("named"), F.col(f"has_{c}").alias("has")) for c in causes])).alias("c")
+    rows = df.select(each).select("c.*").where("named")
+    g = rows.groupBy("cause").agg(F.count("*").alias("named"), F.count("has").alias("checked"), F.count_if(F.col("has") == 1).alias("confirmed"))
+    return g.withColumn("precision", F.try_divide(F.col("confirmed"), F.col("checked").cast("double")))
+
+
 def address(c: Column) -> Column:
     """An IPv4 address (also one mapped into IPv6) as a number; null if it is none."""
     v4 = F.regexp_extract(F.lower(F.trim(c)), r"^(?:::ffff:)?(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", 0)
@@ -122,33 +153,60 @@ def address(c: Column) -> Column:
 
 
 def allowed_clients(log: DataFrame, ip: str, networks: list[str]) -> DataFrame:
-    """Adds allowed: in one of the IPv4 networks or a loopback; what can't be read is refused, a wrong network is an error."""
-    import ipaddress
+    """Adds allowed: in one of the networks of either version or a loopback; what can't be read is refused, a wrong network is an error."""
+    known = [ipaddress.ip_network(x) for x in [*networks, "127.0.0.0/8", "::1/128"]]
+    spans = [(int(n.network_address), int(n.broadcast_address)) for n in known if n.version == 4]
+    wide = [n for n in known if n.version == 6]
+
+    @F.pandas_udf("boolean")
+    def in_wide(values: pd.Series) -> pd.Series:
+        def one(value: str | None) -> bool:
+            try:
+                at = ipaddress.IPv6Address(value.strip()) if value and ":" in value else None
+            except ValueError:
+                at = None
+            return at is not None and at.ipv4_mapped is None and any(at in n for n in wide)
+
+        return values.map(one)
 
-    spans = [(int(n.network_address), int(n.broadcast_address)) for n in (ipaddress.IPv4Network(x) for x in [*networks, "127.0.0.0/8"])]
     at = address(F.col(ip))
-    hit = F.trim(F.col(ip)) == "::1"
+    hit = F.lit(False)
     for lo, hi in spans:
         hit = hit | F.coalesce(at.between(lo, hi), F.lit(False))
-    return log.withColumn("allowed", F.coalesce(hit, F.lit(False)))
+    return log.withColumn("allowed", hit | F.coalesce(in_wide(F.col(ip)), F.lit(False)))
 
 
 def visit_reports(cases: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(reports, rejects): one DiagnosticReport as JSON for each visit; visits that mix subjects are rejected.
 
-    cases: visit, case_id, subject, side, outcome, origin, probability. decisions: visit, decision, final.
+    cases: visit, case_id, subject, side, outcome, origin, probability, and if they have them grader, model_version, suspected and
+    finding_status. decisions: visit, decision, final, and reasons (an array) if they have them.
     """
+    has = lambda c: c in cases.columns
     side = F.when(F.col("side") == "left", "8966001").when(F.col("side") == "right", "18944008")  # fixed values: SNOMED CT codes of the left and right eye
     site = F.when(side.isNotNull(), F.struct(F.array(F.struct(F.lit("http://snomed.info/sct").alias("system"), side.alias("code"))).alias("coding")))
+    text = lambda x: F.struct(x.alias("text"))
+    human = F.col("origin") == "grader"
+    method = F.when(human, "grader").otherwise(F.concat(F.lit("model "), F.coalesce(F.col("model_version") if has("model_version") else F.lit(None).cast("string"), F.lit("unknown"))))
+    part = F.struct(text(F.lit("probability")).alias("code"), F.round("probability", 4).alias("value"), F.lit(None).cast("string").alias("finding"))
+    parts = F.when(F.col("probability").isNotNull(), F.array(part)).otherwise(F.array().cast("array<struct<code:struct<text:string>,value:double,finding:string>>"))
+    if has("suspected") and has("finding_status"):
+        advice = F.when(F.col("finding_status") == "validated", "finding").otherwise("finding, advice only")
+        more = F.struct(text(advice).alias("code"), F.lit(None).cast("double").alias("value"), F.when(F.col("suspected"), "suspected").otherwise("not suspected").alias("finding"))
+        parts = F.concat(parts, F.when(F.col("suspected").isNotNull(), F.array(more)).otherwise(F.array().cast("array<struct<code:struct<text:string>,value:double,finding:string>>")))
+    performer = F.when(human & F.col("grader").isNotNull(), F.array(F.struct(F.col("grader").alias("display")))) if has("grader") else F.lit(None).cast("array<struct<display:string>>")
     seen = F.struct(
-        F.col("case_id"), F.lit("Observation").alias("resourceType"), F.concat(F.lit("obs-"), F.col("case_id").cast("string")).alias("id"), F.when(F.col("origin") == "grader", "final").otherwise("preliminary").alias("status"),
-        site.alias("bodySite"), F.col("outcome").alias("valueString"), F.round("probability", 4).alias("probability"),
+        F.col("case_id"), F.lit("Observation").alias("resourceType"), F.concat(F.lit("obs-"), F.col("case_id").cast("string")).alias("id"), F.when(human, "final").otherwise("preliminary").alias("status"),
+        text(F.lit("triage")).alias("code"), text(F.col("outcome")).alias("valueCodeableConcept"), text(method).alias("method"), site.alias("bodySite"), parts.alias("component"), performer.alias("performer"),
     )
     g = cases.where(F.col("visit").isNotNull()).groupBy("visit").agg(F.countDistinct("subject").alias("subjects"), F.max("subject").alias("subject"), F.array_sort(F.collect_list(seen)).alias("contained"))
-    ok = g.where("subjects = 1").join(decisions.select("visit", "decision", "final"), "visit")
+    why = F.col("reasons") if "reasons" in decisions.columns else F.array().cast("array<string>")
+    ok = g.where("subjects <= 1").join(decisions.select("visit", "decision", "final", why.alias("why")), "visit")
     report = F.struct(
-        F.lit("DiagnosticReport").alias("resourceType"), F.col("visit").alias("id"), F.when(F.col("final"), "final").otherwise("preliminary").alias("status"), F.struct(F.concat(F.lit("Patient/"), "subject").alias("reference")).alias("subject"),
-        F.transform("contained", lambda o: o.dropFields("case_id")).alias("contained"), F.col("decision").alias("conclusion"),
+        F.lit("DiagnosticReport").alias("resourceType"), F.concat(F.lit("visit-"), "visit").alias("id"), F.when(F.col("final"), "final").otherwise("preliminary").alias("status"), text(F.lit("screening")).alias("code"),
+        F.array(F.struct(F.lit("urn:visit").alias("system"), F.col("visit").alias("value"))).alias("identifier"), F.when(F.col("subject").isNotNull(), F.struct(F.concat(F.lit("Patient/"), "subject").alias("reference"))).alias("subject"),
+        F.transform("contained", lambda o: o.dropFields("case_id")).alias("contained"), F.transform("contained", lambda o: F.struct(F.concat(F.lit("#"), o["id"]).alias("reference"))).alias("result"),
+        F.array_join(F.concat(F.array("decision"), "why"), "; ").alias("conclusion"), F.array(text(F.col("decision"))).alias("conclusionCode"),
     )
     return ok.select("visit", F.to_json(report).alias("report")), g.where("subjects > 1").select("visit", "subjects")
 
@@ -164,15 +222,47 @@ def decrypted(df: DataFrame, key_hex: str) -> DataFrame:
     return df.withColumn("content", F.aes_decrypt("blob", F.unhex(F.lit(key_hex)))).drop("blob")
 
 
+def migrated(df: DataFrame, key_hex: str, case: str, kind: str, content: str) -> DataFrame:
+    """(case, kind, blob) of plain rows; an error when a row is read that doesn't decrypt to what it was."""
+    # The digest of the original travels beside the blob, so that the check compares with what was read.
+    rows = df.select(case, kind, F.sha2(F.col(content), 256).alias("_sha"), F.aes_encrypt(F.col(content), F.unhex(F.lit(key_hex))).alias("_blob"))
+    same = F.sha2(F.aes_decrypt("_blob", F.unhex(F.lit(key_hex))), 256) == F.col("_sha")
+    checked = F.when(same, F.col("_blob")).otherwise(F.raise_error(F.lit("a blob doesn't decrypt to its content")).cast("binary"))
+    good = F.col(case).cast("string").rlike("^[A-Za-z0-9]+$") & F.col(kind).isin("raw", "preview", "gradcam")
+    return rows.select(case, kind, F.when(good, checked).otherwise(F.raise_error(F.lit("case id or kind not allowed")).cast("binary")).alias("blob"))
+
+
 def older_than(df: DataFrame, created: str, days: int, now: Column) -> Column:
     return F.col(created) < now - F.make_dt_interval(F.lit(days))
 
 
+def purged(df: DataFrame, created: str, days: int, now: Column, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, counts): rows older than `days` go; counts has kind, purged and kept. Rows without a date stay."""
+    old = F.coalesce(older_than(df, created, days, now), F.lit(False))
+    counts = df.groupBy(F.col(kind).alias("kind")).agg(F.count_if(old).alias("purged"), F.count_if(~old).alias("kept"))
+    return df.where(~old), counts
+
+
+def purge_files(df: DataFrame, target: str, created: str, days: int, now: Column, kind: str) -> int:
+    """Writes what stays to a new folder, which then takes the old one's place, and returns how many rows went."""
+    kept, counts = purged(df, created, days, now, kind)
+    kept.write.mode("errorifexists").parquet(target)
+    return counts.agg(F.coalesce(F.sum("purged"), F.lit(0))).first()[0]
+
+
+#: Hexadecimal digits of a name's hash by which names are dealt to the leaves of a set's fingerprint.
+LEAF_DIGITS = 3
+
+
 def set_fingerprint(df: DataFrame, name: str) -> DataFrame:
-    """(fingerprint, n): the SHA-256 of the sum of the names' hashes and their number. No order, so no task holds all names."""
-    part = F.conv(F.substring(F.sha2(F.col(name).cast("binary"), 256), 1, 15), 16, 10).cast("decimal(20,0)")
-    total = df.agg(F.sum(part).alias("s"), F.count("*").alias("n"))
-    return total.select(F.sha2(F.concat_ws(":", F.coalesce(F.col("s").cast("string"), F.lit("0")), "n").cast("binary"), 256).alias("fingerprint"), "n")
+    """(fingerprint, n): the root of a tree of SHA-256 hashes over the sorted names, with a leaf for each first digits of a name's hash.
+
+    A leaf sorts one part in 4096 of the names; repeated names count."""
+    sha = F.sha2(F.col(name).cast("binary"), 256)
+    leaves = df.select(sha.alias("s")).groupBy(F.substring("s", 1, LEAF_DIGITS).alias("leaf")).agg(F.array_sort(F.collect_list("s")).alias("names"))
+    hashed = leaves.select("leaf", F.size("names").alias("n"), F.sha2(F.array_join("names", "").cast("binary"), 256).alias("h"))
+    root = hashed.agg(F.array_sort(F.collect_list(F.struct("leaf", "h"))).alias("all"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return root.select(F.sha2(F.array_join(F.transform("all", lambda x: F.concat(x["leaf"], x["h"])), "").cast("binary"), 256).alias("fingerprint"), "n")
 
 
 def same_set(df: DataFrame, name: str, expected: str) -> None:

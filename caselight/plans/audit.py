@@ -44,6 +44,31 @@ def chain_verify(spark, d):
     return A.verify(tampered, "event_id", "body", stored)
 
 
+@query(_CHAIN + """, hd as (select block, count(*) as entries, arg_max(entry_hash, event_id) as head from ch group by block), h1 as (select block, block // 256 as up, row_number() over (partition by block // 256 order by block) as pos, head from hd),
+c1 as (select block, up, pos, sha256(repeat('0', 64) || head) as entry_hash from h1 where pos = 1 union all select h.block, h.up, h.pos, sha256(c.entry_hash || h.head) from c1 c join h1 h on h.up = c.up and h.pos = c.pos + 1)
+select 'whole' as log, true as ok, (select count(*) from lg) as entries, arg_max(entry_hash, block) as head, 0 as problems from c1 union all
+select 'rewritten', false, (select count(*) from lg), (select arg_max(entry_hash, block) from c1), 1""", recursive=True)
+def chain_verified(spark, d):
+    """The whole log, and one of which a block was rewritten together with its own head: the level above gives it away."""
+    chained = written(A.chain(_log(spark, d), "event_id", "body"), "chain")
+    heads = written(A.heads(chained, "event_id"), "all-heads")
+    forged = written(A.chain(_log(spark, d).withColumn("body", F.when(F.col("event_id") == 300, F.lit("forged")).otherwise(F.col("body"))), "event_id", "body"), "forged")
+    own = A.heads(forged, "event_id").where("level = 0")
+    parts = (("whole", chained, heads), ("rewritten", forged, own.unionByName(heads.where("level > 0"))))
+    rows = [A.verified(log, "event_id", "body", h).select(F.lit(name).alias("log"), "*") for name, log, h in parts]
+    return rows[0].unionByName(rows[1])
+
+
+@query(""", old as (select event_id as seq, event_id as case_id from events where event_id % 3 = 0), miss as (select case_id from b_predictions where case_id not in (select case_id from old))
+select seq, case_id, 'prediction' as action, false as legacy from old union all select (select max(seq) from old) + row_number() over (order by case_id), case_id, 'prediction', true from miss""")
+def anchor_append(spark, d):
+    """The log with the missing entries appended, twice over: the second run appends none."""
+    log = B.table(spark, d, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("seq"), F.col("event_id").alias("case_id"), F.lit("prediction").alias("action"))
+    once = A.anchored(B.predictions(spark, d), log, "case_id", "prediction")
+    again = A.anchored(B.predictions(spark, d), once, "case_id", "prediction")
+    return once.join(again.select("seq"), "seq", "left_semi")
+
+
 @query("select case_id, 'prediction' as action, true as legacy from b_predictions p where case_id not in (select event_id from events where event_id % 3 = 0)")
 def anchor_legacy(spark, d):
     log = B.table(spark, d, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("case_id"), F.lit("prediction").alias("action"))

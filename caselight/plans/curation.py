@@ -54,20 +54,32 @@ def split_groups_kfold(spark, d):
     return U.grouped_folds(B.cases(spark, d), "subject", "y")
 
 
-_SNAP = f""", snap as (select {_CODE("subject", "p.subject")} as subject_code, {_CODE("case", "p.case_id")} as case_code, {_CODE("visit", "p.visit")} as visit_code, {_CODE("grader", "l.grader")} as grader_code, strftime(p.created, '%Y-%m') as month, l.verdict, cast(l.grade as int) as human_grade,
-  cast(l.verdict <> 'UNGRADABLE' as int) as human_gradable, case when l.verdict <> 'UNGRADABLE' then cast(l.verdict = 'REFER' as int) end as human_referable, l.dme from b_predictions p join latest l on p.case_id = l.case_id),
+_SNAP = f""", snap as (select {_CODE("subject", "p.subject")} as subject_code, {_CODE("case", "p.case_id")} as case_code, {_CODE("visit", "coalesce(p.visit, '')")} as visit_code, p.side, strftime(p.created, '%Y-%m') as month, p.device, l.verdict,
+  cast(l.verdict <> 'UNGRADABLE' as int) as human_gradable, case l.verdict when 'REFER' then 1 when 'ROUTINE' then 0 end as human_referable, cast(l.grade as int) as human_grade, cast(l.dme as int) as human_dme,
+  case when l.verdict_id % 3 = 0 then 'drusen;scar' when l.verdict_id % 3 = 1 then 'scar' else '' end as findings, p.decision as model_decision, round(p.probability, 6) as model_probability, p.gradable as model_gradable, l.grader
+  from b_predictions p join latest l on p.case_id = l.case_id where p.h % 13 <> 0 and p.case_id % 10 <> 0),
 snp as (select *, case when cast('0x' || substr(subject_code, 1, 8) as bigint) / 4294967295.0::double < 0.2 then 'locked_test' else 'train' end as split from snap) """
 
 
-@query(_SNAP + "select subject_code, case_code, visit_code, month, split, verdict, human_grade, grader_code, human_gradable, human_referable from snp")
+def _snapshot(spark, d):
+    """Some cases lack a subject, others an image; verdicts carry findings."""
+    p = B.predictions(spark, d)
+    v, k = B.verdicts(spark, d), F.col("verdict_id") % 3
+    found = F.when(k == 0, F.array(F.lit("drusen"), F.lit("scar"))).when(k == 1, F.array(F.lit("scar"))).otherwise(F.array().cast("array<string>"))
+    known = p.withColumn("subject", F.when(F.col("h") % 13 != 0, F.col("subject")))
+    return U.snapshot(known, v.withColumn("findings", found), KEY, p.where("case_id % 10 <> 0"))
+
+
+@query(_SNAP + "select subject_code, case_code, visit_code, side, month, device, verdict, human_gradable, human_referable, human_grade, human_dme, findings, model_decision, model_probability, model_gradable, split from snp")
 def snapshot_export(spark, d):
-    return U.snapshot(B.predictions(spark, d), B.verdicts(spark, d), KEY)
+    return _snapshot(spark, d)
 
 
-@query(_SNAP + """select count(*) as images, count(distinct subject_code) as subjects, count(distinct visit_code) as visits, count(distinct grader_code) as graders, string_agg(distinct month, ',' order by month) as months, count(*) filter (split = 'locked_test') as locked,
-  count(distinct subject_code) filter (split = 'locked_test') as locked_subjects, count(human_grade) as graded, count(human_referable) as with_label, count(*) filter (verdict = 'REFER') as refer, count(*) filter (verdict = 'ROUTINE') as routine, count(*) filter (verdict = 'UNGRADABLE') as ungradable from snp""")
+@query(_SNAP + """select count(*) as images, count(distinct subject_code) as subjects, count(distinct visit_code) as visits, string_agg(distinct month, ',' order by month) as months, count(*) filter (split = 'locked_test') as locked,
+  count(distinct subject_code) filter (split = 'locked_test') as locked_subjects, count(human_grade) as graded, count(human_referable) as with_label, count(human_dme) as with_dme, count(*) filter (verdict = 'REFER') as refer, count(*) filter (verdict = 'ROUTINE') as routine,
+  count(*) filter (verdict = 'UNGRADABLE') as ungradable, 'drusen=' || count(*) filter (findings = 'drusen;scar') || ',scar=' || count(*) filter (findings <> '') as findings, (select count(distinct grader) from latest) as graders from snp""")
 def dataset_card(spark, d):
-    return U.dataset_card(U.snapshot(B.predictions(spark, d), B.verdicts(spark, d), KEY))
+    return U.dataset_card(_snapshot(spark, d), O.latest_verdict(B.verdicts(spark, d)).select("grader"))
 
 
 @query(_SNAP + """select 'local' as origin, case when split = 'locked_test' then 'local test' when cast('0x' || substr(subject_code, 9, 8) as bigint) / 4294967295.0::double < 0.2 then 'val' else 'train' end as role, count(*) as n from snp group by all
@@ -77,7 +89,7 @@ def training_masks(spark, d):
 
     sp = hash32(F.col("subject")) % 5
     base = B.cases(spark, d).select(F.col("subject").alias("subject_code"), F.when(sp == 0, "test").when(sp == 1, "val").otherwise("train").alias("split"))
-    local = U.snapshot(B.predictions(spark, d), B.verdicts(spark, d), KEY).select("subject_code", "split")
+    local = _snapshot(spark, d).select("subject_code", "split")
     return U.training_roles(base, local, "subject_code", "split").groupBy("origin", "role").agg(F.count("*").alias("n"))
 
 
@@ -91,9 +103,18 @@ def learning_progress(spark, d):
 q as (select *, p0 >= 0.5 or p1 >= 0.5 as nm, h0 is not null as fu, case when p0 >= 0.5 and (p0 >= p1 or p1 < 0.5) then h0 when p1 >= 0.5 then h1 end as f, (p0 >= 0.5 and h0 = 1) or (p1 >= 0.5 and h1 = 1) as an from r)
 select count(*) as rejected, count(*) filter (nm) as named, count(*) filter (nm and fu) as checked, count(*) filter (nm and fu and f = 1) as first_confirmed, count(*) filter (nm and fu and an) as any_confirmed from q""")
 def reason_agreement(spark, d):
+    return U.reason_agreement(_rejected(spark, d), ["focus", "light"], 0.5)
+
+
+def _rejected(spark, d):
     p = B.predictions(spark, d).where("gradable = 0")
-    p = p.select((F.col("h") % 100 / 100.0).alias("p_focus"), (F.col("v") % 100 / 100.0).alias("p_light"), F.when(F.col("h") % 10 > 0, F.col("y")).alias("has_focus"), (F.col("v") % 3 == 0).cast("int").alias("has_light"))
-    return U.reason_agreement(p, ["focus", "light"], 0.5)
+    return p.select((F.col("h") % 100 / 100.0).alias("p_focus"), (F.col("v") % 100 / 100.0).alias("p_light"), F.when(F.col("h") % 10 > 0, F.col("y")).alias("has_focus"), (F.col("v") % 3 == 0).cast("int").alias("has_light"))
+
+
+@query(""", r as (select 'focus' as cause, h % 100 / 100.0::double as p, case when h % 10 > 0 then y end as has from b_predictions where gradable = 0 union all select 'light', v % 100 / 100.0::double, cast(v % 3 = 0 as int) from b_predictions where gradable = 0)
+select cause, count(*) as named, count(has) as checked, count(*) filter (has = 1) as confirmed, round(count(*) filter (has = 1) / nullif(count(has), 0), 6) as precision from r where p >= 0.5 group by 1""")
+def reason_precision(spark, d):
+    return U.reason_precision(_rejected(spark, d), ["focus", "light"], 0.5)
 
 
 @query("""select event_id, (event_id % 9 < 7 and cast('0x' || substr(md5(cast(event_id as varchar)), 1, 8) as bigint) % 4 = 0) or (event_id % 9 < 7 and cast('0x' || substr(md5(cast(event_id as varchar)), 1, 8) as bigint) % 4 = 2 and user_id % 256 < 128) or event_id % 9 = 8 as allowed from events""")
@@ -106,20 +127,13 @@ def ip_range_join(spark, d):
     return U.allowed_clients(e.select("event_id", ip.alias("ip")), "ip", ["10.0.0.0/16", "10.2.0.0/17"]).select("event_id", "allowed")
 
 
-@query("select event_type as device, coalesce(case event_type when 'click' then 'north' when 'view' then 'south' end, 'unknown') as site, count(*) as n from events group by all")
-def lookup_default(spark, d):
-    sites = spark.createDataFrame([("click", "north"), ("view", "south")], "device string, site string")
-    c = B.cases(spark, d).join(F.broadcast(sites), "device", "left").withColumn("site", F.coalesce("site", F.lit("unknown")))
-    return c.groupBy("device", "site").agg(F.count("*").alias("n"))
-
-
 @query(_SIDES + """select o.visit, 'DiagnosticReport' as kind, case when final then 'final' else 'preliminary' end as status, v.decision as conclusion, max(subject) as subject, string_agg(o.case_id, ',' order by o.case_id) as observations from outcomes o join visits v on o.visit = v.visit group by o.visit, final, v.decision""")
 def fhir_export(spark, d):
     o = O.effective_outcomes(B.predictions(spark, d), B.verdicts(spark, d))
     reports, _ = U.visit_reports(o, O.visit_decisions(o))
     field = lambda p: F.get_json_object("report", p)
     ids = F.array_join(F.transform(F.from_json(field("$.contained"), "array<struct<id:string>>"), lambda x: F.substring(x["id"], 5, 40)), ",")
-    return reports.select("visit", field("$.resourceType").alias("kind"), field("$.status").alias("status"), field("$.conclusion").alias("conclusion"), F.substring(field("$.subject.reference"), 9, 100).alias("subject"), ids.alias("observations"))
+    return reports.select("visit", field("$.resourceType").alias("kind"), field("$.status").alias("status"), field("$.conclusionCode[0].text").alias("conclusion"), F.substring(field("$.subject.reference"), 9, 100).alias("subject"), ids.alias("observations"))
 
 
 @query("select doc_id, sha256(coalesce(text, '')) as sha from documents")
@@ -130,10 +144,10 @@ def encrypted_blob_put_get(spark, d):
 
 @query("select event_type as kind, count(*) filter (ts < timestamp '2024-01-31' - interval 20 day) as purged, count(*) filter (ts >= timestamp '2024-01-31' - interval 20 day) as kept from events group by 1")
 def retention_purge(spark, d):
-    old = U.older_than(B.cases(spark, d), "created", 20, F.lit("2024-01-31").cast("timestamp"))
-    return B.cases(spark, d).groupBy(F.col("device").alias("kind")).agg(F.count_if(old).alias("purged"), F.count_if(~old).alias("kept"))
+    return U.purged(B.cases(spark, d), "created", 20, F.lit("2024-01-31").cast("timestamp"), "device")[1]
 
 
-@query("select sha256(concat(cast(sum(cast(('0x' || substr(sha256(filename), 1, 15)) as hugeint)) as varchar), ':', cast(count(*) as varchar))) as fingerprint, count(*) as n from b_quality")
+@query(""", h as (select sha256(filename) as s from b_quality), l as (select substr(s, 1, 3) as leaf, sha256(string_agg(s, '' order by s)) as hash from h group by 1)
+select sha256(string_agg(leaf || hash, '' order by leaf)) as fingerprint, (select count(*) from h) as n from l""")
 def evaluation_fingerprint(spark, d):
     return U.set_fingerprint(B.quality(spark, d), "filename")

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselight.functions.columns import norm_path, side_from_id
+from caselight.functions.columns import hash_uniform, norm_path, side_from_id
 
 #: Images are measured at this size, whatever their own.
 WORKING_SIZE = 512
@@ -185,3 +185,27 @@ def write_labels(df: DataFrame, path: str) -> None:
     df.withColumn("quality", F.coalesce(good, F.lit(False)).cast("int")).write.mode("overwrite").parquet(f"{path}/quality")
 
 
+
+
+#: Fixed values of demonstration tables: weights of grades, devices and age groups, and the share of ungradable pictures.
+DEMO_GRADES, DEMO_DEVICES, DEMO_AGES, DEMO_UNGRADABLE = (0.55, 0.18, 0.14, 0.08, 0.05), {"camera_a": 0.6, "camera_b": 0.4}, {"18-39": 0.2, "40-59": 0.45, "60+": 0.35}, 0.06
+
+
+def synthetic_labels(spark: SparkSession, subjects: int, seed: str = "demo") -> DataFrame:
+    """(subject, side, filename, grade, device, sex, age_group, gradable): a demonstration table of two rows a subject, the same for a seed."""
+    u = lambda what, *c: hash_uniform(f"{seed}:{what}", *c)
+
+    def weighed(x: Column, weights: dict) -> Column:
+        out, upto = F.lit(None), 0.0
+        for value, w in weights.items():
+            upto += w
+            out = F.coalesce(out, F.when(x < upto, F.lit(value)))
+        return F.coalesce(out, F.lit(list(weights)[-1]))
+
+    one = spark.range(subjects).select(F.format_string("D%06d", "id").alias("subject"))
+    s = F.col("subject")
+    base = one.select(s, weighed(u("grade", s), dict(enumerate(DEMO_GRADES))).alias("worst"), weighed(u("device", s), DEMO_DEVICES).alias("device"), weighed(u("age", s), DEMO_AGES).alias("age_group"), F.when(u("sex", s) < 0.5, "F").otherwise("M").alias("sex"))
+    rows = base.withColumn("side", F.explode(F.array(F.lit("left"), F.lit("right"))))
+    grade = F.greatest(F.lit(0), F.col("worst") - (u("side", s, F.col("side")) < 0.5).cast("int"))
+    gradable = (u("quality", s, F.col("side")) >= DEMO_UNGRADABLE).cast("int")
+    return rows.select("subject", "side", F.concat("subject", F.lit("_"), "side", F.lit(".png")).alias("filename"), grade.alias("grade"), "device", "sex", "age_group", gradable.alias("gradable"))

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,34 +80,65 @@ def deduplicated(stream: DataFrame, keys: list[str], ts: str, lateness: str) ->
     return stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)
 
 
-def capped_sessions(stream: DataFrame, key: str, ts: str, idle_s: int, cap_s: int) -> DataFrame:
-    """(key, at, session): each event with the number of its session, which ends after idle time and after the cap at the latest."""
+def _forget(state: GroupState, last: float, keep_s: int | None) -> None:
+    """A key's state goes when the watermark is keep_s past its last event."""
+    if keep_s is not None:
+        state.setTimeoutTimestamp(max(int((last + keep_s) * 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def _times(parts: Iterator[pd.DataFrame], *columns: str) -> list[np.ndarray]:
+    """A key's rows in the order of time, as plain arrays: some bytes a row, whatever else the parts hold."""
+    found = [np.concatenate(x) for x in zip(*([p[c].to_numpy() for c in columns] for p in parts), strict=True)]
+    order = np.lexsort(tuple(reversed(found)))
+    return [x[order] for x in found]
+
+
+def _watched(stream: DataFrame, ts: str, lateness: str | None) -> DataFrame:
+    return stream if lateness is None else stream.withWatermark(ts, lateness)
+
+
+def capped_sessions(stream: DataFrame, key: str, ts: str, idle_s: int, cap_s: int, lateness: str | None = None, keep_s: int | None = None) -> DataFrame:
+    """(key, at, session): each event with the number of its session, which ends after idle time and after the cap at the latest.
+
+    With a lateness and keep_s, keys without events for so long are forgotten; without them, state stays for every key ever seen.
+    """
 
     def step(k: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         first, last, number = state.get if state.exists else (-1.0, -1.0, 0)
-        rows = pd.concat(list(parts)).sort_values("at")
+        (times,) = _times(parts, "at")
         out = []
-        for at in rows["at"]:
+        for at in times.tolist():
             if number == 0 or at - last >= idle_s or at - first >= cap_s:
                 first, number = at, number + 1
             last = at
             out.append(number)
         state.update((first, last, number))
-        yield pd.DataFrame({key: k[0], "at": rows["at"].to_numpy(), "session": out})
+        _forget(state, last, keep_s)
+        yield pd.DataFrame({key: k[0], "at": times, "session": out})
 
     kind = stream.schema[key].dataType.simpleString()
-    timed = stream.select(key, F.col(ts).cast("double").alias("at"))
-    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, at double, session int", "first double, last double, number int", "append", GroupStateTimeout.NoTimeout)
+    timed = _watched(stream, ts, lateness).select(key, ts, F.col(ts).cast("double").alias("at"))
+    timeout = GroupStateTimeout.NoTimeout if keep_s is None else GroupStateTimeout.EventTimeTimeout
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, at double, session int", "first double, last double, number int", "append", timeout)
+
 
+def lockouts(stream: DataFrame, key: str, row: str, ts: str, failed: str, most: int = 5, lock_s: int = 900, lateness: str | None = None, keep_s: int | None = None) -> DataFrame:
+    """(row, key, outcome) of attempts: `most` failures lock for a time and reset the counter, a success resets it, attempts while locked are refused and not counted.
 
-def lockouts(stream: DataFrame, key: str, row: str, ts: str, failed: str, most: int = 5, lock_s: int = 900) -> DataFrame:
-    """(row, key, outcome) of attempts: `most` failures lock for a time and reset the counter, a success resets it, attempts while locked are refused and not counted."""
+    With a lateness and keep_s, keys without attempts for so long are forgotten, and their failures with them.
+    """
 
     def step(k: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         failures, until = state.get if state.exists else (0, -1.0)
-        rows = pd.concat(list(parts)).sort_values(["at", "row"])
+        times, rows, wrong = _times(parts, "at", "row", "bad")
         out = []
-        for at, bad in zip(rows["at"], rows["bad"], strict=True):
+        for at, bad in zip(times.tolist(), wrong.tolist(), strict=True):
             if at < until:
                 out.append("refused")
             elif not bad:
@@ -119,8 +151,10 @@ def lockouts(stream: DataFrame, key: str, row: str, ts: str, failed: str, most:
                     failures, until = 0, at + lock_s
                     out[-1] = "locked"
         state.update((failures, until))
-        yield pd.DataFrame({"row": rows["row"].to_numpy(), key: k[0], "outcome": out})
+        _forget(state, float(times[-1]), keep_s)
+        yield pd.DataFrame({"row": rows, key: k[0], "outcome": out})
 
     kind = stream.schema[key].dataType.simpleString()
-    timed = stream.select(F.col(row).cast("long").alias("row"), key, F.col(ts).cast("double").alias("at"), F.col(failed).cast("boolean").alias("bad"))
-    return timed.groupBy(key).applyInPandasWithState(step, f"row long, {key} {kind}, outcome string", "failures int, until double", "append", GroupStateTimeout.NoTimeout)
+    timed = _watched(stream, ts, lateness).select(F.col(row).cast("long").alias("row"), key, ts, F.col(ts).cast("double").alias("at"), F.col(failed).cast("boolean").alias("bad"))
+    timeout = GroupStateTimeout.NoTimeout if keep_s is None else GroupStateTimeout.EventTimeTimeout
+    return timed.groupBy(key).applyInPandasWithState(step, f"row long, {key} {kind}, outcome string", "failures int, until double", "append", timeout)

@@ -1,3 +1,6 @@
+import ipaddress
+import json
+import math
 import random
 
 import pytest
@@ -10,10 +13,11 @@ from caselight.operators import curation as U
 def test_isotonic_equals_pooling(spark):
     rng = random.Random(3)
     rows = [(p := rng.randrange(0, 21) / 20, int(rng.random() < p * p)) for _ in range(400)]
-    got = {r.level: r.fitted for r in K.fit_isotonic(spark.createDataFrame(rows, "p double, y int"), "p", "y", 20).collect()}
+    df = spark.createDataFrame(rows, "p double, y int")
+    got = {r.p: r.fitted for r in K.apply_isotonic(df.select("p").distinct(), "p", K.fit_isotonic(df, "p", "y"), "fitted").collect()}
     blocks = []
-    for level in sorted({round(p * 20) for p, _ in rows}):
-        ys = [y for p, y in rows if round(p * 20) == level]
+    for level in sorted({p for p, _ in rows}):
+        ys = [y for p, y in rows if p == level]
         blocks.append([sum(ys), len(ys), [level]])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s, n, ls = blocks.pop()
@@ -22,9 +26,26 @@ def test_isotonic_equals_pooling(spark):
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
 
 
-def test_isotonic_grid_is_straight_between_and_flat_beyond(spark):
-    fit = spark.createDataFrame([(2, 0.2), (4, 0.6)], "level int, fitted double")
-    assert [round(r.fitted, 6) for r in K.isotonic_grid(fit, 5).orderBy("level").collect()] == [0.2, 0.2, 0.2, 0.4, 0.6, 0.6]
+def test_isotonic_is_straight_between_and_flat_beyond(spark):
+    model = K.fit_isotonic(spark.createDataFrame([(-2.0, 0), (-2.0, 0), (0.0, 0), (0.0, 1), (2.0, 1)], "z double, y int"), "z", "y")
+    at = spark.createDataFrame([(z,) for z in (-9.0, -2.0, -1.0, 0.0, 1.0, 9.0)], "z double")
+    assert [round(r.p, 6) for r in K.apply_isotonic(at, "z", model, "p").orderBy("z").collect()] == [0.0, 0.0, 0.25, 0.5, 0.75, 1.0]
+    xs, ys = K.knots(model)
+    stored = spark.createDataFrame([("isotonic", None, xs, ys)], "method string, temperature double, isotonic_x array<double>, isotonic_y array<double>")
+    assert [round(r.p, 6) for r in K.calibrated(at, "z", stored, "p").orderBy("z").collect()] == [0.0, 0.0, 0.25, 0.5, 0.75, 1.0]
+
+
+def test_few_held_out_rows_fall_back_to_temperature(spark):
+    rng = random.Random(4)
+    rows = [(k, z := rng.gauss(0, 2), int(rng.random() < 1 / (1 + math.exp(-z / 2)))) for k in range(40)]
+    df = spark.createDataFrame(rows, "k int, z double, y int")
+    profile = K.fit_profile(df, "k", "z", "y").first()
+    assert (profile.method, profile.n, profile.held_out_ece, list(profile.isotonic_x)) == ("temperature", 40, None, []) and profile.band_low <= profile.threshold <= profile.band_high
+    none = [(r.method, r.chosen) for r in K.select_calibrator(df.where("y = 0"), df, "z", "y").collect()]
+    assert ("temperature", True) in none and sum(c for _, c in none) == 1
+    many = spark.createDataFrame([(k, z := rng.gauss(0, 2), int(rng.random() < 1 / (1 + math.exp(-2 * z - 1)))) for k in range(600)], "k int, z double, y int")
+    fitted = K.fit_profile(many, "k", "z", "y")
+    assert fitted.first().held_out_ece is not None and K.profile_report(many, "z", "y", fitted).first().sensitivity >= 0.9 - 1e-9
 
 
 def test_bootstrap_holds_the_point_and_is_wider_for_subjects(spark):
@@ -84,6 +105,9 @@ def test_addresses(spark):
     assert [r.allowed for r in U.allowed_clients(df, "ip", ["10.0.0.0/16"]).collect()] == [True, False, True, True, True, False, False, False, False]
     with pytest.raises(ValueError):
         U.allowed_clients(df, "ip", ["10.0.0.0/99"])
+    wide = spark.createDataFrame([("2001:db8::5",), ("2001:DB9::1",), ("::1",), ("2001:zz::",), ("10.0.0.1",), ("::ffff:10.9.0.1",)], "ip string")
+    assert [r.allowed for r in U.allowed_clients(wide, "ip", ["2001:db8::/32", "10.9.0.0/16"]).collect()] == [True, False, True, False, False, True]
+    assert ipaddress.ip_address("::ffff:10.9.0.1").ipv4_mapped is not None
 
 
 def test_encryption_round_trip_and_ids(spark):
@@ -107,3 +131,35 @@ def test_set_fingerprint_ignores_order(spark):
     U.same_set(a.orderBy(F.desc("f")), "f", print_a)
     with pytest.raises(ValueError):
         U.same_set(a.limit(1), "f", print_a)
+
+
+def test_reports_tell_performer_reasons_and_findings(spark):
+    cases = spark.createDataFrame(
+        [("v", 1, "A", "left", "REFER", "grader", 0.8, "g1", "m2", True, "validated"), ("v", 2, "A", "right", "ROUTINE", "model", 0.12345, None, "m2", False, "experimental"), ("w", 3, None, None, "ROUTINE", "model", None, None, None, None, None)],
+        "visit string, case_id int, subject string, side string, outcome string, origin string, probability double, grader string, model_version string, suspected boolean, finding_status string",
+    )
+    decisions = spark.createDataFrame([("v", "REFER", True, ["refer: left"]), ("w", "INCOMPLETE", False, [])], "visit string, decision string, final boolean, reasons array<string>")
+    reports, rejects = U.visit_reports(cases, decisions)
+    got = {r.visit: json.loads(r.report) for r in reports.collect()}
+    assert rejects.count() == 0 and got["v"]["conclusion"] == "REFER; refer: left" and got["v"]["conclusionCode"] == [{"text": "REFER"}]
+    first, second = got["v"]["contained"]
+    assert first["performer"] == [{"display": "g1"}] and "performer" not in second and second["method"] == {"text": "model m2"} and second["component"][0]["value"] == 0.1235
+    assert first["component"][1]["finding"] == "suspected" and [x["reference"] for x in got["v"]["result"]] == ["#obs-1", "#obs-2"]
+    assert "subject" not in got["w"] and got["w"]["contained"][0]["component"] == []
+
+
+def test_migration_is_checked_and_purge_purges(spark, tmp_path):
+    key = "22" * 32
+    df = spark.createDataFrame([("a1", "raw", bytearray(b"xyz"))], "c string, k string, b binary")
+    assert bytes(U.decrypted(U.migrated(df, key, "c", "k", "b"), key).first().content) == b"xyz"
+    rows = spark.sql("select * from values (1, timestamp'2024-01-01', 'raw'), (2, timestamp'2024-03-01', 'raw'), (3, cast(null as timestamp), 'preview') as t(id, at, kind)")
+    now = F.lit("2024-03-10").cast("timestamp")
+    assert U.purge_files(rows, f"{tmp_path}/kept", "at", 30, now, "kind") == 1
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/kept").collect()) == [2, 3]
+
+
+def test_snapshot_leaves_out_what_it_must(spark):
+    preds = spark.sql("select * from values (1, 'S1', 'v1', 'left', timestamp'2024-02-03', 'd', 'REFER', 0.9D, 1), (2, cast(null as string), 'v2', 'left', timestamp'2024-02-03', 'd', 'REFER', 0.9D, 1), (3, 'S1', null, null, timestamp'2024-03-03', 'd', 'ROUTINE', 0.1D, 1) as t(case_id, subject, visit, side, created, device, decision, probability, gradable)")
+    verdicts = spark.sql("select * from values (10, 10, 1, timestamp'2024-02-04', 'g', 'UNGRADABLE', cast(null as int), cast(null as int)), (11, 11, 2, timestamp'2024-02-04', 'g', 'REFER', 3, 1), (12, 12, 3, timestamp'2024-02-04', 'g', 'ROUTINE', 0, 0) as t(verdict_id, row_id, case_id, case_created, grader, verdict, grade, dme)")
+    got = U.snapshot(preds, verdicts, "00" * 32, spark.createDataFrame([(1,), (2,)], "case_id int")).collect()
+    assert len(got) == 1 and got[0].human_referable is None and got[0].month == "2024-02" and "S1" not in str(got[0]) and "grader" not in " ".join(got[0].__fields__)
