@@ -7,11 +7,10 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from caselight.functions.columns import code_share, hash_uniform, locked_split, pseudonym
 from caselight.operators.store import written
-from caselight.operators.tables import hamming_pairs, latest_verdict, pseudonymise
+from caselight.operators.tables import hamming_pairs, hash_ranks, latest_verdict
 
 
 def near_groups(df: DataFrame, key: str, bits: str, distance: int) -> DataFrame:
@@ -67,9 +66,9 @@ def grouped_folds(df: DataFrame, subject: str, y: str, k: int = 5, seed: str = "
     """(subject, fold, role): subjects by hash rank within the bucket of their share of positives; fold 0 is test, 1 is val."""
     share = df.groupBy(subject).agg(F.avg(F.col(y).cast("double")).alias("share"))
     bucket = F.when(F.col("share") == 0, 0).when(F.col("share") <= 0.5, 1).otherwise(2)
-    order = W.partitionBy("bucket").orderBy(hash_uniform(seed, F.col(subject)), subject)
-    fold = ((F.row_number().over(order) - 1) % k).cast("int")
-    return share.withColumn("bucket", bucket).withColumn("fold", fold).select(subject, "fold", F.when(F.col("fold") == 0, "test").when(F.col("fold") == 1, "val").otherwise("train").alias("role"))
+    ranked = hash_ranks(share.withColumn("bucket", bucket).withColumn("u", hash_uniform(seed, F.col(subject))), "bucket", "u", subject)
+    fold = ((F.col("rank") - 1) % k).cast("int")
+    return ranked.withColumn("fold", fold).select(subject, "fold", F.when(F.col("fold") == 0, "test").when(F.col("fold") == 1, "val").otherwise("train").alias("role"))
 
 
 def training_roles(base: DataFrame, local: DataFrame, code: str, split: str) -> DataFrame:

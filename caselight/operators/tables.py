@@ -58,17 +58,31 @@ def median_cases(df: DataFrame, group: str, value: str, key: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).join(F.broadcast(mid), group).groupBy(group, "median").agg(F.min_by(key, near).alias(key))
 
 
+#: Ranges of a uniform hash that are ranked on their own.
+HASH_RANGES = 1024
+
+
+def hash_ranks(df: DataFrame, stratum: str, u: str, key: str) -> DataFrame:
+    """Adds rank (from 1, by u and key) and size of each row's stratum. The ranges of a uniform number are counted first, and each is
+    ranked on its own, so a stratum that holds most rows is dealt to many tasks. A null stratum is one."""
+    rows = df.withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("-"))).withColumn("_r", F.floor(F.col(u) * HASH_RANGES))
+    counts = rows.groupBy("_s", "_r").agg(F.count("*").alias("_n"))
+    own = W.partitionBy("_s")
+    counts = counts.select("_s", "_r", (F.sum("_n").over(own.orderBy("_r")) - F.col("_n")).alias("_before"), F.sum("_n").over(own).alias("size"))
+    inside = F.row_number().over(W.partitionBy("_s", "_r").orderBy(u, key))
+    return rows.withColumn("_at", inside).join(counts, ["_s", "_r"]).withColumn("rank", F.col("_before") + F.col("_at")).drop("_s", "_r", "_at", "_before")
+
+
 def split_by_subject(df: DataFrame, subject: str, grade: str, ratios: tuple[float, float] = (0.70, 0.85), seed: str = "split") -> DataFrame:
     """(subject, stratum, split): subjects by hash rank within the stratum of their worst grade; the order of rows is no matter."""
     worst = df.groupBy(subject).agg(F.max(grade).alias("stratum")).withColumn("u", hash_uniform(seed, F.col(subject)))
-    size = F.count("*").over(W.partitionBy("stratum"))
-    share = (F.row_number().over(W.partitionBy("stratum").orderBy("u", subject)) - 0.5) / size
-    return worst.withColumn("share", share).select(subject, "stratum", F.when(F.col("share") < ratios[0], "train").when(F.col("share") < ratios[1], "val").otherwise("test").alias("split"))
+    ranked = hash_ranks(worst, "stratum", "u", subject).withColumn("share", (F.col("rank") - 0.5) / F.col("size"))
+    return ranked.select(subject, "stratum", F.when(F.col("share") < ratios[0], "train").when(F.col("share") < ratios[1], "val").otherwise("test").alias("split"))
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: str = "fold") -> DataFrame:
-    order = W.partitionBy(label).orderBy(hash_uniform(seed, F.col(key)), key)
-    return df.select(key, label, ((F.row_number().over(order) - 1) % k).alias("fold"))
+    ranked = hash_ranks(df.select(key, label).withColumn("u", hash_uniform(seed, F.col(key))), label, "u", key)
+    return ranked.select(key, label, ((F.col("rank") - 1) % k).cast("int").alias("fold"))
 
 
 def leaks(assigned: DataFrame, subject: str, split: str) -> DataFrame:
