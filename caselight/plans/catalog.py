@@ -46,6 +46,8 @@ roc as (select cast('inf' as double) as thr, cast(0 as double) as fpr, cast(0 as
   select thr, fps / (select max(fps) from curve), tps / (select max(tps) from curve) from roc0 where coalesce(keep, true))
 """
 
+_SIG6 = lambda z: f"(1 / (1 + exp(-greatest(-30.0::double, least(30.0::double, {z})))))"
+
 
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[C.rounded(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)) else F.col(f"`{f.name}`") for f in df.schema])

@@ -10,19 +10,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselight.functions.columns import hash_uniform, norm_path, side_from_id
+from caselight.operators.gates import subject_of
 
 #: Images are measured at this size, whatever their own.
 WORKING_SIZE = 512
 
 
-def load_labels(spark: SparkSession, path: str, filename: str, grade: str, rejected: DataFrame | None = None) -> DataFrame:
-    """CSV labels as (filename, grade, referable, other columns); rows that lack either go, a grade outside 0-4 is an error, files in rejected go."""
+def load_labels(spark: SparkSession, path: str, filename: str, grade: str, rejected: DataFrame | None = None, subject: tuple[str, str] | None = None) -> DataFrame:
+    """CSV labels as (filename, grade, referable, other columns); rows that lack either go, a grade outside 0-4 is an error, files in rejected go.
+
+    subject is a mode of gates.subject_of() and its column; it adds the column subject, and what can't tell one is an error."""
     df = spark.read.option("header", True).csv(path).withColumnsRenamed({filename: "filename", grade: "grade"})
     df = df.dropna(subset=["filename", "grade"]).withColumn("grade", F.expr("try_cast(grade as int)"))
     bad = df.where(~F.coalesce(F.col("grade").between(0, 4), F.lit(False))).limit(5).collect()
     if bad:
         raise ValueError(f"grades outside 0-4: {[r.filename for r in bad]}")
     df = df.withColumn("referable", (F.col("grade") >= 2).cast("int"))
+    if subject is not None:
+        df = df.withColumn("subject", subject_of(df, *subject))
     return df if rejected is None else df.join(rejected.select("filename").distinct(), "filename", "left_anti")
 
 
@@ -41,11 +46,11 @@ def assemble(parts: dict[str, DataFrame], key: str) -> DataFrame:
     return out
 
 
-def merge_keep_last(previous: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Both reports, the new row where both have a key; of several in one report any one of the largest content stays."""
+def merge_keep_last(previous: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Both reports, the new row where both have a key; of several in one report the last by `order` stays, or without it the one of the largest content."""
     both = previous.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)), allowMissingColumns=True)
     columns = [c for c in both.columns if c not in (key, "_batch")]
-    return both.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("_batch", *columns)).alias("_r")).select(key, "_r.*")
+    return both.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("_batch", *([order] if order else []), *columns)).alias("_r")).select(key, "_r.*")
 
 
 def resolve_filenames(labels: DataFrame, files: DataFrame, column: str) -> DataFrame:
@@ -186,7 +191,6 @@ def write_labels(df: DataFrame, path: str) -> None:
 
 
 
-
 #: Fixed values of demonstration tables: weights of grades, devices and age groups, and the share of ungradable pictures.
 DEMO_GRADES, DEMO_DEVICES, DEMO_AGES, DEMO_UNGRADABLE = (0.55, 0.18, 0.14, 0.08, 0.05), {"camera_a": 0.6, "camera_b": 0.4}, {"18-39": 0.2, "40-59": 0.45, "60+": 0.35}, 0.06
 
