@@ -81,20 +81,21 @@ def _text_files(spark, d) -> str:
     return path
 
 
-_LANG = F.regexp_extract("path", "/lang=([^/]*)/", 1)
+def _lang():
+    return F.regexp_extract("path", "/lang=([^/]*)/", 1)
 
 
 @query("select lang, count(distinct lang) as files, sum(length(cast(doc_id as varchar)) + 1)::bigint as bytes from documents where lang is not null group by lang")
 def file_manifest(spark, d):
-    rows = S.manifest(spark, _text_files(spark, d)).where(F.col("path").endswith(".txt")).withColumn("lang", _LANG)
+    rows = S.manifest(spark, _text_files(spark, d)).where(F.col("path").endswith(".txt")).withColumn("lang", _lang())
     return rows.where("lang not like '\\_\\_%'").groupBy("lang").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
 
 
 @query("select distinct lang, case lang when 'en' then 'changed' else 'missing' end as problem from documents where lang in ('en', 'fr')")
 def file_manifest_verify(spark, d):
     now = S.manifest(spark, _text_files(spark, d)).where(F.col("path").endswith(".txt"))
-    stored = now.withColumn("sha256", F.when(_LANG == "en", F.lit("0" * 64)).otherwise(F.col("sha256")))
-    return S.verify_manifest(stored, now.where(_LANG != "fr")).select(_LANG.alias("lang"), "problem")
+    stored = now.withColumn("sha256", F.when(_lang() == "en", F.lit("0" * 64)).otherwise(F.col("sha256")))
+    return S.verify_manifest(stored, now.where(_lang() != "fr")).select(_lang().alias("lang"), "problem")
 
 
 @query("select device, printf('%.3f ± %.3f', avg(grade), stddev_pop(grade)) as grade from b_cases group by device")
