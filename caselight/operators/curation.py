@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import ipaddress
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselight.functions.columns import code_share, hash_uniform, locked_split, pseudonym
+from caselight.operators.reports import assert_no_leakage
 from caselight.operators.store import written
 from caselight.operators.tables import hamming_pairs, hash_ranks, latest_verdict
 
@@ -62,6 +64,20 @@ def collapsed_strata(counts: DataFrame, grade: str, least: int) -> dict[int, int
     return {g: min(gs) for gs, _ in groups for g in gs}
 
 
+def split_merged(df: DataFrame, subject: str, grade: str, ratios: tuple[float, float] = (0.70, 0.85), seed: str = "split") -> DataFrame:
+    """(subject, stratum, split) as split_by_subject(), but strata with too few subjects for every part are merged with their neighbours
+    first (one stratum is none); an error if a subject came out in two parts."""
+    worst = df.groupBy(subject).agg(F.max(grade).alias("stratum"))
+    counts = worst.groupBy("stratum").agg(F.count("*").alias("n"))  # a row for each grade
+    merged = collapsed_strata(counts.where("stratum is not null"), "stratum", max(3, math.ceil(2 / (1 - ratios[0]))))
+    pairs = [F.lit(x) for kv in merged.items() for x in kv]
+    own = F.create_map(*pairs)[F.col("stratum")] if pairs else F.col("stratum")
+    ranked = hash_ranks(worst.withColumn("stratum", own).withColumn("u", hash_uniform(seed, F.col(subject))), "stratum", "u", subject)
+    share = (F.col("rank") - 0.5) / F.col("size")
+    part = F.when(share < ratios[0], "train").when(share < ratios[1], "val").otherwise("test")
+    return assert_no_leakage(ranked.select(subject, "stratum", part.alias("split")), subject, "split")
+
+
 def grouped_folds(df: DataFrame, subject: str, y: str, k: int = 5, seed: str = "groups") -> DataFrame:
     """(subject, fold, role): subjects by hash rank within the bucket of their share of positives; fold 0 is test, 1 is val."""
     share = df.groupBy(subject).agg(F.avg(F.col(y).cast("double")).alias("share"))

@@ -48,6 +48,15 @@ def collapse_rare_strata(spark, d):
     return counts.select("grade", F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[F.col("grade")].alias("stratum"))
 
 
+@query(f""", subj as (select subject, max(grade) as grade from b_cases where grade < 4 or h % 40 = 0 group by subject), n as (select grade, count(*) as n, row_number() over (order by grade desc) as pos from subj group by grade), w as (select pos, grade, 1 as b, n as acc from n where pos = 1 union all
+  select n.pos, n.grade, case when w.acc < 7 then w.b else w.b + 1 end, case when w.acc < 7 then w.acc + n.n else n.n end from w join n on n.pos = w.pos + 1),
+f as (select grade, case when b = (select max(b) from w) and b > 1 and (select arg_max(acc, pos) from w) < 7 then b - 1 else b end as b from w), st as (select grade, min(grade) over (partition by b) as stratum from f),
+rk as (select subject, stratum, (row_number() over (partition by stratum order by {_U("split", "subject")}, subject) - 0.5) / count(*) over (partition by stratum) as sh from subj join st using (grade))
+select subject, cast(stratum as int) as stratum, case when sh < 0.7 then 'train' when sh < 0.85 then 'val' else 'test' end as split from rk""", recursive=True)
+def split_merged(spark, d):
+    return U.split_merged(B.cases(spark, d).where("grade < 4 or h % 40 = 0"), "subject", "grade")
+
+
 @query(f""", s as (select subject, avg(y) as sh from b_cases group by 1), f as (select subject, cast((row_number() over (partition by case when sh = 0 then 0 when sh <= 0.5 then 1 else 2 end order by {_U('groups', 'subject')}, subject) - 1) % 5 as int) as fold from s)
 select subject, fold, case fold when 0 then 'test' when 1 then 'val' else 'train' end as role from f""")
 def split_groups_kfold(spark, d):
