@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from caselight.functions.columns import apply_temperature, hash_uniform, sigmoid
 from caselight.operators import metrics as M
 from caselight.operators.gates import report_failures
+from caselight.operators.tables import hash_ranks
 
 #: The least rows of a held-out part, and how calibrators are tried, in the order that decides ties.
 LEAST_HELD, METHODS = 20, ("identity", "temperature", "isotonic")
@@ -151,17 +152,24 @@ def recalibrate(train: DataFrame, locked: DataFrame, current: DataFrame, key: st
 
 
 def crossfit(df: DataFrame, key: str, z: str, y: str, target: float = 0.9, repeats: int = 5, folds: int = 2) -> DataFrame:
-    """(repeat, fold, n, threshold, sensitivity, specificity): the threshold of the other folds measured on each fold."""
+    """(repeat, fold, n, threshold, sensitivity, specificity, ece): the threshold of the other folds measured on each fold, with the
+    calibration error of the scores there. Folds have equal shares of both classes."""
     runs = df.select(key, z, y, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    fold = F.floor(hash_uniform("crossfit", F.col("repeat"), F.col(key)) * folds).cast("int")
-    runs = runs.withColumn("own", fold)
+    runs = runs.withColumn("_u", hash_uniform("crossfit", F.col("repeat"), F.col(key))).withColumn("_class", F.concat_ws(":", "repeat", F.col(y).cast("string")))
+    runs = hash_ranks(runs, "_class", "_u", key).withColumn("own", ((F.col("rank") - 1) % folds).cast("int")).drop("_u", "_class", "rank", "size")
     fit = runs.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in range(folds)]))).where("fold <> own").withColumn("pos", F.col(y).cast("long"))
     by = ["repeat", "fold"]
     sums = M.prefix_sums(fit, z, ["pos"], by).join(fit.groupBy(*by).agg(F.sum("pos").alias("all")), by)
     cut = sums.where(F.col("cum_pos") >= F.col("all") * target - 1e-9).groupBy(*by).agg(F.max(z).alias("threshold"))
-    scored = runs.withColumnRenamed("own", "fold").join(F.broadcast(cut), by)
-    c = M.confusion(scored, y, z, F.col("threshold"), [*by, "threshold"])
-    return c.select(*by, (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("n"), "threshold", "sensitivity", "specificity")
+    scored = runs.withColumnRenamed("own", "fold").join(F.broadcast(cut), by).withColumn("_p", sigmoid(F.col(z)))
+    c = M.confusion(scored, y, z, F.col("threshold"), [*by, "threshold"]).join(M.ece(scored, y, "_p", by=by), by)
+    return c.select(*by, (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("n"), "threshold", "sensitivity", "specificity", "ece")
+
+
+def crossfit_summary(parts: DataFrame) -> DataFrame:
+    """(metric, mean, sd) over the rows of crossfit()."""
+    long = parts.select(F.explode(F.create_map(*[x for m in ("sensitivity", "specificity", "ece") for x in (F.lit(m), F.col(m))])).alias("metric", "v"))
+    return long.groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
 
 
 def poisson_weight(u: Column) -> Column:

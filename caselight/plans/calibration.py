@@ -126,15 +126,25 @@ def recalibrate_candidate(spark, d):
     return K.recalibrated(c.where("device <> 'signup'"), c.where("device = 'signup'"), "logit", "y").select(F.lit("candidate").alias("profile"), "*")
 
 
-@query(f""", runs as (select c.*, cast(i as int) as repeat, cast(floor({_hash("'crossfit:' || i || ':' || case_id")} / 4294967296.0::double * 2) as int) as fold from b_cases c cross join range(5) r(i)),
+_CROSS = f""", runs as (select c.*, cast(i as int) as repeat, cast((row_number() over (partition by i, y order by {_hash("'crossfit:' || i || ':' || case_id")}, case_id) - 1) % 2 as int) as fold from b_cases c cross join range(5) r(i)),
 cum as (select repeat, 1 - fold as fold, logit, sum(sum(y)) over (partition by repeat, fold order by logit desc) as cp, sum(sum(y)) over (partition by repeat, fold) as al from runs group by repeat, fold, logit),
-cut as (select repeat, fold, max(logit) as threshold from cum where cp >= al * 0.9::double - 1e-9 group by 1, 2)
-select r.repeat, r.fold, count(*) as n, round(threshold, 6) as threshold, round(count(*) filter (y = 1 and logit >= threshold) / count(*) filter (y = 1), 6) as sensitivity, round(count(*) filter (y = 0 and logit < threshold) / count(*) filter (y = 0), 6) as specificity
-from runs r join cut c on r.repeat = c.repeat and r.fold = c.fold group by 1, 2, threshold""")
+cut as (select repeat, fold, max(logit) as threshold from cum where cp >= al * 0.9::double - 1e-9 group by 1, 2),
+bins as (select repeat, fold, cast(len(list_filter(list_transform(range(15), lambda i: i * (1.0::double / 15)), lambda x: x < p)) as int) - 1 as b, count(*) as n, sum(p) as sp, sum(y) as sy from (select repeat, fold, y, {_SIG('logit')} as p from runs) group by all),
+ec as (select repeat, fold, sum(abs(sp - sy)) filter (b >= 0) / sum(n) as ece from bins group by 1, 2),
+parts as (select r.repeat, r.fold, count(*) as n, threshold, count(*) filter (y = 1 and logit >= threshold) / count(*) filter (y = 1) as sensitivity, count(*) filter (y = 0 and logit < threshold) / count(*) filter (y = 0) as specificity, max(ece) as ece
+  from runs r join cut c on r.repeat = c.repeat and r.fold = c.fold join ec on r.repeat = ec.repeat and r.fold = ec.fold group by 1, 2, threshold) """
+
+
+@query(_CROSS + "select repeat, fold, n, round(threshold, 6) as threshold, round(sensitivity, 6) as sensitivity, round(specificity, 6) as specificity, round(ece, 6) as ece from parts")
 def crossfit_site_score(spark, d):
     return K.crossfit(B.cases(spark, d), "case_id", "logit", "y")
 
 
+@query(_CROSS + " select m as metric, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as sd from (select 'sensitivity' as m, sensitivity as v from parts union all select 'specificity', specificity from parts union all select 'ece', ece from parts) group by 1")
+def crossfit_summary(spark, d):
+    return K.crossfit_summary(K.crossfit(B.cases(spark, d), "case_id", "logit", "y"))
+
+
 _BOOT = f""", sub as (select subject, {_CONFUSION} from (select subject, prob as s, 0.5 as t, y from b_cases) group by subject),
 rep as (select sub.*, i, len(list_filter([{', '.join(f'{c}::double' for c in K.POISSON)}], lambda c: c <= {_hash("'boot:' || subject || ':' || i")} / 4294967296.0::double)) as w from sub cross join range(1000) r(i)),
 boot as (select i, sum(w * tp) / nullif(sum(w * (tp + fn)), 0) as sens, sum(w * tn) / nullif(sum(w * (tn + fp)), 0) as spec from rep where w > 0 group by i),
