@@ -18,6 +18,9 @@ from .simhash import digests, link_fingerprints, majority
 SHINGLE, LEAST = 5, 0.8
 #: Counters of the sketch that tells common shingles from rare ones (by the top bits of a shingle's hash).
 SKETCH_BITS = 20
+#: Each so many shingles of a set lengthen its prefix by one, and sets that are alike share one more of their prefixes: prefixes of
+#: |x| - 0.8 |x| + t and |y| - 0.8 |y| + t' shingles share the lesser of t and t' at least. Long texts that share a few by chance don't.
+MEETING = 20
 #: Bins of a set's parities. Two sets differ in at least as many shingles as their parities differ in bins.
 BINS = 1024
 
@@ -34,9 +37,9 @@ def needed(size: int, least: float) -> int:
 
 
 def prefix(found: np.ndarray, level: np.ndarray, least: float) -> np.ndarray:
-    """The first shingles in an order that all sets share, rare ones before common ones: sets that are alike share one of these."""
+    """The first shingles in an order that all sets share, rare ones before common ones: sets that are alike share `meeting` of these."""
     order = np.argsort(level[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-    return found[order[: len(found) - needed(len(found), least) + 1]]
+    return found[order[: len(found) - needed(len(found), least) + 1 + len(found) // MEETING]]
 
 
 def parities(found: np.ndarray) -> bytes:
@@ -99,7 +102,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by (shingle, component): the pairs of one shingle in different components whose parities allow the similarity."""
+    """Of postings sorted by (shingle, component): the pairs of one shingle in different components whose parities allow the similarity, and
+    how many shingles of their prefixes they must share."""
     for shingle, c, key, size, *parity in _whole_runs(batches, 4 + BINS // 64):
         bits = np.stack([x.view(np.uint64) for x in parity], axis=1)
         new = np.flatnonzero(np.r_[True, (shingle[1:] != shingle[:-1]) | (c[1:] != c[:-1])])
@@ -113,10 +117,10 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.
                 both, most = size[other] + size[at], np.minimum(size[other], size[at])
                 ok = (most >= np.round(least * np.maximum(size[other], size[at]), 9)) & (apart <= np.round(both * (1 - least) / (1 + least), 9))
                 if ok.any():
-                    out.append(np.stack([np.full(int(ok.sum()), key[at]), key[other][ok]]))
+                    out.append(np.stack([np.full(int(ok.sum()), key[at]), key[other][ok], 1 + most[ok] // MEETING]))
         if out:
-            u, v = np.concatenate(out, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+            u, v, t = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(t)], ["u", "v", "t"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch], shingle: int, least: float) -> Iterator[pa.RecordBatch]:
@@ -165,7 +169,9 @@ def links(profile: DataFrame, texts: DataFrame, shingle: int, least: float) -> D
     dealt = texts.mapInArrow(postings, "shingle long, key long, size long").repartition("shingle").sortWithinPartitions("shingle", "key")
     shared = stored(dealt.mapInArrow(_shared, "shingle long, key long, size long, seed long, seed_size long"), "postings")
     near = lambda a, b: F.least(a, b) >= F.round(F.greatest(F.col(a), F.col(b)) * least, 9)
-    stars = shared.where("key <> seed").where(near("size", "seed_size")).select(F.col("seed").alias("u"), F.col("key").alias("v"))
+    # Any choice of stars will do, as the second round takes all pairs that are left: those that share half of what they must, say.
+    stars = shared.where("key <> seed").where(near("size", "seed_size")).groupBy(F.col("seed").alias("u"), F.col("key").alias("v")).agg(F.count("*").alias("n"), F.min("size").alias("size"))
+    stars = stars.where(F.col("n") > F.col("size") / (2 * MEETING)).select("u", "v")
     marked = link_fingerprints(profile.where("key is not null").groupBy("fp").agg(F.min("key").alias("id")))
     first = stored(stars.unionByName(marked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct(), "star-pairs")
     sure = stored(alike(first, texts, shingle, least), "star-links")
@@ -177,7 +183,8 @@ def links(profile: DataFrame, texts: DataFrame, shingle: int, least: float) -> D
     words = [F.conv(F.hex(F.substring("parity", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"p{k}") for k in range(BINS // 64)]
     own = profile.where("key is not null").select("key", "parity").dropDuplicates(["key"])
     rest = rest.join(own, "key").select("shingle", "c", "key", "size", *words).repartition("shingle").sortWithinPartitions("shingle", "c")
-    pairs = rest.mapInArrow(lambda batches: _open_pairs(batches, least), "u long, v long").distinct()
+    pairs = rest.mapInArrow(lambda batches: _open_pairs(batches, least), "u long, v long, t long").groupBy("u", "v").agg(F.count("*").alias("n"), F.max("t").alias("t"))
+    pairs = pairs.where("n >= t").select("u", "v")
     more = stored(pairs.join(first, ["u", "v"], "left_anti"), "open-pairs")
     if not more.limit(1).count():
         return known
