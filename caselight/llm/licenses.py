@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,18 +49,28 @@ def match_lines(lines: DataFrame, templates: DataFrame, least: float = LEAST) ->
     return lines.withColumn("id", F.md5("line")).join(best, "id").select("line", "n", F.col("best.license").alias("license"), F.col("best.score").alias("score"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it within other functions."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def pieces(text: Column, path: Column) -> Column:
     """What of a text is compared with the templates: each line with a cue, sentences with one within long lines, windows of SPANS lines
     that begin at most one line before a cue, and the whole text of a licence file."""
-    bare = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, COMMENT, ""))), lambda x: x != "")
-    cued = F.transform(bare, lambda x: x.rlike(CUES))
-    start = lambda i: F.element_at(cued, i + 1) | ((i + 2 <= F.size(bare)) & F.coalesce(F.try_element_at(cued, i + 2), F.lit(False)))
-    at = F.filter(F.sequence(F.lit(0), F.size(bare) - 1), start)
-    single = F.filter(bare, lambda x: x.rlike(CUES))
-    long = F.flatten(F.transform(F.filter(single, lambda x: F.length(x) > 120), lambda x: F.filter(F.split(x, r"(?<=[.;!?])\s+"), lambda s: s.rlike(CUES))))
-    windows = F.flatten(F.array(*[F.transform(F.filter(at, lambda i: i + n <= F.size(bare)), lambda i: F.array_join(F.slice(bare, i + 1, F.lit(n)), " ")) for n in SPANS]))  # noqa: B023
-    found = F.when(text.rlike(CUES) & (F.size(bare) > 0), F.concat(single, F.array_distinct(F.concat(long, windows))))
     none = F.array().cast("array<string>")
+    bare = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, COMMENT, ""))), lambda x: x != "")
+
+    def of_lines(lines: Column) -> Column:
+        single = F.filter(lines, lambda x: x.rlike(CUES))
+        long = F.flatten(F.transform(F.filter(single, lambda x: F.length(x) > 120), lambda x: F.filter(F.split(x, r"(?<=[.;!?])\s+"), lambda s: s.rlike(CUES))))
+        # Places of lines with a cue, and those just before them.
+        cued = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(CUES), i)), lambda i: i.isNotNull())
+        at = F.filter(F.array_distinct(F.concat(cued, F.transform(cued, lambda i: i - 1))), lambda i: i >= 0)
+        window = lambda n: lambda i: F.when(i + n <= F.size(lines), F.array_join(F.slice(lines, i + 1, F.lit(n)), " "))
+        windows = _let(at, lambda starts: F.array_compact(F.flatten(F.array(*[F.transform(starts, window(n)) for n in SPANS]))))
+        return F.when(F.size(lines) > 0, F.concat(single, F.array_distinct(F.concat(long, windows)))).otherwise(none)
+
+    found = F.when(text.rlike(CUES), _let(bare, of_lines))
     return F.concat(F.coalesce(found, none), F.when(path.rlike(FILES) & (F.trim(text) != ""), F.array(F.trim(text))).otherwise(none))
 
 
