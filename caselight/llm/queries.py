@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exactdedup, html, licenses, mixing, pii, quality, secrets, simhash, toxicity
+from . import decontaminate, exactdedup, html, licenses, mixing, pieces, pii, quality, secrets, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +61,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_html, op4_decontamination, op5_pii, op6_toxicity, op7_mixing, op8_licenses, op9_secrets, op10_exact_dedup)}
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model is a file of the driver; its bytes (half a MB) go to the tasks."""
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    return pieces.digest(pieces.encode(_table(spark, sf_dir, "documents"), model, keep=["doc_id"]), model)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_html, op4_decontamination, op5_pii, op6_toxicity, op7_mixing, op8_licenses, op9_secrets, op10_exact_dedup, op11_sentencepiece)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ASSIGN = r"""(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
