@@ -21,7 +21,9 @@ from .common import text_slices
 #: The symbol that stands for a space in pieces, U+2581 in UTF-8, and what the library puts in the place of a malformed byte.
 SPACE, REPLACEMENT = b"\xe2\x96\x81", b"\xef\xbf\xbd"
 #: What encode() adds to a row.
-OUT = "ids array<int>, begins array<int>, ends array<int>"
+OUT = "ids array<int>, begins array<int>, ends array<int>, decoded string"
+#: Bytes of texts that are encoded at a time, about: some hundred bytes of memory for each.
+SLICE = 1_500_000
 
 
 def _starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -236,24 +238,28 @@ class Encoder:
 
 
 def encode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds to each row the ids of its text, an end id last, and for each id the bytes of the text, from begins up to ends, that it stands for.
+    """Adds to each row the ids of its text, an end id last, for each id the bytes of the text, from begins up to ends, that it stands for,
+    and, as decoded, the text that the library decodes the ids to.
 
     Ids are those of the sentencepiece library without sampling. Where several bytes encode one character, the last of them has its span and those
     before are empty, as in the library. A null text counts as empty and has the end id alone; so has an empty one. Ties, repeated rows and null keys
     play no part: each row stands by itself, and an empty table gives an empty one. `keep` names the columns to carry (all but the text if None);
-    columns named ids, begins or ends are replaced. A text of any length is encoded whole, texts are worked on in slices of some MB.
+    columns with the names of new ones are replaced. A text of any length is encoded whole, texts are worked on in slices of about a MB.
     """
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "begins", "ends", text)]
+    new = ["ids", "begins", "ends", "decoded"]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in (*new, text)]
     rows = docs.select(*names, F.col(text).alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields), OUT])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
         for batch in batches:
-            for low, part in text_slices(batch.column(len(names))):
+            for low, part in text_slices(batch.column(len(names)), SLICE):
                 offsets, *columns = encoder.encode(part)
                 lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(c, pa.int32())) for c in columns]
-                yield pa.RecordBatch.from_arrays([c.slice(low, len(part)) for c in batch.columns[: len(names)]] + lists, [*names, "ids", "begins", "ends"])
+                ids, cuts = columns[0].tolist(), offsets.tolist()
+                texts = pa.array([encoder.library.decode(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([c.slice(low, len(part)) for c in batch.columns[: len(names)]] + lists + [texts], [*names, *new])
 
     return rows.mapInArrow(work, schema)
 
@@ -273,8 +279,10 @@ def decode(rows: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded"
     return rows.mapInArrow(work, schema)
 
 
-def digest(encoded: DataFrame, model: bytes) -> DataFrame:
+def digest(encoded: DataFrame) -> DataFrame:
     """Per document: its number of ids, hashes of the ids and of the decoded text, and a hash of all spans."""
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
-    known = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.xxhash64("begins", "ends").alias("spans_hash"))
-    return decode(known, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "spans_hash")
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.xxhash64("begins", "ends").alias("spans_hash"),
+    )

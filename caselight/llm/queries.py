@@ -65,7 +65,7 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model is a file of the driver; its bytes (half a MB) go to the tasks."""
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
         model = file.read()
-    return pieces.digest(pieces.encode(_table(spark, sf_dir, "documents"), model, keep=["doc_id"]), model)
+    return pieces.digest(pieces.encode(_table(spark, sf_dir, "documents"), model, keep=["doc_id"]))
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_html, op4_decontamination, op5_pii, op6_toxicity, op7_mixing, op8_licenses, op9_secrets, op10_exact_dedup, op11_sentencepiece)}

@@ -56,15 +56,17 @@ def test_rows_of_any_kind_and_the_digest(spark):
     data.append(data[5])
     docs = spark.createDataFrame(data, "doc_id long, text string, ids long").repartition(3)
     coded = pieces.encode(docs, MODEL)
-    assert coded.columns == ["doc_id", "ids", "begins", "ends"] and coded.count() == len(data)
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pieces.digest(coded, MODEL).collect())
+    assert coded.columns == ["doc_id", "ids", "begins", "ends", "decoded"] and coded.count() == len(data)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pieces.digest(coded).collect())
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = []
     for doc_id, text, _ in data:
         ids = library.encode(text or "", add_eos=True)
         want.append((doc_id is None, doc_id or 0, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids))))
     assert got == sorted(want)
-    assert pieces.digest(pieces.encode(docs.limit(0), MODEL), MODEL).collect() == []
+    again = pieces.decode(coded.withColumnRenamed("decoded", "was"), MODEL)
+    assert again.where("was != decoded").count() == 0 and again.count() == len(data)
+    assert pieces.digest(pieces.encode(docs.limit(0), MODEL)).collect() == []
 
 
 def test_the_query_over_the_given_documents(spark):
