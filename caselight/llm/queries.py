@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exactdedup, html, licenses, mixing, pieces, pii, quality, secrets, simhash, toxicity
+from . import collocations, conversations, decontaminate, exactdedup, html, licenses, mixing, pieces, pii, quality, secrets, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +68,15 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.encode(_table(spark, sf_dir, "documents"), model, keep=["doc_id"]))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_html, op4_decontamination, op5_pii, op6_toxicity, op7_mixing, op8_licenses, op9_secrets, op10_exact_dedup, op11_sentencepiece)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired_after_damage(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_html, op4_decontamination, op5_pii, op6_toxicity, op7_mixing, op8_licenses, op9_secrets, op10_exact_dedup, op11_sentencepiece, op12_collocations, op13_conversations)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ASSIGN = r"""(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
@@ -94,7 +102,26 @@ agg as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) f
 select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256,
   coalesce(spans, '') as spans from documents d left join agg a on d.doc_id = a.doc_id"""
 
+_PHRASES = f"""
+with docs as (select row_number() over () as d, coalesce(lang, 'und') as lang, {_LOWER} as text from documents),
+pieces as (select d, lang, generate_subscripts(parts, 1) as p, unnest(parts) as piece from (select d, lang, string_split_regex(text, '[.,;:!?\x0A-\x0D]') as parts from docs)),
+words as (select lang, d, p, generate_subscripts(w, 1) as k, unnest(w) as w from (select d, lang, p, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces)),
+grams as (select lang, w as w1, lead(w) over s as w2, lead(w, 2) over s as w3 from words window s as (partition by d, p order by k)),
+f as (select lang, w1 as phrase, 1 as size, w1, null as w2, null as w3, count(*) as f from grams group by all
+  union all select lang, w1 || ' ' || w2, 2, w1, w2, null, count(*) from grams where w2 is not null group by all
+  union all select lang, w1 || ' ' || w2 || ' ' || w3, 3, w1, w2, w3, count(*) from grams where w3 is not null group by all),
+n as (select lang, count(*) as n from words group by lang),
+c as (select * from f where size > 1 and f >= 10),
+o as (select lang, phrase, max(o) as o from (select lang, w1 || ' ' || w2 as phrase, f as o from c where size = 3 union all select lang, w2 || ' ' || w3, f from c where size = 3) group by all),
+cuts as (select lang, phrase, f as a, 1 as k, w1 as lp, case when size = 2 then w2 else w2 || ' ' || w3 end as rp from c union all select lang, phrase, f, 2, w1 || ' ' || w2, w3 from c where size = 3),
+scored as (select t.lang, t.phrase, t.a, k, x.f as l, y.f as r, 1000000::hugeint * t.a * t.a // (x.f::hugeint * y.f) as score
+  from cuts t join f x on x.lang = t.lang and x.phrase = t.lp join f y on y.lang = t.lang and y.phrase = t.rp),
+weakest as (select * from (select *, row_number() over (partition by lang, phrase order by score, k) as i from scored) where i = 1),
+kept as (select w.* from weakest w left join o on o.lang = w.lang and o.phrase = w.phrase where o.o is null or 100 * o.o < 50 * w.a)
+select * from (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score from kept join n using (lang)) where rank <= 2000"""
+
 ORACLES = {
+    "op12_collocations": _PHRASES,
     "op9_secrets": _SPANS,
     "op10_exact_dedup": f"""select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(norm) as text_sha256
         from (select doc_id, {_LOWER} as norm from documents) window w as (partition by norm)""",
