@@ -7,9 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselight.functions.columns import apply_temperature, logit, sigmoid
-
-#: Ranges of a score into which its distinct values are cut before they are sorted.
-RANGES = 64
+from caselight.operators.store import written
 
 
 def confusion(df: DataFrame, y: str, score: str, threshold: float | Column, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -28,13 +26,11 @@ def confusion(df: DataFrame, y: str, score: str, threshold: float | Column, by:
 def prefix_sums(df: DataFrame, order: str, values: list[str], by: list[str] = [], ranged: bool = False) -> DataFrame:  # noqa: B006
     """Per distinct value of `order`, descending: the sums of values there and, as cum_*, at it and above.
 
-    Distinct values are cut into ranges; ranges get offsets from their sums and are sorted on their own, so that no single
-    task sorts the whole table.
+    Distinct values are dealt out by ranges of (by, order), as many as the session shuffles to, and stored; ranges get offsets from their
+    sums and are sorted on their own, so that no single task sorts the whole table or a large group.
     """
     distinct = df.where(F.col(order).isNotNull()).groupBy(*by, order).agg(*[F.sum(v).alias(v) for v in values])
-    cuts = sorted(set(df.approxQuantile(order, [k / RANGES for k in range(1, RANGES)], 0.005)))
-    edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    rows = distinct.withColumn("_range", F.size(F.filter(edges, lambda e: e < F.col(order))))
+    rows = written(distinct.repartitionByRange(*by, order).withColumn("_range", F.spark_partition_id()), "ranges")
     sums = rows.groupBy(*by, "_range").agg(*[F.sum(v).alias("_" + v) for v in values])
     above = W.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(*by, "_range", *[F.coalesce(F.sum("_" + v).over(above), F.lit(0)).alias("_" + v) for v in values])
@@ -67,7 +63,7 @@ def roc_points(df: DataFrame, y: str, score: str, drop: bool = True) -> DataFram
         # Neighbours come from the own range; at its ends from the last and first rows of the ranges beside it, one row a range.
         point = F.struct("fps", "tps")
         ends = sums.groupBy("_range").agg(F.max_by(point, "threshold").alias("top"), F.min_by(point, "threshold").alias("bottom"))
-        order = W.partitionBy().orderBy(F.desc("_range"))  # over at most RANGES rows
+        order = W.partitionBy().orderBy(F.desc("_range"))  # over a row for each range
         ends = ends.select("_range", F.lag("bottom").over(order).alias("above"), F.lead("top").over(order).alias("below"))
         own = W.partitionBy("_range").orderBy(F.desc("threshold"))
         near = sums.join(F.broadcast(ends), "_range").withColumn("above", F.coalesce(F.lag(point).over(own), "above")).withColumn("below", F.coalesce(F.lead(point).over(own), "below"))
