@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from caselight.functions.columns import apply_temperature, hash_uniform, sigmoid
 from caselight.operators import metrics as M
+from caselight.operators import resampling as R
 from caselight.operators.gates import report_failures
 from caselight.operators.tables import hash_ranks
 
@@ -196,9 +197,21 @@ def bootstrap_rates(df: DataFrame, y: str, score: str, threshold: float, cluster
     return point.join(cuts, "metric").select("metric", "point", F.element_at("q", 1).alias("low"), F.element_at("q", 2).alias("high"), "n_boot")
 
 
-def full_report(df: DataFrame, y: str, z: str, prob: str, cluster: str, threshold: float = 0.5) -> DataFrame:
-    """One row: counts, rates, areas, calibration error and the intervals of sensitivity and specificity."""
-    ci = bootstrap_rates(df, y, prob, threshold, cluster)
-    pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}")
-    wide = ci.agg(*[pick(m, c) for m in ("sensitivity", "specificity") for c in ("low", "high")])
-    return M.confusion(df, y, prob, threshold).crossJoin(M.auroc(df, y, z)).crossJoin(M.ece(df, y, prob)).crossJoin(wide)
+def full_report(
+    df: DataFrame, y: str, z: str, prob: str, cluster: str, threshold: float = 0.5, target: float = 0.9, grades: tuple[str, str] | None = None, replicates: int = 1000
+) -> DataFrame:
+    """One row: counts, rates, areas, calibration error, weighted kappa of (true, predicted) grades if given, and, resampling subjects, the intervals of sensitivity,
+    specificity, the area under the ROC curve and the specificity at the target sensitivity, whose threshold every replicate finds anew."""
+    ci = resample_rates(df, y, prob, F.lit(threshold), cluster, replicates).unionByName(R.resample_areas(df, y, z, cluster, replicates, target=target))
+    pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c))).alias(m if c == "point" else f"{m}_{c}")
+    wide = ci.agg(*[pick(m, c) for m in ("sensitivity", "specificity", "auroc", "spec_at_sens") for c in ("low", "high")], pick("spec_at_sens", "point"), pick("auroc", "n_boot"))
+    out = M.confusion(df, y, prob, threshold).crossJoin(M.auroc(df, y, z)).crossJoin(M.ece(df, y, prob)).crossJoin(wide)
+    return out.crossJoin(M.qwk(df.where(F.col(grades[0]).isNotNull() & F.col(grades[1]).isNotNull()), *grades)) if grades else out
+
+
+def resample_rates(df: DataFrame, y: str, score: str, threshold: Column, cluster: str, replicates: int = 1000, alpha: float = 0.05) -> DataFrame:
+    """(metric, point, low, high, n_boot) of sensitivity and specificity at score >= threshold, resampling as many subjects as there are."""
+    call, pos = F.col(score) >= threshold, F.col(y) == 1
+    sums = {"tp": call & pos, "p": pos, "tn": ~call & ~pos, "q": ~pos}
+    rates = lambda s: {"sensitivity": F.try_divide(s("tp"), s("p")), "specificity": F.try_divide(s("tn"), s("q"))}
+    return R.resample(df, cluster, {k: c.cast("long") for k, c in sums.items()}, rates, replicates, alpha)

@@ -155,19 +155,3 @@ pt as (select sum(tp) / sum(tp + fn) as sens, sum(tn) / sum(tn + fp) as spec fro
 union all select 'specificity', round((select spec from pt), 6), round(quantile_cont(spec, 0.025), 6), round(quantile_cont(spec, 0.975), 6), count(spec) from boot""")
 def cluster_bootstrap(spark, d):
     return K.bootstrap_rates(B.cases(spark, d), "y", "prob", 0.5, "subject")
-
-
-@query(_BOOT + f"""select {_DIVIDED.replace("tp, fp, tn, fn, ", "c.tp, c.fp, c.tn, c.fn, ", 1)}, round(a.auroc, 6) as auroc, round(a.auprc, 6) as auprc, round({_ece_sql('b_cases', 'prob')}, 6) as ece,
-  round((select quantile_cont(sens, 0.025) from boot), 6) as sensitivity_low, round((select quantile_cont(sens, 0.975) from boot), 6) as sensitivity_high, round((select quantile_cont(spec, 0.025) from boot), 6) as specificity_low, round((select quantile_cont(spec, 0.975) from boot), 6) as specificity_high
-  from (select {_CONFUSION} from (select prob as s, 0.5 as t, y from b_cases)) c cross join {_auroc("1 as one", "(select logit as s, y from b_cases)").replace("group by 1 as one", "").replace("partition by 1 as one ", "")} a""")
-def full_report(spark, d):
-    return K.full_report(B.cases(spark, d), "y", "logit", "prob", "subject")
-
-
-_ONE = _auroc("1 as one", "(select logit as s, y from b_cases)").replace("group by 1 as one", "").replace("partition by 1 as one ", "")
-
-
-@query(f"""select {_DIVIDED}, round(auroc, 6) as auroc, round({_ece_sql('b_cases', 'prob')}, 6) as ece from (select {_CONFUSION} from (select prob as s, 0.4 + (case_id % 5) * 0.05 as t, y from b_cases)) cross join {_ONE}""")
-def oof_report(spark, d):
-    cut = (40 + (F.col("case_id") % 5) * 5) / F.lit(100.0)
-    return R.oof_report(B.cases(spark, d).withColumn("cut", cut), "y", "logit", "prob", "cut")

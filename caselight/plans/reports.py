@@ -131,12 +131,6 @@ def top_n_per_grade(spark, d):
     return R.sample_per_grade(B.predictions(spark, d), 4)
 
 
-@query(f"""select {_DIVIDED}, round(auroc, 6) as auroc from (select {_CONFUSION} from (select case when prob >= 0.45 then 1 else 0 end as s, 1 as t, y from b_cases where gradable = 1 and h % 6 <> 0)) cross join {_one_auroc("(select prob as s, y from b_cases where gradable = 1 and h % 6 <> 0)")}""")
-def external_report(spark, d):
-    c = B.cases(spark, d).withColumn("y", F.when(F.col("h") % 6 != 0, F.col("y"))).withColumn("call", F.col("prob") >= 0.45)
-    return R.external_report(c, "y", "prob", "call")
-
-
 _VISITS = _SIDES + ", heads as (select visit, max(subject) as subject, min(created) as first_utc, max(created) as last_utc, count(*) as cases, count(*) filter (latest is null) as pending from outcomes group by 1) "
 
 
