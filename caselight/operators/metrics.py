@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselight.functions.columns import apply_temperature, logit, sigmoid
+from caselight.operators.order import quantiles
 from caselight.operators.store import written
 
 
@@ -148,11 +149,12 @@ def fit_temperature(df: DataFrame, z: str, y: str, lo: float = 0.05, hi: float =
 def abstention_bands(df: DataFrame, prob: str, threshold: float, coverages: list[float]) -> DataFrame:
     """(coverage, low, high): the band around the threshold outside which that share of cases lies."""
     at = logit(F.lit(threshold))
-    cuts = df.agg(F.percentile(F.abs(logit(F.col(prob)) - at), F.array(*[F.lit(1 - c) for c in coverages])).alias("cuts"))
-    rows = cuts.select(F.posexplode("cuts").alias("k", "cut"), F.array(*[F.lit(c) for c in coverages]).alias("coverages"))
-    coverage = F.element_at("coverages", F.col("k") + 1)
-    edge = lambda sign: F.when(coverage >= 1, F.lit(threshold)).otherwise(sigmoid(at + sign * F.col("cut")))
-    return rows.select(coverage.alias("coverage"), edge(-1).alias("low"), edge(1).alias("high"))
+    shares = {1 - c: c for c in coverages}
+    cuts = quantiles(df, F.abs(logit(F.col(prob)) - at), list(shares), name="cut")
+    coverage = F.create_map(*[F.lit(float(x)) for pair in shares.items() for x in pair])[F.col("fraction")]
+    rows = cuts.select("cut", coverage.alias("coverage"))
+    edge = lambda sign: F.when(F.col("coverage") >= 1, F.lit(threshold)).otherwise(sigmoid(at + sign * F.col("cut")))
+    return rows.select("coverage", edge(-1).alias("low"), edge(1).alias("high"))
 
 
 def abstention_curve(df: DataFrame, y: str, prob: str, threshold: float, source: DataFrame, coverages: list[float]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from caselight.operators import calibration as K
 from caselight.operators import metrics as M
 from caselight.operators import resampling as S
+from caselight.operators.order import median, quantiles
 
 #: Fixed values of the monitoring window, in days: the recent part, the whole, and what the whole is clamped to.
 RECENT, WINDOW, CLAMP = 28, 90, (7, 730)
@@ -19,11 +20,13 @@ def ops_summary(outcomes: DataFrame) -> DataFrame:
     call = ("REFER", "ROUTINE")
     both = F.col("latest").isin(*call) & F.col("decision").isin(*call)
     of = lambda x: F.count_if(F.col("decision") == x)
-    return outcomes.agg(
+    totals = outcomes.agg(
         F.count("*").alias("total"), of("REFER").alias("refer"), of("ROUTINE").alias("routine"), of("MANUAL_REVIEW").alias("manual"),
         F.count_if(F.col("gradable") == 0).alias("ungradable"), F.count("latest").alias("reviewed"),
-        F.avg(F.when(both, (F.col("latest") == F.col("decision")).cast("double"))).alias("agreement"), F.coalesce(F.median("latency_ms"), F.lit(0.0)).alias("median_latency"),
+        F.avg(F.when(both, (F.col("latest") == F.col("decision")).cast("double"))).alias("agreement"),
     )
+    middle = median(outcomes, "latency_ms").agg(F.coalesce(F.max("median"), F.lit(0.0)).alias("median_latency"))
+    return totals.crossJoin(F.broadcast(middle))  # a row each
 
 
 def served_summary(df: DataFrame, y: str = "y", decision: str = "decision", probability: str = "probability") -> DataFrame:
@@ -47,8 +50,11 @@ def metric_percentiles(df: DataFrame, metrics: list[str], by: list[str], at: tup
     """(metric, by, n, p5, ...) with straight lines between ranks; values that are null, NaN or no numbers don't count."""
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("string").try_cast("double").alias("value")) for m in metrics])
     long = df.select(*by, F.explode(pairs).alias("m")).select(*by, "m.*").where(F.col("value").isNotNull() & ~F.isnan("value"))
-    p = long.groupBy("metric", *by).agg(F.count("*").alias("n"), F.percentile("value", F.array(*[F.lit(x) for x in at])).alias("p"))
-    return p.select("metric", *by, "n", *[F.element_at("p", k + 1).alias(f"p{round(100 * x)}") for k, x in enumerate(at)])
+    n = long.groupBy("metric", *by).agg(F.count("*").alias("n"))
+    q = quantiles(long, "value", list(at), ["metric", *by]).groupBy("metric", *by).agg(*[F.max(F.when(F.col("fraction") == x, F.col("value"))).alias(f"p{round(100 * x)}") for x in at])
+    keys = ["metric", *by]
+    same = [n[c].eqNullSafe(q[c]) for c in keys]
+    return n.join(q, same).select(*[n[c] for c in keys], "n", *[f"p{round(100 * x)}" for x in at])
 
 
 def gate_metrics(df: DataFrame, reject: str, score: str, threshold: float) -> DataFrame:

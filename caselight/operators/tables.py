@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselight.functions.columns import hash32, hash_uniform, locked_split, pseudonym
+from caselight.operators.order import SENT, median
 
 
 def latest_verdict(verdicts: DataFrame) -> DataFrame:
@@ -51,11 +52,14 @@ def worklist(preds: DataFrame, limit: int = 200) -> DataFrame:
     return preds.withColumn("rank", rank).orderBy("rank", F.desc_nulls_last("probability"), F.desc("created"), F.desc("case_id")).limit(max(1, min(1000, limit)))
 
 
-def median_cases(df: DataFrame, group: str, value: str, key: str) -> DataFrame:
-    """By group the case nearest the median; ties by key."""
-    mid = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.median(value).alias("median"))
-    near = F.struct(F.round(F.abs(F.col(value) - F.col("median")), 9), F.col(key))
-    return df.where(F.col(value).isNotNull()).join(F.broadcast(mid), group).groupBy(group, "median").agg(F.min_by(key, near).alias(key))
+def median_cases(df: DataFrame, group: str, value: str, key: str, ties: Column | None = None) -> DataFrame:
+    """By group the case nearest the median; of equally near ones the first by `ties` (a number at the end of a name, say), then by key."""
+    known = df.where(F.col(value).isNotNull())
+    mid = median(known, value, [group]).withColumnRenamed(group, "_group")
+    near = F.struct(F.round(F.abs(F.col(value) - F.col("median")), 9), *([] if ties is None else [ties]), F.col(key))
+    sizes = mid.limit(SENT + 1).count()  # groups
+    both = known.join(F.broadcast(mid) if sizes <= SENT else mid, known[group].eqNullSafe(F.col("_group")))
+    return both.groupBy(group, "median").agg(F.min_by(key, near).alias(key))
 
 
 #: Ranges of a uniform hash that are ranked on their own.
