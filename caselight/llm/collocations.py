@@ -22,9 +22,9 @@ from .common import shared_folder, stored, text_slices
 #: The least count of a phrase, how many of 100 of its occurrences a longer one must have to replace it, and the rows reported for a language.
 LEAST, SHARE, FIRST = 10, 50, 2000
 #: Parts of the corpus; a full cycle scans each once.
-SHARDS = 3
+SHARDS = 2
 #: Bytes of texts that are counted at a time, and bits of a bitmap at most (16 MB); beyond that more phrases than needed are counted.
-SLICE, BITS = 4_000_000, 1 << 27
+SLICE, BITS = 6_000_000, 1 << 27
 #: Parts in which a language's phrases are ranked before the first of each part are ranked together.
 PARTS = 64
 BLANK, BREAK = b" \t", b".,;:!?\n\x0b\x0c\r"
@@ -79,7 +79,7 @@ def _cut(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
     last[:-1] &= ~word[1:] | edge[1:-1]
     at = np.flatnonzero(first)
     text = np.searchsorted(offsets, at, "right") - 1
-    piece = np.cumsum(kind == 2)[at] + text
+    piece = np.cumsum(kind == 2, dtype=np.int32)[at] + text
     places = np.concatenate(([0], np.cumsum(np.flatnonzero(last) - at + 1)))
     words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(places), pa.py_buffer(data[word])])
     return words.dictionary_encode(), piece, text
@@ -187,7 +187,7 @@ def count_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) ->
             _dropped(spark, f"{base}/step-{step - 1}")
         if not bits:
             words = state.where("size = 0").agg(F.coalesce(F.sum(own[at]), F.lit(0))).first()[0] * shards
-            bits = min(BITS, max(1 << 16, 1 << int(words).bit_length()))
+            bits = min(BITS, max(1 << 16, 1 << int(words // 4).bit_length()))
         step += 1
         known = _bitmaps(state, bits, step - 1, shards)
         if step >= shards and not known.maps.keys() & {NEW_WORD, NEW_PAIR}:
