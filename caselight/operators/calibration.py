@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from caselight.functions.columns import apply_temperature, hash_uniform, sigmoid
 from caselight.operators import metrics as M
 from caselight.operators import resampling as R
+from caselight.operators.fits import fit_temperatures, interpolated, isotonic_fits
 from caselight.operators.gates import report_failures
+from caselight.operators.store import written
 from caselight.operators.tables import hash_ranks
 
-#: The least rows of a held-out part, and how calibrators are tried, in the order that decides ties.
-LEAST_HELD, METHODS = 20, ("identity", "temperature", "isotonic")
+#: The least rows of a held-out part, its share, and how calibrators are tried, in the order that decides ties.
+LEAST_HELD, HELD_SHARE, METHODS = 20, 0.3, ("identity", "temperature", "isotonic")
 #: The distribution function of a Poisson variable of mean one.
 POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
 
@@ -38,7 +40,7 @@ def knots(model: IsotonicRegressionModel) -> tuple[list[float], list[float]]:
     return model.boundaries.toArray().tolist(), model.predictions.toArray().tolist()
 
 
-def holdout(df: DataFrame, key: str, share: float = 0.3, seed: str = "holdout") -> tuple[DataFrame, DataFrame]:
+def holdout(df: DataFrame, key: str, share: float = HELD_SHARE, seed: str = "holdout") -> tuple[DataFrame, DataFrame]:
     """(fit, held) parts by a hash of the key."""
     u = hash_uniform(seed, F.col(key))
     return df.where(u >= share), df.where(u < share)
@@ -152,24 +154,56 @@ def recalibrate(train: DataFrame, locked: DataFrame, current: DataFrame, key: st
     return rows[0].unionByName(rows[1])
 
 
-def crossfit(df: DataFrame, key: str, z: str, y: str, target: float = 0.9, repeats: int = 5, folds: int = 2) -> DataFrame:
-    """(repeat, fold, n, threshold, sensitivity, specificity, ece): the threshold of the other folds measured on each fold, with the
-    calibration error of the scores there. Folds have equal shares of both classes."""
+def crossfit_scores(df: DataFrame, key: str, z: str, y: str, target: float = 0.9, repeats: int = 5, folds: int = 2) -> DataFrame:
+    """(repeat, fold, key, y, method, temperature, threshold, p): every row under the calibrator and the threshold that the other folds of a repeat give.
+
+    Folds have equal shares of both classes. All calibrators are fitted at once, in groups of (repeat, fold), each chosen by its error on a held-out part as in
+    select_calibrator(); a fold whose held-out part is too small takes a temperature fitted on all its rows.
+    """
+    by = ["repeat", "fold"]
     runs = df.select(key, z, y, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
     runs = runs.withColumn("_u", hash_uniform("crossfit", F.col("repeat"), F.col(key))).withColumn("_class", F.concat_ws(":", "repeat", F.col(y).cast("string")))
     runs = hash_ranks(runs, "_class", "_u", key).withColumn("own", ((F.col("rank") - 1) % folds).cast("int")).drop("_u", "_class", "rank", "size")
-    fit = runs.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in range(folds)]))).where("fold <> own").withColumn("pos", F.col(y).cast("long"))
-    by = ["repeat", "fold"]
-    sums = M.prefix_sums(fit, z, ["pos"], by).join(fit.groupBy(*by).agg(F.sum("pos").alias("all")), by)
-    cut = sums.where(F.col("cum_pos") >= F.col("all") * target - 1e-9).groupBy(*by).agg(F.max(z).alias("threshold"))
-    scored = runs.withColumnRenamed("own", "fold").join(F.broadcast(cut), by).withColumn("_p", sigmoid(F.col(z)))
-    c = M.confusion(scored, y, z, F.col("threshold"), [*by, "threshold"]).join(M.ece(scored, y, "_p", by=by), by)
-    return c.select(*by, (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("n"), "threshold", "sensitivity", "specificity", "ece")
+    runs = written(runs, "crossfit")
+    fit = runs.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in range(folds)]))).where("fold <> own")
+    fit = fit.withColumn("_held", hash_uniform("holdout", F.col("repeat"), F.col("fold"), F.col(key)) < HELD_SHARE)
+    pos = F.col(y) == 1
+    weak = (F.count_if("_held") < LEAST_HELD) | (F.count_if(F.col("_held") & pos) == 0) | (F.count_if(~F.col("_held") & pos) == 0)
+    fit = written(fit.join(F.broadcast(fit.groupBy(*by).agg(weak.alias("_weak"))), by), "crossfit-fit")  # a row for each fold
+    used = fit.where(F.col("_weak") | ~F.col("_held"))
+    warm = fit_temperatures(used, z, y, by)
+    knots = written(isotonic_fits(used.where("not _weak"), z, y, by), "crossfit-knots")
 
+    def arms(rows: DataFrame) -> DataFrame:
+        p = rows.join(F.broadcast(warm), by).withColumn("_identity", sigmoid(F.col(z))).withColumn("_temperature", apply_temperature(F.col(z), F.col("temperature")))
+        return interpolated(p, z, knots, by, "_isotonic")
 
-def crossfit_summary(parts: DataFrame) -> DataFrame:
-    """(metric, mean, sd) over the rows of crossfit()."""
-    long = parts.select(F.explode(F.create_map(*[x for m in ("sensitivity", "specificity", "ece") for x in (F.lit(m), F.col(m))])).alias("metric", "v"))
+    tried = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(m).alias("method"), F.col(f"_{m}").alias("p")) for k, m in enumerate(METHODS)])
+    long = arms(fit.where("_held and not _weak")).select(*by, F.col(y).alias("y"), F.explode(tried).alias("m")).select(*by, "y", "m.*")
+    best = M.ece(long, "y", "p", by=[*by, "rank", "method"]).groupBy(*by).agg(F.min_by("method", F.struct(F.round("ece", 9), F.col("rank"))).alias("method"))
+    chosen = written(warm.join(best, by, "left").withColumn("method", F.coalesce("method", F.lit("temperature"))).select(*by, "method"), "crossfit-methods")
+
+    def scored(rows: DataFrame) -> DataFrame:
+        p = F.coalesce(*[F.when(F.col("method") == m, F.col(f"_{m}")) for m in METHODS])
+        return arms(rows).join(F.broadcast(chosen), by).withColumn("p", p)
+
+    cut = M.threshold_at_sensitivity(scored(fit).select(*by, y, "p"), y, "p", target, by)
+    return scored(runs.withColumnRenamed("own", "fold")).join(F.broadcast(cut), by).select(*by, key, y, "method", "temperature", "threshold", "p")
+
+
+def crossfit(df: DataFrame, key: str, z: str, y: str, target: float = 0.9, repeats: int = 5, folds: int = 2) -> DataFrame:
+    """(repeat, fold, n, method, temperature, threshold, sensitivity, specificity, ece): what the other folds' calibrator and threshold do on each fold."""
+    scored, by = written(crossfit_scores(df, key, z, y, target, repeats, folds), "crossfit-scores"), ["repeat", "fold"]
+    c = M.confusion(scored, y, "p", F.col("threshold"), [*by, "method", "temperature", "threshold"]).join(M.ece(scored, y, "p", by=by), by)
+    n = (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("n")
+    return c.select(*by, n, "method", "temperature", "threshold", "sensitivity", "specificity", "ece")
+
+
+def crossfit_summary(scored: DataFrame, y: str) -> DataFrame:
+    """(metric, mean, sd) over repeats, from crossfit_scores(): rates and error are those of all rows of a repeat, each under its own fold's calibrator."""
+    hit = (F.col("p") >= F.col("threshold")).cast("double")
+    each = M.confusion(scored.withColumn("_hit", hit), y, "_hit", 1.0, ["repeat"]).join(M.ece(scored, y, "p", by=["repeat"]), "repeat")
+    long = each.select(F.explode(F.create_map(*[x for m in ("sensitivity", "specificity", "ece") for x in (F.lit(m), F.col(m))])).alias("metric", "v"))
     return long.groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caselight.functions.columns import apply_temperature, logit, sigmoid
+from caselight.functions.columns import logit, sigmoid
+from caselight.operators.fits import fit_temperatures
 from caselight.operators.order import quantiles
 from caselight.operators.store import written
 
@@ -56,31 +57,37 @@ def auroc(df: DataFrame, y: str, score: str, by: list[str] = [], weight: str | N
     return sums.groupBy(*by).agg(F.try_divide(won, total[0] * total[1]).alias("auroc"), F.when(total[1] > 0, F.try_divide(precision, total[0])).alias("auprc"))
 
 
-def roc_points(df: DataFrame, y: str, score: str, drop: bool = True) -> DataFrame:
-    """(threshold, fpr, tpr, fps, tps): without points on a straight line between neighbours, after a first point (0, 0, inf)."""
-    sums = prefix_sums(_marks(df, y), score, ["pos", "neg"], ranged=True)
-    sums = sums.select("_range", F.col(score).cast("double").alias("threshold"), F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"))
+def roc_points(df: DataFrame, y: str, score: str, drop: bool = True, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """(by, threshold, fpr, tpr, fps, tps): without points on a straight line between neighbours, after a first point (0, 0, inf)."""
+    sums = prefix_sums(_marks(df, y), score, ["pos", "neg"], by, ranged=True)
+    sums = sums.select(*by, "_range", F.col(score).cast("double").alias("threshold"), F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"))
     if drop:
         # Neighbours come from the own range; at its ends from the last and first rows of the ranges beside it, one row a range.
         point = F.struct("fps", "tps")
-        ends = sums.groupBy("_range").agg(F.max_by(point, "threshold").alias("top"), F.min_by(point, "threshold").alias("bottom"))
-        order = W.partitionBy().orderBy(F.desc("_range"))  # over a row for each range
-        ends = ends.select("_range", F.lag("bottom").over(order).alias("above"), F.lead("top").over(order).alias("below"))
-        own = W.partitionBy("_range").orderBy(F.desc("threshold"))
-        near = sums.join(F.broadcast(ends), "_range").withColumn("above", F.coalesce(F.lag(point).over(own), "above")).withColumn("below", F.coalesce(F.lead(point).over(own), "below"))
+        ends = sums.groupBy(*by, "_range").agg(F.max_by(point, "threshold").alias("top"), F.min_by(point, "threshold").alias("bottom"))
+        order = W.partitionBy(*by).orderBy(F.desc("_range"))  # over a row for each range
+        ends = ends.select(*by, "_range", F.lag("bottom").over(order).alias("above"), F.lead("top").over(order).alias("below"))
+        own = W.partitionBy(*by, "_range").orderBy(F.desc("threshold"))
+        near = sums.join(ends if by else F.broadcast(ends), [*by, "_range"])
+        near = near.withColumn("above", F.coalesce(F.lag(point).over(own), "above")).withColumn("below", F.coalesce(F.lead(point).over(own), "below"))
         bend = lambda c: F.col("below")[c] - F.col(c) != F.col(c) - F.col("above")[c]
         sums = near.where(F.coalesce(bend("fps") | bend("tps"), F.lit(True)))
-    sums = sums.select("threshold", "tps", "fps")
-    first = sums.limit(1).select(F.lit(float("inf")).alias("threshold"), (F.col("tps") * 0).alias("tps"), (F.col("fps") * 0).alias("fps"))
-    points = first.unionByName(sums)
-    top = sums.agg(F.max("tps").alias("p"), F.max("fps").alias("n"))
-    return points.crossJoin(F.broadcast(top)).select("threshold", F.try_divide("fps", "n").alias("fpr"), F.try_divide("tps", "p").alias("tpr"), "fps", "tps")
+    sums = sums.select(*by, "threshold", "tps", "fps")
+    top = sums.groupBy(*by).agg(F.max("tps").alias("p"), F.max("fps").alias("n"))
+    start = [F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tps"), F.lit(0).cast("long").alias("fps")]
+    points = top.where("p is not null").select(*by, *start).unionByName(sums)
+    joined = points.join(top, by) if by else points.crossJoin(F.broadcast(top))
+    return joined.select(*by, "threshold", F.try_divide("fps", "n").alias("fpr"), F.try_divide("tps", "p").alias("tpr"), "fps", "tps")
 
 
-def threshold_at_sensitivity(df: DataFrame, y: str, score: str, target: float) -> DataFrame:
-    """(threshold): of points with tpr >= target the least fpr, then the highest threshold; 0.5 without positives."""
+def threshold_at_sensitivity(df: DataFrame, y: str, score: str, target: float, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """(by, threshold): of points with tpr >= target the least fpr, then the highest threshold; 0.5 without positives."""
     best = F.min_by("threshold", F.struct("fpr", -F.col("threshold")))
-    return roc_points(df, y, score).where(F.col("tpr") >= target - 1e-12).agg(F.coalesce(best, F.lit(0.5)).alias("threshold"))
+    reached = F.col("tpr") >= target - 1e-12
+    if not by:
+        return roc_points(df, y, score).where(reached).agg(F.coalesce(best, F.lit(0.5)).alias("threshold"))
+    known = roc_points(df, y, score, by=by).where(reached).groupBy(*by).agg(best.alias("threshold"))
+    return df.select(*by).distinct().join(known, by, "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
 
 
 def youden(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -130,20 +137,9 @@ def subgroups(df: DataFrame, y: str, score: str, threshold: float, columns: list
     return found.select(*by, n.alias("n"), pos.alias("positives"), "sensitivity", "specificity", "auroc", ((n < least_n) | (pos < least_pos)).alias("underpowered"))
 
 
-def fit_temperature(df: DataFrame, z: str, y: str, lo: float = 0.05, hi: float = 10.0, n: int = 400, fine: int = 50) -> DataFrame:
-    """(temperature): least mean log loss on a grid, then on a finer one around it. Scores are grouped before each sweep."""
-    spark = df.sparkSession
-    grouped = df.groupBy(F.col(z).alias("z"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
-
-    def best(start: float, end: float, steps: int) -> float:
-        grid = spark.range(steps).select((F.lit(start) + F.col("id") * F.lit((end - start) / (steps - 1))).alias("t"))
-        p = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), apply_temperature(F.col("z"), F.col("t"))))
-        loss = F.sum(-F.col("n") * F.log(F.when(F.col("y") == 1, p).otherwise(1 - p)))
-        return grouped.crossJoin(F.broadcast(grid)).groupBy("t").agg(F.round(loss, 6).alias("loss")).agg(F.min_by("t", F.struct("loss", "t"))).first()[0]
-
-    first = best(lo, hi, n)
-    step = (hi - lo) / n
-    return spark.createDataFrame([(best(max(lo, first - step), min(hi, first + step), fine),)], "temperature double")
+def fit_temperature(df: DataFrame, z: str, y: str) -> DataFrame:
+    """(temperature): least mean log loss on a grid, then on a finer one around it."""
+    return fit_temperatures(df, z, y)
 
 
 def abstention_bands(df: DataFrame, prob: str, threshold: float, coverages: list[float]) -> DataFrame:

@@ -9,6 +9,7 @@ from caselight.operators import calibration as K
 from caselight.operators import metrics as M
 from caselight.operators import reports as R
 from caselight.operators import tables as O
+from caselight.operators.fits import fit_temperatures, interpolated, isotonic_fits
 from caselight.plans.catalog import _CONFUSION, _DIVIDED, ORACLES, VIEWS, _auroc, _hash, _U, query
 from caselight.sources import bridge as B
 
@@ -126,23 +127,72 @@ def recalibrate_candidate(spark, d):
     return K.recalibrated(c.where("device <> 'signup'"), c.where("device = 'signup'"), "logit", "y").select(F.lit("candidate").alias("profile"), "*")
 
 
-_CROSS = f""", runs as (select c.*, cast(i as int) as repeat, cast((row_number() over (partition by i, y order by {_hash("'crossfit:' || i || ':' || case_id")}, case_id) - 1) % 2 as int) as fold from b_cases c cross join range(5) r(i)),
-cum as (select repeat, 1 - fold as fold, logit, sum(sum(y)) over (partition by repeat, fold order by logit desc) as cp, sum(sum(y)) over (partition by repeat, fold) as al from runs group by repeat, fold, logit),
-cut as (select repeat, fold, max(logit) as threshold from cum where cp >= al * 0.9::double - 1e-9 group by 1, 2),
-bins as (select repeat, fold, cast(len(list_filter(list_transform(range(15), lambda i: i * (1.0::double / 15)), lambda x: x < p)) as int) - 1 as b, count(*) as n, sum(p) as sp, sum(y) as sy from (select repeat, fold, y, {_SIG('logit')} as p from runs) group by all),
-ec as (select repeat, fold, sum(abs(sp - sy)) filter (b >= 0) / sum(n) as ece from bins group by 1, 2),
-parts as (select r.repeat, r.fold, count(*) as n, threshold, count(*) filter (y = 1 and logit >= threshold) / count(*) filter (y = 1) as sensitivity, count(*) filter (y = 0 and logit < threshold) / count(*) filter (y = 0) as specificity, max(ece) as ece
-  from runs r join cut c on r.repeat = c.repeat and r.fold = c.fold join ec on r.repeat = ec.repeat and r.fold = ec.fold group by 1, 2, threshold) """
+def _grouped_temperature_sql(name: str, src: str) -> str:
+    """CTEs that end in {name}(repeat, fold, t): as _temperature_sql(), of each group of src."""
+    loss = lambda grid, on: f"""select repeat, fold, arg_min(t, {{'a': l, 'b': t}}) as t from (select repeat, fold, t, round(sum(-n * ln(case when y = 1 then p else 1 - p end)), 6) as l
+      from (select c.repeat, c.fold, t, y, n, greatest(1e-7::double, least((1 - 1e-7)::double, {_SIG('z / t')})) as p from {name}_n c join {grid} g on {on}) group by all) group by all"""
+    step = "((10 - 0.05::double) / 399)"
+    lo, hi = "greatest(0.05::double, t - (10 - 0.05::double) / 400)", "least(10::double, t + (10 - 0.05::double) / 400)"
+    return f"""{name}_n as (select repeat, fold, logit as z, y, count(*) as n from {src} group by all), {name}_a as ({loss(f"(select 0.05::double + i * {step} as t from range(400) r(i))", "true")}),
+    {name} as ({loss(f"(select repeat, fold, {lo} + i * (({hi} - {lo}) / 49) as t from {name}_a, range(50) r(i))", "c.repeat = g.repeat and c.fold = g.fold")})"""
+
+
+def _grouped_isotonic_sql(name: str, src: str) -> str:
+    """CTEs that end in {name}(repeat, fold, x, fitted): as _isotonic_sql(), of each group of src."""
+    return f"""{name}_c as (select *, sum(s) over w as cs, sum(n) over w as cn from (select repeat, fold, logit as x, sum(y)::double as s, count(*) as n from {src} group by all) window w as (partition by repeat, fold order by x)),
+    {name} as (select repeat, fold, x, max(least_mean) as fitted from (select b.repeat, b.fold, b.x, min((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)::double) over (partition by a.repeat, a.fold, a.x order by b.x desc) as least_mean
+      from {name}_c a join {name}_c b on a.repeat = b.repeat and a.fold = b.fold and a.x <= b.x) group by all)"""
+
+
+def _arms_sql(rows: str) -> str:
+    """rows with p0, p1, p2: the probabilities of the three methods of their group."""
+    return f"""(select r.*, t.t, {_SIG('r.logit')} as p0, {_SIG('r.logit / t.t')} as p1, case when l.x is null then u.fitted when u.x is null or u.x = l.x then l.fitted else l.fitted + (r.logit - l.x) / (u.x - l.x) * (u.fitted - l.fitted) end as p2
+      from {rows} r join ct t on r.repeat = t.repeat and r.fold = t.fold asof left join ci l on r.repeat = l.repeat and r.fold = l.fold and r.logit >= l.x asof left join ci u on r.repeat = u.repeat and r.fold = u.fold and r.logit <= u.x)"""
+
+
+_BIN = "cast(len(list_filter(list_transform(range(15), lambda i: i * (1.0::double / 15)), lambda x: x < p)) as int) - 1"
+_GROUP_ECE = lambda src, by: f"(select {by}, sum(abs(sp - sy)) filter (b >= 0) / sum(n) as ece from (select {by}, {_BIN} as b, count(*) as n, sum(p) as sp, sum(y) as sy from {src} group by all) group by all)"
+_ARM = " union all ".join(f"select repeat, fold, y, {k} as k, p{k} as p from held" for k in range(3))
 
+_CROSS = f""", runs as (select case_id, logit, y, cast(i as int) as repeat, cast((row_number() over (partition by i, y order by {_hash("'crossfit:' || i || ':' || case_id")}, case_id) - 1) % 2 as int) as fold from b_cases c cross join range(5) r(i) where device = 'purchase'),
+fits as (select case_id, logit, y, repeat, 1 - fold as fold, {_hash("'holdout:' || repeat || ':' || (1 - fold) || ':' || case_id")} / 4294967296.0::double < 0.3 as held from runs), used as (select * from fits where not held),
+{_grouped_temperature_sql('ct', 'used')}, {_grouped_isotonic_sql('ci', 'used')}, held as materialized (select * from {_arms_sql('(select * from fits where held)')}),
+arm as ({_ARM}), tried as (select * from {_GROUP_ECE('arm', 'repeat, fold, k')}), best as (select repeat, fold, arg_min(k, {{'a': round(ece, 9), 'b': k}}) as k from tried group by all),
+fitp as materialized (select a.repeat, a.fold, y, case k when 0 then p0 when 1 then p1 else p2 end as p from {_arms_sql('fits')} a join best b on a.repeat = b.repeat and a.fold = b.fold),
+cc as (select repeat, fold, p, sum(sum(y)) over w as tps, sum(sum(1 - y)) over w as fps from fitp group by repeat, fold, p window w as (partition by repeat, fold order by p desc)),
+ck as (select *, coalesce(lead(fps) over w - fps <> fps - lag(fps) over w or lead(tps) over w - tps <> tps - lag(tps) over w, true) as keep, max(tps) over (partition by repeat, fold) as ap from cc window w as (partition by repeat, fold order by p desc)),
+cut as (select repeat, fold, arg_min(p, {{'a': fps, 'b': -p}}) as threshold from ck where keep and tps / ap >= 0.9::double - 1e-12 group by all),
+scored as materialized (select a.repeat, a.fold, a.y, b.k, a.t, c.threshold, case b.k when 0 then p0 when 1 then p1 else p2 end as p from {_arms_sql('runs')} a join best b on a.repeat = b.repeat and a.fold = b.fold join cut c on a.repeat = c.repeat and a.fold = c.fold) """
 
-@query(_CROSS + "select repeat, fold, n, round(threshold, 6) as threshold, round(sensitivity, 6) as sensitivity, round(specificity, 6) as specificity, round(ece, 6) as ece from parts")
+
+def _crossfit(spark, d):
+    return B.cases(spark, d).where("device = 'purchase'")
+
+
+@query(_CROSS + f"""select r.repeat, r.fold, count(*) as n, ['identity', 'temperature', 'isotonic'][k + 1] as method, round(t, 6) as temperature, round(threshold, 6) as threshold, round(count(*) filter (y = 1 and p >= threshold) / count(*) filter (y = 1), 6) as sensitivity,
+  round(count(*) filter (y = 0 and p < threshold) / count(*) filter (y = 0), 6) as specificity, round(max(ece), 6) as ece from scored r join {_GROUP_ECE('scored', 'repeat, fold')} e on r.repeat = e.repeat and r.fold = e.fold group by r.repeat, r.fold, k, t, threshold""")
 def crossfit_site_score(spark, d):
-    return K.crossfit(B.cases(spark, d), "case_id", "logit", "y")
+    """A site's cases under calibrators fitted and chosen on the other fold."""
+    return K.crossfit(_crossfit(spark, d), "case_id", "logit", "y")
 
 
-@query(_CROSS + " select m as metric, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as sd from (select 'sensitivity' as m, sensitivity as v from parts union all select 'specificity', specificity from parts union all select 'ece', ece from parts) group by 1")
+@query(_CROSS + f""", parts as (select r.repeat, count(*) filter (y = 1 and p >= threshold) / count(*) filter (y = 1) as sensitivity, count(*) filter (y = 0 and p < threshold) / count(*) filter (y = 0) as specificity, max(ece) as ece
+  from scored r join {_GROUP_ECE('scored', 'repeat')} e on r.repeat = e.repeat group by r.repeat)
+select m as metric, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as sd from (select 'sensitivity' as m, sensitivity as v from parts union all select 'specificity', specificity from parts union all select 'ece', ece from parts) group by 1""")
 def crossfit_summary(spark, d):
-    return K.crossfit_summary(K.crossfit(B.cases(spark, d), "case_id", "logit", "y"))
+    return K.crossfit_summary(K.crossfit_scores(_crossfit(spark, d), "case_id", "logit", "y"), "y")
+
+
+@query(", runs as (select case_id, logit, y, device as repeat, 0 as fold from b_cases where device <> 'signup'), " + _grouped_isotonic_sql("ci", "runs") + " select repeat as device, round(x, 6) as logit, round(fitted, 6) as fitted from ci")
+def isotonic_by_group(spark, d):
+    """The isotonic fit of each device at its own scores, all fitted in one pass."""
+    c = B.cases(spark, d).where("device <> 'signup'")
+    return interpolated(c.select("device", "logit").distinct(), "logit", isotonic_fits(c, "logit", "y", ["device"]), ["device"], "fitted").select("device", "logit", "fitted")
+
+
+@query(", runs as (select logit, y, device as repeat, 0 as fold from b_cases), " + _grouped_temperature_sql("ct", "runs") + " select repeat as device, round(t, 6) as temperature from ct")
+def temperature_by_group(spark, d):
+    return fit_temperatures(B.cases(spark, d), "logit", "y", ["device"])
 
 
 _BOOT = f""", sub as (select subject, {_CONFUSION} from (select subject, prob as s, 0.5 as t, y from b_cases) group by subject),
