@@ -12,7 +12,6 @@ from caselight.functions.columns import apply_temperature, hash_uniform, sigmoid
 from caselight.operators import metrics as M
 from caselight.operators import resampling as R
 from caselight.operators.fits import fit_temperatures, interpolated, isotonic_fits
-from caselight.operators.gates import report_failures
 from caselight.operators.store import written
 from caselight.operators.tables import hash_ranks
 
@@ -61,7 +60,7 @@ def select_calibrator(fit: DataFrame, held: DataFrame, z: str, y: str) -> DataFr
         return fit.sparkSession.createDataFrame([(m, None, m == "temperature") for m in METHODS], "method string, ece double, chosen boolean")
     t = M.fit_temperature(fit, z, y)
     p = held.withColumn("_identity", sigmoid(F.col(z))).crossJoin(F.broadcast(t)).withColumn("_temperature", apply_temperature(F.col(z), F.col("temperature")))
-    p = apply_isotonic(p, z, fit_isotonic(fit, z, y), "_isotonic")
+    p = interpolated(p, z, isotonic_fits(fit, z, y), name="_isotonic")
     arms = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(m).alias("method"), F.col(f"_{m}").alias("p")) for k, m in enumerate(METHODS)])
     found = M.ece(p.select(F.col(y).alias("y"), F.explode(arms).alias("m")).select("y", "m.*"), "y", "p", by=["rank", "method"])
     best = found.agg(F.min_by("method", F.struct(F.round("ece", 9), F.col("rank"))).alias("best"))
@@ -79,7 +78,7 @@ def fit_profile(df: DataFrame, key: str, z: str, y: str, target: float = 0.9, co
     chosen = {r.method: r.ece for r in select_calibrator(fit, held, z, y).where("chosen").collect()}  # one row
     method = next(iter(chosen))
     temperature = M.fit_temperature(df if whole else fit, z, y).first()[0]
-    xs, ys = ([], []) if whole else knots(fit_isotonic(fit, z, y))
+    xs, ys = ([], []) if whole else isotonic_fits(fit, z, y).first()
     stored = spark.createDataFrame([(method, temperature, xs, ys)], "method string, temperature double, isotonic_x array<double>, isotonic_y array<double>")
     p = calibrated(df, z, stored, "_p")
     cut = M.threshold_at_sensitivity(p, y, "_p", target).first()[0]
@@ -143,17 +142,6 @@ def profile_report(df: DataFrame, z: str, y: str, stored: DataFrame) -> DataFram
     return c.crossJoin(M.auroc(df, y, z).select("auroc")).crossJoin(M.ece(p, y, "_p")).crossJoin(outside)
 
 
-def recalibrate(train: DataFrame, locked: DataFrame, current: DataFrame, key: str, z: str, y: str, target: float = 0.9) -> DataFrame:
-    """(profile, ..., failures): the current profile and one fitted on the train part, both measured on the locked part, with every reason of
-    the acceptance rule against serving it; the current profile stays stored whatever comes out."""
-    recalibrated(train, locked, z, y, target)  # refuses parts that are too small
-    rows = []
-    for name, stored in (("current", current), ("candidate", fit_profile(train, key, z, y, target))):
-        report = profile_report(locked, z, y, stored)
-        rows.append(report.select(F.lit(name).alias("profile"), "*", F.array_sort(report_failures(F.struct(*report.columns), "locked")).alias("failures")))
-    return rows[0].unionByName(rows[1])
-
-
 def crossfit_scores(df: DataFrame, key: str, z: str, y: str, target: float = 0.9, repeats: int = 5, folds: int = 2) -> DataFrame:
     """(repeat, fold, key, y, method, temperature, threshold, p): every row under the calibrator and the threshold that the other folds of a repeat give.
 

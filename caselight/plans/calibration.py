@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caselight.functions import columns as C
 from caselight.operators import calibration as K
 from caselight.operators import metrics as M
-from caselight.operators import reports as R
+from caselight.operators import sites as S
 from caselight.operators import tables as O
 from caselight.operators.fits import fit_temperatures, interpolated, isotonic_fits
 from caselight.plans.catalog import _CONFUSION, _DIVIDED, ORACLES, VIEWS, _auroc, _hash, _U, query
@@ -76,15 +76,6 @@ def calibrator_apply(spark, d):
     return K.calibrated(c, "logit", profile, "probability").crossJoin(F.broadcast(profile.select("method"))).select("case_id", "method", "probability")
 
 
-@query()
-def recalibrate_site(spark, d):
-    """The current profile and a candidate of other devices on locked cases, with the reasons against serving each."""
-    c = B.cases(spark, d)
-    current = K.fit_profile(c.where("device in ('click', 'view')"), "case_id", "logit", "y")
-    rows = K.recalibrate(c.where("device <> 'signup'"), c.where("device = 'signup'"), current, "case_id", "logit", "y")
-    return rows.withColumn("failures", F.array_join("failures", "; "))
-
-
 def _threshold_sql(name: str, src: str) -> str:
     """CTEs that end in {name}(thr): as the query threshold_at_sensitivity, of another table."""
     return f"""{name}_c as (select logit as thr, sum(sum(y)) over w as tps, sum(sum(1 - y)) over w as fps from {src} group by logit window w as (order by logit desc)),
@@ -195,6 +186,61 @@ def temperature_by_group(spark, d):
     return fit_temperatures(B.cases(spark, d), "logit", "y", ["device"])
 
 
+def _profiles_sql(parts: dict[str, str]) -> str:
+    """CTEs of a profile for each named part of the cases (a condition): its calibrator, operating point (cut) and band."""
+    rows = " union all ".join(f"select case_id, logit, y, '{name}' as repeat, 0 as fold, {_U('holdout', 'case_id')} < 0.3 as held from {src}" for name, src in parts.items())
+    return f""", runs as ({rows}), used as (select * from runs where not held), {_grouped_temperature_sql('ct', 'used')}, {_grouped_isotonic_sql('ci', 'used')}, held as materialized (select * from {_arms_sql('(select * from runs where held)')}),
+    arm as ({_ARM}), tried as (select * from {_GROUP_ECE('arm', 'repeat, fold, k')}), best as (select repeat, arg_min(k, {{'a': round(ece, 9), 'b': k}}) as k from tried group by all),
+    fitp as materialized (select a.repeat, y, case k when 0 then p0 when 1 then p1 else p2 end as p from {_arms_sql('runs')} a join best b on a.repeat = b.repeat),
+    cc as (select repeat, p, sum(sum(y)) over w as tps, sum(sum(1 - y)) over w as fps from fitp group by repeat, p window w as (partition by repeat order by p desc)),
+    ck as (select *, coalesce(lead(fps) over w - fps <> fps - lag(fps) over w or lead(tps) over w - tps <> tps - lag(tps) over w, true) as keep, max(tps) over (partition by repeat) as ap from cc window w as (partition by repeat order by p desc)),
+    cut as (select repeat, arg_min(p, {{'a': fps, 'b': -p}}) as threshold from ck where keep and tps / ap >= 0.9::double - 1e-12 group by all),
+    band as (select repeat, threshold, lt, quantile_cont(abs(ln(q / (1 - q)) - lt), 1 - 0.85::double) as d, count(*) as fitted_on, sum(y)::bigint as fitted_positives from (select f.repeat, threshold, y, greatest(1e-7::double, least((1 - 1e-7)::double, p)) as q,
+      ln(t2 / (1 - t2)) as lt from fitp f join (select *, least(greatest(threshold, 1e-6::double), (1 - 1e-6)::double) as t2 from cut) c on f.repeat = c.repeat) group by repeat, threshold, lt),
+    prof as (select b.repeat, ['identity', 'temperature', 'isotonic'][k + 1] as method, k, t, threshold, 1 / (1 + exp(-(lt - d))) as band_low, 1 / (1 + exp(-(lt + d))) as band_high, fitted_on, fitted_positives from band b join best on b.repeat = best.repeat join ct on b.repeat = ct.repeat)"""
+
+
+def _measured_sql(rows: str) -> str:
+    """CTEs that end in meas: profiles measured on rows (repeat, part, fold, case_id, logit, y)."""
+    return f""", mrows as materialized (select a.repeat, a.part, a.logit, a.y, case k when 0 then p0 when 1 then p1 else p2 end as p, threshold, band_low, band_high from {_arms_sql(rows)} a join prof f on a.repeat = f.repeat),
+    meas as (select m.repeat, m.part, {_DIVIDED}, auroc, ece, coverage from (select repeat, part, {_CONFUSION}, avg(case when s <= band_low or s >= band_high then 1.0::double else 0 end) as coverage from (select *, p as s, threshold as t from mrows) group by all) m
+      join {_auroc('repeat, part', '(select repeat, part, logit as s, y from mrows)')} a on m.repeat = a.repeat and m.part = a.part join {_GROUP_ECE('mrows', 'repeat, part')} e on m.repeat = e.repeat and m.part = e.part)"""
+
+
+_ROUNDED = lambda names, t="": ", ".join(f"round({t}{n}, 6) as {n}" for n in names.split())
+_RATES6 = "sensitivity specificity auroc ece"
+#: The fingerprint of a set of names, as the operator makes it: leaves by the first three digits of a name's hash.
+_SITE_PARTS = _SITE[: _SITE.index(_temperature_sql("ts", "src"))].rstrip().rstrip(",")
+
+
+@query(_SITE_PARTS + _profiles_sql({"site": "cal", "source": "src"}) + _measured_sql("(select 'site' as repeat, 'evaluation' as part, 0 as fold, case_id, logit, y from ev union all select 'source', 'evaluation', 0, case_id, logit, y from ev union all select 'site', 'internal', 0, case_id, logit, y from b_cases where device = 'error')") + f"""
+, nm as (select sha256(cast(case_id as varchar)) as s from ev), lf as (select substr(s, 1, 3) as leaf, sha256(string_agg(s, '' order by s)) as h, count(*) as n from nm group by 1)
+select m.repeat as profile, m.part, method, round(t, 6) as temperature, {_ROUNDED('threshold band_low band_high')}, fitted_on, fitted_positives, tp, fp, tn, fn, {_ROUNDED(_RATES6)}, round(coverage, 6) as coverage,
+  (select sha256(string_agg(leaf || h, '' order by leaf)) from lf) as fingerprint, (select sum(n)::bigint from lf) as evaluated from meas m join prof f on m.repeat = f.repeat""")
+def site_profile(spark, d):
+    """A site's own profile on its evaluation half, the source's there, and the site's on the internal test."""
+    calibration, evaluation, source = _site(spark, d)
+    return S.site_profile(calibration, evaluation, source, B.cases(spark, d).where("device = 'error'"), "case_id", "logit", "y")
+
+
+_WHY = lambda r, n: [f"case when {r}.tp + {r}.fn < 30 then '{n}: too few positives' end", *[f"case when {r}.{k} < {v} then '{n}: {k} too low' end" for k, v in (("auroc", 0.85), ("sensitivity", 0.85), ("specificity", 0.5))], f"case when {r}.ece > 0.1 then '{n}: ece too high' end"]
+_REASONS = ", ".join([
+    "case when f.threshold <= 0.001 or f.threshold >= 0.999 then 'operating point out of range' end", "case when f.method = 'temperature' and (f.t <= 0.05 * 1.0001 or f.t >= 10 * 0.9999) then 'temperature at its bound' end", *_WHY("i", "internal"), *_WHY("m", "external"),
+])
+
+
+@query(_profiles_sql({"current": "(select * from b_cases where device in ('click', 'view'))", "candidate": "(select * from b_cases where device <> 'signup')"}) + _measured_sql("(select r as repeat, 'locked' as part, 0 as fold, case_id, logit, y from b_cases, (values ('current'), ('candidate')) v(r) where device = 'signup' union all select 'current', 'internal', 0, case_id, logit, y from b_cases where device = 'error')") + f"""
+select m.repeat as profile, f.method, round(f.t, 6) as temperature, {_ROUNDED('threshold band_low band_high', 'f.')}, m.tp, m.fp, m.tn, m.fn, {_ROUNDED(_RATES6, 'm.')}, concat_ws('; ', {_REASONS}) as failures, m.repeat = 'candidate' and concat_ws('; ', {_REASONS}) = '' as accepted
+from meas m join prof f on m.repeat = f.repeat cross join (select * from meas where part = 'internal') i where m.part = 'locked'""")
+def recalibrate_site(spark, d):
+    """The current profile and a candidate of other devices on locked cases, with every reason of the acceptance rule against serving each."""
+    c = B.cases(spark, d)
+    current = K.fit_profile(c.where("device in ('click', 'view')"), "case_id", "logit", "y")
+    locked, internal = c.where("device = 'signup'"), c.where("device = 'error'")
+    rows = S.recalibrated_evidence(c.where("device <> 'signup'"), locked, current, internal, "case_id", "logit", "y", "a", "f")
+    return rows.withColumn("failures", F.array_join("failures", "; "))
+
+
 _BOOT = f""", sub as (select subject, {_CONFUSION} from (select subject, prob as s, 0.5 as t, y from b_cases) group by subject),
 rep as (select sub.*, i, len(list_filter([{', '.join(f'{c}::double' for c in K.POISSON)}], lambda c: c <= {_hash("'boot:' || subject || ':' || i")} / 4294967296.0::double)) as w from sub cross join range(1000) r(i)),
 boot as (select i, sum(w * tp) / nullif(sum(w * (tp + fn)), 0) as sens, sum(w * tn) / nullif(sum(w * (tn + fp)), 0) as spec from rep where w > 0 group by i),
