@@ -21,15 +21,19 @@ def near_groups(df: DataFrame, key: str, bits: str, distance: int) -> DataFrame:
     A row is settled once its earlier neighbours are: one leader among them makes it a member, none makes it a leader. Each
     round settles all such rows at once, so there are as many rounds as the longest chain of neighbours, not as rows.
     """
-    pairs = written(hamming_pairs(df, key, bits, distance).select("a", "b"), "pairs")
+    led = near_walk(written(hamming_pairs(df, key, bits, distance).select("a", "b"), "pairs"))
+    return df.select(key).join(led.withColumnRenamed("b", key), key, "left").withColumn("leader", F.coalesce("leader", key))
+
+
+def near_walk(pairs: DataFrame) -> DataFrame:
+    """(b, leader) of the members among the rows of pairs (a, b) with a < b, a stored table: see near_groups()."""
     state = written(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().withColumn("state", F.lit("open")), "state")
     while state.where("state = 'open'").limit(1).count():
         seen = pairs.join(state.select(F.col("k").alias("a"), F.col("state").alias("s")), "a").groupBy("b").agg(F.bool_or(F.col("s") == "leader").alias("led"), F.bool_and(F.col("s") == "member").alias("free"))
         now = F.when(F.col("state") != "open", F.col("state")).when(F.col("led"), "member").when(F.coalesce("free", F.lit(True)), "leader").otherwise("open")
         state = written(state.join(seen, state.k == seen.b, "left").select("k", now.alias("state")), "state")
     leaders, members = state.where("state = 'leader'").select(F.col("k").alias("a")), state.where("state = 'member'").select(F.col("k").alias("b"))
-    joined = pairs.join(leaders, "a", "left_semi").join(members, "b", "left_semi").groupBy("b").agg(F.min("a").alias("leader"))
-    return df.select(key).join(joined.withColumnRenamed("b", key), key, "left").withColumn("leader", F.coalesce("leader", key))
+    return pairs.join(leaders, "a", "left_semi").join(members, "b", "left_semi").groupBy("b").agg(F.min("a").alias("leader"))
 
 
 def flagged_groups(groups: DataFrame, most: int = 8) -> DataFrame:

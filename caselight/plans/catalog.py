@@ -307,12 +307,6 @@ def duplicate_key_check(spark, d):
     return B.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query(""", bits as (select vec_id, list_transform(embedding[1:64], lambda x: x > 0) as b from embeddings), pairs as (select p.vec_id as a, q.vec_id as b, len(list_filter(list_zip(p.b, q.b), lambda z: z[1] <> z[2])) as distance
-  from bits p join bits q on p.vec_id < q.vec_id) select a, b, cast(distance as int) as distance from pairs where distance <= 18""")
-def hamming_theta_join(spark, d):
-    return O.hamming_pairs(B.table(spark, d, "embeddings").select("vec_id", O.bit_key("embedding").alias("bits")), "vec_id", "bits", 18)
-
-
 _CODE = lambda kind, x: f"""substr(sha256(unhex(repeat('5c', 64)) || unhex(sha256(unhex(repeat('36', 64)) || encode('{kind}:' || {x})))), 1, 16)"""
 
 

@@ -4,37 +4,83 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caselight.functions import columns as C
 from caselight.operators import curation as U
+from caselight.operators import signatures as G
 from caselight.operators import tables as O
-from caselight.plans.catalog import _CODE, _SIDES, _U, KEY, query
+from caselight.operators.store import written
+from caselight.plans.catalog import _CODE, _SIDES, _U, KEY, _hash, query
 from caselight.sources import bridge as B
 
-_NEAR = """, bits as (select vec_id, list_transform(embedding[1:64], lambda x: x > 0) as b from embeddings), near as (select q.vec_id as k, list(p.vec_id) as nb from bits p join bits q on p.vec_id < q.vec_id and len(list_filter(list_zip(p.b, q.b), lambda z: z[1] <> z[2])) <= 18 group by 1),
-ord as (select v.vec_id, row_number() over (order by v.vec_id) as pos, coalesce(nb, []) as nb from embeddings v left join near n on v.vec_id = n.k),
-walk as (select cast(0 as bigint) as pos, cast([] as bigint[]) as reps union all select o.pos, case when list_has_any(o.nb, w.reps) then w.reps else list_append(w.reps, o.vec_id) end from walk w join ord o on o.pos = w.pos + 1),
-reps as (select reps from walk order by pos desc limit 1), led as (select vec_id, case when list_contains(reps, vec_id) then vec_id else list_min(list_intersect(nb, reps)) end as leader from ord, reps) """
+#: Vectors with three variants, some of which exist: a copy, and two with noise of a hundredth and of three hundredths. Signatures are bit strings.
+_SIGNED = f""", elements as (select vec_id, label, generate_subscripts(embedding, 1) - 1 as j, unnest(embedding)::double as e from embeddings),
+items as (select vec_id * 4 + v as id, vec_id, v, cast((label + case when {_hash("'label:' || (vec_id * 4 + v)")} % 9 = 0 then 1 else 0 end) as int) as label, md5(case when v < 2 then 'v' || vec_id else 'n' || (vec_id * 4 + v) end) as digest
+  from embeddings, range(4) t(v) where v = 0 or {_hash("'variant:' || (vec_id * 4 + v)")} % 2 = 0),
+plane as (select k, j, case when (cast('0x' || substr(md5('plane:' || k), cast(j // 4 as int) + 1, 1) as int) >> cast(3 - j % 4 as int)) & 1 = 1 then 1 else -1 end as s from range(256) a(k), range(64) b(j)),
+dots as (select id, k, sum((e + case v when 2 then 0.01::double when 3 then 0.03::double else 0 end * ({_hash("'noise:' || id || ':' || i.j")} % 1001 - 500) / 500.0::double) * s) as d
+  from (select id, v, e.j, e from items join elements e using (vec_id)) i join plane p on p.j = i.j group by 1, 2),
+signed as materialized (select id, string_agg(case when d > 0 then '1' else '0' end, '' order by k)::bit as sig from dots group by 1),
+pairs as materialized (select p.id as a, q.id as b, cast(bit_count(xor(p.sig, q.sig)) as int) as distance from signed p join signed q on p.id < q.id and bit_count(xor(p.sig, q.sig)) <= 12)"""
+_NEAR = _SIGNED + """, near as (select b as k, list(a) as nb from pairs group by 1),
+ord as (select v.id, row_number() over (order by v.id) as pos, coalesce(nb, []) as nb from signed v left join near n on v.id = n.k),
+walk as (select cast(0 as bigint) as pos, cast([] as bigint[]) as reps union all select o.pos, case when list_has_any(o.nb, w.reps) then w.reps else list_append(w.reps, o.id) end from walk w join ord o on o.pos = w.pos + 1),
+reps as (select reps from walk order by pos desc limit 1), led as (select id, case when list_contains(reps, id) then id else list_min(list_intersect(nb, reps)) end as leader from ord, reps) """
+
+
+def _signed(spark, d):
+    """Vectors and their variants with a signature of 256 bits each."""
+    v = F.explode(F.array(*[F.lit(k).cast("long") for k in range(4)]))
+    rows = B.table(spark, d, "embeddings").select("vec_id", "label", "embedding", v.alias("v")).withColumn("id", F.col("vec_id") * 4 + F.col("v"))
+    pick = lambda word: C.hash32(F.concat(F.lit(f"{word}:"), F.col("id").cast("string")))
+    rows = rows.where((F.col("v") == 0) | (pick("variant") % 2 == 0))
+    size = F.when(F.col("v") == 2, 0.01).when(F.col("v") == 3, 0.03).otherwise(0.0)
+    noise = lambda j: size * (C.hash32(F.concat(F.lit("noise:"), F.col("id").cast("string"), F.lit(":"), j.cast("string"))) % 1001 - 500) / F.lit(500.0)
+    vector = F.transform("embedding", lambda x, j: x.cast("double") + noise(j))
+    name = F.when(F.col("v") < 2, F.concat(F.lit("v"), F.col("vec_id").cast("string"))).otherwise(F.concat(F.lit("n"), F.col("id").cast("string")))
+    label = (F.col("label") + F.when(pick("label") % 9 == 0, 1).otherwise(0)).cast("int")
+    return rows.select("id", label.alias("label"), F.md5(name.cast("binary")).alias("digest"), G.signature(vector).alias("bits"))
+
+
+@query(_SIGNED + " select id, substr(sig::varchar, 1, 64) as w0, substr(sig::varchar, 193, 64) as w3, cast(bit_count(sig) as int) as ones from signed")
+def hyperplane_signatures(spark, d):
+    """Signatures of 256 bits; the first and the last word as text."""
+    text = lambda k: F.lpad(F.bin(F.col("bits")[k]), 64, "0")
+    ones = sum((F.bit_count(F.col("bits")[k]) for k in range(1, 4)), F.bit_count(F.col("bits")[0]))
+    return _signed(spark, d).select("id", text(0).alias("w0"), text(3).alias("w3"), ones.cast("int").alias("ones"))
+
+
+@query(_SIGNED + " select a, b, distance from pairs")
+def hamming_theta_join(spark, d):
+    return G.probed_pairs(_signed(spark, d), "id", "bits", 12)
+
+
+@query(_NEAR + "select id, leader from led", recursive=True)
+def near_duplicates(spark, d):
+    return G.near_groups(_signed(spark, d), "id", "bits", 12)
 
 
-def _near(spark, d):
-    return U.near_groups(B.table(spark, d, "embeddings").select("vec_id", O.bit_key("embedding").alias("bits")), "vec_id", "bits", 18)
+@query(_NEAR + "select leader, count(*) as n, count(*) > 3 as suspicious from led group by 1 having count(*) > 1", recursive=True)
+def suspicious_groups(spark, d):
+    return U.flagged_groups(G.near_groups(_signed(spark, d), "id", "bits", 12), 3)
 
 
-@query(_NEAR + "select vec_id, leader from led", recursive=True)
-def near_duplicates(spark, d):
-    return _near(spark, d)
+_GROUPED = _NEAR + """, good as (select leader from led group by 1 having count(*) between 2 and 3), mem as (select id, leader from led where leader in (select leader from good)),
+touched as (select distinct digest from items join mem using (id)), free as (select id, min(id) over (partition by digest) as leader, count(*) over (partition by digest) as n from items where digest not in (select digest from touched)),
+grp as (select id, leader from mem union all select id, leader from free where n > 1), told as (select leader, count(*) as n, count(distinct label) as labels from grp join items using (id) group by 1),
+gone as (select id from grp join told using (leader) where labels > 1 or id <> leader) """
 
 
-@query(_NEAR + "select leader, count(*) as n, count(*) > 2 as suspicious from led group by 1 having count(*) > 1", recursive=True)
-def suspicious_groups(spark, d):
-    return U.flagged_groups(_near(spark, d), 2)
+@query(_GROUPED + "select id, label, digest, 'S' || lpad(cast(row_number() over (order by id) - 1 as varchar), 5, '0') as subject from items where id not in (select id from gone)", recursive=True)
+def dedup_apply(spark, d):
+    """Conflicting groups go, of others the first row stays, and the rest is numbered anew."""
+    signed = written(_signed(spark, d), "signed")
+    return G.without_duplicates(G.near_groups(signed, "id", "bits", 12), signed.drop("bits"), "id", "digest", "label", most=3, guard=0.9)[0]
 
 
-@query(_NEAR + """, grp as (select leader from led group by 1 having count(*) between 2 and 8), mem as (select vec_id, leader from led where leader in (select leader from grp)),
-lone as (select vec_id, label, row_number() over (partition by label, md5(cast(label as varchar)) order by vec_id) as rk from embeddings where vec_id not in (select vec_id from mem) and vec_id % 50 < 3)
-select e.vec_id from embeddings e where vec_id not in (select vec_id from mem where vec_id <> leader) and vec_id not in (select vec_id from lone where rk > 1)""", recursive=True)
-def dedup_apply(spark, d):
-    e = B.table(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 50 < 3, F.md5(F.col("label").cast("string").cast("binary"))).otherwise(F.col("vec_id").cast("string")).alias("digest"))
-    return U.deduplicated(_near(spark, d), e, "vec_id", "digest").select("vec_id")
+@query(_GROUPED + "select leader, n, labels from told where labels > 1", recursive=True)
+def duplicate_conflicts(spark, d):
+    signed = written(_signed(spark, d), "signed")
+    return G.without_duplicates(G.near_groups(signed, "id", "bits", 12), signed.drop("bits"), "id", "digest", "label", most=3, guard=0.9)[1]
 
 
 @query(""", n as (select grade, count(*) as n, row_number() over (order by grade desc) as pos from b_cases group by grade), t as (select sum(n) as t from n), w as (select pos, grade, 1 as b, n as acc from n where pos = 1 union all
