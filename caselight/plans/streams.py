@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from caselight.plans.catalog import query
 from caselight.sources import bridge as B
+from caselight.streaming import keyed as K
 from caselight.streaming import streams as S
 
 
@@ -72,3 +73,36 @@ def stream_capped_sessions(spark, d):
 @query("select distinct user_id, event_type from events")
 def stream_dedup(spark, d):
     return S.drained(S.deduplicated(_events(spark, d), ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type"), "distinct")
+
+
+#: What a stream with a lateness of a day has answered in the end: all up to the minute of the last watermark.
+_FINAL = "(select epoch_ms(date_trunc('minute', max(ts) - interval 1 day)) from events)"
+
+
+@query(_LOGINS.replace("select event_id, user_id, outcome from w", f"select w.event_id, w.user_id, outcome from w join a on a.event_id = w.event_id where tm * 1000 <= {_FINAL.replace('from events', 'from events where event_type in (' + chr(39) + 'error' + chr(39) + ', ' + chr(39) + 'signup' + chr(39) + ')')}"), recursive=True)
+def stream_lockout_in_order(spark, d):
+    """Lockouts with timers: attempts wait for the watermark and are answered in the order of time, whatever batch they came in."""
+    e = _events(spark, d).where(F.col("event_type").isin("error", "signup")).withColumn("bad", F.col("event_type") == "error")
+    with K.rocks(spark):
+        return S.drained(K.lockouts(e, "user_id", "event_id", "ts", "bad", "1 day", 3, 86400, 400 * 86400), "ordered-lockouts").withColumnRenamed("row", "event_id")
+
+
+@query(f""", r as (select user_id, (epoch_us(ts) // 1000) as ms, row_number() over (partition by user_id order by ts, event_id) as pos from events where (epoch_us(ts) // 1000) <= {_FINAL}),
+w as (select user_id, pos, ms as first, ms as last, 1::bigint as n, 1 as s from r where pos = 1 union all select r.user_id, r.pos, case when cut then ms else first end, ms, case when cut then 1 else n + 1 end, case when cut then s + 1 else s end
+  from (select r.*, w.first, w.n, w.s, r.ms >= least(w.last + 12 * 3600000, w.first + 48 * 3600000) as cut from w join r on r.user_id = w.user_id and r.pos = w.pos + 1) r),
+z as (select user_id, s, first, max(last) as last, max(n) as n, least(max(last) + 12 * 3600000, first + 48 * 3600000) as ends from w group by user_id, s, first),
+slot as (select user_id, (epoch_us(ts) // 1000) as ms, unnest([(epoch_us(ts) // 1000), (epoch_us(ts) // 1000) + 12 * 3600000]) as due from events), timer as (select user_id, (due + 59999) // 60000 * 60000 as due from slot where (due + 59999) // 60000 * 60000 <= {_FINAL})
+select user_id, first as start_ms, last as last_ms, n from z where exists (select 1 from timer t where t.user_id = z.user_id and t.due >= ends)""", recursive=True)
+def stream_sessions_by_timer(spark, d):
+    """Sessions that end after half a day of silence and after two days at the latest, closed by timers."""
+    with K.rocks(spark):
+        return S.drained(K.sessions(_events(spark, d), "user_id", "event_id", "ts", "1 day", 12 * 3600, 48 * 3600), "timed-sessions")
+
+
+@query("select case_id, verdict_id, verdict from latest")
+def stream_latest_keyed(spark, d):
+    """Latest verdicts from a state that forgets cases after a while."""
+    v = B.verdicts_of(_decide(_events(spark, d)))
+    with K.rocks(spark):
+        rows = S.newest(K.latest(v, "case_id", "row_id", "case_created", "verdict", "60 days", 30 * 86400), ["case_id"], "keyed-latest")
+    return rows.select("case_id", F.col("row").alias("verdict_id"), F.col("value").alias("verdict"))
