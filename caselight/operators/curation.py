@@ -263,7 +263,7 @@ def purged(df: DataFrame, created: str, days: int, now: Column, kind: str) -> tu
 
 
 def purge_files(df: DataFrame, target: str, created: str, days: int, now: Column, kind: str) -> int:
-    """Writes what stays to a new folder, which then takes the old one's place, and returns how many rows went."""
+    """Writes what stays to a new folder and returns how many rows went. To put it in the old folder's place is the caller's."""
     kept, counts = purged(df, created, days, now, kind)
     kept.write.mode("errorifexists").parquet(target)
     return counts.agg(F.coalesce(F.sum("purged"), F.lit(0))).first()[0]

@@ -134,15 +134,29 @@ def acceptance_failures(df: DataFrame, checkpoint: str, fingerprint: str, extern
 
 
 def compare_candidate(df: DataFrame, target: float, tolerance: float = 0.02, least: int = 20) -> Column:
-    """Reasons why a candidate is worse. Columns: struct current (may be null) and candidate of auroc, catch_rate, false_reject_rate, and candidate.rejects."""
+    """Reasons why a candidate is worse. Columns: struct current (may be null) and candidate of auroc, catch_rate, false_reject_rate, and candidate.rejects.
+
+    Where df has base_current and base_candidate, the AUROCs on the test set of the data that the current model came from, a candidate that has
+    forgotten them is worse too.
+    """
     cur, new = F.col("current"), F.col("candidate")
     has = cur.isNotNull()
+    forgot = [(has & below(F.col("base_candidate"), F.col("base_current") - tolerance), "base auroc")] if {"base_current", "base_candidate"} <= set(df.columns) else []
     return named(
         (new["rejects"] < least, "too few rejects"), (has & below(new["auroc"], cur["auroc"] - tolerance), "auroc"), (has & below(new["catch_rate"], cur["catch_rate"] - tolerance), "catch rate"),
-        (has & above(new["false_reject_rate"], F.greatest(cur["false_reject_rate"], F.lit(target)) + tolerance), "false rejects"),
+        (has & above(new["false_reject_rate"], F.greatest(cur["false_reject_rate"], F.lit(target)) + tolerance), "false rejects"), *forgot,
     )
 
 
+def seen_by_either(*seen: DataFrame, name: str = "filename") -> DataFrame:
+    """(filename): what any of the models was trained or tuned on, once each, by normalised path; validations leave all of it out."""
+    paths = [s.where(F.col(name).isNotNull()).select(norm_path(F.col(name)).alias("filename")) for s in seen]
+    out = paths[0]
+    for p in paths[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
 def external_status(report: Column) -> Column:
     """validated if an external report meets all floors, else experimental."""
     why = named((F.coalesce(report["tp"] + report["fn"], F.lit(0)) < LEAST_POSITIVES, "positives"), *[(below(report[k], v), k) for k, v in FLOORS.items()])

@@ -11,6 +11,9 @@ from caselight.operators.fits import fit_temperatures
 from caselight.operators.order import quantiles
 from caselight.operators.store import written
 
+#: Ranges of scores that are sorted on their own; None: as many as the session shuffles to.
+RANGES: int | None = None
+
 
 def confusion(df: DataFrame, y: str, score: str, threshold: float | Column, by: list[str] = []) -> DataFrame:  # noqa: B006
     """Counts at score >= threshold and the rates; a rate without cases is null."""
@@ -32,7 +35,8 @@ def prefix_sums(df: DataFrame, order: str, values: list[str], by: list[str] = []
     sums and are sorted on their own, so that no single task sorts the whole table or a large group.
     """
     distinct = df.where(F.col(order).isNotNull()).groupBy(*by, order).agg(*[F.sum(v).alias(v) for v in values])
-    rows = written(distinct.repartitionByRange(*by, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    ranged_rows = distinct.repartitionByRange(*([RANGES] if RANGES else []), *by, order)
+    rows = written(ranged_rows.withColumn("_range", F.spark_partition_id()), "ranges")
     sums = rows.groupBy(*by, "_range").agg(*[F.sum(v).alias("_" + v) for v in values])
     above = W.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(*by, "_range", *[F.coalesce(F.sum("_" + v).over(above), F.lit(0)).alias("_" + v) for v in values])
@@ -57,6 +61,12 @@ def auroc(df: DataFrame, y: str, score: str, by: list[str] = [], weight: str | N
     return sums.groupBy(*by).agg(F.try_divide(won, total[0] * total[1]).alias("auroc"), F.when(total[1] > 0, F.try_divide(precision, total[0])).alias("auprc"))
 
 
+def screening_metrics(df: DataFrame, y: str, score: str, threshold: float | Column, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """(by, tp, fp, tn, fn, prevalence, sensitivity, specificity, ppv, npv, auroc, auprc) at score >= threshold; what has no cases, or one class only, is null."""
+    counts, areas = confusion(df, y, score, threshold, by), auroc(df, y, score, by)
+    return counts.join(areas, by) if by else counts.crossJoin(F.broadcast(areas))  # a row each
+
+
 def roc_points(df: DataFrame, y: str, score: str, drop: bool = True, by: list[str] = []) -> DataFrame:  # noqa: B006
     """(by, threshold, fpr, tpr, fps, tps): without points on a straight line between neighbours, after a first point (0, 0, inf)."""
     sums = prefix_sums(_marks(df, y), score, ["pos", "neg"], by, ranged=True)

@@ -175,3 +175,52 @@ def reason_counts(df: DataFrame, reasons: str) -> DataFrame:
     """How often each reason occurs; what follows a colon or a bracket doesn't count."""
     key = F.trim(F.element_at(F.split(F.element_at(F.split("reason", ":"), 1), r"\("), 1))
     return df.select(F.explode(reasons).alias("reason")).groupBy(key.alias("reason")).agg(F.count("*").alias("n"))
+
+
+def worst_grade(df: DataFrame, key: str, grade: str) -> DataFrame:
+    """(key, grade): the highest grade of each key, such as a subject or a visit; rows without a grade don't count, a key without any has null."""
+    return df.groupBy(key).agg(F.max(grade).alias(grade))
+
+
+def pos_weights(df: DataFrame, grade: str, levels: int) -> DataFrame:
+    """(k, weight) for each of the levels - 1 questions "is the grade over k?": the rows at or below it for each one above; at least one counts as above."""
+    asked = F.explode(F.sequence(F.lit(0), F.lit(levels - 2))).alias("k")
+    counts = df.where(F.col(grade).isNotNull()).groupBy(grade).agg(F.count("*").alias("_n"))  # a row for each grade
+    rows = counts.select(grade, "_n", asked).groupBy("k").agg(
+        F.sum(F.when(F.col(grade) <= F.col("k"), F.col("_n")).otherwise(0)).alias("_neg"), F.sum(F.when(F.col(grade) > F.col("k"), F.col("_n")).otherwise(0)).alias("_pos")
+    )
+    return rows.select("k", (F.col("_neg") / F.greatest("_pos", F.lit(1))).alias("weight"))
+
+
+def view_average(views: DataFrame, key: str, value: str, member: str | None = None) -> DataFrame:
+    """(key, value): the mean over a case's views; with members of an ensemble the mean of each member's mean, so that members count alike whatever their views."""
+    if member is not None:
+        views = views.groupBy(key, member).agg(F.avg(value).alias(value))
+    return views.groupBy(key).agg(F.avg(value).alias(value))
+
+
+def repeat_mean_sd(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, mean, sd) over repeats, the standard deviation of the repeats as a whole; null without values."""
+    return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+
+
+def selected_split(df: DataFrame, assigned: DataFrame, subject: str, split: str | None = None) -> DataFrame:
+    """Rows with the split of their subject, or those of one split. assigned has a row for each subject; rows of other subjects are left out."""
+    parts = assigned.select(subject, "split") if split is None else assigned.where(F.col("split") == split).select(subject)
+    return df.join(parts, subject, "inner" if split is None else "left_semi")
+
+
+def exact_duplicates(df: DataFrame, digest: str) -> DataFrame:
+    """(digest, n) of contents that more than one row has; rows without a digest are no copies of each other."""
+    return df.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def case_timeline(verdicts: DataFrame) -> DataFrame:
+    """(case_id, history, n): a case's verdicts in the order of their cases' times and rows."""
+    v = verdicts.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("case_created", "row_id", "verdict"))).alias("v"))  # as long as a case has revisions
+    return v.select("case_id", F.array_join(F.col("v.verdict"), ">").alias("history"), F.size("v").cast("long").alias("n"))
+
+
+def last_event(log: DataFrame, by: list[str], seq: str, detail: str) -> DataFrame:
+    """(by, seq, detail) of the last entry of each group."""
+    return log.groupBy(*by).agg(F.max(seq).alias("seq"), F.max_by(detail, seq).alias("detail"))

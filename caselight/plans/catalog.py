@@ -88,7 +88,7 @@ def _auroc(by: str, rows: str) -> str:
   from (select {_CONFUSION} from (select logit as s, 0.0 as t, y from b_cases)) c cross join {_auroc("1 as one", "(select logit as s, y from b_cases)").replace("group by 1 as one", "").replace("partition by 1 as one ", "")} a""")
 def screening_metrics(spark, d):
     c = B.cases(spark, d)
-    return M.confusion(c, "y", "logit", 0.0).crossJoin(M.auroc(c, "y", "logit"))
+    return M.screening_metrics(c, "y", "logit", 0.0)
 
 
 @query(f"select device, {_DIVIDED} from (select device, {_CONFUSION} from (select device, prob as s, 0.5 as t, y from b_cases) group by device)")
@@ -160,24 +160,29 @@ def subgroup_report(spark, d):
 
 @query("select subject, max(grade) as grade from b_cases group by subject")
 def worst_grade(spark, d):
-    return B.cases(spark, d).groupBy("subject").agg(F.max("grade").alias("grade"))
+    return O.worst_grade(B.cases(spark, d), "subject", "grade")
 
 
 @query("select cast(k.k as int) as k, round(sum(case when grade <= k.k then 1 else 0 end) / greatest(sum(case when grade > k.k then 1 else 0 end), 1), 6) as weight from b_cases cross join range(4) k(k) group by 1")
 def pos_weights(spark, d):
-    counts = B.cases(spark, d).agg(*[F.struct(F.count_if(F.col("grade") <= k).alias("neg"), F.count_if(F.col("grade") > k).alias("pos")).alias(f"k{k}") for k in range(4)])
-    rows = counts.select(F.posexplode(F.array(*[f"k{k}" for k in range(4)])).alias("k", "c"))
-    return rows.select("k", (F.col("c.neg") / F.greatest("c.pos", F.lit(1))).alias("weight"))
+    return O.pos_weights(B.cases(spark, d), "grade", 5)
 
 
 @query(f"select case_id, round(avg(logit + ({_hash('cast(case_id * 8 + k as varchar)')} % 200 - 100) / 1000.0::double), 6) as logit from b_cases cross join range(8) r(k) group by case_id")
 def view_average(spark, d):
-    return O.view_rows(B.cases(spark, d)).groupBy("case_id").agg(F.avg("logit").alias("logit"))
+    return O.view_average(O.view_rows(B.cases(spark, d)), "case_id", "logit")
+
+
+@query(f"""select case_id, round(avg(m), 6) as logit from (select case_id, case when k < 5 then 0 else 1 end as member, avg(logit + ({_hash('cast(case_id * 8 + k as varchar)')} % 200 - 100) / 1000.0::double) as m
+  from b_cases cross join range(8) r(k) group by 1, 2) group by 1""")
+def ensemble_average(spark, d):
+    """Views of two members, five and three of them, averaged by member first."""
+    return O.view_average(O.view_rows(B.cases(spark, d)).withColumn("member", (F.col("view") >= 5).cast("int")), "case_id", "logit", "member")
 
 
 @query("select device, round(avg(logit), 6) as mean, round(stddev_pop(logit), 6) as sd from b_cases group by device")
 def repeat_mean_sd(spark, d):
-    return B.cases(spark, d).groupBy("device").agg(F.avg("logit").alias("mean"), F.stddev_pop("logit").alias("sd"))
+    return O.repeat_mean_sd(B.cases(spark, d), ["device"], "logit")
 
 
 def _bands_sql(src: str) -> str:
@@ -257,8 +262,7 @@ def median_case(spark, d):
 
 @query("select case_id, string_agg(verdict, '>' order by case_created, row_id) as history, count(*) as n from b_verdicts group by case_id")
 def case_timeline(spark, d):
-    v = B.verdicts(spark, d).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("case_created", "row_id", "verdict"))).alias("v"))
-    return v.select("case_id", F.array_join(F.col("v.verdict"), ">").alias("history"), F.size("v").cast("long").alias("n"))
+    return O.case_timeline(B.verdicts(spark, d))
 
 
 @query(f"select strftime(created, '%G-W%V') as week, {_RATES} from outcomes group by 1")
@@ -279,7 +283,7 @@ def split_by_subject(spark, d):
 @query(_SPLIT + "select s.split, count(*) as n, count(distinct c.subject) as subjects, sum(y)::bigint as positives from b_cases c join split s on c.subject = s.subject group by 1")
 def semi_select_split(spark, d):
     c = B.cases(spark, d)
-    return c.join(O.split_by_subject(c, "subject", "grade").select("subject", "split"), "subject").groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("subject").alias("subjects"), F.sum("y").alias("positives"))
+    return O.selected_split(c, O.split_by_subject(c, "subject", "grade"), "subject").groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("subject").alias("subjects"), F.sum("y").alias("positives"))
 
 
 @query("select subject, string_agg(distinct cast(case_id % 3 as varchar), ',' order by cast(case_id % 3 as varchar)) as splits, count(distinct case_id % 3) as n from b_cases group by subject having count(distinct case_id % 3) > 1")
@@ -294,7 +298,7 @@ def stratified_kfold(spark, d):
 
 @query("select content_md5, count(*) as n from b_dups group by 1 having count(*) > 1")
 def exact_duplicates(spark, d):
-    return B.duplicates(spark, d).groupBy("content_md5").agg(F.count("*").alias("n")).where("n > 1")
+    return O.exact_duplicates(B.duplicates(spark, d), "content_md5")
 
 
 @query("select content_md5, count(*) as n, count(distinct grade) as labels, case when count(distinct grade) = 1 then min(row_id) end as keep from b_dups group by 1 having count(*) > 1")
@@ -342,8 +346,8 @@ def wilson_ci(spark, d):
 
 @query("select event_type as action, user_id as entity, max(event_id) as seq, arg_max(props, event_id) as detail from events group by 1, 2")
 def last_event(spark, d):
-    e = B.table(spark, d, "events")
-    return e.groupBy(F.col("event_type").alias("action"), F.col("user_id").alias("entity")).agg(F.max("event_id").alias("seq"), F.max_by("props", "event_id").alias("detail"))
+    log = B.table(spark, d, "events").select("event_id", "props", F.col("event_type").alias("action"), F.col("user_id").alias("entity"))
+    return O.last_event(log, ["action", "entity"], "event_id", "props")
 
 
 @query("select visit, string_agg(case_id, ',' order by created, case_id) as cases, count(*) as n from b_predictions group by visit")

@@ -117,6 +117,32 @@ def candidate_compare(spark, d):
     return both.select("subject", F.array_join(G.compare_candidate(both, 0.05, least=3), ";").alias("why"))
 
 
+_BASE_AUC = lambda score: _auroc("subject", f"(select subject, {score} as s, reject as y from b_quality where item % 3 = 0)")
+
+
+@query(f"""select n.subject, concat_ws(';', case when n.rejects < 3 then 'too few rejects' end, case when coalesce(n.auroc < c.auroc - 0.02, n.auroc is null) then 'auroc' end, case when coalesce(n.catch < c.catch - 0.02, n.catch is null) then 'catch rate' end,
+  case when coalesce(n.fr > greatest(c.fr, 0.05) + 0.02, n.fr is null) then 'false rejects' end, case when coalesce(q.auroc < p.auroc - 0.02, q.auroc is null) then 'base auroc' end) as why
+  from {_gate_sql('p_ungradable')} c join {_gate_sql('p_ungradable * 0.95 + reason_flag * 0.02')} n using (subject) join {_BASE_AUC('p_ungradable')} p using (subject) join {_BASE_AUC('p_ungradable * 0.5 + (item % 7) * 0.1')} q using (subject)""")
+def candidate_guard(spark, d):
+    """The comparison with the guard of the base test set, here every third item under a worse score."""
+    q = B.quality(spark, d).withColumn("p2", F.col("p_ungradable") * 0.95 + F.col("reason_flag") * 0.02).withColumn("p3", F.col("p_ungradable") * 0.5 + (F.col("item") % 7) * 0.1)
+
+    def gate(score, name):
+        c = M.confusion(q, "reject", score, 0.6, ["subject"]).join(M.auroc(q, "reject", score, ["subject"]), "subject")
+        return c.select("subject", F.struct(F.col("sensitivity").alias("catch_rate"), F.try_divide("fp", F.col("fp") + F.col("tn")).alias("false_reject_rate"), "auroc", (F.col("tp") + F.col("fn")).alias("rejects")).alias(name))
+
+    base = lambda score, name: M.auroc(q.where("item % 3 = 0"), "reject", score, ["subject"]).select("subject", F.col("auroc").alias(name))
+    both = gate("p_ungradable", "current").join(gate("p2", "candidate"), "subject").join(base("p_ungradable", "base_current"), "subject").join(base("p3", "base_candidate"), "subject")
+    return both.select("subject", F.array_join(G.compare_candidate(both, 0.05, least=3), ";").alias("why"))
+
+
+@query("select replace(filename, chr(92), '/') as filename from b_quality where item % 3 = 0 union select replace(filename, chr(92), '/') from b_quality where item % 5 = 0")
+def seen_by_either(spark, d):
+    """The files that the gate or its explainer was trained on."""
+    q = B.quality(spark, d)
+    return G.seen_by_either(q.where("item % 3 = 0"), q.where("item % 5 = 0"))
+
+
 @query("""select item, p_ungradable >= 0.6 as rejected, case when p_ungradable < 0.6 then '' when a >= 0.5 and b >= 0.4 then (case when b > a then 'light;focus' else 'focus;light' end) when a >= 0.5 then 'focus' when b >= 0.4 then 'light' else 'no single cause' end as causes
   from (select *, 1 - 1 / (1 + exp(-((item % 7 - 3) / 2.0::double))) as a, 1 - 1 / (1 + exp(-((item % 5 - 2) / 1.5::double))) as b from b_quality)""")
 def explained_gate(spark, d):
