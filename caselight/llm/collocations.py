@@ -30,6 +30,8 @@ PARTS = 64
 BLANK, BREAK = b" \t", b".,;:!?\n\x0b\x0c\r"
 KIND = np.zeros(256, dtype=np.uint8)
 KIND[list(BLANK)], KIND[list(BREAK)] = 1, 2
+#: A mark is MARK times the step that met a phrase first, and the step in which it reached the threshold, or NEVER.
+MARK, NEVER = 1000, 999
 COUNTS = "lang string, phrase string, size int, n long"
 
 
@@ -148,7 +150,8 @@ def _bitmaps(state: DataFrame, bits: int, step: int, shards: int) -> Known:
             both, place = np.concatenate((which, which[new] + 1)), np.concatenate((place, place[new]))
             yield pa.RecordBatch.from_arrays([pa.array(both.astype(np.int32)), pa.array(place // lot), pa.array(place % lot)], ["which", "lot", "bit"])
 
-    keys = state.where("reached is not null and size between 1 and 2").select("lang", "phrase", "size", "reached")
+    reached = F.col("mark") % MARK
+    keys = state.where((reached != NEVER) & F.col("size").between(1, 2)).select("lang", "phrase", "size", reached.alias("reached"))
     rows = keys.mapInArrow(work, "which int, lot long, bit long").groupBy("which", "lot").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     maps: dict[int, np.ndarray] = {}
     for r in rows:
@@ -170,31 +173,32 @@ def count_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) ->
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text", (F.monotonically_increasing_id() % shards).alias("shard"))
     rows.write.partitionBy("shard").parquet(f"{base}/shards")
     parts = spark.read.schema("lang string, text string, shard long").parquet(f"{base}/shards")
-    own = [f"c{k}" for k in range(shards)]
+    keys = ["lang", "phrase", "size"]
     state, known, bits, step = None, Known(1 << 16, {}), 0, 0
     while True:
-        at = step % shards
-        raw = _scan(parts.where(F.col("shard") == at), known, step < shards)
-        new = raw.select("lang", "phrase", "size", "n", *[F.lit(None).cast("long").alias(c) for c in own], F.lit(step).alias("seen"), F.lit(None).cast("int").alias("reached"))
-        both = new if state is None else new.unionByName(state.withColumn("n", F.lit(None).cast("long")))
-        merged = both.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"), *[F.max(c).alias(c) for c in own], F.min("seen").alias("seen"), F.min("reached").alias("reached"))
-        merged = merged.withColumn(own[at], F.greatest(own[at], "n")).drop("n").withColumn("f", sum((F.coalesce(F.col(c), F.lit(0)) for c in own), F.lit(0)))
-        merged = merged.withColumn("reached", F.coalesce("reached", F.when(F.col("f") >= least, step)))
-        finished = F.col("seen") <= step - shards + 1
-        merged.where((F.col("size") == 0) | (F.col("f") >= least) | ~finished).write.parquet(f"{base}/step-{step}")
-        state = spark.read.schema(merged.schema).parquet(f"{base}/step-{step}").drop("f")
+        raw = _scan(parts.where(F.col("shard") == step % shards), known, step < shards)
+        raw = raw.select(*keys, "n", F.lit(None).cast("long").alias("f"), F.lit(None).cast("long").alias("mark"))
+        both = raw if state is None else raw.unionByName(state.withColumn("n", F.lit(None).cast("long")))
+        merged = both.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("f").alias("f"), F.coalesce(F.min("mark"), F.lit(step * MARK + NEVER)).alias("mark"))
+        # A phrase is counted in the step that first meets it and in the rest of that cycle; by then all of it is counted.
+        last = F.floor(F.col("mark") / MARK) + shards - 1
+        f = F.coalesce("f", F.lit(0)) + F.when(last >= step, F.coalesce("n", F.lit(0))).otherwise(0)
+        merged = merged.select(*keys, f.alias("f"), "mark", last.alias("last"))
+        merged = merged.withColumn("mark", F.when((F.col("mark") % MARK == NEVER) & (F.col("f") >= least), F.col("mark") - NEVER + step).otherwise(F.col("mark")))
+        merged = merged.where((F.col("size") == 0) | (F.col("f") >= least) | (F.col("last") > step)).drop("last")
+        merged.write.parquet(f"{base}/step-{step}")
+        state = spark.read.schema(merged.schema).parquet(f"{base}/step-{step}")
         if step:
             _dropped(spark, f"{base}/step-{step - 1}")
         if not bits:
-            words = state.where("size = 0").agg(F.coalesce(F.sum(own[at]), F.lit(0))).first()[0] * shards
+            words = state.where("size = 0").agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0] * shards
             bits = min(BITS, max(1 << 16, 1 << int(words // 4).bit_length()))
         step += 1
         known = _bitmaps(state, bits, step - 1, shards)
         if step >= shards and not known.maps.keys() & {NEW_WORD, NEW_PAIR}:
             break
     _dropped(spark, f"{base}/shards")
-    f = sum((F.coalesce(F.col(c), F.lit(0)) for c in own), F.lit(0)).cast("long")
-    return state.select("lang", "phrase", "size", f.alias("f")).where((F.col("size") == 0) | (F.col("f") >= least))
+    return state.select(*keys, "f").where((F.col("size") == 0) | (F.col("f") >= least))
 
 
 def collocations(docs: DataFrame, first: int = FIRST, least: int = LEAST, share: int = SHARE, shards: int = SHARDS) -> DataFrame:
