@@ -71,7 +71,8 @@ def probed_pairs(df: DataFrame, key: str, bits: str, distance: int, words: int =
     asking = rows.select(F.col("k").alias("k2"), F.col("x").alias("x2"), F.explode(probes).alias("p"))
     near = _distance(F.col("x"), F.col("x2"), words)
     first = F.coalesce(*[F.when(F.bit_count(cut(F.col("x"), *c).bitwiseXOR(cut(F.col("x2"), *c))) <= radius, F.lit(n)) for n, c in enumerate(cuts)])
-    found = lying.join(asking, "p").where((F.col("k") < F.col("k2")) & (near <= distance) & (first == F.col("p.band")))
+    # Spark takes exploded rows for as small as the file and would broadcast the probes, which are some 260 a row.
+    found = lying.join(asking.hint("merge"), "p").where((F.col("k") < F.col("k2")) & (near <= distance) & (first == F.col("p.band")))
     return found.select(F.col("k").alias("a"), F.col("k2").alias("b"), near.cast("int").alias("distance"))
 
 

@@ -122,7 +122,7 @@ def hamming_pairs(df: DataFrame, key: str, bits: str | list[str], distance: int)
     other = banded.select(F.col("k").alias("k2"), F.col("x").alias("x2"), "p")
     near = sum((F.bit_count(F.col("x")[w].bitwiseXOR(F.col("x2")[w])) for w in range(1, len(words))), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("x2")[0])))
     first = F.coalesce(*[F.when(cut(F.col("x"), *c) == cut(F.col("x2"), *c), F.lit(n)) for n, c in enumerate(cuts)])
-    found = banded.join(other, "p").where((F.col("k") < F.col("k2")) & (near <= distance) & (first == F.col("p.band")))
+    found = banded.join(other.hint("merge"), "p").where((F.col("k") < F.col("k2")) & (near <= distance) & (first == F.col("p.band")))
     return found.select(F.col("k").alias("a"), F.col("k2").alias("b"), near.cast("int").alias("distance"))
 
 

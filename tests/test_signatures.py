@@ -49,6 +49,13 @@ def walk(bits):
     return out
 
 
+def test_probes_are_not_broadcast(spark, bits, tmp_path):
+    """Some 260 probes a row would fill the driver, however small Spark takes the stored table for."""
+    spark.createDataFrame([(k, signed(x)) for k, x in enumerate(bits)], SCHEMA).write.parquet(f"{tmp_path}/signed")
+    found = G.probed_pairs(spark.read.parquet(f"{tmp_path}/signed"), "k", "bits", 12)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_leaders_equal_the_walk(spark, bits):
     df = spark.createDataFrame([*((k, signed(x)) for k, x in enumerate(bits)), (999, None)], SCHEMA)
     got = {r.k: r.leader for r in G.near_groups(df, "k", "bits", 12).collect()}
