@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 
 from caselight.streaming import keyed as K
@@ -97,3 +98,73 @@ def test_the_newest_row_of_a_key(feed, spark, tmp_path):
     with K.rocks(spark):
         rows = S.newest(K.latest(S.stream_table(spark, f"{tmp_path}/in"), "user", "id", "ts", "bad", "1 hour", keep_s=3600), ["user"], "latest").collect()
     assert {(r.user, r.row, r.value) for r in rows} == {("a", 1, True), ("b", 5, False)}
+
+
+class Counting:
+    """A state store of one key that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.kept, self.timers = 0, {}, []
+
+    def _state(self, name, *_):
+        return CountingState(self, name)
+
+    getListState = getMapState = getValueState = _state  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.append(at)
+
+
+class CountingState:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def __getattr__(self, what):
+        def call(*values):
+            kept, self.store.calls = self.store.kept.setdefault(self.name, []), self.store.calls + 1
+            if what == "exists":
+                return bool(kept)
+            if what == "get":
+                return list(kept) if self.name == "waiting" else kept[-1]
+            if what in ("put", "clear"):
+                kept.clear()
+            if what in ("update", "appendValue", "put"):
+                kept.extend(values[0] if what == "put" else [values[0]])
+
+        return call
+
+
+class Time:
+    def __init__(self, ms):
+        self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_state_is_called_by_the_part_and_not_by_the_row():
+    rows = pd.DataFrame({"ms": range(0, 6_000_000, 1000), "row": range(6000), "flag": [False] * 6000})
+    for kind, answers in ((K.Lockouts("user", 3, 1000, 10**9), 6000), (K.Sessions("user", 500, 10**6), 6000)):
+        store = Counting()
+        kind.init(store)
+        assert list(kind.handleInputRows(("a",), iter([rows[3000:], rows[:3000]]), Time(0))) == []
+        out = list(kind.handleExpiredTimer(("a",), Time(7_000_000), Time(min(store.timers))))
+        assert store.calls < 20 and sum(len(x) for x in out) == answers
+
+
+def test_keys_are_written_by_the_bucket():
+    store, kind = Counting(), K.Latest("id", ("bigint", "bigint"), 10**6)
+    kind.init(store)
+    rows = pd.DataFrame({"key": [1, 2, 1, 3] * 500, "ms": range(2000), "row": range(2000), "value": [1, None, 3, 4] * 500})
+    out = next(kind.handleInputRows((7,), iter([rows]), Time(0)))
+    assert store.calls < 10 and sorted(out.astype(object).where(out.notna(), None).itertuples(index=False, name=None)) == [(1, 1998, 1998, 3), (2, 1997, 1997, None), (3, 1999, 1999, 4)]
+    list(kind.handleExpiredTimer((7,), Time(10**6 + 1998), Time(0)))
+    assert kind._load() == {3: (1999, 1999, 4)}
+
+
+def test_the_newest_row_of_null_keys(feed, spark, tmp_path):
+    add, _ = feed
+    add([(None, 1, at(5), True), (None, 2, at(3), False), ("b", 3, at(1), None)])
+    with K.rocks(spark):
+        rows = S.newest(K.latest(S.stream_table(spark, f"{tmp_path}/in"), "id", "id", "ts", "user", "1 hour", keep_s=3600), ["id"], "latest").collect()
+        null = S.newest(K.latest(S.stream_table(spark, f"{tmp_path}/in"), "user", "id", "ts", "id", "1 hour", keep_s=3600), ["user"], "latest").collect()
+    assert {(r.id, r.value) for r in rows} == {(1, None), (2, None), (3, "b")}
+    assert {(r.user, r.row, r.value) for r in null} == {(None, 1, 1), ("b", 3, 3)}
