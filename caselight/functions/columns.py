@@ -1,4 +1,4 @@
-"""Column expressions that the operators share. All but the exact binomial interval run in the JVM."""
+"""Column expressions that the operators share. All but the exact binomial interval and the *_c functions run in the JVM."""
 
 from __future__ import annotations
 
@@ -30,6 +30,27 @@ def logit(p: Column) -> Column:
     return F.log(clipped / (1 - clipped))
 
 
+@F.pandas_udf(T.DoubleType())
+def _log_c(x: pd.Series) -> pd.Series:
+    return pd.Series([math.nan if v != v else math.log(v) for v in x.tolist()], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def _exp_c(x: pd.Series) -> pd.Series:
+    return pd.Series([math.exp(v) for v in x.tolist()], dtype=float)
+
+
+def logit_c(p: Column) -> Column:
+    """logit() by the C library's logarithm. The JVM's may differ in the last bit, which decides for cases on the edge of a band; null becomes NaN."""
+    clipped = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), p))
+    return _log_c(clipped / (1 - clipped))
+
+
+def sigmoid_c(z: Column) -> Column:
+    """sigmoid() by the C library's exponential, for few rows."""
+    return 1 / (1 + _exp_c(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+
+
 def apply_temperature(z: Column, t: Column) -> Column:
     return sigmoid(z / F.coalesce(F.nullif(t, F.lit(0.0)), F.lit(1.0)))
 

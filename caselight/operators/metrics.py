@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caselight.functions.columns import logit, sigmoid
+from caselight.functions.columns import logit_c, sigmoid_c
 from caselight.operators.fits import fit_temperatures
 from caselight.operators.order import quantiles
 from caselight.operators.store import written
@@ -154,12 +156,13 @@ def fit_temperature(df: DataFrame, z: str, y: str) -> DataFrame:
 
 def abstention_bands(df: DataFrame, prob: str, threshold: float, coverages: list[float]) -> DataFrame:
     """(coverage, low, high): the band around the threshold outside which that share of cases lies."""
-    at = logit(F.lit(threshold))
+    clipped = max(1e-7, min(1 - 1e-7, threshold))
+    at = F.lit(math.log(clipped / (1 - clipped)))
     shares = {1 - c: c for c in coverages}
-    cuts = quantiles(df, F.abs(logit(F.col(prob)) - at), list(shares), name="cut")
+    cuts = quantiles(df, F.abs(logit_c(F.col(prob)) - at), list(shares), name="cut")
     coverage = F.create_map(*[F.lit(float(x)) for pair in shares.items() for x in pair])[F.col("fraction")]
     rows = cuts.select("cut", coverage.alias("coverage"))
-    edge = lambda sign: F.when(F.col("coverage") >= 1, F.lit(threshold)).otherwise(sigmoid(at + sign * F.col("cut")))
+    edge = lambda sign: F.when(F.col("coverage") >= 1, F.lit(threshold)).otherwise(sigmoid_c(at + sign * F.col("cut")))
     return rows.select("coverage", edge(-1).alias("low"), edge(1).alias("high"))
 
 

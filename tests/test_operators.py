@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -93,3 +94,18 @@ def test_splits_have_no_leak_and_the_detector_fires(spark, scored):
 def test_conflicting_labels_keep_nothing(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("b", 1, 3), ("b", 0, 4), ("c", 1, 5)], "h string, g int, k int")
     assert {r.h: r.keep for r in O.label_conflicts(df, "h", "g", "k").collect()} == {"a": 1, "b": None}
+
+
+def test_rows_on_the_edge_of_a_band_count_as_by_the_c_library(spark):
+    """Scores with many ties, each of which is a band's edge once: the last bit of a logarithm decides."""
+    values = [x for p in (0.434135, 0.256355, *(round(1 / (1 + math.exp(z / 37)), 6) for z in range(1, 80))) for x in (p, round(1 - p, 6))]
+    coverages = [k / 80 for k in range(1, 80)]
+    df = spark.createDataFrame([(int(k % 2), p) for p in values for k in range(3)], "y int, p double")
+    cut = sorted(abs(math.log(p / (1 - p))) for p in values for _ in range(3))
+    want = {}
+    for c in coverages:
+        place = (len(cut) - 1) * (1 - c)
+        low, high = math.floor(place), math.ceil(place)
+        at = cut[low] if low == high else (high - place) * cut[low] + (place - low) * cut[high]
+        want[c] = sum(p <= 1 / (1 + math.exp(at)) or p >= 1 / (1 + math.exp(-at)) for p in values) * 3
+    assert {r.coverage: r.retained for r in M.abstention_curve(df, "y", "p", 0.5, df, coverages).collect()} == want
