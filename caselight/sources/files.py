@@ -159,7 +159,7 @@ def assemble_multisource(parts: dict[str, DataFrame], sites: DataFrame, files: D
         subject = F.col("patient_id") if "patient_id" in part.columns else F.element_at(F.split("image_id", "_"), 1)
         grade = F.col("raw_grade") if "raw_grade" in part.columns else F.when(side == "left", F.col("left_grade")).otherwise(F.col("right_grade"))
         others = [c for c in part.columns if c not in ("image_id", "patient_id", "raw_grade", "left_grade", "right_grade")]
-        part = part.select("image_id", F.format_string("S%04d", subject.cast("int")).alias("subject"), F.lit(split).alias("split"), side.alias("side"), grade.alias("raw_grade"), *others)
+        part = part.select("image_id", F.format_string("S%04d", subject.cast("long")).alias("subject"), F.lit(split).alias("split"), side.alias("side"), grade.alias("raw_grade"), *others)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise ValueError("no splits")

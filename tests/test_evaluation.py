@@ -79,3 +79,9 @@ def test_sources_of_several_shapes(spark):
         S.assemble_multisource({"held": held}, sites, train)
     with pytest.raises(ValueError):
         S.assemble_multisource({"held": held.withColumn("image_id", F.lit("27"))}, sites)
+
+
+def test_patients_numbers_may_be_long(spark):
+    part = spark.createDataFrame([("3000000000_l1", 1), ("12345_r1", 2)], "image_id string, raw_grade int")
+    got = S.assemble_multisource({"train": part}, spark.createDataFrame([], "image_id string, site string"))
+    assert {r.subject for r in got.collect()} == {"S3000000000", "S12345"}
