@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -196,7 +199,28 @@ def crossfit_summary(scored: DataFrame, y: str) -> DataFrame:
 
 
 def poisson_weight(u: Column) -> Column:
-    return F.size(F.filter(F.array(*[F.lit(c) for c in POISSON]), lambda c: c <= u))
+    # Inside a lambda, so that u, often a hash, is worked out once and not for each step.
+    return F.transform(F.array(u), lambda x: sum(((x >= c).cast("int") for c in POISSON[1:]), (x >= POISSON[0]).cast("int")))[0]
+
+
+def _poisson_sums(counts: DataFrame, cluster: str, columns: list[str], replicates: int, seed: str) -> DataFrame:
+    """(r, columns): weighted sums of a row for each subject, a row for each task and replicate that draws anyone. Weights are those of poisson_weight(hash_uniform())."""
+    tails = [f"{r}".encode() for r in range(replicates)]
+
+    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, drawn = np.zeros((len(columns), replicates), dtype=np.int64), np.zeros(replicates, dtype=bool)
+        for part in parts:
+            for name, row in zip(part["_head"].tolist(), part[columns].to_numpy(np.int64), strict=True):
+                head = name.encode()
+                u = np.frombuffer(b"".join(hashlib.md5(head + t).digest()[:4] for t in tails), dtype=">u4") / 4294967296.0
+                w = np.searchsorted(POISSON, u, side="right")
+                sums += row[:, None] * w
+                drawn |= w > 0
+        at = np.flatnonzero(drawn)
+        yield pd.DataFrame({"r": at, **{c: sums[k][at] for k, c in enumerate(columns)}})
+
+    head = F.concat(F.concat_ws(":", F.lit(seed), F.col(cluster).cast("string")), F.lit(":")).alias("_head")
+    return counts.select(head, *columns).mapInPandas(add, "r long, " + ", ".join(f"{c} long" for c in columns))
 
 
 def bootstrap_rates(df: DataFrame, y: str, score: str, threshold: float, cluster: str, replicates: int = 1000, alpha: float = 0.05, seed: str = "boot") -> DataFrame:
@@ -206,16 +230,12 @@ def bootstrap_rates(df: DataFrame, y: str, score: str, threshold: float, cluster
     """
     counts = M.confusion(df, y, score, threshold, [cluster]).select(cluster, "tp", "fp", "tn", "fn")
     spread = counts.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, cluster)  # few bytes, much work each
-    each = spread.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", poisson_weight(hash_uniform(seed, F.col(cluster), F.col("r")))).where("w > 0")
-    total = lambda c, w: F.sum(F.col(c) * w) if w is not None else F.sum(c)
-
-    def rates(rows: DataFrame, w: Column | None) -> list[Column]:
-        tp, fp, tn, fn = (total(c, w) for c in ("tp", "fp", "tn", "fn"))
-        return [F.try_divide(tp, tp + fn).alias("sensitivity"), F.try_divide(tn, tn + fp).alias("specificity")]
-
-    boot = each.groupBy("r").agg(*rates(each, F.col("w"))).select(F.explode(F.create_map(F.lit("sensitivity"), "sensitivity", F.lit("specificity"), "specificity")).alias("metric", "v"))
+    each = _poisson_sums(spread, cluster, ["tp", "fp", "tn", "fn"], replicates, seed)
+    tp, fp, tn, fn = (F.sum(c) for c in ("tp", "fp", "tn", "fn"))
+    rates = [F.try_divide(tp, tp + fn).alias("sensitivity"), F.try_divide(tn, tn + fp).alias("specificity")]
+    boot = each.groupBy("r").agg(*rates).select(F.explode(F.create_map(F.lit("sensitivity"), "sensitivity", F.lit("specificity"), "specificity")).alias("metric", "v"))
     cuts = boot.groupBy("metric").agg(F.percentile("v", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"), F.count("v").alias("n_boot"))
-    point = counts.agg(*rates(counts, None)).select(F.explode(F.create_map(F.lit("sensitivity"), "sensitivity", F.lit("specificity"), "specificity")).alias("metric", "point"))
+    point = counts.agg(*rates).select(F.explode(F.create_map(F.lit("sensitivity"), "sensitivity", F.lit("specificity"), "specificity")).alias("metric", "point"))
     return point.join(cuts, "metric").select("metric", "point", F.element_at("q", 1).alias("low"), F.element_at("q", 2).alias("high"), "n_boot")
 
 
