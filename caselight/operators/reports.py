@@ -10,6 +10,7 @@ from caselight.operators import calibration as K
 from caselight.operators import metrics as M
 from caselight.operators import resampling as S
 from caselight.operators.order import median, quantiles
+from caselight.operators.store import written
 
 #: Fixed values of the monitoring window, in days: the recent part, the whole, and what the whole is clamped to.
 RECENT, WINDOW, CLAMP = 28, 90, (7, 730)
@@ -132,23 +133,25 @@ def assert_no_leakage(assigned: DataFrame, subject: str, split: str, shown: int
     return assigned
 
 
-def _wide(intervals: DataFrame, names: list[str]) -> DataFrame:
-    pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}")
-    return intervals.agg(*[pick(m, c) for m in names for c in ("low", "high")], F.max("n_boot").alias("n_boot"))
+def _wide(intervals: DataFrame, names: list[str], points: list[str]) -> DataFrame:
+    """One row: the points of some metrics, then the ends of the intervals of all."""
+    pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    return intervals.agg(*[pick(m, "point").alias(m) for m in points], *[pick(m, c).alias(f"{m}_{c}") for m in names for c in ("low", "high")], F.max("n_boot").alias("n_boot"))
 
 
 def external_report(df: DataFrame, y: str, prob: str, call: str, cluster: str, gradable: str = "gradable", replicates: int = 1000) -> DataFrame:
     """One row: rates of the stored call and the AUROC, with its interval over resampled subjects, of gradable rows with a label; no row unless both classes occur."""
-    rows = df.where((F.col(gradable) == 1) & F.col(y).isNotNull() & F.col(call).isNotNull()).withColumn("_call", F.col(call).cast("double"))
-    area = _wide(S.resample_areas(rows, y, prob, cluster, replicates, target=None), ["auroc"])
-    return M.confusion(rows, y, "_call", 1.0).crossJoin(M.auroc(rows, y, prob).select("auroc")).crossJoin(area).where("tp + fn > 0 and fp + tn > 0")
+    known = (F.col(gradable) == 1) & F.col(y).isNotNull() & F.col(call).isNotNull()
+    rows = written(df.where(known).select(*dict.fromkeys([y, prob, cluster]), F.col(call).cast("double").alias("_call")), "external")
+    area = _wide(S.resample_areas(rows, y, prob, cluster, replicates, target=None), ["auroc"], ["auroc"])
+    return M.confusion(rows, y, "_call", 1.0).crossJoin(area).where("tp + fn > 0 and fp + tn > 0")
 
 
 def oof_report(df: DataFrame, y: str, logit: str, prob: str, threshold: str, cluster: str, replicates: int = 1000) -> DataFrame:
     """One row over out-of-fold scores: rates at each row's own threshold, the AUROC and the uncalibrated calibration error, with the intervals of the
     first three over resampled subjects."""
     found = K.resample_rates(df, y, prob, F.col(threshold), cluster, replicates).unionByName(S.resample_areas(df, y, logit, cluster, replicates, target=None))
-    wide = _wide(found, ["sensitivity", "specificity", "auroc"])
+    wide = _wide(found, ["sensitivity", "specificity", "auroc"], [])
     return M.confusion(df, y, prob, F.col(threshold)).crossJoin(M.auroc(df, y, logit).select("auroc")).crossJoin(M.ece(df, y, prob)).crossJoin(wide)
 
 

@@ -15,12 +15,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselight.functions.columns import hash_uniform
 from caselight.operators import metrics as M
+from caselight.operators.order import SENT
 from caselight.operators.store import written
 from caselight.operators.tables import hash_ranks
 
@@ -28,6 +29,8 @@ from caselight.operators.tables import hash_ranks
 BLOCK, LEVELS = 256, 10
 #: Up to so many draws a quantile is searched from zero.
 SMALL = 900
+#: Cells of a block that one task takes, and that a task sums up at a time; bytes of weights it holds for that; products it makes at a time.
+LOT, HELD, PRODUCTS = 1_000_000, 32_000_000, 2_000_000
 #: Distinct scores in one row of a table of curves.
 CHUNK = 8
 #: Columns of that table.
@@ -95,6 +98,11 @@ def _leaves(draws: np.ndarray, level: int, node: int, total: int, seed: str) ->
     return vector[[_bound(deepest, int(k) + 1, total) > _bound(deepest, int(k), total) for k in nodes]]
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks for rows of few bytes and much work each, which Spark would put into few tasks by their bytes."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _ranges(df: DataFrame, total: int, replicates: int, seed: str, block: int) -> DataFrame:
     """(node, draws) at the depth of blocks; a task expands LEVELS levels at most."""
     spark, depth, level = df.sparkSession, _depth(total, block), 0
@@ -110,23 +118,29 @@ def _ranges(df: DataFrame, total: int, replicates: int, seed: str, block: int) -
                         draws, first = halved(draws, at, first, total, seed), first * 2
                     yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(draws)), pa.int64()), pa.array([d.tobytes() for d in draws], pa.binary())], ["node", "draws"])
 
-        nodes, level = nodes.repartition("node").mapInArrow(expand, "node long, draws binary"), stop
+        nodes, level = (nodes.repartition(_tasks(spark), "node") if level else nodes).mapInArrow(expand, "node long, draws binary"), stop
     return nodes
 
 
+def _placed(subjects: DataFrame, key: str, seed: str, block: int) -> tuple[DataFrame, int]:
+    """(subjects with _at, their place from 0 in hash order, and _node, their block; how many there are). Subjects are stored, one row each."""
+    stored = written(subjects, "subjects")
+    total = stored.count()
+    u = hash_uniform(seed, F.coalesce(F.col(key).cast("string"), F.lit("")))
+    ranked = hash_ranks(stored.withColumn("_u", u).withColumn("_all", F.lit(1)), "_all", "_u", key)
+    node = F.expr(f"(rank * {1 << _depth(total, block)}L - 1) div {max(1, total)}L")
+    return ranked.select(*subjects.columns, node.alias("_node"), (F.col("rank") - 1).alias("_at")), total
+
+
 def _weighted(subjects: DataFrame, key: str, values: list[str], schema: str, work: Callable, replicates: int, seed: str, block: int) -> DataFrame:
     """work(iterator of (rows of a block without the draws, weights subjects x replicates)) over subjects, one row each."""
-    total = subjects.count()
+    placed, total = _placed(subjects, key, seed, block)
     if not total:
         return subjects.sparkSession.createDataFrame([], schema)
     depth = _depth(total, block)
-    u = hash_uniform(seed, F.coalesce(F.col(key).cast("string"), F.lit("")))
-    ranked = hash_ranks(subjects.withColumn("_u", u).withColumn("_all", F.lit(1)), "_all", "_u", key)
-    place = F.col("rank") - 1
-    node = F.expr(f"(rank * {1 << depth}L - 1) div {total}L")
-    rows = ranked.select(node.alias("_node"), place.alias("_at"), F.lit(None).cast("binary").alias("_draws"), F.col(key).cast("string").alias("_key"), *values)
+    rows = placed.select("_node", "_at", F.lit(None).cast("binary").alias("_draws"), F.col(key).cast("string").alias("_key"), *values)
     heads = _ranges(subjects, total, replicates, seed, block).select(F.col("node").alias("_node"), F.lit(-1).cast("long").alias("_at"), F.col("draws").alias("_draws"))
-    both = rows.unionByName(heads, allowMissingColumns=True).repartition("_node").sortWithinPartitions("_node", "_at")
+    both = rows.unionByName(heads, allowMissingColumns=True).repartition(_tasks(subjects.sparkSession), "_node").sortWithinPartitions("_node", "_at")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
         rest: pa.Table | None = None
@@ -198,21 +212,64 @@ def _vector(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype="<i4")
 
 
-def _by_score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the weights of equal scores within a batch, so that a very common score is few rows when it is shuffled."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        score = batch.column(0).to_numpy()
-        order = np.argsort(score, kind="stable")
-        score = score[order]
-        weights = np.stack([_vector(batch.column(3)[int(k)].as_py()) for k in order]).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], score[1:] != score[:-1])))
-        sums = []
-        for c in (1, 2):
-            count = batch.column(c).to_numpy()[order].astype(np.int64)
-            sums.append([s.tobytes() if s.any() else None for s in np.add.reduceat(weights * count[:, None], first, 0)])
-        yield pa.RecordBatch.from_arrays([pa.array(score[first]), *[pa.array(s, pa.binary()) for s in sums]], ["score", "pos", "neg"])
+def _packed(sums: np.ndarray) -> pa.Array:
+    """Vectors as bytes, in the narrowest whole numbers that hold them all."""
+    most = int(sums.max(initial=0))
+    data = np.ascontiguousarray(sums.astype(next(k for k in ("<u1", "<u2", "<u4", "<i8") if most <= np.iinfo(k).max)))
+    ends = np.arange(len(data) + 1, dtype=np.int32) * np.int32(data.shape[1] * data.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _unpacked(raw: bytes, replicates: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype={1: "<u1", 2: "<u2", 4: "<u4", 8: "<i8"}[len(raw) // replicates]).astype(np.int64)
+
+
+def _by_score(total: int, depth: int, replicates: int, seed: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From cells by block, after a row with the block's draws: the cells' drawn counts summed by score, over as many blocks as HELD and LOT allow. Weights are worked
+    out where the cells lie, so only sums are shuffled. A row has the positive or the negative ones."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights: list[np.ndarray] = []
+        cells: list[tuple[np.ndarray, ...]] = []
+        start = held = 0
+        node, draws = -1, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            table = np.concatenate(weights)
+            row, score, p, n = (np.concatenate(c) for c in zip(*cells, strict=True))
+            order, step = np.argsort(score, kind="stable"), max(1, PRODUCTS // replicates)
+            for k, count in enumerate((p, n)):
+                own = order[count[order] > 0]
+                for low in range(0, len(own), step):
+                    some = own[low : low + step]
+                    s = score[some]
+                    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+                    sums = _packed(np.add.reduceat(table[row[some]] * count[some, None], first, 0))
+                    none = pa.nulls(len(first), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(s[first]), *((none, sums) if k else (sums, none))], ["score", "pos", "neg"])
+
+        for batch in batches:
+            at = batch.column(1).to_numpy()
+            cuts = np.unique([0, *np.flatnonzero(at == -1), len(at)]).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if at[a] == -1:
+                    node, draws, a = batch.column(0)[a].as_py(), np.frombuffer(batch.column(2)[a].as_py(), dtype=np.int64), a + 1
+                if a == b:
+                    continue
+                if held >= LOT or sum(w.nbytes for w in weights) >= HELD:
+                    yield from flush()
+                    weights, cells, start, held = weights[-1:] if draws is None else [], [], 0, 0
+                if draws is not None:
+                    start = sum(len(w) for w in weights)
+                    weights.append(_leaves(draws, depth, node, total, seed).astype(np.int32))
+                    draws = None
+                score, p, n = (batch.column(c).slice(a, b - a).to_numpy() for c in (3, 4, 5))
+                cells.append((at[a:b] - _bound(depth, node, total) + start, score, p, n))
+                held += b - a
+        if cells:
+            yield from flush()
+
+    return work
 
 
 def _chunks(replicates: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -239,7 +296,7 @@ def _chunks(replicates: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         target = pa.schema([("range", pa.int32()), ("chunk", pa.int32()), ("last", pa.bool_()), ("scores", pa.list_(pa.float64())), *[(c, pa.binary()) for c in names[4:]]])
         for batch in batches:
             for score, p, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                p, n = (np.frombuffer(x, dtype=np.int64) if x else zero for x in (p, n))
+                p, n = (_unpacked(x, replicates) if x else zero for x in (p, n))
                 if scores and scores[-1] == score:
                     pos[-1], neg[-1] = pos[-1] + p, neg[-1] + n
                     continue
@@ -252,13 +309,25 @@ def _chunks(replicates: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return work
 
 
-def curves(df: DataFrame, y: str, score: str, cluster: str, replicates: int = 1000, seed: str = "resample") -> DataFrame:
+def curves(df: DataFrame, y: str, score: str, cluster: str, replicates: int = 1000, seed: str = "resample", block: int = BLOCK) -> DataFrame:
     """The stored curves of all replicates (CURVES), in ranges of falling score. Rows without a score are left out; a cluster without one is still drawn."""
-    weights = resample_weights(df, cluster, replicates, seed)
-    pos = (F.col(y) == 1).cast("long")
-    cells = df.where(F.col(score).isNotNull()).groupBy(F.col(cluster).cast("string").alias(cluster), F.col(score).cast("double").alias("score")).agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("n"))
-    joined = cells.join(weights, cells[cluster].eqNullSafe(weights[cluster])).select("score", "p", "n", "weights")
-    summed = joined.mapInArrow(_by_score, "score double, pos binary, neg binary")
+    spark, pos = df.sparkSession, (F.col(y) == 1).cast("long")
+    placed, total = _placed(df.select(F.col(cluster).alias("_key")).distinct(), "_key", seed, block)
+    if not total:
+        return written(spark.createDataFrame([], CURVES), "curves")
+    depth, tasks = _depth(total, block), _tasks(spark)
+    zero = F.lit(0).cast("long")
+    cells = df.where(F.col(score).isNotNull()).groupBy(F.col(cluster).alias("_own"), F.col(score).cast("double").alias("score")).agg(F.coalesce(F.sum(pos), zero).alias("p"), F.coalesce(F.sum(1 - pos), zero).alias("n"))
+    cells = written(cells.join(placed, F.col("_own").eqNullSafe(F.col("_key"))).select("_node", "_at", "score", "p", "n"), "cells")
+    heads = _ranges(df, total, replicates, seed, block).select(F.col("node").alias("_node"), F.lit(-1).cast("long").alias("_at"), F.col("draws").alias("_draws"))
+    # Blocks of very many cells are dealt to several tasks; each has the block's draws.
+    large = written(cells.groupBy("_node").agg(F.ceil(F.count("*") / LOT).alias("_lots")).where("_lots > 1"), "large")
+    sent = F.broadcast(large) if large.limit(SENT + 1).count() <= SENT else large
+    lots = F.coalesce("_lots", F.lit(1))
+    rows = cells.join(sent, "_node", "left").select("_node", "_at", F.lit(None).cast("binary").alias("_draws"), "score", "p", "n", F.pmod(F.xxhash64("score"), lots).alias("_lot"))
+    each = heads.join(sent, "_node", "left").select("_node", "_at", "_draws", F.explode(F.sequence(F.lit(0).cast("long"), lots - 1)).alias("_lot"))
+    both = rows.unionByName(each, allowMissingColumns=True).repartition(tasks, "_node", "_lot").sortWithinPartitions("_node", "_lot", "_at").drop("_lot")
+    summed = written(both.mapInArrow(_by_score(total, depth, replicates, seed), "score double, pos binary, neg binary"), "sums")
     order = F.col("score").desc()
     return written(summed.repartitionByRange(order).sortWithinPartitions(order).mapInArrow(_chunks(replicates), CURVES), "curves")
 

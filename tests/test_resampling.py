@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from caselight.operators import reports
 from caselight.operators import resampling as R
 
 SCHEMA = "subject string, score double, y int, grade int"
@@ -88,6 +89,47 @@ def test_curves_of_every_replicate(df, rows):
             assert specs[r] == pytest.approx(plain_specificity(cells, target), abs=1e-12)
 
 
+def test_curves_move_sums_by_score(df, spark, monkeypatch):
+    """Many cells of few scores: what is shuffled is a row for each score, class and task, not a vector for each cell; small blocks, lots and slices change nothing."""
+    stored = {}
+    monkeypatch.setattr(R, "written", lambda frame, name, keep=R.written: stored.setdefault(name, keep(frame, name)))
+    many = spark.range(6000).select((F.col("id") % 600).cast("string").alias("subject"), (F.xxhash64("id") % 7).cast("double").alias("score"), (F.xxhash64("id", F.lit(1)) % 2 == 0).cast("int").alias("y"))
+    R.curves(many, "y", "score", "subject", 20)
+    assert 0 < stored["sums"].count() <= 2 * 13 * R._tasks(spark)
+    monkeypatch.undo()
+    whole = {r.r: r.v for r in R.area_draws(R.curves(df, "y", "score", "subject", 60)).collect()}
+    for name, small in (("LOT", 5), ("HELD", 1), ("PRODUCTS", 120)):
+        monkeypatch.setattr(R, name, small)
+    assert {r.r: r.v for r in R.area_draws(R.curves(df, "y", "score", "subject", 60, block=4)).collect()} == pytest.approx(whole, abs=1e-12)
+
+
+def test_sums_in_narrow_bytes():
+    for most, wide in ((255, 1), (256, 2), (70_000, 4), (2**40, 8)):
+        v = np.array([[0, most, 3], [1, 2, 0]])
+        raw = R._packed(v).to_pylist()
+        assert [len(x) for x in raw] == [3 * wide] * 2 and np.array_equal([R._unpacked(x, 3) for x in raw], v)
+
+
+@pytest.fixture
+def watched(spark, df):
+    """Scored rows, and how often one was read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(y):
+        read.add(1)
+        return y
+
+    scored = df.where("score is not null").withColumn("y", F.udf(seen, "int").asNondeterministic()("y"))
+    return scored.withColumns({"prob": 1 / (1 + F.exp(-F.col("score"))), "cut": F.lit(0.5), "call": F.col("score") >= 0, "gradable": F.lit(1)}), read
+
+
+def test_external_report_reads_its_rows_once(watched, df):
+    scored, read = watched
+    got = reports.external_report(scored, "y", "prob", "call", "subject", replicates=20).first()
+    assert got.tp + got.fn > 0 and got.auroc_low < got.auroc < got.auroc_high and got.n_boot == 20
+    assert read.value == df.where("score is not null").count()
+
+
 def test_intervals_and_single_classes(df, spark, rows):
     got = {r.metric: r for r in R.resample_areas(df, "y", "score", "subject", 60).collect()}
     weights = weights_of(df, 60)
