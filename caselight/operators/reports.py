@@ -150,9 +150,11 @@ def external_report(df: DataFrame, y: str, prob: str, call: str, cluster: str, g
 def oof_report(df: DataFrame, y: str, logit: str, prob: str, threshold: str, cluster: str, replicates: int = 1000) -> DataFrame:
     """One row over out-of-fold scores: rates at each row's own threshold, the AUROC and the uncalibrated calibration error, with the intervals of the
     first three over resampled subjects."""
-    found = K.resample_rates(df, y, prob, F.col(threshold), cluster, replicates).unionByName(S.resample_areas(df, y, logit, cluster, replicates, target=None))
-    wide = _wide(found, ["sensitivity", "specificity", "auroc"], [])
-    return M.confusion(df, y, prob, F.col(threshold)).crossJoin(M.auroc(df, y, logit).select("auroc")).crossJoin(M.ece(df, y, prob)).crossJoin(wide)
+    rows = written(df.select(*dict.fromkeys([y, logit, prob, threshold, cluster])), "oof")
+    found = K.resample_rates(rows, y, prob, F.col(threshold), cluster, replicates).unionByName(S.resample_areas(rows, y, logit, cluster, replicates, target=None))
+    wide = _wide(found, ["sensitivity", "specificity", "auroc"], ["auroc"])
+    counts, error = M.confusion(rows, y, prob, F.col(threshold)), M.ece(rows, y, prob)
+    return counts.crossJoin(wide).crossJoin(error).select(*counts.columns, "auroc", *error.columns, *[c for c in wide.columns if c != "auroc"])
 
 
 def visit_worklist(visits: DataFrame, limit: int = 100) -> DataFrame:

@@ -130,6 +130,15 @@ def test_external_report_reads_its_rows_once(watched, df):
     assert read.value == df.where("score is not null").count()
 
 
+def test_oof_report_reads_its_rows_once(watched, df):
+    scored, read = watched
+    found = reports.oof_report(scored, "y", "score", "prob", "cut", "subject", 20)
+    assert found.columns[9:12] == ["auroc", "ece", "sensitivity_low"]
+    got = found.first()
+    assert got.auroc_low < got.auroc < got.auroc_high and got.sensitivity_low <= got.sensitivity <= got.sensitivity_high
+    assert read.value == df.where("score is not null").count()
+
+
 def test_intervals_and_single_classes(df, spark, rows):
     got = {r.metric: r for r in R.resample_areas(df, "y", "score", "subject", 60).collect()}
     weights = weights_of(df, 60)
