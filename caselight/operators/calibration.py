@@ -61,9 +61,13 @@ def select_calibrator(fit: DataFrame, held: DataFrame, z: str, y: str) -> DataFr
     """
     if _degenerate(fit, held, y):
         return fit.sparkSession.createDataFrame([(m, None, m == "temperature") for m in METHODS], "method string, ece double, chosen boolean")
-    t = M.fit_temperature(fit, z, y)
-    p = held.withColumn("_identity", sigmoid(F.col(z))).crossJoin(F.broadcast(t)).withColumn("_temperature", apply_temperature(F.col(z), F.col("temperature")))
-    p = interpolated(p, z, isotonic_fits(fit, z, y), name="_isotonic")
+    return _tried(held, z, y, M.fit_temperature(fit, z, y), isotonic_fits(fit, z, y))
+
+
+def _tried(held: DataFrame, z: str, y: str, warm: DataFrame, fits: DataFrame) -> DataFrame:
+    """(method, ece, chosen) of calibrators that are fitted already."""
+    p = held.withColumn("_identity", sigmoid(F.col(z))).crossJoin(F.broadcast(warm)).withColumn("_temperature", apply_temperature(F.col(z), F.col("temperature")))
+    p = interpolated(p, z, fits, name="_isotonic")
     arms = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(m).alias("method"), F.col(f"_{m}").alias("p")) for k, m in enumerate(METHODS)])
     found = M.ece(p.select(F.col(y).alias("y"), F.explode(arms).alias("m")).select("y", "m.*"), "y", "p", by=["rank", "method"])
     best = found.agg(F.min_by("method", F.struct(F.round("ece", 9), F.col("rank"))).alias("best"))
@@ -76,37 +80,32 @@ PROFILE = "method string, temperature double, isotonic_x array<double>, isotonic
 def fit_profile(df: DataFrame, key: str, z: str, y: str, target: float = 0.9, coverage: float = 0.85, seed: str = "holdout") -> DataFrame:
     """One storable row (PROFILE) fitted on df: the calibrator with the least held-out error, its parameters, the operating point at
     the target sensitivity and the abstention band of calibrated probabilities, the sizes, and a fingerprint of the rows used."""
-    spark, (fit, held) = df.sparkSession, holdout(df, key, seed=seed)
+    spark = df.sparkSession
+    rows = written(df.select(*dict.fromkeys([key, z, y]), (hash_uniform(seed, F.col(key)) < HELD_SHARE).alias("_held")), "profile-rows")  # what follows reads it many times
+    fit, held = rows.where("not _held"), rows.where("_held")
     whole = _degenerate(fit, held, y)
-    chosen = {r.method: r.ece for r in select_calibrator(fit, held, z, y).where("chosen").collect()}  # one row
-    method = next(iter(chosen))
-    temperature = M.fit_temperature(df if whole else fit, z, y).first()[0]
-    xs, ys = ([], []) if whole else isotonic_fits(fit, z, y).first()
+    warm = M.fit_temperature(rows if whole else fit, z, y)
+    temperature = warm.first()[0]
+    method, error, xs, ys = "temperature", None, [], []
+    if not whole:
+        xs, ys = isotonic_fits(fit, z, y).first()
+        fits = spark.createDataFrame([(xs, ys)], "xs array<double>, ys array<double>")
+        method, error = _tried(held, z, y, warm, fits).where("chosen").select("method", "ece").first()
     stored = spark.createDataFrame([(method, temperature, xs, ys)], "method string, temperature double, isotonic_x array<double>, isotonic_y array<double>")
-    p = calibrated(df, z, stored, "_p")
+    p = written(calibrated(rows, z, stored, "_p").select(y, "_p"), "profile-scores")
     cut = M.threshold_at_sensitivity(p, y, "_p", target).first()[0]
     band = M.abstention_bands(p, "_p", min(max(cut, 1e-6), 1 - 1e-6), [coverage]).first()
-    size = df.agg(F.count("*").alias("n"), F.count_if(F.col(y) == 1).alias("p"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.bit_xor(F.xxhash64(F.col(key).cast("string"), F.col(y)))), 256).alias("f")).first()
-    return spark.createDataFrame([(method, temperature, xs, ys, chosen[method], cut, band.low, band.high, size.n, size.p, size.f)], PROFILE)
+    size = rows.agg(F.count("*").alias("n"), F.count_if(F.col(y) == 1).alias("p"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.bit_xor(F.xxhash64(F.col(key).cast("string"), F.col(y)))), 256).alias("f")).first()
+    return spark.createDataFrame([(method, temperature, xs, ys, error, cut, band.low, band.high, size.n, size.p, size.f)], PROFILE)
 
 
 def calibrated(df: DataFrame, z: str, stored: DataFrame, name: str = "calibrated") -> DataFrame:
-    """Adds the probability that a stored profile (one row) gives: by isotonic knots, by its temperature, or as the model has it."""
-    fields = ["method", "temperature", "isotonic_x", "isotonic_y"]
-    p = stored.select(F.struct(*fields).alias("_profile"))
-
-    @F.pandas_udf("double")
-    def between(score: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
-        if not len(score) or not len(xs.iloc[0]):
-            return pd.Series([None] * len(score), dtype="float64")
-        return pd.Series(np.clip(np.interp(score.to_numpy(dtype=float), xs.iloc[0], ys.iloc[0]), 0.0, 1.0)).where(score.notna().to_numpy())
-
-    j = df.crossJoin(F.broadcast(p))
-    method = F.col("_profile.method")
-    iso = between(F.col(z).cast("double"), F.col("_profile.isotonic_x"), F.col("_profile.isotonic_y"))
-    if stored.select("method").first()[0] != "isotonic":
-        return j.withColumn(name, F.when(method == "temperature", apply_temperature(F.col(z), F.col("_profile.temperature"))).otherwise(sigmoid(F.col(z)))).drop("_profile")
-    return j.withColumn(name, iso).drop("_profile")
+    """Adds the probability that a stored profile (one row) gives: by isotonic knots, by its temperature, or as the model has it. Knots go to the tasks once, not with
+    every row."""
+    own = stored.select("method", "temperature").first()
+    if own.method == "isotonic":
+        return interpolated(df, z, stored.select(F.col("isotonic_x").alias("xs"), F.col("isotonic_y").alias("ys")), name=name)
+    return df.withColumn(name, apply_temperature(F.col(z), F.lit(own.temperature).cast("double")) if own.method == "temperature" else sigmoid(F.col(z)))
 
 
 def profile(df: DataFrame, z: str, y: str, target: float = 0.9) -> DataFrame:
@@ -127,22 +126,28 @@ def site_calibration(calibration: DataFrame, evaluation: DataFrame, source: Data
     return rows[0].unionByName(rows[1])
 
 
-def recalibrated(train: DataFrame, locked: DataFrame, z: str, y: str, target: float = 0.9, least: int = 30) -> DataFrame:
-    """The locked part under a profile of the train part; an error if either has too few cases of a class."""
+def assert_enough(train: DataFrame, locked: DataFrame, y: str, least: int = 30) -> None:
+    """An error if the train part has too few cases of a class or the locked part no positives."""
     n = train.agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("q")).first()
     if n.p < least or n.q < least:
         raise ValueError(f"train part has {n.p} positives and {n.q} negatives; {least} of each are needed")
     if not locked.where(F.col(y) == 1).limit(1).count():
         raise ValueError("locked part has no positives")
+
+
+def recalibrated(train: DataFrame, locked: DataFrame, z: str, y: str, target: float = 0.9, least: int = 30) -> DataFrame:
+    """The locked part under a profile of the train part; an error if either has too few cases of a class."""
+    assert_enough(train, locked, y, least)
     return profile_score(locked, z, y, profile(train, z, y, target))
 
 
 def profile_report(df: DataFrame, z: str, y: str, stored: DataFrame) -> DataFrame:
     """One row: a stored profile measured on df, with tp, fp, tn, fn, rates, AUROC, the calibration error, and the share outside its band."""
-    p = calibrated(df, z, stored, "_p").crossJoin(F.broadcast(stored.select("threshold", "band_low", "band_high")))
+    rows = written(calibrated(df, z, stored, "_p").select(*dict.fromkeys([z, y]), "_p"), "profile-measured")
+    p = rows.crossJoin(F.broadcast(stored.select("threshold", "band_low", "band_high")))
     c = M.confusion(p, y, "_p", F.col("threshold"), ["threshold"])
     outside = p.agg(F.avg(((F.col("_p") <= F.col("band_low")) | (F.col("_p") >= F.col("band_high"))).cast("double")).alias("coverage"))
-    return c.crossJoin(M.auroc(df, y, z).select("auroc")).crossJoin(M.ece(p, y, "_p")).crossJoin(outside)
+    return c.crossJoin(M.auroc(rows, y, z).select("auroc")).crossJoin(M.ece(p, y, "_p")).crossJoin(outside)
 
 
 def crossfit_scores(df: DataFrame, key: str, z: str, y: str, target: float = 0.9, repeats: int = 5, folds: int = 2) -> DataFrame:

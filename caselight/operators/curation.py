@@ -278,7 +278,7 @@ def set_fingerprint(df: DataFrame, name: str) -> DataFrame:
 
     A leaf sorts one part in 4096 of the names; repeated names count."""
     sha = F.sha2(F.col(name).cast("binary"), 256)
-    leaves = df.select(sha.alias("s")).groupBy(F.substring("s", 1, LEAF_DIGITS).alias("leaf")).agg(F.array_sort(F.collect_list("s")).alias("names"))
+    leaves = df.select(sha.alias("s")).groupBy(F.substring("s", 1, LEAF_DIGITS).alias("leaf")).agg(F.sort_array(F.collect_list("s")).alias("names"))
     hashed = leaves.select("leaf", F.size("names").alias("n"), F.sha2(F.array_join("names", "").cast("binary"), 256).alias("h"))
     root = hashed.agg(F.array_sort(F.collect_list(F.struct("leaf", "h"))).alias("all"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     return root.select(F.sha2(F.array_join(F.transform("all", lambda x: F.concat(x["leaf"], x["h"])), "").cast("binary"), 256).alias("fingerprint"), "n")

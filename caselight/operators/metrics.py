@@ -159,7 +159,8 @@ def abstention_bands(df: DataFrame, prob: str, threshold: float, coverages: list
     clipped = max(1e-7, min(1 - 1e-7, threshold))
     at = F.lit(math.log(clipped / (1 - clipped)))
     shares = {1 - c: c for c in coverages}
-    cuts = quantiles(df, F.abs(logit_c(F.col(prob)) - at), list(shares), name="cut")
+    away = written(df.select(F.abs(logit_c(F.col(prob)) - at).alias("away")), "away")  # each count of ranges reads it
+    cuts = quantiles(away, "away", list(shares), name="cut")
     coverage = F.create_map(*[F.lit(float(x)) for pair in shares.items() for x in pair])[F.col("fraction")]
     rows = cuts.select("cut", coverage.alias("coverage"))
     edge = lambda sign: F.when(F.col("coverage") >= 1, F.lit(threshold)).otherwise(sigmoid_c(at + sign * F.col("cut")))

@@ -10,6 +10,7 @@ from caselight.operators import metrics as M
 from caselight.operators import sites as S
 from caselight.operators import tables as O
 from caselight.operators.fits import fit_temperatures, interpolated, isotonic_fits
+from caselight.operators.store import written
 from caselight.plans.catalog import _CONFUSION, _DIVIDED, ORACLES, VIEWS, _auroc, _hash, _U, query
 from caselight.sources import bridge as B
 
@@ -98,6 +99,7 @@ def _site(spark, d):
     c = B.cases(spark, d)
     site = c.where("device = 'purchase'")
     parts = site.join(O.halves_by_subject(site, "subject", "grade"), "subject")
+    parts = written(parts.select("case_id", "logit", "y", "part"), "halves")  # both halves are read several times
     return parts.where("part = 'calibration'"), parts.where("part = 'evaluation'"), c.where("device in ('click', 'view')")
 
 

@@ -49,6 +49,24 @@ def test_few_held_out_rows_fall_back_to_temperature(spark):
     assert fitted.first().held_out_ece is not None and K.profile_report(many, "z", "y", fitted).first().sensitivity >= 0.9 - 1e-9
 
 
+def test_a_profile_reads_its_rows_once_and_sends_no_knots_with_them(spark):
+    rng = random.Random(6)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(y):
+        read.add(1)
+        return y
+
+    many = spark.createDataFrame([(k, z := rng.gauss(0, 2), int(rng.random() < 1 / (1 + math.exp(-2 * z - 1)))) for k in range(600)], "k int, z double, y int")
+    watched = many.withColumn("y", F.udf(seen, "int").asNondeterministic()("y"))
+    profile = K.fit_profile(watched, "k", "z", "y")
+    assert read.value == 600 and profile.first() == K.fit_profile(many, "k", "z", "y").first()
+    read.value = 0
+    assert K.profile_report(watched, "z", "y", profile).first().sensitivity >= 0.9 - 1e-9 and read.value == 600
+    knots = spark.createDataFrame([("isotonic", None, [0.0, 1.0], [0.2, 0.6])], "method string, temperature double, isotonic_x array<double>, isotonic_y array<double>")
+    assert "Join" not in K.calibrated(many, "z", knots, "p")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bootstrap_holds_the_point_and_is_wider_for_subjects(spark):
     rng = random.Random(5)
     rows = []
