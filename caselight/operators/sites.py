@@ -37,7 +37,7 @@ def recalibrated_evidence(
 
     checkpoint and fingerprint are those of the evidence, served those of the model in service (the same if None). An error if a part has too few cases of a class.
     """
-    K.recalibrated(train, locked, z, y, target)
+    K.assert_enough(train, locked, y)
     candidate = K.fit_profile(train, key, z, y, target)
     struct = F.struct("tp", "fn", "auroc", "sensitivity", "specificity", "ece")
     inside = measured(internal, z, y, current, "current", "internal").select(struct.alias("internal"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from caselight.functions.columns import hash_uniform
 from caselight.operators import calibration as K
 from caselight.operators import curation as U
+from caselight.operators import sites as S
 
 
 def test_isotonic_equals_pooling(spark):
@@ -67,6 +68,17 @@ def test_a_profile_reads_its_rows_once_and_sends_no_knots_with_them(spark):
     assert "Join" not in K.calibrated(many, "z", knots, "p")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_recalibration_fits_the_candidate_once(spark, monkeypatch):
+    rng, fits = random.Random(7), []
+    rows = spark.createDataFrame([(k, z := rng.gauss(0, 2), int(rng.random() < 1 / (1 + math.exp(-2 * z)))) for k in range(600)], "k int, z double, y int")
+    current = K.fit_profile(rows, "k", "z", "y")
+    monkeypatch.setattr(K.M, "fit_temperature", lambda *a, fit=K.M.fit_temperature: fits.append(a) or fit(*a))
+    got = S.recalibrated_evidence(rows.where("k < 300"), rows.where("k >= 300"), current, rows, "k", "z", "y", "a", "f").collect()
+    assert sorted(r.profile for r in got) == ["candidate", "current"] and len(fits) == 1
+    with pytest.raises(ValueError, match="30 of each"):
+        S.recalibrated_evidence(rows.where("k < 20"), rows, current, rows, "k", "z", "y", "a", "f")
+
+
 def test_bootstrap_holds_the_point_and_is_wider_for_subjects(spark):
     rng = random.Random(5)
     rows = []
